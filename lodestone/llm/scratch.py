@@ -1,0 +1,38 @@
+"""Intermediate tables in the shared folder named by spark.checkpoint.dir.
+
+A written table cuts the lineage and survives the loss of any executor, and later reads
+of it prune columns, which a checkpointed RDD cannot.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no folder, as in tests on one machine.
+DEFAULT_DIR = "file:///tmp/checkpoints"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the scratch folder and return a frame that reads it."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that materialize() returned, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
