@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.exact_dedup import exact_duplicates
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import identify, learn
@@ -35,6 +36,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+#: A text of control strings; the query formats it as conversation -7.
+NASTY = "\\### Assistant: </turn> ok"
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    added = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(NASTY))
+    back = read_back(format_conversations(turns.union(added)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "removed_words", "text")
 
@@ -54,9 +68,29 @@ SELECT doc_id, k AS keep_id, g AS group_size, doc_id = k AS kept, h AS text_sha2
 """
 
 
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(replace(text, '\', '\s'), '###', '\h'), '</turn>', '\e'), '<part/>', '\p') AS x,
+         replace(replace(replace(replace(replace(role, '\', '\s'), '###', '\h'), '</turn>', '\e'), '<part/>', '\p'), ':', '\c') AS head,
+         lag(role) OVER w AS above, lead(role) OVER w AS below
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(x) + CASE WHEN above = role THEN 7 ELSE 6 + length(head) END + CASE WHEN below = role THEN 0 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5}
+    return {"op5_exact_dedup": OP5, "op8_chat_format": OP8}
