@@ -1,23 +1,21 @@
 """Exact Jaccard self-join of documents on five-word shingles.
 
 Documents with one shingle set form a class. A class is listed under the shingles of its prefix: the
-rarest quarter in a global order, so that two sets similar enough must share one. A tile is such a list
-within the size bounds that the threshold leaves. Hashed bitmaps of the sets, of a width that follows the
-size band, bound the overlap of two members from above; what passes is decided by intersecting the sorted
-shingle arrays of both texts.
-
-A large group of near copies would fill a tile with pairs. So links to the least member of each tile come
-first and are joined to components; after that only pairs of members that are still in different
-components are looked at. No pair that could link two components is left out, so components are exact.
+rarest quarter in a global order, so that two sets similar enough must share one. The lists that have one
+least class are put together as a tile. Within a tile, a member is compared with those in the size band that
+the threshold leaves: hashed bitmaps of a width that follows the band bound the overlap from above, and
+sorted shingle arrays are intersected where the bound allows a link.
+
+Small bitmaps come first and rule out members that can link to no other of their tile; only the rest have
+their texts read again. A tile then returns the links that join its members, at most one a member: two
+members that are joined already need no comparison, so a large group of near copies makes no pairs.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,45 +23,30 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
 from lodestone.llm.scratch import materialize, release
-from lodestone.llm.words import mix, shingle_sets
+from lodestone.llm.words import shingle_sets
 
 #: Shingles that go to the end of the global order, at most. Any order gives the same links.
 COMMON_SHINGLES = 1 << 16
 #: Shingles that a task counts together, and the count that makes one a candidate for the list above.
 COUNT_SPAN, COUNT_LEAST = 2_000_000, 3
-#: Members of a tile that are compared in one task; a larger tile is cut into pairs of blocks.
-TILE_BLOCK = 4096
+#: Members and shingles of a tile that are held together; a larger tile is cut into pairs of blocks.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Bits a shingle of the bitmaps that travel, and of those made from the texts in a task.
+SMALL_BITS, LARGE_BITS = 2, 16
 
 
 def _set_id(grams: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(grams.tobytes()), ">i8")[0])
 
 
-def _bitmap(grams: np.ndarray) -> bytes:
-    """Bits at the hashes' low bits; at least two bits a shingle, a power of two from 64 to 65,536."""
-    bits = min(1 << 16, max(64, 1 << int(2 * len(grams) - 1).bit_length()))
+def _bitmap(grams: np.ndarray, per_shingle: int) -> bytes:
+    """Bits at the hashes' low bits; per_shingle bits a shingle or up to twice as many, so that the size is a power of two."""
+    bits = max(64, 1 << int(per_shingle * len(grams) - 1).bit_length())
     hit = np.zeros(bits, bool)
     hit[grams & np.uint64(bits - 1)] = True
     return np.packbits(hit, bitorder="little").tobytes()
 
 
-def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
-    while bitmap.shape[-1] > size:
-        half = bitmap.shape[-1] // 2
-        bitmap = bitmap[..., :half] | bitmap[..., half:]
-    return bitmap
-
-
-def _fits(n_a, n_b, percent: int):
-    return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-
-
-def _overlap_passes(n_a, n_b, apart, percent: int):
-    """Whether sets of these sizes can be similar enough if their bitmaps differ in `apart` bits, each from one element of one set."""
-    most = (n_a + n_b - apart) // 2
-    return 100 * most >= percent * (n_a + n_b - most)
-
-
 SUMMARY = "kind int, doc_id long, n_shingles long, cls long, bitmap binary, gram long, cnt long"
 
 
@@ -72,6 +55,7 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("bitmap", pa.binary()), ("gram", pa.int64()), ("cnt", pa.int64())])
     held: list[np.ndarray] = []
     seen: set[int] = set()
+    total = 0
 
     def flush() -> pa.RecordBatch:
         grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -87,12 +71,14 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, grams in shingle_sets(batch.column(1)):
             sizes.append(len(grams))
             ids.append(_set_id(grams) if len(grams) else None)
-            maps.append(_bitmap(grams) if len(grams) else None)
+            maps.append(_bitmap(grams, SMALL_BITS) if len(grams) else None)
             if len(grams) and ids[-1] not in seen:
                 seen.add(ids[-1])
                 held.append(grams)
-                if sum(map(len, held[-1:])) and sum(map(len, held)) >= COUNT_SPAN:
+                total += len(grams)
+                if total >= COUNT_SPAN:
                     yield flush()
+                    total = 0
         n = len(sizes)
         none = pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), none, none], schema=schema)
@@ -104,7 +90,7 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
     """Lists each document's prefix under its parts, packed: one row for a part and a batch."""
     common_sorted = np.sort(common)
     place = np.argsort(common)  # of each sorted shingle in the list, which goes from most to least common
-    schema = pa.schema([("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("held", pa.binary()), ("gram", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("cls", pa.binary()), ("held", pa.binary()), ("gram", pa.binary())])
 
     def prefix(grams: np.ndarray) -> np.ndarray:
         n = len(grams)
@@ -121,9 +107,8 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
 
     def packed(held: list) -> Iterator[pa.RecordBatch]:
         cls = np.array([x[0] for x in held], np.int64)
-        size = np.array([x[1] for x in held], np.int32)
-        count = np.array([len(x[2]) for x in held])
-        grams = np.concatenate([x[2] for x in held])
+        count = np.array([len(x[1]) for x in held])
+        grams = np.concatenate([x[1] for x in held])
         doc = np.repeat(np.arange(len(held)), count)
         part = ((grams >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -134,8 +119,8 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
             a, b = cut[p], cut[p + 1]
             if a < b:
                 who, times = np.unique(doc[a:b], return_counts=True)
-                rows.append((labels[p], cls[who].tobytes(), size[who].tobytes(), times.astype(np.int32).tobytes(), grams[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], schema=schema)
+                rows.append((labels[p], cls[who].tobytes(), times.astype(np.int32).tobytes(), grams[a:b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -147,8 +132,8 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                held.append((cls, len(grams), prefix(grams)))
-                total += len(held[-1][2])
+                held.append((cls, prefix(grams)))
+                total += len(held[-1][1])
                 if total >= 1_000_000:
                     yield from packed(held)
                     held, total, seen = [], 0, set()
@@ -158,191 +143,189 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
     return run
 
 
-TILES = "tile long, cls long, size int, pivot long, pivot_size int"
-
-
-def _tiles(percent: int):
-    """Members of every tile of one part that has two or more; tiles with the same members count once."""
-    schema = pa.schema([("tile", pa.int64()), ("cls", pa.int64()), ("size", pa.int32()), ("pivot", pa.int64()), ("pivot_size", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for part, cls, size, held, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = np.frombuffer(held, np.int32)
-                parts.setdefault(part, []).append((np.repeat(np.frombuffer(cls, np.int64), held), np.repeat(np.frombuffer(size, np.int32), held), np.frombuffer(gram, np.uint32)))
-        for part in list(parts):
-            cls, size, gram = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
-            order = np.lexsort((cls, gram))
-            cls, size, gram = cls[order], size[order], gram[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])  # copies of a class
-            cls, size, gram = cls[new], size[new], gram[new]
-            first = np.ones(len(gram), bool)
-            first[1:] = gram[1:] != gram[:-1]
-            starts = np.flatnonzero(first)
-            counts = np.diff(np.append(starts, len(gram)))
-            # a tile stays if two neighbours by size fit
-            many = np.repeat(counts > 1, counts)
-            cls, size, gram = cls[many], size[many], gram[many]
-            if not len(cls):
-                continue
-            counts = counts[counts > 1]
-            starts = np.cumsum(counts) - counts
-            same = np.add.reduceat(mix(cls.view(np.uint64)), starts) + counts.astype(np.uint64)
-            _, once = np.unique(same, return_index=True)
-            keep = np.zeros(len(starts), bool)
-            keep[once] = True
-            stay = np.repeat(keep, counts)
-            cls, size, gram, counts = cls[stay], size[stay], gram[stay], counts[keep]
-            starts = np.cumsum(counts) - counts  # cls ascends within a tile: the first is the pivot
-            tile = (np.int64(part) << np.int64(32)) | gram.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(cls), pa.array(size), pa.array(np.repeat(cls[starts], counts)), pa.array(np.repeat(size[starts], counts))], schema=schema)
-
-    return run
-
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tile, cls) of the lists of each part that have two classes or more; a tile is named by the least class of a list."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for part, cls, held, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts.setdefault(part, []).append((np.repeat(np.frombuffer(cls, np.int64), np.frombuffer(held, np.int32)), np.frombuffer(gram, np.uint32)))
+    for part in list(parts):
+        cls, gram = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
+        order = np.lexsort((cls, gram))
+        cls, gram = cls[order], gram[order]
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        counts = np.diff(np.append(starts, len(gram)))
+        tile = np.repeat(cls[starts], counts)
+        many = np.repeat(cls[starts + counts - 1] != cls[starts], counts)  # else all are copies of one class
+        tile, cls = tile[many], cls[many]
+        order = np.lexsort((cls, tile))
+        tile, cls = tile[order], cls[order]
+        new = np.ones(len(cls), bool)
+        new[1:] = (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(tile[new]), pa.array(cls[new])], names=["tile", "cls"])
+
+
+def _apart(maps: list[np.ndarray], percent: int, sizes: np.ndarray):
+    """For members sorted by size: a function of i that gives the later members which may link to it.
+
+    maps are the members' bitmaps as 64-bit words. Members within the size band of i have bitmaps of i's
+    width or twice that; the latter are folded. The bits in which two bitmaps differ come from as many
+    elements of one set alone, or more.
+    """
+    widths = np.array([len(m) for m in maps])
+    stop = np.searchsorted(sizes, 100 * sizes // percent, "right")
+    tables: dict[int, tuple[int, np.ndarray]] = {}
 
-def _bitmap_filter(percent: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = np.zeros(len(f), bool)
-            for i, (x, y, n, m) in enumerate(zip(f.map_a, f.map_b, f.size_a, f.size_b, strict=True)):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-                keep[i] = _overlap_passes(n, m, apart, percent)
-            yield f.loc[keep, ["a", "b", "rep_a", "rep_b"]]
+    def later(i: int) -> np.ndarray:
+        w = int(widths[i])
+        if w not in tables:
+            tables.clear()
+            a, b = np.searchsorted(widths, w), np.searchsorted(widths, 2 * w, "right")
+            tables[w] = int(a), np.stack([m if len(m) == w else m[:w] | m[w:] for m in maps[a:b]])
+        a, table = tables[w]
+        if stop[i] <= i + 1:
+            return np.zeros(0, np.int64)
+        apart = np.bitwise_count(table[i + 1 - a : stop[i] - a] ^ table[i - a]).sum(axis=1, dtype=np.int64)
+        most = (sizes[i] + sizes[i + 1 : stop[i]] - apart) // 2
+        return i + 1 + np.flatnonzero(100 * most >= percent * (sizes[i] + sizes[i + 1 : stop[i]] - most))
 
-    return run
+    return later
 
 
-def _exact(percent: int):
-    """Decides pairs by their texts; the last few sets stay at hand, as rows come sorted by a."""
+def _by_tile(work, schema: pa.Schema):
+    """Runs work on the rows of each tile and pair of blocks; rows come sorted by these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        held: list[pa.RecordBatch] = []
+        key = None
 
-        def sets(ids: list[int], texts: pa.Array) -> Iterator[np.ndarray]:
-            for k, cls in enumerate(ids):
-                if cls not in known:
-                    known[cls] = next(shingle_sets(texts.slice(k, 1)))[1]
-                    if len(known) > 64:
-                        known.popitem(last=False)
-                known.move_to_end(cls)
-                yield known[cls]
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(work(pa.Table.from_batches(held)), schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for x, y in zip(sets(a, batch.column(2)), sets(b, batch.column(3)), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if held and key != tuple(keys[a]):
+                    yield done()
+                    held.clear()
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done()
 
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough: bitmaps first, then the texts of one document of each class."""
-    side = lambda s: classes.select(F.col("cls").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n_shingles").alias(f"size_{s}"), F.col("bitmap").alias(f"map_{s}"))
-    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "size_a", "size_b", "map_a", "map_b").mapInPandas(_bitmap_filter(percent), "a long, b long, rep_a long, rep_b long"), "likely")
-    needed = likely.select(F.col("a").alias("cls"), F.col("rep_a").alias("doc_id")).union(likely.select("b", "rep_b")).distinct()
-    texts = materialize(docs.join(needed, "doc_id").select("cls", "text"), "texts")
-    text = lambda s: texts.select(F.col("cls").alias(s), F.col("text").alias(f"text_{s}"))
-    both = likely.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    links = materialize(both.mapInArrow(_exact(percent), "a long, b long"), "links")
-    release(likely, texts)
-    return links
-
-
-def _cross_pairs(percent: int):
-    """Pairs of a tile's members in different components whose sizes and bitmaps allow a link. Rows come sorted by tile and block."""
-
-    def pairs(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("size", kind="stable")
-        cls, size, root, block = (f[k].to_numpy() for k in ("cls", "size", "root", "block"))
-        i_block, j_block = int(f.i_block.iat[0]), int(f.j_block.iat[0])
-        maps = [np.frombuffer(m, np.uint8) for m in f.bitmap]
-        out_a, out_b = [], []
-        stop = np.searchsorted(size, 100 * size // percent, "right")
-        for i in range(len(cls)):
-            j = np.arange(i + 1, stop[i])
+def _hopeful(percent: int):
+    """Members that may link to another one of the tile, by their small bitmaps."""
+
+    def work(t: pa.Table) -> tuple:
+        t = t.sort_by("n_shingles")
+        sizes, block = t["n_shingles"].to_numpy(), t["block"].to_numpy()
+        later = _apart([np.frombuffer(m, np.uint64) for m in t["bitmap"].to_pylist()], percent, sizes)
+        across = t["i_block"][0].as_py() != t["j_block"][0].as_py()
+        hope = np.zeros(len(sizes), bool)
+        for i in range(len(sizes)):
+            j = later(i)
+            if across:
+                j = j[block[j] != block[i]]
+            if len(j):
+                hope[i] = hope[j] = True
+        return tuple(t[k].combine_chunks().filter(pa.array(hope)) for k in ("tile", "i_block", "j_block", "block", "cls", "rep"))
+
+    return _by_tile(work, pa.schema([("tile", pa.int64()), ("i_block", pa.int32()), ("j_block", pa.int32()), ("block", pa.int32()), ("cls", pa.int64()), ("rep", pa.int64())]))
+
+
+def _joined(percent: int):
+    """Links (a, b) that join the members of a tile, decided on their texts."""
+
+    def work(t: pa.Table) -> tuple:
+        sets = [grams for _, grams in shingle_sets(t["text"].combine_chunks())]
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        sets = [sets[k] for k in order]
+        sizes, cls, block = np.array([len(s) for s in sets]), t["cls"].to_numpy()[order], t["block"].to_numpy()[order]
+        later = _apart([np.frombuffer(_bitmap(s, LARGE_BITS), np.uint64) for s in sets], percent, sizes)
+        across = t["i_block"][0].as_py() != t["j_block"][0].as_py()
+        root = np.arange(len(sets))
+        a, b = [], []
+        for i in range(len(sets)):
+            j = later(i)
             j = j[root[j] != root[i]]
-            if i_block != j_block:
+            if across:
                 j = j[block[j] != block[i]]
-            if not len(j):
-                continue
-            width = len(maps[i])  # the least, as sizes ascend
-            apart = np.array([np.bitwise_count(_fold(maps[k], width) ^ maps[i]).sum(dtype=np.int64) for k in j])
-            j = j[_overlap_passes(int(size[i]), size[j].astype(np.int64), apart, percent)]
-            out_a.append(np.minimum(cls[i], cls[j]))
-            out_b.append(np.maximum(cls[i], cls[j]))
-        none = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, rest = ["tile", "i_block", "j_block"], None
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            last = (f[keys] == f[keys].iloc[-1]).all(axis=1).to_numpy()
-            rest = f[last]
-            for _, g in f[~last].groupby(keys, sort=False):
-                yield pairs(g)
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            while len(j):
+                k, j = j[0], j[1:]
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                    a.append(cls[i])
+                    b.append(cls[k])
+                    root[root == root[k]] = root[i]
+                    j = j[root[j] != root[i]]
+        return a, b
 
-    return run
+    return _by_tile(work, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, text) of the rows whose text has the class asked for, as an id may stand for several texts."""
+    for batch in batches:
+        keep = pa.array([bool(len(g)) and _set_id(g) == c for c, (_, g) in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2)), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["cls", "text"])
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate components of documents: (doc_id, n_shingles, cls, n_links, component_id), one row per input row.
+    """Near-duplicate components of documents: (doc_id, n_shingles, cls, component_id), one row per input row.
 
     Words are runs of anything but blanks and the controls 9 to 13, with A-Z lowered. A text of one to
     four words has its whole word sequence as its only shingle. Two documents link when
     100 * |A and B| >= percent * |A or B|. component_id is the smallest id reachable by links, the
-    document's own included; n_links counts the links of its class to other classes that were verified
-    (enough to connect the component, not all that exist).
+    document's own included; cls names the documents with one shingle set.
 
     Null or blank text: an empty set, linked with nothing, component_id is the own id. Null id: the row
     is returned with its size and a null component_id and links nothing. Repeated rows are returned as
     often as they come. Other columns are ignored. An empty table gives an empty result.
+
+    Shingles and classes are 64-bit hashes; at 10**11 texts a few unrelated classes of one size could meet.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     summary = materialize(docs.mapInArrow(_summarize, SUMMARY), "summary")
     light = summary.where("kind = 0")
     named = light.where("cls is not null and doc_id is not null")
-    classes = named.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap"))
+    classes = materialize(named.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
     top = summary.where("kind = 1").groupBy("gram").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(COMMON_SHINGLES)
     common = np.array([r.gram for r in top.collect()], np.int64).view(np.uint64)  # at most COMMON_SHINGLES numbers
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = spark.range(24 * parts).select(F.col("id").cast("int").alias("id")).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p")).groupBy("p").agg(F.min("id")).orderBy("p").collect()
     labels = [r[1] for r in spread]  # numbers that hash partitioning deals to different partitions
-    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, len(labels), labels, percent), "part int, cls binary, size binary, held binary, gram binary")
-    tiles = materialize(lists.repartition("part").mapInArrow(_tiles(percent), TILES), "tiles")
-
-    fit = F.expr(f"100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
-    star = tiles.where("cls <> pivot").where(fit).select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _verify(star, classes, docs, percent)
-    roots = connected_components(links)
-
-    own = tiles.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_tiles = own.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("tile", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("blocks"))
-    members = own.join(open_tiles, "tile").join(classes.select("cls", "bitmap"), "cls")
+    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, len(labels), labels, percent), "part int, cls binary, held binary, gram binary")
+    listed = materialize(lists.repartition("part").mapInArrow(_listed, "tile long, cls long"), "listed")
+    tiles = listed.distinct().join(classes, "cls")
+    large = tiles.groupBy("tile").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where(f"members > {BLOCK_MEMBERS} or total > {BLOCK_SHINGLES}")
+    blocks = F.expr(f"cast(ceil(greatest(members / {BLOCK_MEMBERS}, total / {BLOCK_SHINGLES})) as int)")
+    large = materialize(large.select("tile", blocks.alias("blocks")), "large")
+    members = tiles.join(large, "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("tile", "cls", "size", "root", "bitmap", "block", F.least("block", "other").alias("i_block"), F.greatest("block", "other").alias("j_block"))
-    dealt = members.repartition("tile", "i_block", "j_block").sortWithinPartitions("tile", "i_block", "j_block")
-    cross = dealt.mapInPandas(_cross_pairs(percent), "a long, b long").distinct()
-    more = _verify(cross, classes, docs, percent)
-
-    every = links.union(more)
-    roots = materialize(connected_components(every), "roots")
-    degree = every.union(every.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
+    members = members.select("tile", F.least("block", "other").alias("i_block"), F.greatest("block", "other").alias("j_block"), "block", "cls", "rep", "n_shingles", "bitmap")
+    keys = ["tile", "i_block", "j_block"]
+    dealt = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    hopeful = materialize(dealt(members).mapInArrow(_hopeful(percent), "tile long, i_block int, j_block int, block int, cls long, rep long"), "hopeful")
+
+    needed = materialize(hopeful.select("cls", F.col("rep").alias("doc_id")).distinct(), "needed")
+    texts = docs.join(needed, "doc_id")
+    texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, text string"), "texts")
+    read = hopeful.drop("rep").join(texts, "cls").select(*keys, "block", "cls", "text")
+    links = materialize(dealt(read).mapInArrow(_joined(percent), "a long, b long"), "joins")
+    release(listed, large, hopeful, needed, texts)
+
+    roots = materialize(connected_components(links), "roots")
     found = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = found.join(least, "root").join(degree, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    groups = materialize(found.join(least, "root").select("cls", "component_id"), "groups")
     out = light.select("doc_id", "n_shingles", "cls").join(groups, "cls", "left")
     own_id = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "cls", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), own_id.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "cls", own_id.alias("component_id"))

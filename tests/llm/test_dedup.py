@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string"
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_components_match_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "TILE_BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 8)
     monkeypatch.setattr(jaccard, "COMMON_SHINGLES", 50)
     rows = random_documents(seed)
     got = {r.doc_id: r for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
