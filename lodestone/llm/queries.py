@@ -12,6 +12,7 @@ from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.exact_dedup import exact_duplicates
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import identify, learn
+from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.packing import pack_documents
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
