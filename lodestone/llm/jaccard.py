@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,7 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
     """Lists each document's prefix under its parts, packed: one row for a part and a batch."""
     common_sorted = np.sort(common)
     place = np.argsort(common)  # of each sorted shingle in the list, which goes from most to least common
-    schema = pa.schema([("part", pa.int32()), ("cls", pa.binary()), ("held", pa.binary()), ("gram", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("held", pa.binary()), ("gram", pa.binary())])
 
     def prefix(grams: np.ndarray) -> np.ndarray:
         n = len(grams)
@@ -107,8 +108,9 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
 
     def packed(held: list) -> Iterator[pa.RecordBatch]:
         cls = np.array([x[0] for x in held], np.int64)
-        count = np.array([len(x[1]) for x in held])
-        grams = np.concatenate([x[1] for x in held])
+        size = np.array([x[1] for x in held], np.int32)
+        count = np.array([len(x[2]) for x in held])
+        grams = np.concatenate([x[2] for x in held])
         doc = np.repeat(np.arange(len(held)), count)
         part = ((grams >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -119,8 +121,8 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
             a, b = cut[p], cut[p + 1]
             if a < b:
                 who, times = np.unique(doc[a:b], return_counts=True)
-                rows.append((labels[p], cls[who].tobytes(), times.astype(np.int32).tobytes(), grams[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], schema=schema)
+                rows.append((labels[p], cls[who].tobytes(), size[who].tobytes(), times.astype(np.int32).tobytes(), grams[a:b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -132,8 +134,8 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                held.append((cls, prefix(grams)))
-                total += len(held[-1][1])
+                held.append((cls, len(grams), prefix(grams)))
+                total += len(held[-1][2])
                 if total >= 1_000_000:
                     yield from packed(held)
                     held, total, seen = [], 0, set()
@@ -143,26 +145,37 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
     return run
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tile, cls) of the lists of each part that have two classes or more; a tile is named by the least class of a list."""
-    parts: dict[int, list] = {}
-    for batch in batches:
-        for part, cls, held, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts.setdefault(part, []).append((np.repeat(np.frombuffer(cls, np.int64), np.frombuffer(held, np.int32)), np.frombuffer(gram, np.uint32)))
-    for part in list(parts):
-        cls, gram = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
-        order = np.lexsort((cls, gram))
-        cls, gram = cls[order], gram[order]
-        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-        counts = np.diff(np.append(starts, len(gram)))
-        tile = np.repeat(cls[starts], counts)
-        many = np.repeat(cls[starts + counts - 1] != cls[starts], counts)  # else all are copies of one class
-        tile, cls = tile[many], cls[many]
-        order = np.lexsort((cls, tile))
-        tile, cls = tile[order], cls[order]
-        new = np.ones(len(cls), bool)
-        new[1:] = (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(tile[new]), pa.array(cls[new])], names=["tile", "cls"])
+def _listed(percent: int):
+    """(tile, cls) of the members of each part's lists that have another member in their size band; a tile is named by the least class of a list."""
+
+    def neighbours(key: np.ndarray) -> np.ndarray:
+        return np.append(False, key[1:] == key[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for part, cls, size, held, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = np.frombuffer(held, np.int32)
+                parts.setdefault(part, []).append((np.repeat(np.frombuffer(cls, np.int64), held), np.repeat(np.frombuffer(size, np.int32), held).astype(np.int64), np.frombuffer(gram, np.uint32)))
+        for part in list(parts):
+            cls, size, gram = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
+            order = np.lexsort((cls, size, gram))
+            cls, size, gram = cls[order], size[order], gram[order]
+            new = ~(neighbours(gram) & neighbours(cls))  # else a copy of the class before
+            cls, size, gram = cls[new], size[new], gram[new]
+            fits = neighbours(gram) & (100 * np.append(0, size[:-1]) >= percent * size)
+            keep = fits | np.append(fits[1:], False)
+            cls, gram = cls[keep], gram[keep]
+            if not len(cls):
+                continue
+            starts = np.flatnonzero(~neighbours(gram))
+            tile = np.repeat(np.minimum.reduceat(cls, starts), np.diff(np.append(starts, len(gram))))
+            order = np.lexsort((cls, tile))
+            tile, cls = tile[order], cls[order]
+            new = ~(neighbours(tile) & neighbours(cls))
+            yield pa.RecordBatch.from_arrays([pa.array(tile[new]), pa.array(cls[new])], names=["tile", "cls"])
+
+    return run
 
 
 def _apart(maps: list[np.ndarray], percent: int, sizes: np.ndarray):
@@ -243,7 +256,7 @@ def _joined(percent: int):
     """Links (a, b) that join the members of a tile, decided on their texts."""
 
     def work(t: pa.Table) -> tuple:
-        sets = [grams for _, grams in shingle_sets(t["text"].combine_chunks())]
+        sets = [next(shingle_sets(pa.array([zstandard.decompress(x)], pa.binary())))[1] for x in t["packed"].to_pylist()]
         order = np.argsort([len(s) for s in sets], kind="stable")
         sets = [sets[k] for k in order]
         sizes, cls, block = np.array([len(s) for s in sets]), t["cls"].to_numpy()[order], t["block"].to_numpy()[order]
@@ -270,10 +283,11 @@ def _joined(percent: int):
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, text) of the rows whose text has the class asked for, as an id may stand for several texts."""
+    """(cls, compressed text) of the rows whose text has the class asked for, as an id may stand for several texts."""
     for batch in batches:
         keep = pa.array([bool(len(g)) and _set_id(g) == c for c, (_, g) in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2)), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["cls", "text"])
+        packed = [zstandard.compress(x, 3) for x in batch.column(2).filter(keep).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(packed, pa.binary())], names=["cls", "packed"])
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,8 +316,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = spark.range(24 * parts).select(F.col("id").cast("int").alias("id")).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p")).groupBy("p").agg(F.min("id")).orderBy("p").collect()
     labels = [r[1] for r in spread]  # numbers that hash partitioning deals to different partitions
-    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, len(labels), labels, percent), "part int, cls binary, held binary, gram binary")
-    listed = materialize(lists.repartition("part").mapInArrow(_listed, "tile long, cls long"), "listed")
+    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, len(labels), labels, percent), "part int, cls binary, size binary, held binary, gram binary")
+    listed = materialize(lists.repartition("part").mapInArrow(_listed(percent), "tile long, cls long"), "listed")
     tiles = listed.distinct().join(classes, "cls")
     large = tiles.groupBy("tile").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where(f"members > {BLOCK_MEMBERS} or total > {BLOCK_SHINGLES}")
     blocks = F.expr(f"cast(ceil(greatest(members / {BLOCK_MEMBERS}, total / {BLOCK_SHINGLES})) as int)")
@@ -317,8 +331,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
 
     needed = materialize(hopeful.select("cls", F.col("rep").alias("doc_id")).distinct(), "needed")
     texts = docs.join(needed, "doc_id")
-    texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, text string"), "texts")
-    read = hopeful.drop("rep").join(texts, "cls").select(*keys, "block", "cls", "text")
+    texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, packed binary"), "texts")
+    read = hopeful.drop("rep").join(texts.hint("merge"), "cls").select(*keys, "block", "cls", "packed")  # texts are never broadcast
     links = materialize(dealt(read).mapInArrow(_joined(percent), "a long, b long"), "joins")
     release(listed, large, hopeful, needed, texts)
 
