@@ -14,6 +14,7 @@ from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import identify, learn
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 
 
@@ -21,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def domain(source):
+    """A stand-in for a domain column, which the documents don't have: the first digit of the source's MD5."""
+    digit = F.substring(F.md5(source), 1, 1)
+    return F.when(digit < "6", "web").when(digit < "b", "books").when(digit >= "b", "code")
+
+
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 8}, "source": {"src0": 4, "src1": 3, "src2": 2}}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    return mix_sources(table(spark, sf_dir, "documents"), levels, MIX_WEIGHTS, (3, 5), seed=7, max_epochs=2)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
 
@@ -62,6 +77,61 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", F.col("cls").alias("class_id"))
 
 
+def _op1_level(k: int, budget: str) -> str:
+    """SQL that shares the budgets of level k's parents among their children."""
+    levels = ["domain", "lang", "source"]
+    level, above = levels[k], ", ".join(levels[:k])
+    cases = " ".join(f"WHEN '{name}' THEN {w}" for name, w in MIX_WEIGHTS[level].items())
+    part = f"PARTITION BY {above} " if above else ""
+    order = f"{part}ORDER BY CAST(cap AS DOUBLE) / w, {level}"
+    keys = f"{above}, {level}" if above else level
+    return f"""
+n{k} AS (SELECT {keys}, CAST(sum(cap) AS BIGINT) AS cap, CASE {level} {cases} ELSE 1 END AS w FROM leaves GROUP BY {keys}),
+a{k} AS (
+  SELECT n{k}.*, budget,
+         sum(w) OVER ({part}) - coalesce(sum(w) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left,
+         budget - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_left
+  FROM n{k} {f"JOIN {budget} USING ({above})" if above else f"CROSS JOIN {budget}"}
+),
+o{k} AS (SELECT *, max(CASE WHEN cap * w_left > b_left * w THEN 1 ELSE 0 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS open FROM a{k}),
+s{k} AS (
+  SELECT *, sum(CASE WHEN open THEN w ELSE 0 END) OVER ({part}) AS w_open,
+         budget - sum(CASE WHEN open THEN 0 ELSE cap END) OVER ({part}) AS b_open,
+         sum(CASE WHEN open THEN 1 ELSE 0 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nth
+  FROM o{k}
+),
+h{k} AS (SELECT *, CASE WHEN open THEN (b_open * w) // w_open ELSE cap END AS share FROM s{k}),
+b{k} AS (
+  SELECT {keys}, CAST(share + CASE WHEN open AND nth <= b_open - sum(CASE WHEN open THEN share ELSE 0 END) OVER ({part}) THEN 1 ELSE 0 END AS BIGINT) AS budget
+  FROM h{k}
+),"""
+
+
+OP1 = (
+    r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(CASE WHEN md5(source)[1] < '6' THEN 'web' WHEN md5(source)[1] < 'b' THEN 'books' WHEN md5(source)[1] >= 'b' THEN 'code' END, 'none') AS domain,
+         coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents
+), counted AS (SELECT * FROM docs WHERE n_tokens > 0),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS cap FROM counted GROUP BY ALL),
+root AS (SELECT CAST(least(sum(cap), (sum(cap) // 2) * 3 // 5) AS BIGINT) AS budget FROM leaves),"""
+    + _op1_level(0, "root")
+    + _op1_level(1, "b0")
+    + _op1_level(2, "b1")
+    + """
+plan AS (SELECT *, budget // tokens AS epochs, budget % tokens AS rest FROM leaves JOIN b2 USING (domain, lang, source)),
+taken AS (
+  SELECT doc_id, domain, lang, source, epoch, n_tokens, epochs, rest,
+         coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('7:' || epoch || ':' || doc_id), doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM counted JOIN plan USING (domain, lang, source), LATERAL (SELECT unnest(range(0, epochs + 1)) AS epoch)
+)
+SELECT doc_id, domain, lang, source, epoch, n_tokens, CAST(CASE WHEN epoch < epochs THEN n_tokens ELSE least(n_tokens, rest - start) END AS BIGINT) AS take_tokens
+FROM taken WHERE epoch < epochs OR start < rest
+"""
+)
+
 OP5 = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
@@ -98,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op8_chat_format": OP8}
+    return {"op1_source_mixing": OP1, "op5_exact_dedup": OP5, "op8_chat_format": OP8}
