@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -12,7 +13,7 @@ _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
 #: The pieces into which the tokenizer splits such a text, lowered.
 _PIECE = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^ \\t\\n\\r{_LETTER}{_DIGIT}]+")
-KEPT_PIECES = 600_000
+KEPT_PIECES = 900_000
 
 
 class _Pieces(dict):
@@ -24,7 +25,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_PIECES:
             self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u2").tobytes()
+        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(ids)}H", *ids)
         if len(piece) < 64:
             self[piece] = ids
         return ids
@@ -39,12 +41,15 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
-        self.pieces = _Pieces(self.tokenizer)
+        alone = Tokenizer.from_file(path)  # what comes to it is normal, lowered and one piece already
+        alone.normalizer = normalizers.Sequence([])
+        alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces = _Pieces(alone)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
