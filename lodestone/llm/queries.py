@@ -15,7 +15,9 @@ from lodestone.llm.langid import identify, learn
 from lodestone.llm.licenses import scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
+from lodestone.llm.neighbours import nearest
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.urlfilter import filter_urls, host
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch day and no lists come with them; both are derived from the pages by rule, so that they grow with them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda factor: F.expr(f"date_add(date'2023-01-01', cast(pmod(page_id * {factor}, 730) as int))")
+    labels = F.split(host(F.col("url")), r"\.")
+    segment = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1)
+    key = F.when(F.col("page_id") % 3 == 0, F.array_join(F.slice(labels, -3, 3), ".")).when(F.col("page_id") % 3 == 1, host(F.col("url"))).otherwise(F.concat(host(F.col("url")), F.lit("/"), segment))
+    name = F.when(F.col("page_id") % 7 == 0, "allow").when(F.col("page_id") % 7 < 4, "adult").otherwise("spam")
+    action = F.when(F.col("page_id") % 5 < 3, "add").otherwise("remove")
+    entries = pages.where("page_id % 11 = 4").select(key.alias("key"), name.alias("list"), action.alias("action"), day(11).alias("day"), F.col("page_id").alias("seq"))
+    return filter_urls(pages.withColumn("fetch_day", day(37)), entries)
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 #: A text of control strings; the query formats it as conversation -7.
 NASTY = "\\### Assistant: </turn> ok"
 
@@ -143,6 +162,31 @@ SELECT doc_id, k AS keep_id, g AS group_size, doc_id = k AS kept, h AS text_sha2
 """
 
 
+OP6 = r"""
+WITH p AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment,
+         CAST(DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS DATE) AS fetch_day
+  FROM pages
+), e AS (
+  SELECT CASE page_id % 3 WHEN 0 THEN array_to_string(string_split(host, '.')[-3:], '.') WHEN 1 THEN host ELSE host || '/' || segment END AS key,
+         CASE WHEN page_id % 7 = 0 THEN 'allow' WHEN page_id % 7 < 4 THEN 'adult' ELSE 'spam' END AS list,
+         page_id % 5 < 3 AS adds, CAST(DATE '2023-01-01' + CAST((page_id * 11) % 730 AS INTEGER) AS DATE) AS day, page_id AS seq
+  FROM p WHERE page_id % 11 = 4
+), daily AS (SELECT key, list, day, arg_max(adds, seq) AS adds FROM e GROUP BY ALL),
+spans AS (SELECT key, list, adds, day AS since, lead(day) OVER (PARTITION BY key, list ORDER BY day) AS until FROM daily),
+probes AS (
+  SELECT DISTINCT page_id, fetch_day, unnest(list_distinct(list_concat(list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+         CASE WHEN segment <> '' AND host <> '' THEN [host || '/' || segment] ELSE [] END))) AS key FROM p
+), hits AS (SELECT page_id, key, list FROM probes JOIN spans USING (key) WHERE adds AND since <= fetch_day AND (until IS NULL OR fetch_day < until)),
+v AS (
+  SELECT page_id, count(*) AS n_active, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists,
+         first(key ORDER BY length(key) DESC, key) AS winner, NOT first(list = 'allow' ORDER BY length(key) DESC, list = 'allow' DESC) AS blocked
+  FROM hits GROUP BY page_id
+)
+SELECT page_id, url, fetch_day, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, winner, coalesce(blocked, false) AS blocked FROM p LEFT JOIN v USING (page_id)
+"""
+
 OP8 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -168,4 +212,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op5_exact_dedup": OP5, "op8_chat_format": OP8}
+    return {"op1_source_mixing": OP1, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8}
