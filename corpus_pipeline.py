@@ -1,10 +1,69 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next one reads it.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm.jaccard import jaccard_components
+from lodestone.llm.langid import UNDETERMINED, identify, learn
+from lodestone.llm.line_dedup import dedup_lines
+from lodestone.llm.mixing import mix_sources
+from lodestone.llm.packing import pack_documents
+from lodestone.llm.scratch import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Share of a text's letters that its language must have.
+LEAST_SHARE = 0.5
+MIX_SHARE, MIX_SEED = (19, 20), 7
+MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 8}}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language or with none that has half of the letters; fills in languages that are missing."""
+    model = learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    kept = identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of passages; documents that are nothing else go."""
+    cut = dedup_lines(docs.select(*COLUMNS))
+    left = cut.where((F.col("removed_words") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    return left.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of every component; rows without an id stay."""
+    found = jaccard_components(docs)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(materialize(others, "others").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents from which the target mixture takes words, within 95 % of all words."""
+    taken = mix_sources(docs, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE, MIX_SEED)
+    chosen = materialize(taken.select("doc_id").distinct(), "chosen")
+    return docs.select(*COLUMNS).join(chosen.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens along the Hilbert curve."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
+#: Language ID and packing can't be written as SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
