@@ -88,7 +88,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     windows = materialize(texts.select(known, F.xxhash64(f"`{text_col}`"), F.col(f"`{text_col}`")).mapInArrow(_windows(min_words), WINDOWS), "windows")
     at = F.struct("doc_id", "lo")
     first = materialize(windows.groupBy("digest").agg(F.min(at).alias("first"), F.min_by("after", at).alias("first_after"), F.count("*").alias("times")).where("times > 1").drop("times"), "first")
-    later = windows.join(first, "digest").where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after")
+    # merge joins at any size: neither side is one to broadcast, as both grow with the input
+    later = windows.join(first.hint("merge"), "digest").where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after")
     runs = later.mapInArrow(_extend, "doc_id long, text_hash long, lo int, hi int")
     order = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
     opens = F.when(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, 1).otherwise(0)
@@ -98,7 +99,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     release(windows, first)
 
     # a text is split into lines once, into those that stay and those that go
-    cut = docs.join(spans, (known == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__hash")), "left")
+    cut = docs.join(spans.hint("merge"), (known == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__hash")), "left")
     lines = F.split(f"`{text_col}`", "\n", -1)
     goes = lambda i: F.exists("__spans", lambda s: (i >= s.lo) & (i <= s.hi))
     left = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~goes(i)), "\n"))
