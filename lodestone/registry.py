@@ -1,15 +1,502 @@
-"""The registered queries of the library."""
+"""The registered queries of the library and the SQL that gives the same rows.
+
+Papers, questions, queries and article XML are derived from the documents and benchmark tables by rule, so that all
+of them grow with the input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import records as X
+from lodestone.functions import text as T
+from lodestone.operators import evidence as E
+from lodestone.operators import ranking as R
+from lodestone.operators import search as S
+from lodestone.operators import validation as V
+from lodestone.plans.evidence import passages, plan_queries, search
+from lodestone.sources import corpus as C
+from lodestone.sources.articles import article_paragraphs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("question_id"), "text")
+
+
+# The same views in SQL.
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t NOT IN (" + STOP + "))"
+WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '\s+'), lambda w: w <> '')"
+N_WORDS = "CAST(len(" + WORDS + ") AS BIGINT)"
+PAPERS = """papers AS (
+  SELECT *, CASE WHEN pmid <> '' THEN pmid WHEN doi <> '' THEN doi ELSE title END AS paper_id FROM (
+    SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS pmid,
+           CASE WHEN doc_id % 5 = 0 AND doc_id % 10 <> 0 THEN '10.1000/' || doc_id ELSE '' END AS doi,
+           coalesce(string_split(coalesce(text, ''), chr(10))[1], '') AS title, coalesce(string_split(coalesce(text, ''), chr(10))[2], '') AS abstract,
+           CAST(2000 + doc_id % 25 AS VARCHAR) AS year, coalesce(n_chars > 2000, false) AS in_store, source, lang, text FROM documents))"""
+PARAGRAPHS = """lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS para_idx FROM documents),
+paragraphs AS (SELECT doc_id, text, min(para_idx) AS para_idx FROM lines WHERE trim(text) <> '' GROUP BY doc_id, text)"""
+RANKED = (
+    PARAGRAPHS
+    + f""",
+asked AS (SELECT doc_id, list_distinct({TOKENS.format("string_split(coalesce(text, ''), chr(10))[1]")}) AS terms FROM documents),
+counted AS (SELECT p.*, {TOKENS.format("p.text")} AS t, count(*) OVER (PARTITION BY doc_id) AS n, len({TOKENS.format("p.text")}) AS dl, terms FROM paragraphs p JOIN asked USING (doc_id)),
+meaned AS (SELECT *, avg(CAST(dl AS DOUBLE)) OVER (PARTITION BY doc_id) AS mean FROM counted),
+hits AS (SELECT doc_id, para_idx, n, dl, mean, unnest(list_filter(t, lambda x: list_contains(terms, x))) AS term FROM meaned),
+tf AS (SELECT doc_id, para_idx, n, dl, mean, term, count(*) AS tf FROM hits GROUP BY ALL),
+dfs AS (SELECT *, count(*) OVER (PARTITION BY doc_id, term) AS df FROM tf),
+scored AS (SELECT doc_id, para_idx, sum(ln(CAST(1 AS DOUBLE) + (CAST(n AS DOUBLE) - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean))) AS score FROM dfs GROUP BY doc_id, para_idx),
+ranked AS (SELECT doc_id, para_idx, text, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(score, 0), 9) DESC, para_idx) AS rank FROM paragraphs LEFT JOIN scored USING (doc_id, para_idx)),
+positive AS (
+  SELECT doc_id, para_idx, text, score, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN best > 0 THEN rank ELSE para_idx END) AS rank
+  FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM ranked) WHERE score > 0 OR best <= 0)"""
+)
+SENTENCES = r"""sentence_lists AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '^[ \n\t\r]+|[ \n\t\r]+$', '', 'g'))), lambda s: s <> '') AS found, text
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+sentences AS (SELECT doc_id, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS sent_idx FROM (SELECT doc_id, CASE WHEN len(found) = 0 AND trim(text) <> '' THEN [trim(text)] ELSE found END AS s FROM sentence_lists)),
+sids AS (SELECT *, doc_id || '_' || CASE WHEN sent_idx < 26 THEN chr(65 + sent_idx) ELSE 'S' || sent_idx END AS sid FROM sentences)"""
+CITED = (
+    SENTENCES
+    + f""",
+judge AS (SELECT s.*, len(list_intersect(list_distinct({TOKENS.format("s.sentence")}), list_distinct({TOKENS.format("string_split(coalesce(d.text, ''), chr(10))[1]")}))) AS hits FROM sids s JOIN documents d USING (doc_id)),
+cited AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, sent_idx) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM judge WHERE hits >= 1),
+kept AS (SELECT * FROM (SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY judge_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM cited) WHERE words_before < 60),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span
+  FROM (SELECT *, CASE WHEN sent_idx = lag(sent_idx) OVER (PARTITION BY doc_id ORDER BY sent_idx) + 1 THEN 0 ELSE 1 END AS opens FROM kept)),
+span_texts AS (SELECT doc_id, CAST(span AS BIGINT) AS span, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM numbered GROUP BY doc_id, span)"""
+)
+
+
+def _ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's paragraphs, ranked for its first line."""
+    asked = docs(spark, sf).select("doc_id", F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)))).alias("terms"))
+    scored = R.bm25_within(C.paragraphs(docs(spark, sf)), asked)
+    order = R.Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "para_idx")
+    return scored.withColumn("rank", F.row_number().over(order))
+
+
+def _cited(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's sentences that share a term with its first line, in the judge's order."""
+    d = docs(spark, sf)
+    terms = d.select("doc_id", F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)))).alias("terms"))
+    cited = E.lexical_judge(E.sentence_rows(d).join(terms, "doc_id"), F.col("terms")).drop("terms")
+    return cited.withColumn("judge_pos", F.row_number().over(R.Window.partitionBy("doc_id").orderBy(F.desc("hits"), "sent_idx")))
+
+
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    return R.within_budget(_cited(spark, sf), 60, "doc_id", "judge_pos", text="sentence")
+
+
+def _score(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 5))
+
+
+@query(f"SELECT doc_id, {N_WORDS.format('text')} AS n_words FROM documents")
+def word_counts(spark, sf):
+    return docs(spark, sf).select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS BIGINT) AS n_tokens FROM documents")
+def token_counts(spark, sf):
+    return docs(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+FIELDED = """'TITLE:"' || coalesce(string_split(text, ' ')[1], '') || '" AND (AUTH:' || coalesce(string_split(text, ' ')[2], '') || ' OR NOT ' || source || ')'"""
+
+
+@query(
+    rf"""WITH q AS (SELECT doc_id, {FIELDED} AS query FROM documents),
+b AS (SELECT *, array_to_string(list_filter({WORDS.format("translate(regexp_replace(query, '\\b[A-Z_]+:', '', 'g'), '\"()', '   ')")}, lambda w: w NOT IN ('AND', 'OR', 'NOT')), ' ') AS bare FROM q)
+SELECT doc_id, CASE WHEN bare = '' THEN query ELSE bare END AS bare FROM b"""
+)
+def strip_operators(spark, sf):
+    part = lambda i: F.coalesce(F.get(F.split("text", " ", -1), F.lit(i)), F.lit(""))
+    q = F.concat(F.lit('TITLE:"'), part(0), F.lit('" AND (AUTH:'), part(1), F.lit(" OR NOT "), F.col("source"), F.lit(")"))
+    return docs(spark, sf).select("doc_id", T.plain_terms(q).alias("bare"))
+
+
+BM25 = f"""counted AS (SELECT doc_id, {TOKENS.format("text")} AS terms FROM documents),
+whole AS (SELECT count(*) AS n, avg(CAST(len(terms) AS DOUBLE)) AS mean FROM counted),
+tf AS (SELECT doc_id, len(terms) AS dl, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM counted) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weighed AS (SELECT doc_id, term, ln(CAST(1 AS DOUBLE) + (CAST(n AS DOUBLE) - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean)) AS weight FROM tf JOIN dfs USING (term), whole)"""
+
+
+@query(
+    f"""WITH {BM25}, asked AS (SELECT item_id AS question_id, unnest(list_distinct({TOKENS.format("text")})) AS term FROM benchmark),
+scored AS (SELECT question_id, doc_id, sum(weight) AS score FROM weighed JOIN asked USING (term) GROUP BY ALL)
+SELECT question_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""
+)
+def bm25_corpus_topk(spark, sf):
+    return _score(R.top_k(R.bm25_corpus(docs(spark, sf), questions(spark, sf)), 10, "question_id", F.desc(F.round("score", 9)), "doc_id"))
+
+
+@query(f"WITH {RANKED} SELECT doc_id, para_idx, round(score, 5) AS score, rank FROM ranked")
+def bm25_paragraph_rank(spark, sf):
+    return _score(_ranked(spark, sf)).select("doc_id", "para_idx", "score", "rank")
+
+
+@query(f"WITH {RANKED} SELECT doc_id, para_idx, rank FROM positive")
+def bm25_positive_or_leading(spark, sf):
+    return R.positive_or_all(_ranked(spark, sf)).select("doc_id", "para_idx", "rank")
+
+
+BUDGETED = (
+    RANKED
+    + f""",
+budgeted AS (SELECT * FROM (SELECT *, {N_WORDS.format("text")} AS words, CAST(coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM positive) WHERE words_before < 200)"""
+)
+
+
+@query(f"WITH {BUDGETED} SELECT doc_id, para_idx, rank, words, words_before FROM budgeted")
+def excerpt_word_budget(spark, sf):
+    return R.within_budget(R.positive_or_all(_ranked(spark, sf)), 200, "doc_id", "rank").select("doc_id", "para_idx", "rank", "words", "words_before")
+
+
+@query(f"WITH {BUDGETED} SELECT doc_id, string_agg(text, ' ' ORDER BY para_idx) AS excerpt FROM budgeted GROUP BY doc_id")
+def excerpt_text(spark, sf):
+    return R.excerpts(R.within_budget(R.positive_or_all(_ranked(spark, sf)), 200, "doc_id", "rank"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, sent_idx, sentence, sid FROM sids")
+def sentence_ids(spark, sf):
+    return E.sentence_rows(docs(spark, sf))
+
+
+@query(f"WITH {CITED} SELECT doc_id, sid, judge_pos, words, words_before FROM kept")
+def evidence_budget(spark, sf):
+    return _kept(spark, sf).select("doc_id", "sid", "judge_pos", "words", "words_before")
+
+
+@query(f"WITH {CITED} SELECT doc_id, span, text FROM span_texts")
+def contiguous_spans(spark, sf):
+    return E.spans(E.span_ids(_kept(spark, sf)))
+
+
+@query(
+    f"""WITH {CITED}, s AS (SELECT *, {N_WORDS.format("text")} AS words FROM span_texts),
+l AS (SELECT *, CAST(60 - coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_over FROM s)
+SELECT doc_id, list(CASE WHEN words <= left_over THEN text ELSE array_to_string({WORDS.format("text")}[1:left_over], ' ') END ORDER BY span) AS spans FROM l WHERE left_over > 0 GROUP BY doc_id"""
+)
+def span_truncate(spark, sf):
+    return E.span_lists(E.truncated(E.spans(E.span_ids(_kept(spark, sf))), 60))
+
+
+@query(f"WITH {CITED} SELECT doc_id, max(hits) AS best, count(*) AS n_cited, min(sid) FILTER (judge_pos = 1) AS first_sid FROM cited GROUP BY doc_id")
+def paper_relevance(spark, sf):
+    """How the judge places papers: by the best of their cited sentences."""
+    return _cited(spark, sf).groupBy("doc_id").agg(F.max("hits").cast("long").alias("best"), F.count("*").alias("n_cited"), F.min_by("sid", "judge_pos").alias("first_sid"))
+
+
+@query(f"WITH {PAPERS} SELECT paper_id, min(doc_id) AS doc_id, count(*) AS copies FROM papers WHERE paper_id <> '' GROUP BY paper_id")
+def dedup_coalesced_key(spark, sf):
+    p = C.papers(docs(spark, sf)).where("paper_id <> ''")
+    copies = p.groupBy("paper_id").agg(F.count("*").alias("copies"))
+    return E.first_wins(p.select("paper_id", "doc_id"), ["paper_id"], "doc_id").join(copies, "paper_id")
+
+
+@query(
+    "WITH t AS (SELECT md5(coalesce(text, '')) AS digest, source AS query_idx, doc_id AS rank FROM documents) "
+    "SELECT digest, query_idx, rank FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY query_idx, rank) AS n FROM t) WHERE n = 1"
+)
+def dedup_first_wins(spark, sf):
+    hits = docs(spark, sf).select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.col("source").alias("query_idx"), F.col("doc_id").alias("rank"))
+    return E.first_wins(hits, ["digest"], "query_idx", "rank")
+
+
+PLANNED = f"""terms AS (SELECT item_id AS question_id, text, {TOKENS.format("text")} AS t FROM benchmark),
+firsts AS (SELECT question_id, text, list_filter(t, lambda x, i: list_position(t, x) = i) AS u FROM terms),
+halves AS (SELECT question_id, text, u, CAST(greatest(1, ceil(len(u) / 2)) AS INTEGER) AS h FROM firsts),
+bare AS (SELECT *, array_to_string(list_filter({WORDS.format("translate(regexp_replace(text, '\\b[A-Z_]+:', '', 'g'), '\"()', '   ')")}, lambda w: w NOT IN ('AND', 'OR', 'NOT')), ' ') AS b FROM halves),
+made AS (SELECT question_id, unnest([CASE WHEN b = '' THEN text ELSE b END, array_to_string(u[1:h], ' '), array_to_string(u[h + 1:], ' ')]) AS text, unnest([0, 1, 2]) AS query_idx FROM bare),
+planned AS (SELECT question_id, text, min(query_idx) AS query_idx FROM made WHERE trim(text) <> '' GROUP BY question_id, text),
+{BM25}, sub AS (SELECT question_id, query_idx, unnest(list_distinct({TOKENS.format("text")})) AS term FROM planned),
+scored AS (SELECT question_id, query_idx, doc_id, sum(weight) AS score FROM weighed JOIN sub USING (term) GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, query_idx ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 50)"""
+
+
+@query(f"WITH {PLANNED} SELECT question_id, query_idx, text FROM planned")
+def planned_queries(spark, sf):
+    return plan_queries(questions(spark, sf), 7)
+
+
+@query(f"WITH {PLANNED} SELECT question_id, query_idx, rank, doc_id FROM hits")
+def per_subquery_cap(spark, sf):
+    """The union of all sub-queries' hits, at most 50 of each."""
+    return search(docs(spark, sf), plan_queries(questions(spark, sf), 7), 50).drop("score")
+
+
+CANDIDATES = (
+    PLANNED
+    + f""", {PAPERS},
+keyed AS (SELECT question_id, query_idx, rank, doc_id, paper_id FROM hits JOIN papers USING (doc_id) WHERE paper_id <> ''),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY query_idx, rank, doc_id) AS n FROM keyed) WHERE n = 1),
+found AS (SELECT question_id, doc_id, paper_id, query_idx, row_number() OVER (PARTITION BY question_id ORDER BY query_idx, rank) AS cand_pos FROM once)"""
+)
+
+
+def _candidates(spark, sf):
+    papers = C.papers(docs(spark, sf))
+    hits = search(papers, plan_queries(questions(spark, sf), 7), 50)
+    keyed = hits.drop("score").join(papers.select("doc_id", "paper_id"), "doc_id").where("paper_id <> ''")
+    once = E.first_wins(keyed, ["question_id", "paper_id"], "query_idx", "rank")
+    return E.candidate_order(once, "question_id", "query_idx", "rank")
+
+
+@query(f"WITH {CANDIDATES} SELECT question_id, doc_id, paper_id, cand_pos FROM found")
+def candidate_order(spark, sf):
+    return _candidates(spark, sf).select("question_id", "doc_id", "paper_id", "cand_pos")
+
+
+@query(f"WITH {CANDIDATES} SELECT question_id, doc_id, cand_pos, CAST((cand_pos - 1) // 10 AS BIGINT) AS batch FROM found")
+def judge_batches(spark, sf):
+    return E.batches(_candidates(spark, sf), 10).select("question_id", "doc_id", "cand_pos", "batch")
+
+
+def _weighed(spark, sf):
+    """Candidates with a stand-in for both judges: by ids and places."""
+    c = _candidates(spark, sf).join(C.papers(docs(spark, sf)).select("doc_id", "in_store"), "doc_id")
+    yes = F.col("question_id") % 5 != 0
+    return c.select(
+        "question_id", "doc_id", "cand_pos", F.col("in_store").alias("has_excerpt"),
+        F.when(yes & F.col("in_store") & (F.col("doc_id") % 3 == 0), F.col("cand_pos").cast("long")).alias("full_order"),
+        F.when(yes & (F.col("doc_id") % 4 == 0), 1000 - F.col("cand_pos").cast("long")).alias("abstract_order"),
+    )
+
+
+POOLS = (
+    CANDIDATES
+    + """,
+weighed2 AS (SELECT question_id, doc_id, cand_pos, in_store AS has_excerpt,
+  CASE WHEN question_id % 5 <> 0 AND in_store AND doc_id % 3 = 0 THEN cand_pos END AS full_order, CASE WHEN question_id % 5 <> 0 AND doc_id % 4 = 0 THEN 1000 - cand_pos END AS abstract_order FROM found JOIN papers USING (doc_id)),
+pools AS (SELECT *, 0 AS pool, full_order AS pool_order FROM weighed2 WHERE full_order IS NOT NULL
+  UNION ALL SELECT *, 1, abstract_order FROM weighed2 WHERE NOT has_excerpt AND full_order IS NULL AND abstract_order IS NOT NULL),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pool ORDER BY pool_order, cand_pos) AS pool_rank FROM pools) WHERE pool_rank <= 20),
+filled AS (SELECT question_id, doc_id, pool, pool_rank FROM merged UNION ALL SELECT question_id, doc_id, 2, cand_pos FROM weighed2 WHERE question_id NOT IN (SELECT question_id FROM merged)),
+final AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pool, pool_rank) AS final_pos FROM filled)"""
+)
+
+
+@query(f"WITH {POOLS} SELECT question_id, doc_id, pool, pool_rank FROM merged")
+def two_pool_merge(spark, sf):
+    return E.two_pools(_weighed(spark, sf), "question_id", 20, 20).select("question_id", "doc_id", "pool", "pool_rank")
+
+
+@query(f"WITH {POOLS} SELECT question_id, doc_id, pool, pool_rank FROM filled")
+def fallback_all_candidates(spark, sf):
+    w = _weighed(spark, sf)
+    return E.or_all_candidates(E.two_pools(w, "question_id", 20, 20), w, "question_id").select("question_id", "doc_id", "pool", "pool_rank")
+
+
+@query(f"WITH {POOLS} SELECT question_id, doc_id, final_pos FROM final WHERE final_pos <= 30")
+def final_topk(spark, sf):
+    w = _weighed(spark, sf)
+    merged = E.or_all_candidates(E.two_pools(w, "question_id", 20, 20), w, "question_id")
+    return E.final_order(merged, "question_id", 30).select("question_id", "doc_id", "final_pos")
+
+
+@query(f"WITH {POOLS} SELECT question_id, (SELECT count(*) FROM found f WHERE f.question_id = g.question_id) AS candidate_count, count(*) FILTER (pool = 0) AS full_text_count, count(*) FILTER (pool = 1) AS abstract_count, count(*) AS final_count FROM (SELECT * FROM final WHERE final_pos <= 30) g GROUP BY question_id")
+def pipeline_counters(spark, sf):
+    w = _weighed(spark, sf)
+    final = E.final_order(E.or_all_candidates(E.two_pools(w, "question_id", 20, 20), w, "question_id"), "question_id", 30)
+    found = w.groupBy("question_id").agg(F.count("*").alias("candidate_count"))
+    return final.groupBy("question_id").agg(F.count_if(F.col("pool") == 0).alias("full_text_count"), F.count_if(F.col("pool") == 1).alias("abstract_count"), F.count("*").alias("final_count")).join(found, "question_id")
+
+
+W = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_contains({W}, 'the') AND (list_contains({W}, 'license') OR list_contains({W}, 'thon')) AND NOT list_contains({W}, 'with')")
+def boolean_search(spark, sf):
+    return docs(spark, sf).where(S.term("the") & (S.term("license") | S.term("thon")) & ~S.term("with")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({W}, ' ') || ' ', ' licensed under the ')")
+def phrase_search(spark, sf):
+    return docs(spark, sf).where(S.phrase("Licensed under the")).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE len(list_filter({W}, lambda w: regexp_full_match(w, 'lic.*ed') OR regexp_full_match(w, '.éa'))) > 0")
+def wildcard_search(spark, sf):
+    return docs(spark, sf).where(S.wildcard("lic*ed") | S.wildcard("?éa")).select("doc_id")
+
+
+@query(f"WITH {PAPERS} SELECT doc_id, year FROM papers WHERE lang IN ('de', 'fr') AND CAST(year AS INTEGER) BETWEEN 2010 AND 2015 AND in_store AND list_contains(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), 'en')")
+def field_search(spark, sf):
+    return C.papers(docs(spark, sf)).where(S.one_of("lang", "DE", "FR") & S.years(2010, 2015) & S.flag("in_store", "Y") & S.term("en", "title")).select("doc_id", "year")
+
+
+@query(f"WITH {PAPERS} SELECT year, count(*) AS n FROM papers WHERE CAST(year AS INTEGER) >= 2020 GROUP BY year")
+def year_range_search(spark, sf):
+    return C.papers(docs(spark, sf)).where(S.years(first=2020)).groupBy("year").agg(F.count("*").alias("n"))
+
+
+def _fielded(spark, sf):
+    """Queries of documents: a language, a range of years, a flag and a license, some of them wrong."""
+    d = F.col("doc_id")
+    year = lambda k: (1990 + d * k % 40).cast("string")
+    flag = F.element_at(F.array(*map(F.lit, ["Y", "n", "maybe", "?"])), (d % 4 + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, ["cc by", "CC_BY-NC", "by-nc-sa", "gpl", "cc0"])), (d % 5 + 1).cast("int"))
+    made = F.concat(F.lit("LANG:"), F.when(d % 3 == 0, "eng").otherwise(F.col("lang")), F.lit(" AND PUB_YEAR:["), year(1), F.lit(" TO "), F.when(d % 7 == 0, "*").otherwise(year(3)), F.lit("] AND HAS_PDF:"), flag, F.lit(' AND LICENSE:"'), code, F.lit('" AND WORDS:x'), F.when(d % 11 == 0, " AND EXT_ID:7").otherwise(""))
+    return docs(spark, sf).select(F.col("doc_id").alias("query_id"), made.alias("query"))
+
+
+FIELDED_CHECKS = """q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'eng' ELSE lang END AS l, CAST(1990 + doc_id % 40 AS VARCHAR) AS y1,
+  CASE WHEN doc_id % 7 = 0 THEN '*' ELSE CAST(1990 + doc_id * 3 % 40 AS VARCHAR) END AS y2, ['Y', 'n', 'maybe', '?'][doc_id % 4 + 1] AS f, ['cc by', 'CC_BY-NC', 'by-nc-sa', 'gpl', 'cc0'][doc_id % 5 + 1] AS c FROM documents),
+v AS (SELECT query_id, list_filter([
+  CASE WHEN l <> 'eng' THEN 'Invalid value for LANG: ''' || l || '''' END,
+  CASE WHEN y2 <> '*' AND y1 > y2 THEN 'Invalid range for PUB_YEAR: start ''' || y1 || ''' is after end ''' || y2 || '''' END,
+  CASE WHEN f NOT IN ('Y', 'n') THEN 'Invalid value for HAS_PDF: ''' || f || ''' - must use Y or N' END,
+  CASE WHEN c = 'gpl' THEN 'Invalid value for LICENSE: ''gpl''' END, 'Invalid field tag ''WORDS'''], lambda m: m IS NOT NULL) AS reasons,
+  CASE WHEN query_id % 11 = 0 THEN ['EXT_ID is usually used together with SRC'] ELSE [] END AS warnings FROM q)"""
+
+
+@query(f"WITH {FIELDED_CHECKS} SELECT query_id, array_to_string(reasons, '; ') AS reasons, array_to_string(warnings, '; ') AS warnings, len(reasons) = 0 AS valid FROM v")
+def validate_queries(spark, sf):
+    return V.validate(_fielded(spark, sf)).select("query_id", F.array_join("reasons", "; ").alias("reasons"), F.array_join("warnings", "; ").alias("warnings"), "valid")
+
+
+@query("SELECT 'fail' AS overall_status, count(*) AS total, CAST(0 AS BIGINT) AS passed, count(*) AS failed FROM documents")
+def validate_batch_summary(spark, sf):
+    return V.summary(V.validate(_fielded(spark, sf)))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 6 = 0 THEN CAST(1900 + doc_id % 150 AS VARCHAR) ELSE (1980 + doc_id % 50) || '-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') END) AS value FROM documents)
+SELECT doc_id, value, CASE WHEN length(value) = 4 OR try_cast(value AS DATE) IS NOT NULL THEN '' ELSE 'Invalid value for FIRST_PDATE: ''' || value || ''' - expected YYYY or YYYY-MM-DD' END AS message FROM d"""
+)
+def validate_dates(spark, sf):
+    d = F.col("doc_id")
+    value = F.when(d % 6 == 0, (1900 + d % 150).cast("string")).otherwise(F.concat_ws("-", (1980 + d % 50).cast("string"), F.lpad((d % 14).cast("string"), 2, "0"), F.lpad((d % 33).cast("string"), 2, "0")))
+    rows = docs(spark, sf).select("doc_id", F.concat(F.lit("FIRST_PDATE:"), value).alias("query"))
+    checked = V.clause_messages(V.clauses(rows))
+    return checked.select("doc_id", F.col("bare").alias("value"), F.array_join("messages", "; ").alias("message"))
+
+
+@query("SELECT doc_id, CASE upper(source) WHEN 'SRC0' THEN 'CC-BY-NC-SA' ELSE 'CC-' || upper(source) || '-X' END AS code FROM documents")
+def license_canonical(spark, sf):
+    raw = F.when(F.col("source") == "src0", " by_nc sa").otherwise(F.concat(F.lit("cc__"), F.col("source"), F.lit(" - x ")))
+    return docs(spark, sf).select("doc_id", X.license_code(raw).alias("code"))
+
+
+@query(
+    """SELECT doc_id, doc_id % 4 < 2 AS valid FROM documents"""
+)
+def isbn_check(spark, sf):
+    d = F.col("doc_id")
+    ten, thirteen = F.concat(F.lpad((d % 100000000).cast("string"), 9, "0"), F.lit("-X")), F.concat(F.lit("978 "), F.lpad((d % 100000000).cast("string"), 10, "0"))
+    value = F.when(d % 4 == 0, ten).when(d % 4 == 1, thirteen).when(d % 4 == 2, F.concat(F.lit("9"), thirteen)).otherwise(F.concat(F.lit("Z"), ten))
+    return docs(spark, sf).select("doc_id", X.is_isbn(value).alias("valid"))
+
+
+@query("SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def id_semi_join(spark, sf):
+    ids = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    return C.with_ids(docs(spark, sf).select(F.col("doc_id").alias("id"), "text"), ids)
+
+
+@query("SELECT doc_id * 2 AS id FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents) GROUP BY 1")
+def id_anti_join(spark, sf):
+    ids = spark.read.parquet(f"{sf}/labels.parquet").select((F.col("doc_id") * 2).alias("id")).distinct()
+    return C.missing_ids(ids, docs(spark, sf).select(F.col("doc_id").alias("id")))
+
+
+def _articles(spark, sf):
+    """Documents as article XML: a section of their lines, a skipped section and a table."""
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    id_ = F.col("doc_id").cast("string")
+    table = F.concat(F.lit("<table-wrap><label>T</label><table><tr><td>a</td><td/><td>"), id_, F.lit("</td></tr><tr><th>b</th></tr></table></table-wrap>"))
+    xml = F.concat(F.lit('<article xmlns="urn:a"><front><p>front</p></front><body><sec sec-type="Intro"><title>Lines</title>'), body, table, F.lit('</sec><sec sec-type="Funding"><p>paid by x</p></sec></body></article>'))
+    return docs(spark, sf).select("doc_id", xml.alias("xml"))
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '\s+', ' ', 'g')) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+every AS (SELECT * FROM lines UNION ALL SELECT doc_id, 'T. a | ' || doc_id || ' ; b', 1000000 FROM documents),
+firsts AS (SELECT doc_id, text, min(pos) AS pos FROM every WHERE text <> '' GROUP BY doc_id, text)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS para_idx, text, 'Lines' AS section_title, 'Intro' AS section_type FROM firsts"""
+)
+def article_xml_paragraphs(spark, sf):
+    return article_paragraphs(_articles(spark, sf))
+
+
+@query("SELECT page_id AS doc_id, 0 AS n FROM pages WHERE false")
+def malformed_xml_empty(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    return article_paragraphs(pages, "page_id", "html").groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+
+
+def _raw_records(spark, sf):
+    """Documents as raw search records, with what is missing or wrong in real ones."""
+    d, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    author = F.struct(F.when(d % 3 == 0, " Ann ").alias("firstName"), F.when(d % 3 < 2, F.concat(F.lit("L"), s)).alias("lastName"), F.concat(F.lit("Full "), s).alias("fullName"), F.struct(F.when(d % 2 == 0, F.array(F.struct(F.col("source").alias("affiliation")))).alias("authorAffiliationDetailsList0")).alias("x"))
+    made = F.array(F.struct(author["firstName"].alias("firstName"), author["lastName"].alias("lastName"), author["fullName"].alias("fullName"), F.struct(author["x"]["authorAffiliationDetailsList0"].alias("authorAffiliation")).alias("authorAffiliationDetailsList")))
+    null = F.lit(None).cast("string")
+    return docs(spark, sf).select(
+        F.concat(F.lit("A/"), s, F.lit(" *~")).alias("id"), F.when(d % 9 != 0, F.col("source")).alias("source"), F.when(d % 5 != 0, F.col("lang")).alias("title"), null.alias("authorString"), s.alias("pmid"), F.concat(F.lit("PMC"), s).alias("pmcid"), null.alias("doi"), null.alias("abstractText"), null.alias("pubYear"),
+        F.when(d % 2 == 0, "Y").otherwise("y").alias("isOpenAccess"), F.when(d % 3 == 0, "Y").alias("hasPDF"), F.lit("N").alias("inEPMC"), F.struct(made.alias("author")).alias("authorList"),
+        F.struct(F.when(d % 4 == 0, F.concat(F.lit('["P'), s, F.lit('"]'))).when(d % 4 == 1, F.concat(F.lit("P"), s)).alias("fullTextId")).alias("fullTextIdList"),
+        F.struct(F.when(d % 4 == 2, '{"availabilityCode": "oa"}').when(d % 8 == 3, '[{"availabilityCode": "S"}]').alias("fullTextUrl")).alias("fullTextUrlList"), F.struct(F.struct(null.alias("title")).alias("journal")).alias("journalInfo"),
+    )
+
+
+@query(
+    """WITH d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)
+SELECT s AS pmid, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE 'No title' END AS title, 'Unknown authors' AS authors, doc_id % 2 = 0 AS is_open_access, doc_id % 3 = 0 AS has_pdf, false AS in_store,
+  CASE doc_id % 3 WHEN 0 THEN 'Ann L' || s WHEN 1 THEN 'L' || s ELSE 'Full ' || s END AS author,
+  CASE WHEN doc_id % 2 = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'Ann L' || s WHEN 1 THEN 'L' || s ELSE 'Full ' || s END || ': ' || source ELSE '' END AS affiliations,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'https://example.org/article/' || source || '/A%2F' || s || '%20%2A~' END AS url,
+  doc_id % 4 < 3 AS has_free_full_text, CASE WHEN doc_id % 4 < 2 THEN 'P' || s WHEN doc_id % 4 = 2 THEN 'PMC' || s ELSE '' END AS full_text_id FROM d"""
+)
+def record_projection(spark, sf):
+    p = C.records_to_papers(_raw_records(spark, sf))
+    wanted = X.full_text_id(F.col("in_store") | F.col("has_free_full_text"), F.col("full_text_ids"), F.col("pmcid"))
+    return p.select("pmid", "title", "authors", "is_open_access", "has_pdf", "in_store", F.get("author_names", F.lit(0)).alias("author"), "affiliations", "url", "has_free_full_text", wanted.alias("full_text_id"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN NULL WHEN 4 THEN '' ELSE doc_id || ',' || (doc_id + 1) END AS ids FROM documents"""
+)
+def lenient_replies(spark, sf):
+    d, s = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    plain = F.concat(F.lit('{"relevant_ids": ["'), s, F.lit('", '), (F.col("doc_id") + 1).cast("string"), F.lit("]}"))
+    reply = F.when(d == 0, plain).when(d == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(d == 2, F.concat(F.lit("Here you are: "), plain, F.lit(" Done."))).when(d == 3, F.concat(F.lit("```\n"), plain, F.lit("```"))).when(d == 4, '{"relevant_ids": []}').otherwise("none of them")
+    return docs(spark, sf).select("doc_id", F.array_join(X.reply_ids(reply), ",").alias("ids"))
+
+
+@query()
+def evidence_pipeline(spark, sf):
+    """Ranked evidence passages for every question of the benchmark."""
+    d = docs(spark, sf)
+    return passages(C.papers(d), C.paragraphs(d), questions(spark, sf))
