@@ -43,10 +43,11 @@ def bm25_within(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
     """paragraphs (doc_id, para_idx, text) with score and rank: each document is a corpus of its own paragraphs.
 
     queries (doc_id, terms) gives each document's query terms. All is grouped by document, so one shuffle
-    serves counts, scores and ranks. Ties go to the earlier paragraph; without a shared term the score is 0.
+    serves counts, scores and ranks. Ties, to nine
+    digits, go to the earlier paragraph; without a shared term the score is 0.
     """
     rows = paragraphs.join(queries, "doc_id").withColumn("all", tokens(F.col("text"))).withColumn("length", F.size("all"))
-    doc, ranked = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy(F.desc("score"), "para_idx")
+    doc, ranked = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "para_idx")
     rows = rows.withColumn("n", F.count("*").over(doc)).withColumn("mean", F.avg(F.col("length").cast("double")).over(doc))
     hits = rows.select("doc_id", "para_idx", "n", "mean", "length", F.explode(F.filter("all", lambda t: F.array_contains("terms", t))).alias("term"))
     tf = hits.groupBy("doc_id", "para_idx", "n", "mean", "length", "term").agg(F.count("*").alias("tf"))

@@ -100,9 +100,7 @@ span_texts AS (SELECT doc_id, CAST(span AS BIGINT) AS span, string_agg(sentence,
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's paragraphs, ranked for its first line."""
     asked = docs(spark, sf).select("doc_id", F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)))).alias("terms"))
-    scored = R.bm25_within(C.paragraphs(docs(spark, sf)), asked)
-    order = R.Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "para_idx")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return R.bm25_within(C.paragraphs(docs(spark, sf)), asked)
 
 
 def _cited(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,10 +204,10 @@ def contiguous_spans(spark, sf):
 @query(
     f"""WITH {CITED}, s AS (SELECT *, {N_WORDS.format("text")} AS words FROM span_texts),
 l AS (SELECT *, CAST(60 - coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_over FROM s)
-SELECT doc_id, list(CASE WHEN words <= left_over THEN text ELSE array_to_string({WORDS.format("text")}[1:left_over], ' ') END ORDER BY span) AS spans FROM l WHERE left_over > 0 GROUP BY doc_id"""
+SELECT doc_id, string_agg(CASE WHEN words <= left_over THEN text ELSE array_to_string({WORDS.format("text")}[1:left_over], ' ') END, chr(10) ORDER BY span) AS spans FROM l WHERE left_over > 0 GROUP BY doc_id"""
 )
 def span_truncate(spark, sf):
-    return E.span_lists(E.truncated(E.spans(E.span_ids(_kept(spark, sf))), 60))
+    return E.span_lists(E.truncated(E.spans(E.span_ids(_kept(spark, sf))), 60)).select("doc_id", F.array_join("spans", "\n").alias("spans"))
 
 
 @query(f"WITH {CITED} SELECT doc_id, max(hits) AS best, count(*) AS n_cited, min(sid) FILTER (judge_pos = 1) AS first_sid FROM cited GROUP BY doc_id")
@@ -495,8 +493,54 @@ def lenient_replies(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(X.reply_ids(reply), ",").alias("ids"))
 
 
-@query()
+PASSAGES = (
+    CANDIDATES
+    + f""", {PARAGRAPHS},
+qterms AS (SELECT question_id, list_distinct({TOKENS.format("CASE WHEN b = '' THEN text ELSE b END")}) AS terms FROM bare),
+pairs AS (SELECT question_id || ':' || doc_id AS pair, question_id, doc_id, paper_id, cand_pos, terms FROM found JOIN qterms USING (question_id)),
+p_counted AS (SELECT pair, para_idx, p.text, terms, {TOKENS.format("p.text")} AS t FROM pairs JOIN papers USING (doc_id) JOIN paragraphs p USING (doc_id) WHERE in_store),
+p_meaned AS (SELECT *, len(t) AS dl, count(*) OVER (PARTITION BY pair) AS n, avg(CAST(len(t) AS DOUBLE)) OVER (PARTITION BY pair) AS mean FROM p_counted),
+p_tf AS (SELECT pair, para_idx, n, dl, mean, term, count(*) AS tf FROM (SELECT pair, para_idx, n, dl, mean, unnest(list_filter(t, lambda x: list_contains(terms, x))) AS term FROM p_meaned) GROUP BY ALL),
+p_dfs AS (SELECT *, count(*) OVER (PARTITION BY pair, term) AS df FROM p_tf),
+p_scored AS (SELECT pair, para_idx, sum(ln(CAST(1 AS DOUBLE) + (CAST(n AS DOUBLE) - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / mean))) AS score FROM p_dfs GROUP BY ALL),
+p_ranked AS (SELECT pair, para_idx, text, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY pair ORDER BY round(coalesce(score, 0), 9) DESC, para_idx) AS rank FROM p_counted LEFT JOIN p_scored USING (pair, para_idx)),
+p_positive AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY CASE WHEN best > 0 THEN rank ELSE para_idx END) AS place FROM (SELECT *, max(score) OVER (PARTITION BY pair) AS best FROM p_ranked) WHERE score > 0 OR best <= 0),
+p_kept AS (SELECT * FROM (SELECT *, coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p_positive) WHERE before < 2304),
+excerpts AS (SELECT pair, string_agg(text, ' ' ORDER BY para_idx) AS excerpt FROM p_kept GROUP BY pair),
+cands AS (SELECT pairs.*, title, abstract, year, excerpt FROM pairs JOIN papers USING (doc_id) LEFT JOIN excerpts USING (pair)),
+full_lists AS (SELECT pair, list_filter(list_transform(regexp_extract_all(excerpt, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g'))), lambda s: s <> '') AS found, excerpt AS whole FROM cands WHERE excerpt <> ''),
+full_rows AS (SELECT pair, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT pair, CASE WHEN len(found) = 0 AND trim(whole) <> '' THEN [trim(whole)] ELSE found END AS s FROM full_lists)),
+full_hits AS (SELECT r.*, question_id, cand_pos, len(list_intersect(list_distinct({TOKENS.format("sentence")}), terms)) AS hits FROM full_rows r JOIN pairs USING (pair)),
+full_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY hits DESC, sent_idx) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM full_hits WHERE hits >= 1),
+full_kept AS (SELECT * FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY pair ORDER BY judge_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM full_cited) WHERE before < 250),
+full_numbered AS (SELECT *, sum(opens) OVER (PARTITION BY pair ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM (SELECT *, CASE WHEN sent_idx = lag(sent_idx) OVER (PARTITION BY pair ORDER BY sent_idx) + 1 THEN 0 ELSE 1 END AS opens FROM full_kept)),
+full_texts AS (SELECT pair, span, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM full_numbered GROUP BY pair, span),
+full_left AS (SELECT *, {N_WORDS.format("text")} AS words, CAST(250 - coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM full_texts),
+full_spans AS (SELECT pair, list(CASE WHEN words <= rest THEN text ELSE array_to_string({WORDS.format("text")}[1:rest], ' ') END ORDER BY span) AS spans FROM full_left WHERE rest > 0 GROUP BY pair),
+full_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, cand_pos) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM full_cited GROUP BY ALL)),
+brief_lists AS (SELECT pair, list_filter(list_transform(regexp_extract_all(abstract, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g'))), lambda s: s <> '') AS found, abstract AS whole FROM cands WHERE abstract <> ''),
+brief_rows AS (SELECT pair, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT pair, CASE WHEN len(found) = 0 AND trim(whole) <> '' THEN [trim(whole)] ELSE found END AS s FROM brief_lists)),
+brief_hits AS (SELECT r.*, question_id, cand_pos, len(list_intersect(list_distinct({TOKENS.format("sentence")}), terms)) AS hits FROM brief_rows r JOIN pairs USING (pair)),
+brief_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY hits DESC, sent_idx) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM brief_hits WHERE hits >= 1),
+brief_kept AS (SELECT * FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY pair ORDER BY judge_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM brief_cited) WHERE before < 250),
+brief_numbered AS (SELECT *, sum(opens) OVER (PARTITION BY pair ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM (SELECT *, CASE WHEN sent_idx = lag(sent_idx) OVER (PARTITION BY pair ORDER BY sent_idx) + 1 THEN 0 ELSE 1 END AS opens FROM brief_kept)),
+brief_texts AS (SELECT pair, span, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM brief_numbered GROUP BY pair, span),
+brief_left AS (SELECT *, {N_WORDS.format("text")} AS words, CAST(250 - coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM brief_texts),
+brief_spans AS (SELECT pair, list(CASE WHEN words <= rest THEN text ELSE array_to_string({WORDS.format("text")}[1:rest], ' ') END ORDER BY span) AS spans FROM brief_left WHERE rest > 0 GROUP BY pair),
+brief_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, cand_pos) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM brief_cited GROUP BY ALL)),
+w AS (SELECT cands.*, excerpt IS NOT NULL AS has_excerpt, f.place AS full_order, b.place AS abstract_order, fs.spans AS full_spans, bs.spans AS abstract_spans FROM cands
+  LEFT JOIN full_order f USING (pair) LEFT JOIN brief_order b USING (pair) LEFT JOIN full_spans fs USING (pair) LEFT JOIN brief_spans bs USING (pair)),
+two AS (SELECT *, 0 AS pool, full_order AS pool_order FROM w WHERE full_order IS NOT NULL UNION ALL SELECT *, 1, abstract_order FROM w WHERE NOT has_excerpt AND full_order IS NULL AND abstract_order IS NOT NULL),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, pool ORDER BY pool_order, cand_pos) AS pool_rank FROM two) WHERE pool_rank <= 30),
+every AS (SELECT * FROM capped UNION ALL SELECT *, 2, cand_pos, cand_pos FROM w WHERE question_id NOT IN (SELECT question_id FROM capped)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pool, pool_rank) AS final_pos FROM every),
+chosen AS (SELECT *, CASE WHEN len(full_spans) > 0 THEN full_spans WHEN len(abstract_spans) > 0 THEN abstract_spans ELSE [CASE WHEN coalesce(excerpt, '') <> '' THEN excerpt ELSE abstract END] END AS e FROM placed WHERE final_pos <= 60)
+SELECT question_id, final_pos, doc_id, paper_id, title, year, pool, has_excerpt, array_to_string(list_filter(list_transform(e, lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS evidence FROM chosen"""
+)
+
+
+@query("WITH " + PASSAGES)
 def evidence_pipeline(spark, sf):
     """Ranked evidence passages for every question of the benchmark."""
     d = docs(spark, sf)
-    return passages(C.papers(d), C.paragraphs(d), questions(spark, sf))
+    return passages(C.papers(d), C.paragraphs(d), questions(spark, sf)).withColumn("evidence", F.array_join("evidence", "\n"))
