@@ -36,7 +36,7 @@ def _role_name(role: Column) -> Column:
 def format_conversations(turns: DataFrame, trained_role: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_mask): one row per conversation.
 
-    Turns are sorted by turn, then role and text. Neighbouring turns of one role become one block:
+    Turns are sorted by turn, then role and escaped text. Neighbouring turns of one role become one block:
     `### role: text<part/>text</turn>` and a line end. Control strings in texts are escaped; read_back()
     undoes it. loss_mask is an array of (start, length) in characters of formatted, one for each text of
     the trained role, without marks between them.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize, release
+from lodestone.scratch import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.scratch import materialize, release
+from lodestone.scratch import materialize, release
 from lodestone.llm.words import shingle_sets
 
 #: Shingles that go to the end of the global order, at most. Any order gives the same links.

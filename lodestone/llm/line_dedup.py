@@ -10,20 +10,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize, release
+from lodestone.scratch import materialize, release
 
 MIN_WORDS = 50
-WINDOWS = "doc_id long, text_hash long, lo int, hi int, mark int, digest long, after binary, ends binary"
+WINDOWS = "doc_id long, text_hash long, lo int, hi int, mark long, digest long, after binary, ends binary"
 
 
 def _windows(min_words: int):
     """One row for the window that starts at each line: the fewest lines that hold min_words words.
 
-    mark is the window's minimum line (the last of equals), digest covers all its lines. after and ends
+    mark is the hash of the window's minimum line, its fingerprint; digest covers all its lines. after and ends
     hold the hashes and numbers of the lines behind the window that are too short together to have a
     window of their own.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("mark", pa.int32()), ("digest", pa.int64()), ("after", pa.binary()), ("ends", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("mark", pa.int64()), ("digest", pa.int64()), ("after", pa.binary()), ("ends", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,13 +40,13 @@ def _windows(min_words: int):
                 total = np.concatenate([[0], np.cumsum(count)])
                 stop = np.searchsorted(total, total[:-1] + min_words)  # words of lines i to stop - 1 reach min_words
                 value = np.frombuffer(b"".join(hashed), np.uint64)
+                signed = value.view(np.int64)
                 where = np.array(number, np.int32)
                 tail = np.searchsorted(total, total[np.minimum(stop, len(count))] + min_words - 1, "right") - 1
                 for i in np.flatnonzero(stop <= len(count)):
                     e = stop[i]
-                    mark = e - 1 - int(np.argmin(value[i:e][::-1])) if e - i > 1 else i
                     digest = xxhash.xxh3_64_intdigest(value[i:e].tobytes()) - (1 << 63)
-                    rows.append((doc_id, text_hash, number[i], number[e - 1], number[mark], digest, value[e : tail[i]].tobytes(), where[e : tail[i]].tobytes()))
+                    rows.append((doc_id, text_hash, number[i], number[e - 1], int(signed[i:e].min()), digest, value[e : tail[i]].tobytes(), where[e : tail[i]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, schema.types, strict=True)], schema=schema)
 
     return run
@@ -72,8 +72,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     A passage is a run of whole lines with min_words words or more. Lines are equal when their words are;
     lines without words are passed over. The window that starts at a line is the shortest such run, and
     its minimum line hash is its fingerprint; two equal runs of min_words words or more always share a
-    window, so none is missed. A window is compared with the earliest one of the same content, in order
-    of id and line; if it is a later one, its lines and the equal lines behind both go. Equal lines before
+    window and so a fingerprint, and none is missed. Fingerprints are joined with their window's digest, as a
+    line may be the minimum of many windows. A window is compared with the earliest one like it, in order of id and line; if it is a later one, its lines and the equal lines behind both go. Equal lines before
     both start a window that is repeated too, so that side needs no walk. A passage that repeats within
     one document leaves its first period.
 
@@ -87,9 +87,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     texts = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     windows = materialize(texts.select(known, F.xxhash64(f"`{text_col}`"), F.col(f"`{text_col}`")).mapInArrow(_windows(min_words), WINDOWS), "windows")
     at = F.struct("doc_id", "lo")
-    first = materialize(windows.groupBy("digest").agg(F.min(at).alias("first"), F.min_by("after", at).alias("first_after"), F.count("*").alias("times")).where("times > 1").drop("times"), "first")
+    first = materialize(windows.groupBy("mark", "digest").agg(F.min(at).alias("first"), F.min_by("after", at).alias("first_after"), F.count("*").alias("times")).where("times > 1").drop("times"), "first")
     # merge joins at any size: neither side is one to broadcast, as both grow with the input
-    later = windows.join(first.hint("merge"), "digest").where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after")
+    later = windows.join(first.hint("merge"), ["mark", "digest"]).where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after")
     runs = later.mapInArrow(_extend, "doc_id long, text_hash long, lo int, hi int")
     order = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
     opens = F.when(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, 1).otherwise(0)

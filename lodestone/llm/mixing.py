@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize
+from lodestone.scratch import materialize
 
 #: Words are runs of anything but blanks and the controls 9 to 13.
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -33,7 +33,8 @@ def _fill(children: DataFrame, parents: DataFrame, above: list[str], level: str)
     full ones before it leave. The rest is shared by weight, whole tokens that are left over go one each to
     the first. All in integers, so that nothing is lost or rounded twice.
     """
-    rows = children.where("w > 0 and cap > 0").join(parents, above) if above else children.where("w > 0 and cap > 0").crossJoin(parents)  # parents is one row
+    rows = children.where("w > 0 and cap > 0")
+    rows = rows.join(parents, above) if above else rows.withColumn("budget", parents.scalar())
     order = Window.partitionBy(*above).orderBy(F.col("cap").cast("double") / F.col("w"), level)
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*above)
     rows = rows.withColumn("w_left", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))).withColumn("b_left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize, release
+from lodestone.scratch import materialize, release
 
 #: Hash tables, buckets of each that a query looks into, and sign flips with Hadamard steps of a rotation.
 TABLES, PROBES, ROUNDS = 8, 12, 3

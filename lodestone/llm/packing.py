@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize, release
+from lodestone.scratch import materialize, release
 from lodestone.llm.tokens import WordEncoder
 
 END_ID = 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import materialize
+from lodestone.scratch import materialize
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 SEGMENT = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -55,8 +55,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     in order, but for those of the four added names. Empty tables are fine.
     """
     month = lambda day: F.trunc(day, "month")
-    last = captures.agg(F.max(F.col(f"`{day_col}`")).alias("last"))  # one row
-    spans = validity(entries).crossJoin(F.broadcast(last)).where("since <= last")
+    last = captures.agg(F.max(F.col(f"`{day_col}`"))).scalar()
+    spans = validity(entries).withColumn("last", last).where("since <= last")
     spans = spans.withColumn("month", F.explode(F.sequence(month("since"), month(F.least(F.coalesce(F.date_sub("until", 1), "last"), "last")), F.expr("interval 1 month"))))
     spans = materialize(spans.select("key", "month", "list", "since", "until"), "spans")
     names = [c for c in captures.columns if c not in ("n_active", "lists", "winner", "blocked")]
