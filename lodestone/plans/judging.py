@@ -7,7 +7,10 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.records import or_else
 
 #: Takes the JSON of a batch of papers and returns the reply text.
 Judge = Callable[[str], str]
@@ -47,3 +50,20 @@ def judge_batches(items: DataFrame, judge: Judge) -> DataFrame:
         return pd.DataFrame({"question_id": int(group.question_id.iloc[0]), "batch": int(group.batch.iloc[0]), "pos": range(len(ids)), "sid": ids}).astype({"pos": "int64", "sid": "object"})
 
     return items.groupBy("question_id", "batch").applyInPandas(run, "question_id long, batch long, pos long, sid string")
+
+
+def payloads(papers: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, paper): a paper as JSON for a judge, with its sentences (key, sent_idx, sid, sentence) in order; what is missing reads N/A."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sid", "sentence"))), lambda s: F.struct(s["sid"].alias("id"), s["sentence"].alias("text")))
+    listed = sentences.groupBy(key).agg(items.alias("items"))
+    given = lambda c: (or_else(F.col(c), F.lit("N/A")) if c in papers.columns else F.lit("N/A")).alias(c)
+    none = F.array().cast("array<struct<id:string,text:string>>")
+    body = F.struct(F.col("paper_id").alias("id"), *map(given, ["title", "authors", "affiliations", "journal", "year"]), F.coalesce("items", none).alias("abstract"))
+    return papers.join(listed, key, "left").select(key, F.to_json(body).alias("paper"))
+
+
+def rendered(template: Column, values: dict[str, Column]) -> Column:
+    """The template with each {name} replaced by its value."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit("{" + name + "}"), value)
+    return template

@@ -17,6 +17,8 @@ from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
 from lodestone.operators import search as S
 from lodestone.operators import validation as V
+from lodestone.plans import report
+from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs
@@ -493,6 +495,15 @@ def lenient_replies(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(X.reply_ids(reply), ",").alias("ids"))
 
 
+@query(
+    f"""WITH {PAPERS}, {SENTENCES}, items AS (SELECT doc_id, string_agg('{{"id":' || to_json(sid) || ',"text":' || to_json(sentence) || '}}', ',' ORDER BY sent_idx) AS items FROM sids GROUP BY doc_id)
+SELECT doc_id, '{{"id":' || to_json(paper_id) || ',"title":' || to_json(CASE WHEN title = '' THEN 'N/A' ELSE title END) || ',"authors":"N/A","affiliations":"N/A","journal":"N/A","year":"' || year || '","abstract":[' || coalesce(items, '') || ']}}' AS paper FROM papers LEFT JOIN items USING (doc_id)"""
+)
+def judge_payloads(spark, sf):
+    d = docs(spark, sf)
+    return payloads(C.papers(d), E.sentence_rows(d))
+
+
 PASSAGES = (
     CANDIDATES
     + f""", {PARAGRAPHS},
@@ -544,3 +555,10 @@ def evidence_pipeline(spark, sf):
     """Ranked evidence passages for every question of the benchmark."""
     d = docs(spark, sf)
     return passages(C.papers(d), C.paragraphs(d), questions(spark, sf)).withColumn("evidence", F.array_join("evidence", "\n"))
+
+
+@query()
+def evidence_report(spark, sf):
+    """The same as text for people."""
+    d = docs(spark, sf)
+    return report.lines(passages(C.papers(d), C.paragraphs(d), questions(spark, sf)))

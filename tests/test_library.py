@@ -9,7 +9,8 @@ from lodestone.functions import text as T
 from lodestone.operators import evidence as E
 from lodestone.operators import validation as V
 from lodestone.plans.evidence import passages
-from lodestone.plans.judging import ask, cited_ids, judge_batches
+from lodestone.plans import report
+from lodestone.plans.judging import ask, cited_ids, judge_batches, payloads, rendered
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of
 from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses
@@ -128,6 +129,18 @@ def test_judging_splits_broken_batches(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 0, "s1"), (1, 0, 1, "s0"), (1, 1, 0, "s3"), (1, 1, 1, "s2"), (1, 2, 0, "s4")]
 
 
+def test_payloads_and_reports(spark):
+    papers = spark.createDataFrame([(1, "p1", "T", None, "2001"), (2, "p2", "", "A", "")], "doc_id long, paper_id string, title string, authors string, year string")
+    sentences = spark.createDataFrame([(1, 1, "1_B", "b"), (1, 0, "1_A", "a")], "doc_id long, sent_idx int, sid string, sentence string")
+    got = {r.doc_id: json.loads(r.paper) for r in payloads(papers, sentences).collect()}
+    assert got[1] == {"id": "p1", "title": "T", "authors": "N/A", "affiliations": "N/A", "journal": "N/A", "year": "2001", "abstract": [{"id": "1_A", "text": "a"}, {"id": "1_B", "text": "b"}]}
+    assert got[2]["title"] == "N/A" and got[2]["authors"] == "A" and got[2]["abstract"] == []
+    assert one(spark, rendered(F.lit("{q} on {day}: {q}"), {"q": F.lit("x"), "day": F.lit("d")})) == "x on d: x"
+    found = spark.createDataFrame([(1, 2, "p2", "U", "2002", ["y", "z"]), (1, 1, "p1", "T", "2001", ["x"])], "question_id long, final_pos int, paper_id string, title string, year string, evidence array<string>")
+    assert [r.line for r in report.lines(found).orderBy("final_pos").collect()] == ["[1] T (2001) p1\n    x", "[2] U (2002) p2\n    y\n    z"]
+    assert [p["paper_id"] for p in json.loads(report.as_json(found).first().passages)] == ["p1", "p2"]
+
+
 def test_text_and_record_expressions(spark):
     assert one(spark, T.sentences(F.lit("One. Two! No end"))) == ["One.", "Two!", "No end"]
     assert one(spark, T.sentences(F.lit("...!"))) == ["...!"] and one(spark, T.sentences(F.lit("  "))) == []
