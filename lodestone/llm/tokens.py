@@ -20,12 +20,17 @@ class _Pieces(dict):
     """Ids of one piece, as little-endian 16-bit bytes."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        from tokenizers import pre_tokenizers
+
+        self.model = tokenizer.model
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the model reads bytes as characters; those of ASCII stand for themselves
+        self.as_bytes = {c: bytewise.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= KEPT_PIECES:
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.as_bytes))]
         ids = struct.pack(f"<{len(ids)}H", *ids)
         if len(piece) < 64:
             self[piece] = ids
@@ -41,15 +46,12 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary has ids beyond 16 bits")
-        alone = Tokenizer.from_file(path)  # what comes to it is normal, lowered and one piece already
-        alone.normalizer = normalizers.Sequence([])
-        alone.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = _Pieces(alone)
+        self.pieces = _Pieces(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
