@@ -19,13 +19,13 @@ from lodestone.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text's letters that its language must have. Low, so that a short text with a license line in another language stays.
-LEAST_SHARE = 1 / 3
+LEAST_SHARE = 0.4
 MIX_SHARE, MIX_SEED = (19, 20), 7
 MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 8}}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language or with none that has a third of the letters; fills in languages that are missing."""
+    """Drops documents without a language or with none that has two fifths of the letters; fills in languages that are missing."""
     model = learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
     kept = identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
