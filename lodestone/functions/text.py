@@ -24,10 +24,14 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
+def all_tokens(text: Column) -> Column:
+    """Lowered runs of two letters, digits or underscores or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Lowered runs of two letters, digits or underscores or more, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(STOPWORDS))
+    """all_tokens without stop words."""
+    return F.filter(all_tokens(text), lambda t: ~t.isin(STOPWORDS))
 
 
 def plain_terms(query: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import sentence_suffix, sentences, tokens, word_count, words
+from lodestone.functions.text import all_tokens, sentence_suffix, sentences, word_count, words
 
 
 def first_wins(hits: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -32,8 +32,11 @@ def sentence_rows(texts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def lexical_judge(rows: DataFrame, terms: Column, least: int = 1) -> DataFrame:
-    """Sentences that hold `least` distinct query terms or more, with their count as hits: the default for a relevance judge."""
-    return rows.withColumn("hits", F.size(F.array_intersect(tokens(F.col("sentence")), terms))).where(F.col("hits") >= least)
+    """Sentences that hold `least` distinct query terms or more, with their count as hits: the default for a relevance judge.
+
+    terms has no stop words, so sentences needn't lose theirs.
+    """
+    return rows.withColumn("hits", F.size(F.array_intersect(all_tokens(F.col("sentence")), terms))).where(F.col("hits") >= least)
 
 
 def span_ids(cited: DataFrame, group: str = "doc_id") -> DataFrame:

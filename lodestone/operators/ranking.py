@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, word_count
+from lodestone.scratch import materialize
 
 K1, B = 1.5, 0.75
 
@@ -21,16 +22,15 @@ def bm25_corpus(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, doc_id, score) of docs (doc_id, text) for questions (question_id, text), where they share a term.
 
     Only tokens that some question has leave a document; lengths are counted in place. So the shuffle carries
-    hits, not the corpus.
+    hits, not the corpus. The terms' counts are written to the scratch folder, as two steps read them.
     """
     counted = docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    whole = counted.agg(F.count("*").alias("n"), F.avg(F.col("length").cast("double")).alias("mean"))  # one row
+    whole = counted.agg(F.struct(F.count("*").alias("n"), F.avg(F.col("length").cast("double")).alias("mean"))).scalar()
     hits = counted.select("doc_id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    tf = materialize(hits.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")), "tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = whole.select("n").scalar(), whole.select("mean").scalar()
-    weighed = tf.join(df, "term").select("doc_id", "term", bm25_weight(F.col("tf"), F.col("df"), n, F.col("length"), mean).alias("weight"))
+    weighed = tf.join(df, "term").withColumn("whole", whole).select("doc_id", "term", bm25_weight(F.col("tf"), F.col("df"), F.col("whole.n"), F.col("length"), F.col("whole.mean")).alias("weight"))
     return weighed.join(asked, "term").groupBy("question_id", "doc_id").agg(F.sum("weight").alias("score"))
 
 

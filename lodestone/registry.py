@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return C.spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:

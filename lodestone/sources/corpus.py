@@ -14,6 +14,12 @@ RAW_RECORD = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer partitions than there are: a small file's one row group can't be split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(id): the distinct lines of a text file, trimmed, blank ones left out."""
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").distinct()
