@@ -20,6 +20,7 @@ from lodestone.operators import validation as V
 from lodestone.plans import report
 from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
+from lodestone.scratch import materialize
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs
 
@@ -270,7 +271,7 @@ def _candidates(spark, sf):
     hits = search(papers, plan_queries(questions(spark, sf), 7), 50)
     keyed = hits.drop("score").join(papers.select("doc_id", "paper_id"), "doc_id").where("paper_id <> ''")
     once = E.first_wins(keyed, ["question_id", "paper_id"], "query_idx", "rank")
-    return E.candidate_order(once, "question_id", "query_idx", "rank")
+    return materialize(E.candidate_order(once, "question_id", "query_idx", "rank"), "candidates")  # several steps read them
 
 
 @query(f"WITH {CANDIDATES} SELECT question_id, doc_id, paper_id, cand_pos FROM found")
