@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,8 +149,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text counts as empty. A null id is carried on; repeated rows each give a row. Other columns are ignored.
     """
-    table = rules()
-    listed = F.array(*(F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword")) for r in table))
+    # one literal: three hundred structs of literals would take the optimizer seconds
+    listed = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<priority:int,label:string,confidence:double,pattern:string,keyword:string>>")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.lower("text").alias("low"))
     gate = F.lit(False)
