@@ -16,6 +16,7 @@ from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.scratch import materialize
+from lodestone.sources.corpus import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text's letters that its language must have. Low, so that a short text with a license line in another language stays.
@@ -63,7 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

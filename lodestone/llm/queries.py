@@ -18,10 +18,11 @@ from lodestone.llm.mixing import mix_sources
 from lodestone.llm.neighbours import nearest
 from lodestone.llm.packing import pack_documents
 from lodestone.llm.urlfilter import filter_urls, host
+from lodestone.sources.corpus import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def domain(source):
