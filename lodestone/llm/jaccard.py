@@ -290,6 +290,23 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(packed, pa.binary())], names=["cls", "packed"])
 
 
+def _common_shingles(seen: DataFrame) -> np.ndarray:
+    """The most common shingles, from most to least: all with counts from some step of a logarithmic scale on, COMMON_SHINGLES at most.
+
+    One row a step comes to the driver, then the chosen shingles.
+    """
+    counts = materialize(seen.groupBy("gram").agg(F.sum("cnt").alias("cnt")).withColumn("step", F.floor(F.log2("cnt") * 8)), "common")
+    total, least = 0, None
+    for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += n
+        if total > COMMON_SHINGLES:
+            break
+        least = step
+    chosen = [] if least is None else counts.where(F.col("step") >= least).select("cnt", "gram").collect()
+    release(counts)
+    return np.array([r.gram for r in sorted(chosen, key=lambda r: (-r.cnt, r.gram))], np.int64).view(np.uint64)
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate components of documents: (doc_id, n_shingles, cls, component_id), one row per input row.
 
@@ -310,8 +327,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id
     light = summary.where("kind = 0")
     named = light.where("cls is not null and doc_id is not null")
     classes = materialize(named.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
-    top = summary.where("kind = 1").groupBy("gram").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(COMMON_SHINGLES)
-    common = np.array([r.gram for r in top.collect()], np.int64).view(np.uint64)  # at most COMMON_SHINGLES numbers
+    common = _common_shingles(summary.where("kind = 1"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = spark.range(24 * parts).select(F.col("id").cast("int").alias("id")).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p")).groupBy("p").agg(F.min("id")).orderBy("p").collect()
