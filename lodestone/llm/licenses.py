@@ -9,18 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of digits, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The phrases whose places are counted, and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Strings of which a lowered text must hold one to be looked at.
-GATE = ["licen", "copyright", "spdx", "creative", "domain", "gpl", "warrant", "cc by", "cc-by", "cc0", "reserved", "hereby", "redistribution"]
+#: Strings within a word: a lowered text that a rule matches holds one of them, or UNDER matches it.
+GATE = ["licen", "copyright", "spdx", "creative", "domain", "warrant", "reserved", "hereby", "redistribution"]
+#: How a text names a license after "under" without a string of GATE; all of it stands in a text that such a rule matches.
+VERBS = "licensed|released|distributed|available|provided|published|offered|covered|redistributed"
+UNDER = rf"(?:{VERBS}){GAP}(?:{WORD}{GAP})?under{GAP}"
 
-#: Licenses: label, name as words (a regular expression), keyword that a name must hold, slugs in SPDX tags and addresses.
+#: Licenses: label, name as words (a regular expression), keyword that every name holds (of two letters or less: not looked for), slugs in SPDX tags and addresses.
 FAMILIES = [
-    ("mit", "(?:mit|expat|mit expat|x11 mit)", "mit", "mit"),
+    ("mit", "(?:mit|expat|mit expat|x11 mit)", "t", "mit"),
     ("mit-0", "mit (?:0|no attribution)", "mit", "mit 0"),
     ("x11", "x11", "x11", "x11"),
     ("apache-1.0", "apache(?: software)?(?: license)?(?: version| v)? 1 0", "apache", "apache 1 0"),
@@ -70,7 +73,7 @@ FAMILIES = [
 #: Ways to name a license: priority (1 goes first), confidence, pattern of name and slug, keyword beside the name's.
 FORMS = [
     (1, 0.99, "spdx license identifier {slug}", "spdx"),
-    (1, 0.95, "(?:licensed|released|distributed|available|provided|published|offered|covered|redistributed)(?: [^ ]+)? under(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the| a)? {name}(?: licen[cs]e)?", "under"),
+    (1, 0.95, f"(?:{VERBS})(?: [^ ]+)? under(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the| a)? {{name}}(?: licen[cs]e)?", "under"),
     (1, 0.95, "(?:opensource org licenses|spdx org licenses|gnu org licenses|apache org licenses|creativecommons org licenses|creativecommons org) {slug}", "org"),
     (2, 0.8, "(?:licen[cs]e|licen[cs]ed|licen[cs]es)(?: is| type)? {name}", "licen"),
     (2, 0.7, "{name}(?: public| open source)? licen[cs]e", "licen"),
@@ -141,8 +144,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections), one row per input row.
 
     Texts with A-Z lowered are cut into words. n_base counts the places of the base phrases, first_word and
-    last_word are their smallest and largest starts in words from 0, null if there is none. Other texts
-    than those that hold a keyword are not looked at further. A rule runs where its own keyword stands.
+    last_word are their smallest and largest starts in words from 0, null if there is none. Texts that no rule can match, as
+    they hold none of its words, are not looked at further. A rule runs where its own keyword stands, which all it matches holds.
     Of all matches in order of start, longer first, then priority, one goes if an earlier one of the same or a
     higher priority contains it. detections are those left: first, behind (in words), priority, label, confidence.
     labels are theirs and the base labels, score is their highest confidence, 0 if there is none.
@@ -156,6 +159,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gate = F.lit(False)
     for word in GATE:
         gate = gate | F.col("low").contains(word)
+    gate = gate | (F.col("low").contains("under") & F.col("low").rlike(UNDER))
     texts = texts.select("doc_id", "text", gate.alias("gated"))
     n_words = F.size(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"), F.lit(0)))
     norm = F.when(F.col("gated"), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)), " "))

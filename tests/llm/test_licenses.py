@@ -1,8 +1,9 @@
+import random
 import re
 
 from brute import lower
 
-from lodestone.llm.licenses import BASE_PHRASES, GATE, rules, scan_licenses
+from lodestone.llm.licenses import BASE_PHRASES, FAMILIES, FORMS, GATE, SINGLE_RULES, rules, scan_licenses
 
 LINES = [
     "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.",
@@ -47,3 +48,22 @@ def test_rules_are_many_and_tell_licenses_apart(spark):
     assert texts[LINES[3]] == "gpl,gpl-3.0"
     assert texts[LINES[4]] == "gpl-3.0"
     assert texts[LINES[8]] == ""
+
+
+def test_gate_and_keywords_lose_nothing(spark, monkeypatch):
+    """The scan against the rules run on all texts, without gate and keywords."""
+    r = random.Random(5)
+    words = sorted({w for _, name, _, slug in FAMILIES for w in re.findall("[a-z0-9]+", f"{name} {slug}")} | {w for f in [*FORMS, *SINGLE_RULES] for w in re.findall("[a-z0-9]{2,}", str(f))} | {"Été", "Foo"})
+    names = ["MIT", "Expat", "Apache 2.0", "BSD 3-clause", "MPL 2.0", "CC_BY 4.0", "CC\nBY 4.0", "GPL v3", "ISC", "zlib", "MS-PL", "the Unlicense"]
+    verbs = ["Released", "DISTRIBUTED", "available", "published", "offered now", "covered İx", "redistributed", "Licensed"]
+    texts = [f"{v}{gap}under{gap}{the}{n}." for v in verbs for n in names for gap, the in [(" ", "the "), ("\n", ""), (" -- ", "the terms of the ")]]
+    texts += [f"licensed under the {n} License" for n in names] + [f"{n} Licence" for n in names] + [f"License: {n}" for n in names]
+    texts += [" ".join(r.choice(words) for _ in range(r.randint(2, 60))) for _ in range(200)]
+    got = {d.doc_id: tuple(d)[1:8] + ([tuple(x) for x in d.detections],) for d in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    monkeypatch.setitem(globals(), "GATE", [""])
+    monkeypatch.setitem(globals(), "rules", lambda made=rules(): [type(x)(x.priority, x.label, x.confidence, x.pattern, "") for x in made])
+    for i, t in enumerate(texts):
+        assert got[i] == plain(t), t
+    by_text = {t: got[i][5] for i, t in enumerate(texts)}
+    assert by_text["licensed under the Expat License"].split(",")[0] == "mit"
+    assert by_text["Released under the CC_BY 4.0."] == "cc-by-4.0"
