@@ -18,8 +18,6 @@ TABLES, PROBES, ROUNDS = 8, 12, 3
 SEED = 40_961
 #: Members of a bucket that are scored in one task; a larger bucket is cut into blocks, all of which a query visits.
 BLOCK = 20_000
-#: Candidates that a block passes on for a query, and that are ranked exactly, for each neighbour asked for.
-PASSED, RANKED = 2, 4
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -53,8 +51,19 @@ def signed_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
 CLEAN = "uid long, vec_id long, dim int, query boolean, v binary"
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """The vector's numbers, in single precision if that changes none."""
+    with np.errstate(over="ignore"):
+        single = v.astype(np.float32)
+    return single.tobytes() if (single == v).all() else v.tobytes()
+
+
+def _unpacked(payload: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(payload, np.float32 if len(payload) == 4 * dim else np.float64).astype(np.float64)
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose vector is whole, finite and not zero, in double precision."""
+    """Rows whose vector is whole, finite and not zero."""
     uid = TaskContext.get().partitionId() << 40
     for batch in batches:
         rows = []
@@ -62,67 +71,67 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if vec_id is not None and v and None not in v:
                 v = np.array(v, np.float64)
                 if np.isfinite(v).all() and v.any():
-                    rows.append((uid, vec_id, len(v), bool(query), v.tobytes()))
+                    rows.append((uid, vec_id, len(v), bool(query), _packed(v)))
             uid += 1
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["uid", "vec_id", "dim", "query", "v"])
 
 
-#: kind 0: a member, payload a scale and its coordinates in 16 bits each; kind 1: a query, payload its doubles.
-ROWS = "dim int, tbl int, bucket int, kind int, uid long, payload binary"
-
-
-def _small(x: np.ndarray) -> list[bytes]:
-    scale = np.abs(x).max(axis=1) / 32767
-    codes = np.rint(x / scale[:, None]).astype(np.int16)
-    return [s.tobytes() + c.tobytes() for s, c in zip(scale, codes, strict=True)]
+#: kind 0: a member, kind 1: a query; payload is the vector.
+ROWS = "dim int, tbl int, bucket int, kind int, uid long, vec_id long, payload binary"
 
 
 def _hashed(tables: int, probes: int, queries: bool):
-    names = ["dim", "tbl", "bucket", "kind", "uid", "payload"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names = ["dim", "tbl", "bucket", "kind", "uid", "vec_id", "payload"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            dims = whole.column(1).to_numpy()
+            dims = whole.column(2).to_numpy()
             for dim in np.unique(dims):
                 here = whole.filter(pa.array(dims == dim))
                 for at in range(0, len(here), 2048):
                     batch = here.slice(at, 2048)
-                    raw, uid = batch.column(2).to_pylist(), batch.column(0).to_numpy()
-                    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
-                    payload = raw if queries else _small(x)
+                    uid, vec_id, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+                    x = np.stack([_unpacked(v, dim) for v in raw])
                     for t in range(tables):
                         axes = signed_axes(x, t, probes if queries else 1)
-                        n = axes.size
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(n, dim), np.full(n, t), axes.ravel(), np.full(n, int(queries)), np.repeat(uid, axes.shape[1]), np.repeat(np.array(payload, object), axes.shape[1])), types, strict=True)], names=names)
+                        n, each = axes.size, axes.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((np.full(n, dim), np.full(n, t), axes.ravel(), np.full(n, int(queries)), np.repeat(uid, each), np.repeat(vec_id, each), np.repeat(np.array(raw, object), each)), types, strict=True)], names=names)
 
     return run
 
 
-def _scored(keep: int):
-    """For each block, the members nearest to each of its queries by their small coordinates. Rows come sorted by block."""
+def _scored(k: int):
+    """For each block, the k members nearest to each of its queries, ties to the smaller id. Rows come sorted by block."""
     keys = ["dim", "tbl", "bucket", "block"]
 
     def score(f: pd.DataFrame) -> pd.DataFrame:
-        members, queries = f[f.kind == 0], f[f.kind == 1]
+        members, queries = f[f.kind == 0].sort_values(["vec_id", "uid"]), f[f.kind == 1]
         out = []
         if len(members) and len(queries):
+            # of equal vectors the first k + 1 are enough, as a query passes over itself only
+            members = members[members.groupby("payload", sort=False).cumcount() <= k]
             dim = int(f.dim.iloc[0])
-            raw = np.frombuffer(b"".join(members.payload), np.uint8).reshape(len(members), 8 + 2 * dim)
-            c = raw[:, 8:].copy().view(np.int16) * raw[:, :8].copy().view(np.float64)
-            length, uid = (c * c).sum(axis=1), members.uid.to_numpy()
+            c = np.stack([_unpacked(v, dim) for v in members.payload])
+            length, uid, vec_id = (c * c).sum(axis=1), members.uid.to_numpy(), members.vec_id.to_numpy()
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
-                q = np.frombuffer(b"".join(part.payload), np.float64).reshape(-1, dim)
+                own = part.uid.to_numpy()
+                q = np.stack([_unpacked(v, dim) for v in part.payload])
                 far = length - 2 * q @ c.T
-                far[part.uid.to_numpy()[:, None] == uid] = np.inf
-                k = min(keep, len(members))
-                near = np.argpartition(far, k - 1, axis=1)[:, :k]
-                value = np.take_along_axis(far, near, axis=1)
-                out.append(pd.DataFrame({"query": np.repeat(part.uid.to_numpy(), k), "uid": uid[near].ravel(), "far": value.ravel()}))
-        found = pd.concat(out) if out else pd.DataFrame({"query": np.zeros(0, np.int64), "uid": np.zeros(0, np.int64), "far": np.zeros(0)})
-        return found[np.isfinite(found.far)]
+                far[own[:, None] == uid] = np.inf
+                nth = min(k, len(members)) - 1
+                # no sum of dim products is further off than this, so no true neighbour is above the limit
+                slack = 8 * (dim + 2) * np.finfo(float).eps * (length.max() + 2 * np.sqrt(length.max() * (q * q).sum(axis=1)))
+                limit = np.partition(far, nth, axis=1)[:, nth] + slack
+                for i in range(len(part)):
+                    near = np.flatnonzero((far[i] <= limit[i]) & (uid != own[i]))
+                    value = np.sqrt(((q[i] - c[near]) ** 2).sum(axis=1))
+                    best = np.lexsort((uid[near], vec_id[near], value))[:k]
+                    out.append((np.full(len(best), own[i]), uid[near][best], vec_id[near][best], value[best]))
+        query, uid, vec_id, value = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        return pd.DataFrame({"query": query, "uid": uid, "vec_id": vec_id, "score": value})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -140,25 +149,17 @@ def _scored(keep: int):
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        score = [float(np.sqrt(((np.frombuffer(a, np.float64) - np.frombuffer(b, np.float64)) ** 2).sum())) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score, pa.float64())], names=["query", "query_id", "vec_id", "score"])
-
-
 def _search(members: DataFrame, probes: DataFrame, sizes: DataFrame, clean: DataFrame, k: int) -> DataFrame:
     """(query, query_id, vec_id, score, rank) of the k nearest of what each query's blocks hold."""
     blocks = sizes.select("dim", "tbl", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     key = ["dim", "tbl", "bucket"]
     dealt = members.join(blocks, key).withColumn("block", F.expr("cast(pmod(xxhash64(uid), blocks) as int)"))
     asked = probes.join(blocks, key).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-    columns = [*key, "block", "kind", "uid", "payload"]
+    columns = [*key, "block", "kind", "uid", "vec_id", "payload"]
     rows = dealt.select(*columns).union(asked.select(*columns)).repartition(*key, "block").sortWithinPartitions(*key, "block")
-    near = rows.mapInPandas(_scored(PASSED * k), "query long, uid long, far double").groupBy("query", "uid").agg(F.min("far").alias("far"))
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("far", "uid"))).where(F.col("nth") <= RANKED * k).select("query", "uid")
-    both = near.join(clean.select("uid", "vec_id", F.col("v").alias("b")), "uid").join(clean.where("query").select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query")
-    exact = both.select("query", "query_id", "vec_id", "a", "b").mapInArrow(_distances, "query long, query_id long, vec_id long, score double")
-    return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    near = rows.mapInPandas(_scored(k), "query long, uid long, vec_id long, score double").groupBy("query", "uid", "vec_id").agg(F.min("score").alias("score"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return near.join(clean.where("query").select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query", "query_id", "vec_id", "score", "rank")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -166,10 +167,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, pro
 
     Each table turns vectors, scaled to unit length, by random signs and Hadamard steps and lists them
     under the signed axis nearest to them. A query looks into the buckets of its nearest axes in every table.
-    In a bucket, members are scored from coordinates of 16 bits; the best RANKED * k of all buckets are
-    ranked by distances of the original vectors in double precision. Ties go to the smaller id. score
-    is the distance. Buckets of any size are searched whole, in blocks. A query whose buckets hold fewer
-    than k rows searches all rows, in blocks.
+    Every block of a bucket ranks its members by distances of the original vectors in double precision and
+    passes the first k on. Ties go to the smaller id. score is the distance. Buckets of any size are
+    searched whole, in blocks. A query whose buckets hold fewer than k rows searches all rows, in blocks.
 
     is_query is a condition on the rows. A row is no candidate of itself; other rows with its id are, and
     each of several query rows with one id is answered. Vectors that are null, empty, zero or hold a null or
@@ -178,9 +178,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, pro
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vector_col).cast("array<double>").alias("v"))
     clean = materialize(rows.mapInArrow(_clean, CLEAN), "vectors")
-    given = clean.select("uid", "dim", "v")
+    given = clean.select("uid", "vec_id", "dim", "v")
     members = materialize(given.mapInArrow(_hashed(tables, 1, False), ROWS), "members")
-    asked = materialize(clean.where("query").select("uid", "dim", "v").mapInArrow(_hashed(tables, probes, True), ROWS), "probes")
+    asked = materialize(clean.where("query").select("uid", "vec_id", "dim", "v").mapInArrow(_hashed(tables, probes, True), ROWS), "probes")
     sizes = materialize(members.groupBy("dim", "tbl", "bucket").count(), "sizes")  # no more rows than tables have axes
     found = materialize(_search(members, asked, sizes, clean, k), "found")
 

@@ -67,3 +67,20 @@ def test_odd_vectors_blocks_and_few_candidates(spark, monkeypatch):
     d = sorted((np.sqrt(((v - x[0]) ** 2).sum()), i) for i, v in zip([i for i, _ in rows], x, strict=False) if i != 0)
     assert {g[2] for g in got if g[0] == 0} == {i for _, i in d[:5]}
     assert nearest(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_ties_in_groups_of_equal_and_nearly_equal_vectors(spark):
+    """The smallest ids of 1,000 equal vectors, and the nearest of 1,000 that are closer than 16-bit codes tell."""
+    r = np.random.default_rng(3)
+    same, near = r.normal(size=(2, 16))
+    ids = r.permutation(4000)[:2000].tolist()
+    x = np.array([same] * 1000 + [near + 1e-7 * v for v in r.normal(size=(1000, 16))])
+    queries = sorted(ids[:1000])[5:800:200] + ids[1000:1005]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, rank, i, score in nearest(frame.repartition(4), F.col("vec_id").isin(queries), 10).collect():
+        got.setdefault(q, []).append((rank, i, score))
+    at = {d: i for i, d in enumerate(ids)}
+    want = exact(ids, x, [at[q] for q in queries], 10)
+    for q in queries:
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in want[q]]
