@@ -53,17 +53,24 @@ def _windows(min_words: int):
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Moves hi on over the lines behind both windows as long as they are equal."""
+    """Moves hi on over the lines behind the window that are equal to those behind the first one like it.
+
+    more is null in that row. Each line further on gives a row of its own, with the hash of the window and all lines
+    up to it in more: other windows than the first one may be followed by these.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("mark", pa.int64()), ("more", pa.int64())])
     for batch in batches:
-        his = batch.column(3).to_pylist()
-        for i, (after, ends, first) in enumerate(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True)):
+        rows = []
+        for doc_id, text_hash, lo, hi, after, ends, first, mark, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = min(len(after), len(first)) // 8
-            if n:
-                apart = np.flatnonzero(np.frombuffer(after, np.int64, n) != np.frombuffer(first, np.int64, n))
-                same = int(apart[0]) if len(apart) else n
-                if same:
-                    his[i] = int(np.frombuffer(ends, np.int32)[same - 1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(his, pa.int32())], names=["doc_id", "text_hash", "lo", "hi"])
+            apart = np.flatnonzero(np.frombuffer(after, np.int64, n) != np.frombuffer(first, np.int64, n))
+            same = int(apart[0]) if len(apart) else n
+            stops = np.frombuffer(ends, np.int32).tolist()
+            rows.append((doc_id, text_hash, lo, stops[same - 1] if same else hi, mark, None))
+            for j in range(same, len(stops)):
+                more = xxhash.xxh3_64_intdigest(digest.to_bytes(8, "little", signed=True) + after[: 8 * (j + 1)]) - (1 << 63)
+                rows.append((doc_id, text_hash, lo, stops[j], mark, more))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema.types, strict=True)], schema=schema)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +80,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     lines without words are passed over. The window that starts at a line is the shortest such run, and
     its minimum line hash is its fingerprint; two equal runs of min_words words or more always share a
     window and so a fingerprint, and none is missed. Fingerprints are joined with their window's digest, as a
-    line may be the minimum of many windows. A window is compared with the earliest one like it, in order of id and line; if it is a later one, its lines and the equal lines behind both go. Equal lines before
+    line may be the minimum of many windows. A window is compared with the earliest one like it, in order of id and line; if it is a later one, its lines and the equal lines behind both go.
+    So do the lines behind it up to the last one with which an earlier window goes on in the same way. Equal lines before
     both start a window that is repeated too, so that side needs no walk. A passage that repeats within
     one document leaves its first period.
 
@@ -89,14 +97,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     at = F.struct("doc_id", "lo")
     first = materialize(windows.groupBy("mark", "digest").agg(F.min(at).alias("first"), F.min_by("after", at).alias("first_after"), F.count("*").alias("times")).where("times > 1").drop("times"), "first")
     # merge joins at any size: neither side is one to broadcast, as both grow with the input
-    later = windows.join(first.hint("merge"), ["mark", "digest"]).where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after")
-    runs = later.mapInArrow(_extend, "doc_id long, text_hash long, lo int, hi int")
+    later = windows.join(first.hint("merge"), ["mark", "digest"]).where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi", "after", "ends", "first_after", "mark", "digest")
+    extended = materialize(later.mapInArrow(_extend, "doc_id long, text_hash long, lo int, hi int, mark long, more long"), "extended")
+    tails = extended.where("more is not null")
+    again = tails.groupBy("mark", "more").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    runs = extended.where("more is null").drop("mark", "more").union(tails.join(again.hint("merge"), ["mark", "more"]).where(at > F.col("first")).select("doc_id", "text_hash", "lo", "hi"))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("lo", "hi")
     opens = F.when(F.col("lo") > F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, 1).otherwise(0)
     islands = runs.withColumn("opens", opens).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("doc_id", "text_hash", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     spans = materialize(spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans"), "spans")
-    release(windows, first)
+    release(windows, first, extended)
 
     # a text is split into lines once, into those that stay and those that go
     cut = docs.join(spans.hint("merge"), (known == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__hash")), "left")

@@ -83,3 +83,11 @@ def test_dedup_lines_edges(spark):
         [("2", "head two\ntail", 60), ("1", p, 0), ("3", "None", 0), ("4", "", 0), ("None", p, 0), ("5", "a b\n", 198), ("6", "short\nshort", 0), ("7", "\nMIT\nshort", 60), ("7", "\nMIT\nshort", 60)]
     )
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_dedup_lines_extends_by_any_earlier_copy(spark):
+    """The end of a repeated run goes although its last window first stands elsewhere, followed by something else."""
+    w, y, z = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 60), ("y", 20), ("z", 20)))
+    rows = [(1, f"{w}\nother"), (2, f"{w}\n{y}\nend"), (3, f"{w}\n{y}\n{z}\nlast"), (4, f"top\n{w}\n{y}\n{z}\nmore"), (5, f"{w}\n{z}")]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: f"{y}\nend", 3: f"{z}\nlast", 4: "top\nmore", 5: z}
