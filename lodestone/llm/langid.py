@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Documents of a language that are learned from, about, and languages that are learned: the most frequent ones.
-TRAIN_DOCS, TRAIN_LANGUAGES = 5000, 100
+#: Documents of a language that are learned from, about. Every language is learned.
+TRAIN_DOCS = 5000
 BUCKETS = 1 << 16
 #: Cost of a change of language between two words, in nats.
 SWITCH = 12.0
@@ -130,18 +130,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([buckets[k].tobytes() for k in names], pa.binary()), pa.array([scripts[k].tobytes() for k in names], pa.binary())], names=["lang", "buckets", "scripts"])
 
 
-def learn(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, per_language: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of docs' languages, from about per_language documents of each, chosen by a hash of the id.
 
     Rows without text or language are passed over. What comes to the driver is bounded by the number of
     languages and tasks: counts of BUCKETS contexts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r[0], int((1 << 30) * min(1.0, per_language / r[1]))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).select("lang", "text")
+    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * (1 << 30)).cast("long").alias("share"))  # a row a language
+    sample = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share")).select("lang", "text")
     parts = min(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found: dict[str, list] = {}
     for r in sample.repartition(parts).mapInArrow(_count, "lang string, buckets binary, scripts binary").toLocalIterator():
@@ -196,7 +194,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             for t in texts:
                 chunk.append(t or "")
                 size += len(chunk[-1])
-                if size >= CHUNK_CHARS:
+                if size * max(8, len(held.value.languages)) >= 8 * CHUNK_CHARS:
                     out += _label(held.value, chunk)
                     chunk, size = [], 0
             out += _label(held.value, chunk)

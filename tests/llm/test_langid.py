@@ -55,3 +55,12 @@ def test_words_of_texts():
     w = words_of(["Ab cd", "", "x1yé", "İ"])
     assert w.at.tolist() == [0, 2, 2, 4, 5] or w.at.tolist() == [0, 2, 2, 4, 6]
     assert w.letters.tolist()[:4] == [2, 2, 1, 2]
+
+
+def test_more_than_a_hundred_languages(spark):
+    words = lambda k: " ".join(chr(97 + k % 26) * 3 + chr(97 + k // 26) * 3 for _ in range(9))
+    rows = [(k * 2 + i, words(k), f"l{k:03}") for k in range(120) for i in range(2)] + [(999, words(130), "rare")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = learn(frame)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert identify(frame.where("doc_id = 999"), model).first().lang_pred == "rare"
