@@ -37,33 +37,23 @@ def components(rows, percent=75):
 
 
 def cut_lines(rows, least=50):
-    """{doc_id: text} with later copies of passages removed; distinct ids."""
+    """{doc_id: text} without lines of any run of `least` words or more that also stands earlier; distinct ids."""
     docs = {}
     for d, t in sorted(rows):
         lines = [re.findall("[^\x20\x09-\x0d]+", x) for x in t.split("\n")]
         docs[d] = [(k, tuple(x)) for k, x in enumerate(lines) if x]
-
-    def window(lines, i):
-        n = 0
-        for j in range(i, len(lines)):
-            n += len(lines[j][1])
-            if n >= least:
-                return j
-        return None
-
-    first, gone = {}, {d: set() for d in docs}
+    first, gone = set(), {d: set() for d in docs}
     for d, lines in docs.items():
         for i in range(len(lines)):
-            if (j := window(lines, i)) is None:
-                continue
-            key = tuple(x for _, x in lines[i : j + 1])
-            if key not in first:
-                first[key] = (d, i)
-                continue
-            e, k = first[key]
-            while j + 1 < len(lines) and k + (j + 1 - i) < len(docs[e]) and lines[j + 1][1] == docs[e][k + (j + 1 - i)][1]:
-                j += 1
-            gone[d] |= set(range(lines[i][0], lines[j][0] + 1))
+            n = 0
+            for j in range(i, len(lines)):
+                n += len(lines[j][1])
+                if n < least:
+                    continue
+                key = tuple(x for _, x in lines[i : j + 1])
+                if key in first:
+                    gone[d] |= set(range(lines[i][0], lines[j][0] + 1))
+                first.add(key)
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in rows}
 
 

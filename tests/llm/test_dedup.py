@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from brute import components, cut_lines, random_documents, sha, shingle_set
 
-from lodestone.llm import jaccard
+from lodestone.llm import jaccard, line_dedup
 from lodestone.llm.components import connected_components
 from lodestone.llm.exact_dedup import exact_duplicates
 from lodestone.llm.jaccard import jaccard_components
@@ -62,7 +65,7 @@ def test_exact_duplicates(spark, digest_all):
     assert exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3, 4, 6, 7])
 def test_dedup_lines_matches_brute_force(spark, seed):
     rows = random_documents(seed)
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, SCHEMA), 12).collect()}
@@ -91,3 +94,30 @@ def test_dedup_lines_extends_by_any_earlier_copy(spark):
     rows = [(1, f"{w}\nother"), (2, f"{w}\n{y}\nend"), (3, f"{w}\n{y}\n{z}\nlast"), (4, f"top\n{w}\n{y}\n{z}\nmore"), (5, f"{w}\n{z}")]
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: rows[0][1], 2: f"{y}\nend", 3: f"{z}\nlast", 4: "top\nmore", 5: z}
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_dedup_lines_with_few_short_lines_in_many_contexts(spark, seed):
+    """Lines of which many are equal, so that one fingerprint stands in many contexts and windows repeat within a text."""
+    r = random.Random(seed)
+    lines = [" ".join(f"{c}{k}" for k in range(r.randint(1, 7))) for c in "abcdefg"] + ["", " \t"]
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    got = {d.doc_id: d.text for d in dedup_lines(spark.createDataFrame(rows, SCHEMA), 10).collect()}
+    assert got == cut_lines(rows, 10)
+
+
+def test_fingerprints_are_fewer_than_windows(spark):
+    rows = random_documents(11)
+    texts = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "xxhash64(text)", "text")
+    found = texts.mapInArrow(line_dedup._positions(12), line_dedup.POSITIONS).collect()
+    windows = sum(p.starts for p in found)
+    assert len({(p.doc_id, p.line) for p in found}) == len(found) < 0.7 * windows
+    sizes = [[n for n in (len(re.findall("[^\x20\x09-\x0d]+", x)) for x in t.split("\n")) if n] for _, t in rows]
+    assert windows == sum(sum(sum(s[i:]) >= 12 for i in range(len(s))) for s in sizes)
+
+
+def test_dedup_lines_tells_texts_of_one_id_apart(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"one\n{p}"), (1, f"two\n{p}"), (8, f"{p}\nthree")]
+    got = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got in ([f"one\n{p}", "three", "two"], ["one", "three", f"two\n{p}"])
