@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the least node that links reach.
 
     Self links and repeated links are allowed; a null end drops the link. Only two numbers a
-    round come to the driver. Rounds grow with the logarithm of the longest path.
+    round come to the driver. Rounds grow with the logarithm of the longest path. The result is a written table; release() it.
     """
     edges = materialize(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
     seen = None
@@ -43,4 +43,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return pairs.union(edges.select("b", "b").distinct())
+    roots = materialize(pairs.union(edges.select("b", "b").distinct()), "roots")
+    release(edges)
+    return roots

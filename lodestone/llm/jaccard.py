@@ -1,14 +1,15 @@
 """Exact Jaccard self-join of documents on five-word shingles.
 
 Documents with one shingle set form a class. A class is listed under the shingles of its prefix: the
-rarest quarter in a global order, so that two sets similar enough must share one. The lists that have one
-least class are put together as a tile. Within a tile, a member is compared with those in the size band that
+rarest quarter in a global order, so that two sets similar enough must share one. Lists are in order of size and cut where
+sizes are too far apart; those that have one
+first member are put together as a tile. Within a tile, a member is compared with those in the size band that
 the threshold leaves: hashed bitmaps of a width that follows the band bound the overlap from above, and
 sorted shingle arrays are intersected where the bound allows a link.
 
 Small bitmaps come first and rule out members that can link to no other of their tile; only the rest have
-their texts read again. A tile then returns the links that join its members, at most one a member: two
-members that are joined already need no comparison, so a large group of near copies makes no pairs.
+their texts read again. A tile then decides every link of its members and returns their numbers, and of the links themselves those
+that join its members, at most one a member: a large group of near copies makes no pairs.
 """
 
 from __future__ import annotations
@@ -87,11 +88,13 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
-    """Lists each document's prefix under its parts, packed: one row for a part and a batch."""
+LISTED = "gram long, size int, cls long"
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    """(gram, size, cls): each class listed under the shingles of its prefix, once for some million rows of a task."""
     common_sorted = np.sort(common)
     place = np.argsort(common)  # of each sorted shingle in the list, which goes from most to least common
-    schema = pa.schema([("part", pa.int32()), ("cls", pa.binary()), ("size", pa.binary()), ("held", pa.binary()), ("gram", pa.binary())])
 
     def prefix(grams: np.ndarray) -> np.ndarray:
         n = len(grams)
@@ -106,74 +109,66 @@ def _prefixes(common: np.ndarray, parts: int, labels: list[int], percent: int):
         late = grams[hot][np.argsort(-place[at[hot]])]
         return np.concatenate([rare, late[: keep - len(rare)]])
 
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
-        cls = np.array([x[0] for x in held], np.int64)
-        size = np.array([x[1] for x in held], np.int32)
-        count = np.array([len(x[2]) for x in held])
-        grams = np.concatenate([x[2] for x in held])
-        doc = np.repeat(np.arange(len(held)), count)
-        part = ((grams >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        grams, doc, part = grams[order].astype(np.uint32), doc[order], part[order]
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        rows = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if a < b:
-                who, times = np.unique(doc[a:b], return_counts=True)
-                rows.append((labels[p], cls[who].tobytes(), size[who].tobytes(), times.astype(np.int32).tobytes(), grams[a:b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3, 4))], schema=schema)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, seen = [], 0, set()
+        total, seen = 0, set()
         for batch in batches:
+            held = []
             for _, grams in shingle_sets(batch.column(0)):
                 if not len(grams):
                     continue
                 cls = _set_id(grams)
-                if cls in seen:
-                    continue
-                seen.add(cls)
-                held.append((cls, len(grams), prefix(grams)))
-                total += len(held[-1][2])
-                if total >= 1_000_000:
-                    yield from packed(held)
-                    held, total, seen = [], 0, set()
-        if held:
-            yield from packed(held)
+                if cls not in seen:
+                    seen.add(cls)
+                    held.append((cls, len(grams), prefix(grams)))
+            if held:
+                count = [len(x[2]) for x in held]
+                gram = np.concatenate([x[2] for x in held]).view(np.int64)
+                size, cls = (np.repeat(np.array([x[k] for x in held], t), count) for k, t in ((1, np.int32), (0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(size), pa.array(cls)], names=["gram", "size", "cls"])
+                total += len(gram)
+            if total >= 4_000_000:
+                total, seen = 0, set()
 
     return run
 
 
 def _listed(percent: int):
-    """(tile, cls) of the members of each part's lists that have another member in their size band; a tile is named by the least class of a list."""
+    """(tile, cls) of list members that have another one in their size band. Rows come sorted by gram, size and cls.
 
-    def neighbours(key: np.ndarray) -> np.ndarray:
-        return np.append(False, key[1:] == key[:-1])
+    A list is cut where a size is too small for the next one; a tile is named by the first member of such a stretch.
+    Of a list of any length only the last row is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for part, cls, size, held, gram in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = np.frombuffer(held, np.int32)
-                parts.setdefault(part, []).append((np.repeat(np.frombuffer(cls, np.int64), held), np.repeat(np.frombuffer(size, np.int32), held).astype(np.int64), np.frombuffer(gram, np.uint32)))
-        for part in list(parts):
-            cls, size, gram = (np.concatenate(x) for x in zip(*parts.pop(part), strict=True))
-            order = np.lexsort((cls, size, gram))
-            cls, size, gram = cls[order], size[order], gram[order]
-            new = ~(neighbours(gram) & neighbours(cls))  # else a copy of the class before
-            cls, size, gram = cls[new], size[new], gram[new]
-            fits = neighbours(gram) & (100 * np.append(0, size[:-1]) >= percent * size)
-            keep = fits | np.append(fits[1:], False)
-            cls, gram = cls[keep], gram[keep]
-            if not len(cls):
-                continue
-            starts = np.flatnonzero(~neighbours(gram))
-            tile = np.repeat(np.minimum.reduceat(cls, starts), np.diff(np.append(starts, len(gram))))
+        last = None  # gram, size, cls, tile and whether the row before belongs to it
+
+        def rows(tile: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((cls, tile))
             tile, cls = tile[order], cls[order]
-            new = ~(neighbours(tile) & neighbours(cls))
-            yield pa.RecordBatch.from_arrays([pa.array(tile[new]), pa.array(cls[new])], names=["tile", "cls"])
+            new = np.append(True, (tile[1:] != tile[:-1]) | (cls[1:] != cls[:-1])) if len(tile) else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(tile[new]), pa.array(cls[new])], names=["tile", "cls"])
+
+        for batch in batches:
+            gram, size, cls = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            if not len(gram):
+                continue
+            if last:
+                gram, size, cls = (np.append(x, y) for x, y in zip(last[:3], (gram, size, cls), strict=True))
+            same = gram[1:] == gram[:-1]
+            new = np.append(True, ~(same & (cls[1:] == cls[:-1])))  # else a copy of the class before
+            gram, size, cls = gram[new], size[new], cls[new]
+            joins = np.append(False, (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:]))
+            name = cls.copy()
+            if last:
+                joins[0], name[0] = last[4], last[3]
+            starts = ~joins
+            starts[0] = True
+            tile = name[np.maximum.accumulate(np.where(starts, np.arange(len(cls)), 0))]
+            keep = joins[:-1] | joins[1:]
+            yield rows(tile[:-1][keep], cls[:-1][keep])
+            last = gram[-1], size[-1], cls[-1], tile[-1], bool(joins[-1])
+        if last and last[4]:
+            yield rows(np.array([last[3]], np.int64), np.array([last[2]], np.int64))
 
     return run
 
@@ -182,7 +177,7 @@ def _apart(maps: list[np.ndarray], percent: int, sizes: np.ndarray):
     """For members sorted by size: a function of i that gives the later members which may link to it.
 
     maps are the members' bitmaps as 64-bit words. Members within the size band of i have bitmaps of i's
-    width or twice that; the latter are folded. The bits in which two bitmaps differ come from as many
+    width or a multiple of it; wider ones are folded. The bits in which two bitmaps differ come from as many
     elements of one set alone, or more.
     """
     widths = np.array([len(m) for m in maps])
@@ -193,8 +188,8 @@ def _apart(maps: list[np.ndarray], percent: int, sizes: np.ndarray):
         w = int(widths[i])
         if w not in tables:
             tables.clear()
-            a, b = np.searchsorted(widths, w), np.searchsorted(widths, 2 * w, "right")
-            tables[w] = int(a), np.stack([m if len(m) == w else m[:w] | m[w:] for m in maps[a:b]])
+            a, b = int(np.searchsorted(widths, w)), int(stop[np.searchsorted(widths, w, "right") - 1])
+            tables[w] = a, np.stack([m if len(m) == w else np.bitwise_or.reduce(m.reshape(-1, w), axis=0) for m in maps[a:b]])
         a, table = tables[w]
         if stop[i] <= i + 1:
             return np.zeros(0, np.int64)
@@ -247,39 +242,85 @@ def _hopeful(percent: int):
                 j = j[block[j] != block[i]]
             if len(j):
                 hope[i] = hope[j] = True
-        return tuple(t[k].combine_chunks().filter(pa.array(hope)) for k in ("tile", "i_block", "j_block", "block", "cls", "rep"))
+        return tuple(t[k].combine_chunks().filter(pa.array(hope)) for k in ("tile", "i_block", "j_block", "block", "cls", "rep", "copies"))
+
+    return _by_tile(work, pa.schema([("tile", pa.int64()), ("i_block", pa.int32()), ("j_block", pa.int32()), ("block", pa.int32()), ("cls", pa.int64()), ("rep", pa.int64()), ("copies", pa.int64())]))
+
+
+def _overlaps(sets: list[np.ndarray]):
+    """A function of i and members j that gives the sizes of i's intersections with them."""
+    ends = np.cumsum([len(x) for x in sets])
+    starts = ends - [len(x) for x in sets]
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), np.int32)
+
+    def overlaps(i: int, j: np.ndarray) -> np.ndarray:
+        mark[flat[starts[i] : ends[i]]] = 1
+        a, b = j[0], j[-1] + 1
+        if 4 * len(j) >= b - a:  # most of a stretch: all of it at once
+            both = np.add.reduceat(mark[flat[starts[a] : ends[b - 1]]], starts[a:b] - starts[a])[j - a]
+        else:
+            both = np.array([mark[flat[starts[k] : ends[k]]].sum() for k in j])
+        mark[flat[starts[i] : ends[i]]] = 0
+        return both
 
-    return _by_tile(work, pa.schema([("tile", pa.int64()), ("i_block", pa.int32()), ("j_block", pa.int32()), ("block", pa.int32()), ("cls", pa.int64()), ("rep", pa.int64())]))
+    return overlaps
 
 
-def _joined(percent: int):
-    """Links (a, b) that join the members of a tile, decided on their texts."""
+def _joined(percent: int, count_links: bool):
+    """Decides on the texts which members of a tile link.
+
+    Rows with b are links (a, b) that join all that are joined, at most one a member. Rows without b, if asked for, hold how many other
+    classes and documents a links with. Two classes may meet in several tiles; the one of the least name counts their link.
+    """
 
     def work(t: pa.Table) -> tuple:
         sets = [next(shingle_sets(pa.array([zstandard.decompress(x)], pa.binary())))[1] for x in t["packed"].to_pylist()]
         order = np.argsort([len(s) for s in sets], kind="stable")
         sets = [sets[k] for k in order]
-        sizes, cls, block = np.array([len(s) for s in sets]), t["cls"].to_numpy()[order], t["block"].to_numpy()[order]
+        sizes, cls, block, copies = np.array([len(s) for s in sets]), *(t[k].to_numpy()[order] for k in ("cls", "block", "copies"))
         later = _apart([np.frombuffer(_bitmap(s, LARGE_BITS), np.uint64) for s in sets], percent, sizes)
-        across = t["i_block"][0].as_py() != t["j_block"][0].as_py()
+        overlaps = _overlaps(sets)
+        across, tile = t["i_block"][0].as_py() != t["j_block"][0].as_py(), t["tile"][0].as_py()
+        tiles = t["tiles"].to_pylist()
+        before = [[x for x in tiles[k] if x < tile] for k in order]  # other tiles that count first
+        having: dict[int, list[int]] = {}
+        for i, names in enumerate(before):
+            for x in names:
+                having.setdefault(x, []).append(i)
+        having = {x: np.array(i) for x, i in having.items()}
         root = np.arange(len(sets))
-        a, b = [], []
+        a, b, n, docs = [], [], np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
         for i in range(len(sets)):
             j = later(i)
-            j = j[root[j] != root[i]]
             if across:
                 j = j[block[j] != block[i]]
-            while len(j):
-                k, j = j[0], j[1:]
-                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+            if not count_links:
+                j = j[root[j] != root[i]]
+            if not len(j):
+                continue
+            both = overlaps(i, j)
+            j = j[100 * both >= percent * (sizes[i] + sizes[j] - both)]
+            for r, k in zip(*np.unique(root[j], return_index=True), strict=True):
+                if r != root[i]:
                     a.append(cls[i])
-                    b.append(cls[k])
-                    root[root == root[k]] = root[i]
-                    j = j[root[j] != root[i]]
-        return a, b
-
-    return _by_tile(work, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                    b.append(cls[j[k]])
+                    root[root == r] = root[i]
+            if count_links:
+                mine = np.zeros(len(sets), bool)
+                mine[j] = True
+                for x in before[i]:
+                    mine[having[x]] = False
+                j = np.flatnonzero(mine)
+                n[i] += len(j)
+                docs[i] += copies[j].sum()
+                n[j] += 1
+                docs[j] += copies[i]
+        some = np.flatnonzero(n)
+        none = len(a) * [None]
+        return [*a, *cls[some].tolist()], [*b, *len(some) * [None]], [*none, *n[some].tolist()], [*none, *docs[some].tolist()]
+
+    return _by_tile(work, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())]))
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,55 +348,62 @@ def _common_shingles(seen: DataFrame) -> np.ndarray:
     return np.array([r.gram for r in sorted(chosen, key=lambda r: (-r.cnt, r.gram))], np.int64).view(np.uint64)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate components of documents: (doc_id, n_shingles, cls, component_id), one row per input row.
+def jaccard_components(docs: DataFrame, percent: int = 75, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Near-duplicate components of documents: (doc_id, n_shingles, cls, component_id, class_links, n_links), one row per input row.
 
     Words are runs of anything but blanks and the controls 9 to 13, with A-Z lowered. A text of one to
     four words has its whole word sequence as its only shingle. Two documents link when
     100 * |A and B| >= percent * |A or B|. component_id is the smallest id reachable by links, the
-    document's own included; cls names the documents with one shingle set.
+    document's own included; cls names the documents with one shingle set. class_links is the number of other sets that link with
+    the document's, n_links that of other rows: those of these sets and of its own. Without count_links both are
+    null, and sets that are joined already are not compared.
 
+    percent is 1 to 100, else a ValueError is raised.
     Null or blank text: an empty set, linked with nothing, component_id is the own id. Null id: the row
     is returned with its size and a null component_id and links nothing. Repeated rows are returned as
     often as they come. Other columns are ignored. An empty table gives an empty result.
 
     Shingles and classes are 64-bit hashes; at 10**11 texts a few unrelated classes of one size could meet.
     """
-    spark = docs.sparkSession
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, not {percent}")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     summary = materialize(docs.mapInArrow(_summarize, SUMMARY), "summary")
     light = summary.where("kind = 0")
     named = light.where("cls is not null and doc_id is not null")
-    classes = materialize(named.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("bitmap").alias("bitmap")), "classes")
+    classes = materialize(named.groupBy("cls", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("bitmap").alias("bitmap")), "classes")
     common = _common_shingles(summary.where("kind = 1"))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = spark.range(24 * parts).select(F.col("id").cast("int").alias("id")).select("id", F.expr(f"pmod(hash(id), {parts})").alias("p")).groupBy("p").agg(F.min("id")).orderBy("p").collect()
-    labels = [r[1] for r in spread]  # numbers that hash partitioning deals to different partitions
-    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, len(labels), labels, percent), "part int, cls binary, size binary, held binary, gram binary")
-    listed = materialize(lists.repartition("part").mapInArrow(_listed(percent), "tile long, cls long"), "listed")
+    lists = docs.where("doc_id is not null").select("text").mapInArrow(_prefixes(common, percent), LISTED)
+    listed = materialize(lists.repartition("gram").sortWithinPartitions("gram", "size", "cls").mapInArrow(_listed(percent), "tile long, cls long"), "listed")
     tiles = listed.distinct().join(classes, "cls")
     large = tiles.groupBy("tile").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where(f"members > {BLOCK_MEMBERS} or total > {BLOCK_SHINGLES}")
     blocks = F.expr(f"cast(ceil(greatest(members / {BLOCK_MEMBERS}, total / {BLOCK_SHINGLES})) as int)")
     large = materialize(large.select("tile", blocks.alias("blocks")), "large")
     members = tiles.join(large, "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     members = members.withColumn("block", F.expr("cast(pmod(xxhash64(cls), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("tile", F.least("block", "other").alias("i_block"), F.greatest("block", "other").alias("j_block"), "block", "cls", "rep", "n_shingles", "bitmap")
+    members = members.select("tile", F.least("block", "other").alias("i_block"), F.greatest("block", "other").alias("j_block"), "block", "cls", "rep", "copies", "n_shingles", "bitmap")
     keys = ["tile", "i_block", "j_block"]
     dealt = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
-    hopeful = materialize(dealt(members).mapInArrow(_hopeful(percent), "tile long, i_block int, j_block int, block int, cls long, rep long"), "hopeful")
+    hopeful = materialize(dealt(members).mapInArrow(_hopeful(percent), "tile long, i_block int, j_block int, block int, cls long, rep long, copies long"), "hopeful")
 
-    needed = materialize(hopeful.select("cls", F.col("rep").alias("doc_id")).distinct(), "needed")
-    texts = docs.join(needed, "doc_id")
+    needed = materialize(hopeful.groupBy("cls", F.col("rep").alias("doc_id")).agg(F.collect_set("tile").alias("tiles")), "needed")
+    texts = docs.join(needed.drop("tiles"), "doc_id")
     texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, packed binary"), "texts")
-    read = hopeful.drop("rep").join(texts.hint("merge"), "cls").select(*keys, "block", "cls", "packed")  # texts are never broadcast
-    links = materialize(dealt(read).mapInArrow(_joined(percent), "a long, b long"), "joins")
+    one_text = texts.groupBy("cls").agg(F.min("packed").alias("packed"))  # an id may come again with a text of its class
+    read = hopeful.drop("rep").join(one_text.hint("merge"), "cls")  # texts are never broadcast
+    read = read.join(needed.select("cls", "tiles").hint("merge"), "cls").select(*keys, "block", "cls", "copies", "tiles", "packed")
+    joins = materialize(dealt(read).mapInArrow(_joined(percent, count_links), "a long, b long, n long, docs long"), "joins")
     release(listed, large, hopeful, needed, texts)
 
-    roots = materialize(connected_components(links), "roots")
-    found = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = connected_components(joins.where("b is not null"))
+    found = classes.select("cls", "rep", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = materialize(found.join(least, "root").select("cls", "component_id"), "groups")
+    counts = joins.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    groups = found.join(least, "root").join(counts, "cls", "left").select("cls", "component_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("docs"))
+    groups = materialize(groups, "groups")
+    release(classes, joins, roots)
     out = light.select("doc_id", "n_shingles", "cls").join(groups, "cls", "left")
     own_id = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "cls", own_id.alias("component_id"))
+    links = lambda c: F.when(F.lit(count_links), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(c, F.lit(0)))).cast("long")
+    return out.select("doc_id", "n_shingles", "cls", own_id.alias("component_id"), links("n").alias("class_links"), links("docs").alias("n_links"))

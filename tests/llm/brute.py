@@ -16,6 +16,16 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def links(rows, percent=75):
+    """{doc_id: (number of other sets, number of other documents that link)} of (doc_id, text) rows with distinct ids."""
+    sets = {d: frozenset(shingle_set(t)) for d, t in rows}
+    out = {}
+    for d, a in sets.items():
+        linked = [b for e, b in sets.items() if e != d and a and b and 100 * len(a & b) >= percent * len(a | b)]
+        out[d] = len(set(linked) - {a}), len(linked)
+    return out
+
+
 def components(rows, percent=75):
     """{doc_id: smallest id reachable} of (doc_id, text) rows with distinct ids."""
     sets = {d: shingle_set(t) for d, t in rows}

@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from brute import components, cut_lines, random_documents, sha, shingle_set
+from brute import components, cut_lines, links, random_documents, sha, shingle_set
 
 from lodestone.llm import jaccard, line_dedup
 from lodestone.llm.components import connected_components
@@ -21,6 +21,42 @@ def test_jaccard_components_match_brute_force(spark, seed, monkeypatch):
     got = {r.doc_id: r for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {d: r.component_id for d, r in got.items()} == components(rows)
     assert all(got[d].n_shingles == len(shingle_set(t)) for d, t in rows)
+    assert {d: (r.class_links, r.n_links) for d, r in got.items()} == links(rows)
+    plain = jaccard_components(spark.createDataFrame(rows, SCHEMA), count_links=False).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in plain} == {d: (r.component_id, None) for d, r in got.items()}
+
+
+@pytest.mark.parametrize("percent", [1, 30, 50, 90, 100])
+def test_jaccard_at_any_percent(spark, percent, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 16)
+    r = random.Random(percent)
+    base = [f"t{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:n])) for k, n in enumerate((60, 190, 195, 20, 6, 5))]
+    for k in range(10, 40):
+        a = r.randint(0, 150)
+        rows.append((k, " ".join(base[a : a + r.randint(5, 120)])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # lists go on from batch to batch
+    try:
+        got = {d.doc_id: (d.component_id, d.class_links, d.n_links) for d in jaccard_components(spark.createDataFrame(rows, SCHEMA), percent).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    roots, counts = components(rows, percent), links(rows, percent)
+    assert got == {d: (roots[d], *counts[d]) for d in roots}
+
+
+def test_jaccard_refuses_other_percents(spark):
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            jaccard_components(spark.createDataFrame([], SCHEMA), percent)
+
+
+def test_jaccard_counts_links_of_repeated_rows_once(spark):
+    """Rows that come again, under one id or others, and near copies of them."""
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["x"]), " ".join(["y", *base[1:]])]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0].upper()), (2, texts[0]), (3, texts[1]), (4, texts[2]), (4, texts[2])]
+    got = sorted((r.doc_id, r.component_id, r.class_links, r.n_links) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 2, 6)] * 3 + [(2, 1, 2, 6), (3, 1, 2, 6), (4, 1, 2, 6), (4, 1, 2, 6)]
 
 
 def test_jaccard_chain_needs_the_cross_pairs(spark):
