@@ -80,9 +80,11 @@ class Model:
     candidate: np.ndarray  # whether a language uses a script, languages x scripts
     switch: float = SWITCH
     known: np.ndarray = field(init=False)
+    expected: np.ndarray = field(init=False)  # log probability of a letter of text like that learned from
 
     def __post_init__(self):
         self.known = self.candidate.any(axis=0)
+        self.expected = (np.exp(self.table.astype(np.float64)) * self.table).sum(axis=1)
 
     def word_scores(self, words: Words) -> np.ndarray:
         """Log probability of each word under each language; a script that none uses tells nothing."""
@@ -115,6 +117,28 @@ class Model:
         return np.array(out[::-1])
 
 
+    def long_path(self, parts: Iterator[np.ndarray]) -> np.ndarray:
+        """What path() finds, from the scores of one part of a text after the other: a few bytes a word are kept."""
+        total, leads, stays = None, [], []
+        for scores in parts:
+            for column in scores.T:
+                if total is None:
+                    total = column
+                    continue
+                lead = int(total.argmax())
+                floor = total[lead] - self.switch
+                leads.append(lead)
+                stays.append(np.packbits(total >= floor).tobytes())
+                total = np.maximum(total, floor) + column
+        at = int(total.argmax())
+        out = np.empty(len(leads) + 1, np.int32)
+        out[-1] = at
+        for k in range(len(leads) - 1, -1, -1):
+            at = at if stays[k][at >> 3] >> (7 - (at & 7)) & 1 else leads[k]
+            out[k] = at
+        return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Letter contexts and scripts of each language of this task's documents."""
     buckets: dict[str, np.ndarray] = {}
@@ -157,49 +181,90 @@ def learn(docs: DataFrame, per_language: int = TRAIN_DOCS, id_col: str = "doc_id
 SPAN = pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
 
 
-def _label(model: Model, texts: list[str]) -> Iterator[tuple[str, float, list[dict]]]:
+def _parts(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut between words."""
+    script, at = script_table(), 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and script[ord(text[end])]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def _labelled(model: Model, path: np.ndarray, letters: np.ndarray, likely: float) -> tuple[str, float, float, list[dict]]:
+    each = np.bincount(path, letters, len(model.languages))
+    top = int(each.argmax())
+    cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+    spans = [{"first_word": s, "words": e - s, "lang": model.languages[path[s]]} for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+    return model.languages[top], float(each[top] / each.sum()), float((likely - each @ model.expected) / each.sum()), spans
+
+
+def _likely(model: Model, words: Words, scores: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Log probability of each word in its language; letters of a script that no language uses are as unlikely as can be."""
+    return np.where(model.known[words.script], scores[path, np.arange(len(path))], model.table.min() * words.letters.astype(np.float64))
+
+
+def _label(model: Model, texts: list[str]) -> Iterator[tuple[str, float, float, list[dict]]]:
     words = words_of(texts)
     scores = model.word_scores(words) if model.languages else None
     for i in range(len(texts)):
         a, b = words.at[i], words.at[i + 1]
         if a == b or scores is None:
-            yield UNDETERMINED, 0.0, []
+            yield UNDETERMINED, 0.0, 0.0, []
             continue
         path = model.path(scores[:, a:b])
-        letters = np.bincount(path, words.letters[a:b], len(model.languages))
-        top = int(letters.argmax())
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
-        spans = [{"first_word": s, "words": e - s, "lang": model.languages[path[s]]} for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-        yield model.languages[top], float(letters[top] / letters.sum()), spans
+        own = Words(words.letters[a:b], words.script[a:b], words.at, words.bucket, words.first)
+        yield _labelled(model, path, own.letters, float(_likely(model, own, scores[:, a:b], path).sum()))
+
+
+def _label_long(model: Model, text: str, most: int) -> tuple[str, float, float, list[dict]]:
+    """As _label, for one text that is scored in parts."""
+    cuts = [words_of([part]) for part in _parts(text, most)] if model.languages else []
+    if not sum(len(w.first) for w in cuts):
+        return UNDETERMINED, 0.0, 0.0, []
+    path, at, likely = model.long_path(model.word_scores(w) for w in cuts), 0, 0.0
+    for w in cuts:
+        likely += float(_likely(model, w, model.word_scores(w), path[at : at + len(w.first)]).sum())
+        at += len(w.first)
+    return _labelled(model, path, np.concatenate([w.letters for w in cuts]), likely)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and spans: nothing but the text is looked at.
+    """docs with lang_pred, score, fit and spans: nothing but the text is looked at.
 
     Words are runs of letters. Every word is scored under each language whose training text uses its
     script, and the path of languages with the highest total, less a cost for each change, labels the
-    words. lang_pred has most letters (of equals, the first by name), score is its share of the letters,
-    spans are its runs: first_word, words, lang. Null or letterless text: und, score 0, no spans. So is
-    everything if the model has no language. Columns of these three names are replaced.
+    words. lang_pred has most letters (of equals, the first by name), score is its share of the letters, fit is how much
+    likelier or, if negative, less likely a letter is than one of text like that learned from (in nats; text in a language that wasn't
+    learned is far below), spans are its runs: first_word, words, lang. Null or letterless text: und, score and fit 0, no spans. So is
+    everything if the model has no language. Columns of these four names are replaced. Long texts are scored in parts.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "fit", "spans")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
     where = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = 8 * CHUNK_CHARS // max(8, len(held.value.languages))
         for batch in batches:
             texts = batch.column(where).to_pylist()
             out, chunk, size = [], [], 0
             for t in texts:
+                if len(t or "") > 2 * most:
+                    out += _label(held.value, chunk)
+                    out.append(_label_long(held.value, t, most))
+                    chunk, size = [], 0
+                    continue
                 chunk.append(t or "")
                 size += len(chunk[-1])
-                if size * max(8, len(held.value.languages)) >= 8 * CHUNK_CHARS:
+                if size >= most:
                     out += _label(held.value, chunk)
                     chunk, size = [], 0
             out += _label(held.value, chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(SPAN))], names=[*names, "lang_pred", "score", "spans"])
+            added = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.list_(SPAN)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "lang_pred", "score", "fit", "spans"])
 
-    added = StructType.fromDDL("lang_pred string, score double, spans array<struct<first_word:int,words:int,lang:string>>")
+    added = StructType.fromDDL("lang_pred string, score double, fit double, spans array<struct<first_word:int,words:int,lang:string>>")
     schema = StructType([*docs.schema.fields, *added.fields])
     return docs.mapInArrow(run, schema)

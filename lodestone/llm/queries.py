@@ -48,7 +48,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = learn(docs.where(~held_out))
     named = identify(docs.select("doc_id", "text"), model)
-    return named.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return named.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "fit", F.size("spans").alias("n_spans"))
 
 
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
