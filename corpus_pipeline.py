@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written before the next one reads it.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Rows with a null id are documents like others; they have no
+earlier copy to lose lines to in line_dedup, and lose to a copy with an id in near_duplicates.
 """
 
 from __future__ import annotations
@@ -13,22 +14,25 @@ from pyspark.sql import functions as F
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import UNDETERMINED, identify, learn
 from lodestone.llm.line_dedup import dedup_lines
-from lodestone.llm.mixing import mix_sources
+from lodestone.llm.mixing import WORD, mix_sources, token_count
 from lodestone.llm.packing import pack_documents
-from lodestone.scratch import materialize
+from lodestone.scratch import materialize, release, tidy
 from lodestone.sources.corpus import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Share of a text's letters that its language must have. Low, so that a short text with a license line in another language stays.
-LEAST_SHARE = 0.4
+#: A text stays if its language has the majority of its letters and a letter is no more than e**5 times less likely in it
+#: than in text learned from. Clean short texts with a license line in English reach 0.5 and -4; text in a language that
+#: wasn't learned lies at -7 and below.
+LEAST_SHARE, LEAST_FIT = 0.5, -5.0
 MIX_SHARE, MIX_SEED = (19, 20), 7
 MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 8}}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language or with none that has two fifths of the letters; fills in languages that are missing."""
+    """Drops documents without letters, without a language that has the majority, or in none that was learned; fills in languages that are missing."""
     model = learn(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    kept = identify(docs.select(*COLUMNS), model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    named = identify(docs.select(*COLUMNS), model)
+    kept = named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE) & (F.col("fit") >= LEAST_FIT))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -40,17 +44,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every component; rows without an id stay."""
-    found = jaccard_components(docs)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialize(others, "others").hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of every component: the smallest id, a null id last, of one id the row with the least hash.
+
+    Rows are told apart by a hash of all their columns, so several texts of one id are several documents and
+    rows that are equal throughout are one.
+    """
+    rows = docs.select(*COLUMNS).distinct().withColumn("row", F.xxhash64(*COLUMNS))
+    rows = materialize(rows, "rows")
+    found = jaccard_components(rows, count_links=False, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
+    hung = materialize(found.where("row <> root"), "hung")
+    members = hung.union(hung.select("root", "root").distinct()).join(rows.select("row", "doc_id"), "row")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("root", "first.row")
+    others = materialize(members.select("root", "row").join(first, ["root", "row"], "left_anti").select("row"), "others")
+    return rows.join(others.hint("merge"), "row", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents from which the target mixture takes words, within 95 % of all words."""
-    taken = mix_sources(docs, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE, MIX_SEED)
-    chosen = materialize(taken.select("doc_id").distinct(), "chosen")
-    return docs.select(*COLUMNS).join(chosen.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps what the target mixture takes, within 95 % of all words; the document in which a leaf's prefix ends is cut there.
+
+    With one epoch and so large a share most leaves are taken whole, and the weights decide which ones give up the rest.
+    Rows with the same id and text are taken together.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
+    taken = mix_sources(keyed, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE, MIX_SEED, id_col="key")
+    chosen = materialize(taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("take_tokens").alias("take")), "chosen")
+    rows = keyed.join(chosen.hint("merge"), "key").withColumn("cut", F.col("take") < token_count(F.col("text")))
+    words = F.regexp_extract_all("text", F.lit(rf"[ \t\n\x0B\f\r]*{WORD}"), F.lit(0))  # each with the blanks before it
+    prefix = F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("cut"), prefix).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +88,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with tidy(spark) as kept:
+            after = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(after)
+        release(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
