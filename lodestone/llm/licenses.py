@@ -21,56 +21,56 @@ GATE = ["licen", "copyright", "spdx", "creative", "domain", "warrant", "reserved
 VERBS = "licensed|released|distributed|available|provided|published|offered|covered|redistributed"
 UNDER = rf"(?:{VERBS}){GAP}(?:{WORD}{GAP})?under{GAP}"
 
-#: Licenses: label, name as words (a regular expression), keyword that every name holds (of two letters or less: not looked for), slugs in SPDX tags and addresses.
+#: Licenses: label, name as words (a regular expression), keywords of which every name holds one, slugs in SPDX tags and addresses.
 FAMILIES = [
-    ("mit", "(?:mit|expat|mit expat|x11 mit)", "t", "mit"),
+    ("mit", "(?:mit|expat|mit expat|x11 mit)", "mit|expat", "mit"),
     ("mit-0", "mit (?:0|no attribution)", "mit", "mit 0"),
     ("x11", "x11", "x11", "x11"),
     ("apache-1.0", "apache(?: software)?(?: license)?(?: version| v)? 1 0", "apache", "apache 1 0"),
     ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? 1 1", "apache", "apache 1 1"),
     ("apache-2.0", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache", "apache 2 0"),
-    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", "g", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", "g", "gpl 2 0(?: only| or later)?"),
-    ("gpl-3.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", "g", "gpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?", "g", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", "g", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", "g", "lgpl 3 0(?: only| or later)?"),
-    ("agpl-3.0", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?", "g", "agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.3", "(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1(?: [0-9])?", "f", "gfdl 1 3(?: only| or later)?"),
+    ("gpl-1.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", "gpl|general public", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?2(?: 0)?", "gpl|general public", "gpl 2 0(?: only| or later)?"),
+    ("gpl-3.0", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?3(?: 0)?", "gpl|general public", "gpl 3 0(?: only| or later)?"),
+    ("lgpl-2.0", "(?:gnu )?(?:lgpl|library general public license)(?: version| v)? ?2(?: 0)?", "lgpl|library general", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?2 1", "lgpl|lesser general", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?3(?: 0)?", "lgpl|lesser general", "lgpl 3 0(?: only| or later)?"),
+    ("agpl-3.0", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?3(?: 0)?", "agpl|affero", "agpl 3 0(?: only| or later)?"),
+    ("gfdl-1.3", "(?:gnu )?(?:gfdl|free documentation license)(?: version| v)? ?1(?: [0-9])?", "gfdl|free documentation", "gfdl 1 3(?: only| or later)?"),
     ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd", "bsd 2 clause"),
     ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)", "bsd", "bsd 3 clause"),
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)", "bsd", "bsd 4 clause"),
     ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", "bsd", "0bsd"),
     ("isc", "isc", "isc", "isc"),
-    ("mpl-1.1", "(?:mpl|mozilla public license)(?: version| v)? ?1 1", "m", "mpl 1 1"),
-    ("mpl-2.0", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", "m", "mpl 2 0"),
-    ("epl-1.0", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", "e", "epl 1 0"),
-    ("epl-2.0", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", "e", "epl 2 0"),
-    ("eupl-1.2", "(?:eupl|european union public licen[cs]e)(?: version| v)? ?1 2", "eu", "eupl 1 2"),
-    ("cddl-1.0", "(?:cddl|common development and distribution license)(?: version| v)? ?1(?: 0)?", "d", "cddl 1 0"),
-    ("cpl-1.0", "(?:cpl|common public license)(?: version| v)? ?1(?: 0)?", "c", "cpl 1 0"),
+    ("mpl-1.1", "(?:mpl|mozilla public license)(?: version| v)? ?1 1", "mpl|mozilla", "mpl 1 1"),
+    ("mpl-2.0", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", "mpl|mozilla", "mpl 2 0"),
+    ("epl-1.0", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", "epl|eclipse", "epl 1 0"),
+    ("epl-2.0", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", "epl|eclipse", "epl 2 0"),
+    ("eupl-1.2", "(?:eupl|european union public licen[cs]e)(?: version| v)? ?1 2", "eupl|european union", "eupl 1 2"),
+    ("cddl-1.0", "(?:cddl|common development and distribution license)(?: version| v)? ?1(?: 0)?", "cddl|common development", "cddl 1 0"),
+    ("cpl-1.0", "(?:cpl|common public license)(?: version| v)? ?1(?: 0)?", "cpl|common public", "cpl 1 0"),
     ("artistic-2.0", "(?:perl )?artistic(?: license)?(?: version| v)? ?2(?: 0)?", "artistic", "artistic 2 0"),
     ("bsl-1.0", "boost software(?: license)?(?: version| v)? ?1(?: 0)?", "boost", "bsl 1 0"),
     ("busl-1.1", "business source(?: license)?(?: version| v)? ?1 1", "business", "busl 1 1"),
     ("zlib", "(?:zlib|zlib libpng)", "zlib", "zlib"),
     ("unlicense", "(?:the )?unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
-    ("python-2.0", "(?:python software foundation|psf)(?: license)?(?: version| v)? ?2(?: 0)?", "p", "python 2 0"),
+    ("python-2.0", "(?:python software foundation|psf)(?: license)?(?: version| v)? ?2(?: 0)?", "psf|python software", "python 2 0"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl", "openssl"),
-    ("ofl-1.1", "(?:sil )?(?:ofl|open font license)(?: version| v)? ?1 1", "o", "ofl 1 1"),
-    ("ms-pl", "(?:microsoft|ms) (?:public license|pl)", "m", "ms pl"),
-    ("odbl-1.0", "(?:odbl|open(?: data commons)? (?:open )?database license)(?: version| v)?(?: 1 0)?", "o", "odbl 1 0"),
-    ("odc-by-1.0", "(?:odc by|open data commons attribution license)(?: version| v)?(?: 1 0)?", "o", "odc by 1 0"),
-    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)(?: universal)?(?: version| v)?(?: 1 0)?", "c", "(?:cc0|publicdomain zero|zero) 1 0"),
+    ("ofl-1.1", "(?:sil )?(?:ofl|open font license)(?: version| v)? ?1 1", "ofl|open font", "ofl 1 1"),
+    ("ms-pl", "(?:microsoft|ms) (?:public license|pl)", "ms p|microsoft p", "ms pl"),
+    ("odbl-1.0", "(?:odbl|open(?: data commons)? (?:open )?database license)(?: version| v)?(?: 1 0)?", "odbl|database", "odbl 1 0"),
+    ("odc-by-1.0", "(?:odc by|open data commons attribution license)(?: version| v)?(?: 1 0)?", "odc by|data commons", "odc by 1 0"),
+    ("cc0-1.0", "(?:cc0|cc zero|creative commons zero)(?: universal)?(?: version| v)?(?: 1 0)?", "cc0|cc zero|commons zero", "(?:cc0|publicdomain zero|zero) 1 0"),
     *(
-        (f"cc-{code.replace(' ', '-')}-{version}", f"(?:cc|creative commons) (?:{code}|{words})(?: version| v)? {version.replace('.', ' ')}(?: international| unported| license)*", "c", f"(?:cc )?{code} {version.replace('.', ' ')}")
+        (f"cc-{code.replace(' ', '-')}-{version}", f"(?:cc|creative commons) (?:{code}|{words})(?: version| v)? {version.replace('.', ' ')}(?: international| unported| license)*", "cc|creative commons", f"(?:cc )?{code} {version.replace('.', ' ')}")
         for code, words in [("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:s|atives)"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:s|atives)")]
         for version in ("2.0", "3.0", "4.0")
     ),
 ]
 
-#: Ways to name a license: priority (1 goes first), confidence, pattern of name and slug, keyword beside the name's.
+#: Ways to name a license: priority (1 goes first), confidence, pattern of name or slug, keyword beside the name's.
 FORMS = [
     (1, 0.99, "spdx license identifier {slug}", "spdx"),
     (1, 0.95, f"(?:{VERBS})(?: [^ ]+)? under(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the| a)? {{name}}(?: licen[cs]e)?", "under"),
@@ -105,6 +105,7 @@ class Rule:
     confidence: float
     pattern: str
     keyword: str
+    names: tuple[str, ...] = ("",)
 
 
 def rules() -> list[Rule]:
@@ -113,8 +114,8 @@ def rules() -> list[Rule]:
     made = []
     for priority, confidence, form, beside in FORMS:
         for label, name, keyword, slug in FAMILIES:
-            named = keyword if len(keyword) > 2 and "{name}" in form else beside
-            made.append(Rule(priority, label, confidence, whole(form.format(name=name, slug=slug)), named))
+            names = tuple(keyword.split("|")) if "{name}" in form else ("",)
+            made.append(Rule(priority, label, confidence, whole(form.format(name=name, slug=slug)), beside, names))
     return made + [Rule(p, label, c, whole(pattern), k) for p, label, c, pattern, k in SINGLE_RULES]
 
 
@@ -145,7 +146,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts with A-Z lowered are cut into words. n_base counts the places of the base phrases, first_word and
     last_word are their smallest and largest starts in words from 0, null if there is none. Texts that no rule can match, as
-    they hold none of its words, are not looked at further. A rule runs where its own keyword stands, which all it matches holds.
+    they hold none of its words, are not looked at further. A rule runs where its own keywords stand, which all it matches holds.
     Of all matches in order of start, longer first, then priority, one goes if an earlier one of the same or a
     higher priority contains it. detections are those left: first, behind (in words), priority, label, confidence.
     labels are theirs and the base labels, score is their highest confidence, 0 if there is none.
@@ -153,7 +154,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty. A null id is carried on; repeated rows each give a row. Other columns are ignored.
     """
     # one literal: three hundred structs of literals would take the optimizer seconds
-    listed = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<priority:int,label:string,confidence:double,pattern:string,keyword:string>>")
+    listed = F.from_json(F.lit(json.dumps([asdict(r) for r in rules()])), "array<struct<priority:int,label:string,confidence:double,pattern:string,keyword:string,names:array<string>>>")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.lower("text").alias("low"))
     gate = F.lit(False)
@@ -167,7 +168,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     nothing = F.array().cast("array<struct<first:int,behind:int,label:string>>")
     base = F.flatten(F.array(*(_labelled(_places(F.col("norm"), F.lit(f"(?<![^ ]){phrase}(?![^ ])")), label) for phrase, label in BASE_PHRASES.items())))
-    hits = F.flatten(F.transform(F.filter(listed, lambda r: F.col("norm").contains(r["keyword"])), lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda h: F.struct(h["first"].alias("first"), (-h["behind"]).alias("until"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
+    runs = lambda r: F.col("norm").contains(r["keyword"]) & F.exists(r["names"], lambda n: F.col("norm").contains(n))
+    hits = F.flatten(F.transform(F.filter(listed, runs), lambda r: F.transform(_places(F.col("norm"), r["pattern"]), lambda h: F.struct(h["first"].alias("first"), (-h["behind"]).alias("until"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     hit = "array<struct<first:int,until:int,priority:int,label:string,confidence:double>>"
     texts = texts.select("doc_id", "n_words", F.when(F.col("norm").isNull(), nothing).otherwise(base).alias("base"), F.when(F.col("norm").isNull(), F.array().cast(hit)).otherwise(F.array_sort(hits)).alias("hits"))
 

@@ -19,7 +19,7 @@ def plain(text):
     base = [(i, label) for phrase, label in BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     hits = []
     for r in rules():
-        if any(g in text.lower() for g in GATE) and r.keyword in norm:
+        if any(g in text.lower() for g in GATE) and r.keyword in norm and any(n in norm for n in r.names):
             for m in re.finditer(r.pattern, norm):
                 hits.append((len(norm[: m.start()].split()), len(norm[: m.end()].split()), r.priority, r.label, r.confidence))
     hits.sort(key=lambda h: (h[0], -h[1], *h[2:]))
@@ -56,7 +56,8 @@ def test_gate_and_keywords_lose_nothing(spark, monkeypatch):
     words = sorted({w for _, name, _, slug in FAMILIES for w in re.findall("[a-z0-9]+", f"{name} {slug}")} | {w for f in [*FORMS, *SINGLE_RULES] for w in re.findall("[a-z0-9]{2,}", str(f))} | {"Été", "Foo"})
     names = ["MIT", "Expat", "Apache 2.0", "BSD 3-clause", "MPL 2.0", "CC_BY 4.0", "CC\nBY 4.0", "GPL v3", "ISC", "zlib", "MS-PL", "the Unlicense"]
     verbs = ["Released", "DISTRIBUTED", "available", "published", "offered now", "covered İx", "redistributed", "Licensed"]
-    texts = [f"{v}{gap}under{gap}{the}{n}." for v in verbs for n in names for gap, the in [(" ", "the "), ("\n", ""), (" -- ", "the terms of the ")]]
+    texts = ["Released under MIT.", "Released under Apache 2.0", "distributed under the terms of BSD 3-clause", "released under the ISC"]
+    texts += [f"{v}{gap}under{gap}{the}{n}." for v in verbs for n in names for gap, the in [(" ", "the "), ("\n", ""), (" -- ", "the terms of the ")]]
     texts += [f"licensed under the {n} License" for n in names] + [f"{n} Licence" for n in names] + [f"License: {n}" for n in names]
     texts += [" ".join(r.choice(words) for _ in range(r.randint(2, 60))) for _ in range(200)]
     got = {d.doc_id: tuple(d)[1:8] + ([tuple(x) for x in d.detections],) for d in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -64,6 +65,7 @@ def test_gate_and_keywords_lose_nothing(spark, monkeypatch):
     monkeypatch.setitem(globals(), "rules", lambda made=rules(): [type(x)(x.priority, x.label, x.confidence, x.pattern, "") for x in made])
     for i, t in enumerate(texts):
         assert got[i] == plain(t), t
+    assert [got[i][5] for i in range(4)] == ["mit", "apache-2.0", "bsd-3-clause", "isc"]
     by_text = {t: got[i][5] for i, t in enumerate(texts)}
     assert by_text["licensed under the Expat License"].split(",")[0] == "mit"
     assert by_text["Released under the CC_BY 4.0."] == "cc-by-4.0"
