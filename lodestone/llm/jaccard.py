@@ -49,6 +49,9 @@ def _bitmap(grams: np.ndarray, per_shingle: int) -> bytes:
     return np.packbits(hit, bitorder="little").tobytes()
 
 
+#: Bits of the filter that keeps texts which can't be asked for out of the shuffle; it is no more than that, whatever the input.
+FILTER_BITS = 1 << 24
+
 SUMMARY = "kind int, doc_id long, n_shingles long, cls long, bitmap binary, gram long, cnt long"
 
 
@@ -331,6 +334,26 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(packed, pa.binary())], names=["cls", "packed"])
 
 
+def _asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't among ids: one bit of a filter of a fixed size stands for each id."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    marks = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        words[r.word] = r.bits
+    if np.bitwise_count(words).sum() > FILTER_BITS // 2:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value.view(np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+    return docs.select("doc_id", "text", place.alias("place")).where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+
+
 def _common_shingles(seen: DataFrame) -> np.ndarray:
     """The most common shingles, from most to least: all with counts from some step of a logarithmic scale on, COMMON_SHINGLES at most.
 
@@ -349,18 +372,18 @@ def _common_shingles(seen: DataFrame) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, count_links: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate components of documents: (doc_id, n_shingles, cls, component_id, class_links, n_links), one row per input row.
+    """Near-duplicate components of documents: (doc_id, n_shingles, class_id, component_id, class_links, n_links), one row per input row.
 
     Words are runs of anything but blanks and the controls 9 to 13, with A-Z lowered. A text of one to
     four words has its whole word sequence as its only shingle. Two documents link when
     100 * |A and B| >= percent * |A or B|. component_id is the smallest id reachable by links, the
-    document's own included; cls names the documents with one shingle set. class_links is the number of other sets that link with
+    document's own included; class_id is the smallest id with the document's shingle set. class_links is the number of other sets that link with
     the document's, n_links that of other rows: those of these sets and of its own. Without count_links both are
     null, and sets that are joined already are not compared.
 
     percent is 1 to 100, else a ValueError is raised.
-    Null or blank text: an empty set, linked with nothing, component_id is the own id. Null id: the row
-    is returned with its size and a null component_id and links nothing. Repeated rows are returned as
+    Null or blank text: an empty set, linked with nothing, component_id and class_id are the own id. Null id: the row
+    is returned with its size, null for both ids, and links nothing. Repeated rows are returned as
     often as they come. Other columns are ignored. An empty table gives an empty result.
 
     Shingles and classes are 64-bit hashes; at 10**11 texts a few unrelated classes of one size could meet.
@@ -387,12 +410,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, count_links: bool = T
     dealt = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
     hopeful = materialize(dealt(members).mapInArrow(_hopeful(percent), "tile long, i_block int, j_block int, block int, cls long, rep long, copies long"), "hopeful")
 
-    needed = materialize(hopeful.groupBy("cls", F.col("rep").alias("doc_id")).agg(F.collect_set("tile").alias("tiles")), "needed")
-    texts = docs.join(needed.drop("tiles"), "doc_id")
+    needed = materialize(hopeful.select("cls", F.col("rep").alias("doc_id")).distinct(), "needed")
+    texts = _asked_for(docs, needed.select("doc_id")).join(needed, "doc_id")
     texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, packed binary"), "texts")
     one_text = texts.groupBy("cls").agg(F.min("packed").alias("packed"))  # an id may come again with a text of its class
     read = hopeful.drop("rep").join(one_text.hint("merge"), "cls")  # texts are never broadcast
-    read = read.join(needed.select("cls", "tiles").hint("merge"), "cls").select(*keys, "block", "cls", "copies", "tiles", "packed")
+    tiles_of = hopeful.groupBy("cls").agg(F.collect_set("tile").alias("tiles"))
+    read = read.join(tiles_of.hint("merge"), "cls").select(*keys, "block", "cls", "copies", "tiles", "packed")
     joins = materialize(dealt(read).mapInArrow(_joined(percent, count_links), "a long, b long, n long, docs long"), "joins")
     release(listed, large, hopeful, needed, texts)
 
@@ -400,10 +424,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, count_links: bool = T
     found = classes.select("cls", "rep", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     counts = joins.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    groups = found.join(least, "root").join(counts, "cls", "left").select("cls", "component_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("docs"))
+    groups = found.join(least, "root").join(counts, "cls", "left").select("cls", "rep", "component_id", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("docs"))
     groups = materialize(groups, "groups")
     release(classes, joins, roots)
     out = light.select("doc_id", "n_shingles", "cls").join(groups, "cls", "left")
-    own_id = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    id_of = lambda c: F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce(c, "doc_id"))
     links = lambda c: F.when(F.lit(count_links), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce(c, F.lit(0)))).cast("long")
-    return out.select("doc_id", "n_shingles", "cls", own_id.alias("component_id"), links("n").alias("class_links"), links("docs").alias("n_links"))
+    return out.select("doc_id", "n_shingles", id_of("rep").alias("class_id"), id_of("component_id").alias("component_id"), links("n").alias("class_links"), links("docs").alias("n_links"))

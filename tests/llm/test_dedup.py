@@ -22,6 +22,8 @@ def test_jaccard_components_match_brute_force(spark, seed, monkeypatch):
     assert {d: r.component_id for d, r in got.items()} == components(rows)
     assert all(got[d].n_shingles == len(shingle_set(t)) for d, t in rows)
     assert {d: (r.class_links, r.n_links) for d, r in got.items()} == links(rows)
+    sets = {d: frozenset(shingle_set(t)) for d, t in rows}
+    assert all(got[d].class_id == min([d] + [e for e in sets if x and sets[e] == x]) for d, x in sets.items())
     plain = jaccard_components(spark.createDataFrame(rows, SCHEMA), count_links=False).collect()
     assert {r.doc_id: (r.component_id, r.n_links) for r in plain} == {d: (r.component_id, None) for d, r in got.items()}
 
