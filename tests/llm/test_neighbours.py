@@ -49,14 +49,17 @@ def test_recall_and_exact_scores(spark, sf):
     assert hits / (10 * len(want)) >= 0.9
 
 
-def test_odd_vectors_blocks_and_few_candidates(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [0, 1000])
+def test_odd_vectors_blocks_and_few_candidates(spark, monkeypatch, whole):
     monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 1)
+    monkeypatch.setattr(neighbours, "WHOLE", whole)
     r = np.random.default_rng(2)
     base = r.normal(size=3).tolist()
     rows = [(i, (np.array(base) + 1e-3 * r.normal(size=3)).tolist()) for i in range(60)] + [(100, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (200, [5.0, 1.0]), (201, [5.0, 2.0])]
     odd = [(300, None), (400, []), (500, [0.0, 0.0, 0.0]), (600, [float("nan"), 1.0, 1.0]), (700, [None, 1.0, 2.0]), (800, [float("inf"), 1.0, 1.0]), (None, base)]
     frame = spark.createDataFrame(rows + odd, SCHEMA).selectExpr("*", "'x' as v", "1 as query", "2 as uid")
-    got = sorted(tuple(x) for x in nearest(frame, F.col("vec_id") % 100 == 0, 5, tables=2, probes=1).collect())
+    got = sorted(tuple(x) for x in nearest(frame, F.col("vec_id") % 100 == 0, 5, tables=2, probe_share=0.4).collect())
     asked = {q for q, *_ in got}
     assert asked == {0, 100, 200}
     for q, n in ((0, 5), (100, 10), (200, 1)):
@@ -84,3 +87,29 @@ def test_ties_in_groups_of_equal_and_nearly_equal_vectors(spark):
     want = exact(ids, x, [at[q] for q in queries], 10)
     for q in queries:
         assert [i for _, i, _ in sorted(got[q])] == [i for _, i in want[q]]
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.5, 2.0])
+def test_recall_on_vectors_of_mixed_lengths(spark, spread):
+    """Lengths that vary by some percent, within a factor of a few, over five orders of magnitude; and an exact search of all."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 24)) * np.exp(spread * r.normal(size=(3000, 1)))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    queries = list(range(0, 3000, 100))
+    want = exact(list(range(3000)), x, queries, 10)
+    for share, least in ((neighbours.PROBE_SHARE, 0.9), (1.0, 1.0)):
+        got = {}
+        for q, _, i, _ in nearest(frame, F.col("vec_id") % 100 == 0, probe_share=share).collect():
+            got.setdefault(q, set()).add(i)
+        assert sum(len(got[q] & {i for _, i in want[q]}) for q in queries) / (10 * len(queries)) >= least
+
+
+def test_extended_vectors_keep_the_order_of_distances():
+    r = np.random.default_rng(6)
+    x, q = r.normal(size=(50, 8)) * r.uniform(0.7, 1.4, size=(50, 1)), r.normal(size=(1, 8))
+    square = (x * x).sum(axis=1)
+    scale = np.sqrt(2 * square.std())
+    space = neighbours.Space(8, square.mean(), scale, square.max() + (np.abs(square - square.mean()).max() / scale) ** 2)
+    m = space.members(x)
+    assert np.allclose((m * m).sum(axis=1), space.most)
+    assert (np.argsort(-(m @ space.queries(q)[0])) == np.argsort(((x - q) ** 2).sum(axis=1))).all()
