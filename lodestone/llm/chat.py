@@ -36,16 +36,20 @@ def _role_name(role: Column) -> Column:
 def format_conversations(turns: DataFrame, trained_role: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_mask): one row per conversation.
 
-    Turns are sorted by turn, then role and escaped text. Neighbouring turns of one role become one block:
+    Turns are sorted by turn, then role and text. Neighbouring turns of one role become one block:
     `### role: text<part/>text</turn>` and a line end. Control strings in texts are escaped; read_back()
     undoes it. loss_mask is an array of (start, length) in characters of formatted, one for each text of
     the trained role, without marks between them.
 
-    Null text and null role count as empty; a null turn sorts first; a null conv_id is a conversation of
-    its own. Repeated rows are turns like others. Other columns are ignored; an empty table gives no rows.
+    Null text and null role count as empty; a null turn sorts first; every row with a null conv_id is a conversation
+    of its own. Repeated rows are turns like others. Other columns are ignored; an empty table gives no rows.
+    A conversation becomes one text, so it is collected into one row.
     """
-    turn = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), escape(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
-    sorted_turns = turns.groupBy(F.col(f"`{conv_col}`").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    given = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+    alone = F.when(F.col(f"`{conv_col}`").isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(f"`{conv_col}`").alias("conv_id"), alone.alias("alone"), F.struct(F.col(f"`{turn_col}`").alias("turn"), given(role_col).alias("role"), given(text_col).alias("text")).alias("said"))
+    listed = F.transform(F.array_sort(F.collect_list("said")), lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")))
+    sorted_turns = rows.groupBy("conv_id", "alone").agg(listed.alias("turns"))
     # a turn opens a block if the role before it is another, closes one if the role behind it is
     at = lambda k: F.try_element_at("turns", k)["role"]
     opens = lambda t, i: (i == 0) | (at(F.greatest(i, F.lit(1))) != t["role"])

@@ -12,12 +12,12 @@ from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.exact_dedup import exact_duplicates
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import identify, learn
-from lodestone.llm.licenses import scan_licenses
+from lodestone.llm.licenses import BASE_PHRASES, rules, scan_licenses
 from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.neighbours import nearest
 from lodestone.llm.packing import pack_documents
-from lodestone.llm.urlfilter import filter_urls, host
+from lodestone.llm.urlfilter import SEGMENT, filter_urls, host
 from lodestone.sources.corpus import spread
 
 
@@ -64,7 +64,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     day = lambda factor: F.expr(f"date_add(date'2023-01-01', cast(pmod(page_id * {factor}, 730) as int))")
     labels = F.split(host(F.col("url")), r"\.")
-    segment = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/([^/?#]+)", 1)
+    segment = F.regexp_extract("url", SEGMENT, 1)
     key = F.when(F.col("page_id") % 3 == 0, F.array_join(F.slice(labels, -3, 3), ".")).when(F.col("page_id") % 3 == 1, host(F.col("url"))).otherwise(F.concat(host(F.col("url")), F.lit("/"), segment))
     name = F.when(F.col("page_id") % 7 == 0, "allow").when(F.col("page_id") % 7 < 4, "adult").otherwise("spam")
     action = F.when(F.col("page_id") % 5 < 3, "add").otherwise("remove")
@@ -152,6 +152,40 @@ FROM taken WHERE epoch < epochs OR start < rest
 """
 )
 
+def _wide(pattern: str) -> str:
+    """A rule's pattern for words that each have a blank on both sides, as this engine can't look around."""
+    inner = pattern.removeprefix("(?<![^ ])(?:").removesuffix(")(?![^ ])")
+    inner = inner.replace("[^ ]", "\0").replace(" ?", "\1")
+    return " (?:" + inner.replace(" ", "  ").replace("\1", "(?:  )?").replace("\0", "[^ ]") + ") "
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op2_rules() -> str:
+    values = [f"({r.priority}, {_quoted(r.label)}, CAST({r.confidence} AS DOUBLE), {_quoted(_wide(r.pattern))}, {_quoted(r.keyword)}, [{', '.join(map(_quoted, r.names))}])" for r in rules()]
+    return ", ".join(values)
+
+
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT *, array_to_string(w, ' ') AS norm, ' ' || array_to_string(w, '  ') || ' ' AS wide FROM d),
+base_rules AS (SELECT unnest([{phrases}]) AS phrase, unnest([{phrase_labels}]) AS label),
+base AS (SELECT row, label, p FROM (SELECT row, label, w, len(string_split(phrase, ' ')) AS k, phrase, unnest(range(0, len(w))) AS p FROM n, base_rules WHERE contains(norm, phrase)) WHERE array_to_string(w[p + 1:p + k], ' ') = phrase),
+rules AS (SELECT * FROM (VALUES {rules}) AS r(priority, label, confidence, pattern, keyword, names)),
+pieces AS (SELECT row, priority, label, confidence, string_split_regex(wide, pattern) AS gaps, regexp_extract_all(wide, pattern) AS found FROM n, rules WHERE contains(norm, keyword) AND len(list_filter(names, lambda x: contains(norm, x))) > 0),
+sized AS (SELECT row, priority, label, confidence, generate_subscripts(found, 1) AS k, list_transform(gaps, lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> ''))) AS g, list_transform(found, lambda x: len(list_filter(string_split(x, ' '), lambda y: y <> ''))) AS f FROM pieces WHERE len(found) > 0),
+hits AS (SELECT row, priority, label, confidence, CAST(list_sum(g[:k]) + coalesce(list_sum(f[:k - 1]), 0) AS BIGINT) AS first, CAST(list_sum(g[:k]) + list_sum(f[:k]) AS BIGINT) AS behind FROM sized),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY first, behind DESC, priority, label, confidence) AS nth FROM hits),
+kept AS (SELECT * FROM ordered h WHERE NOT EXISTS (SELECT 1 FROM ordered o WHERE o.row = h.row AND o.nth < h.nth AND o.behind >= h.behind AND o.priority <= h.priority)),
+b AS (SELECT row, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY row),
+k AS (SELECT row, list(label) AS labels, max(confidence) AS score FROM kept GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(k.labels, [])))), ',') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM n LEFT JOIN b USING (row) LEFT JOIN k USING (row)
+""".replace("{phrases}", ", ".join(map(_quoted, BASE_PHRASES))).replace("{phrase_labels}", ", ".join(map(_quoted, BASE_PHRASES.values()))).replace("{rules}", _op2_rules())
+
 OP5 = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
@@ -208,9 +242,39 @@ FROM e GROUP BY conv_id
 """
 
 
+OP9 = r"""
+WITH raw AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT doc_id, line, array_to_string(w, ' ') AS body, len(w) AS n FROM (SELECT doc_id, line, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS w FROM raw) WHERE len(w) > 0),
+c AS (SELECT doc_id, row_number() OVER o AS k, line, body, n, CAST(sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY line)),
+lists AS (SELECT doc_id, list(body ORDER BY k) AS bodies, list(line ORDER BY k) AS lines FROM c GROUP BY doc_id),
+ends AS (SELECT a.doc_id, a.k AS i, min(b.k) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+   UNION SELECT b.doc_id, max(a.k), b.k FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.k),
+runs AS (SELECT doc_id, lines[i] AS lo, lines[j] AS hi, md5(array_to_string(bodies[i:j], chr(10))) AS digest FROM ends JOIN lists USING (doc_id)),
+later AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, lo) AS nth FROM runs) WHERE nth > 1),
+gone AS (SELECT DISTINCT r.doc_id, r.line FROM raw r JOIN later l ON r.doc_id = l.doc_id AND r.line BETWEEN l.lo AND l.hi),
+marked AS (SELECT r.doc_id, r.line, r.body, g.line IS NOT NULL AS goes FROM raw r LEFT JOIN gone g USING (doc_id, line)),
+done AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS removed_lines, coalesce(sum(len(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) FILTER (goes), 0) AS removed_words, coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (NOT goes), '') AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_lines, 0) AS removed_lines, CAST(coalesce(removed_words, 0) AS BIGINT) AS removed_words, done.text FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS grams FROM w),
+named AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n, CASE WHEN len(grams) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(grams)) END AS cls, grams FROM s),
+classes AS (SELECT cls, any_value(n) AS n, any_value(grams) AS grams, count(*) AS copies FROM named WHERE n > 0 GROUP BY cls),
+listed AS (SELECT cls, n, unnest(grams) AS gram FROM classes),
+pairs AS (SELECT a.cls AS a, b.cls AS b FROM listed a JOIN listed b ON a.gram = b.gram AND a.cls <> b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+roots AS (SELECT a AS cls, min(b) AS root FROM reach GROUP BY a),
+counts AS (SELECT a AS cls, count(*) AS links, CAST(sum(copies) AS BIGINT) AS docs FROM pairs JOIN classes ON classes.cls = pairs.b GROUP BY a)
+SELECT doc_id, named.n AS n_shingles, coalesce(root, doc_id) AS component_id, named.cls AS class_id, coalesce(links, 0) AS class_links, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
+FROM named LEFT JOIN roots USING (cls) LEFT JOIN counts USING (cls) LEFT JOIN classes USING (cls)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8}
+    return {"op1_source_mixing": OP1, "op2_license_scan": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8, "op9_line_dedup": OP9, "op10_ngram_jaccard": OP10}

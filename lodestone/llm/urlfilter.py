@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from lodestone.scratch import materialize
 
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+#: A host in brackets (an IPv6 address), or one up to its port or the end, without a dot behind it.
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+?)\.?(?:[:/?#]|$)"
 SEGMENT = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
 ALLOW = "allow"
 
 
 def host(url: Column) -> Column:
+    """Lowered; a name's final dot is dropped, an IPv6 address keeps its brackets and has no parent domains."""
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
 def keys_of(url: Column) -> Column:
     """What an entry may name to match url: its host, parent domains of two labels or more, and host and first path segment."""
-    labels = F.split(host(url), r"\.")
+    labels = F.when(host(url).startswith("["), F.array(host(url))).otherwise(F.split(host(url), r"\."))
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))
     domains = F.when(n >= 2, suffixes).otherwise(F.array().cast("array<string>"))
@@ -51,7 +53,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
 
     Intervals are cut at months and joined by key and month, so that the captures of a busy host are spread
     over months and none meets intervals of other times; a verdict is found once for each URL and day. A capture
-    with a null or unusable URL or a null day matches nothing. Repeated rows stay; columns of captures stay,
+    with a null or unusable URL or a null day matches nothing. An IPv6 address matches entries for a path below it only. Repeated rows stay; columns of captures stay,
     in order, but for those of the four added names. Empty tables are fine.
     """
     month = lambda day: F.trunc(day, "month")

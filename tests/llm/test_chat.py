@@ -27,3 +27,9 @@ def test_query_adds_the_conversation_of_control_strings(spark):
     assert got.n_turns == 2 and got.loss_chars == len(said)
     assert got.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_ties_and_rows_without_a_conversation(spark):
+    rows = [(1, 0, "user", "###a"), (1, 0, "user", "Ab"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "y")]
+    got = [(r.conv_id, [t.text for t in r.turns], r.loss_texts) for r in read_back(format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()]
+    assert sorted(got, key=repr) == sorted([(1, ["###a", "Ab"], []), (None, ["x"], []), (None, ["y"], ["y"]), (None, ["y"], ["y"])], key=repr)

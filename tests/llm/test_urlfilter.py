@@ -10,7 +10,7 @@ DAY0 = dt.date(2023, 1, 1)
 def plain_keys(url):
     m = re.match(HOST, url or "")
     host = m[1].lower() if m else ""
-    labels = host.split(".")
+    labels = [host] if host[:1] == "[" else host.split(".")
     keys = {".".join(labels[i:]) for i in range(len(labels) - 1)}
     if host and (s := re.match(SEGMENT, url)):
         keys.add(f"{host}/{s[1]}")
@@ -35,9 +35,9 @@ def test_verdicts_match_plain_ones(spark):
     r = random.Random(3)
     hosts = ["a.example.com", "b.a.example.com", "example.org", "x.org"]
     day = lambda: DAY0 + dt.timedelta(r.randint(0, 120))
-    urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u@'])}{r.choice(hosts).replace('a.', r.choice(['a.', 'A.']))}{r.choice(['', ':80', '/', '/en/1?q#f', '/de', '?x/y'])}" for _ in range(80)] + [None, "", "no url", "mailto:x@y.org", "http://", "http://localhost/en"]
+    urls = [f"{r.choice(['http', 'HTTPS'])}://{r.choice(['', 'u@'])}{r.choice(hosts).replace('a.', r.choice(['a.', 'A.']))}{r.choice(['', ':80', '/', '/en/1?q#f', '/de', '?x/y'])}" for _ in range(80)] + [None, "", "no url", "mailto:x@y.org", "http://", "http://localhost/en", "http://example.org./de", "http://x.org.:80/de", "http://[2001:DB8::1.2]:80/en", "http://u@[::1]/de", "http://[::1"]
     captures = [(i, r.choice(urls), r.choice([day(), day(), day(), None])) for i in range(400)] + [(1, urls[0], DAY0)] * 2 + [(None, urls[1], DAY0)]
-    keys = [*hosts, "example.com", "a.example.com/en", "x.org/de", None]
+    keys = [*hosts, "[2001:db8::1.2]/en", "[::1]/de", "example.com", "a.example.com/en", "x.org/de", None]
     entries = [(r.choice(keys), r.choice(["adult", "spam", "allow", None]), r.choice(["add", "add", "remove", None]), r.choice([day(), day(), None]), i) for i in range(160)]
     frame = spark.createDataFrame(captures, "page_id long, url string, fetch_day date").selectExpr("*", "1 as key", "'x' as list", "2 as month", "3 as blocked")
     got = filter_urls(frame, spark.createDataFrame(entries, "key string, list string, action string, day date, seq long"))
