@@ -1,14 +1,25 @@
-"""BM25 over a corpus and within each document, and budgets on ranked rows."""
+"""BM25 over a corpus and within documents, and budgets on ranked rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions.text import tokens, word_count
-from lodestone.scratch import materialize
+from lodestone.scratch import materialize, release
 
 K1, B = 1.5, 0.75
+#: Questions that are answered in one pass over the corpus, and documents that a task scores at once.
+QUESTION_BLOCK, DOC_BLOCK = 4096, 4096
+#: Decimals of a score that decide an order; beyond them ties go to the smaller id.
+DECIMALS = 9
 
 
 def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
@@ -18,11 +29,122 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean: Column,
     return idf * d(tf) / (d(tf) + k1 * (F.lit(1.0 - b) + b * d(length) / d(mean)))
 
 
+def _term_counts(asked: pa.Array):
+    """doc_id, length and, for the asked terms that occur, their numbers and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            length = pc.fill_null(pc.list_value_length(lists), 0)
+            term = pc.index_in(lists.flatten(), asked)
+            doc = pc.list_parent_indices(lists)
+            hit = pc.is_valid(term)
+            key = doc.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(asked)) + term.filter(hit).to_numpy(zero_copy_only=False)
+            key, times = np.unique(key, return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(batch) + 1) * max(1, len(asked)))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), length.cast(pa.int64()), listed(key % max(1, len(asked))), listed(times)], names=["doc_id", "length", "ids", "times"])
+
+    return run
+
+
+def _best_of_task(questions: list[list[int]], idf: np.ndarray, mean: float, k: int):
+    """(question, doc_id, score): the k best documents of a task for each question, given as term numbers."""
+
+    def cut(question: np.ndarray, doc: np.ndarray, score: np.ndarray) -> np.ndarray:
+        order = np.lexsort((doc, -np.round(score, DECIMALS), question))
+        question = question[order]
+        return order[np.arange(len(order)) - np.searchsorted(question, question) < k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        docs: list = []  # ids of the documents that held counts by number
+        for whole in batches:
+            for at in range(0, len(whole), DOC_BLOCK):
+                batch = whole.slice(at, DOC_BLOCK)
+                ids, times = batch.column(2), batch.column(3)
+                doc = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                term, tf = ids.flatten().to_numpy(zero_copy_only=False), times.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                length = batch.column(1).to_numpy(zero_copy_only=False)[doc]
+                weight = idf[term] * tf / (tf + K1 * (1.0 - B + B * length / mean)) if len(term) else np.zeros(0)
+                order = np.argsort(term, kind="stable")
+                term, doc, weight = term[order], doc[order], weight[order]
+                bounds = np.searchsorted(term, np.arange(len(idf) + 1))
+                names = docs + batch.column(0).to_pylist()
+                found = [held]
+                for q, terms in enumerate(questions):
+                    score = np.zeros(len(batch))
+                    for t in terms:
+                        a, b = bounds[t], bounds[t + 1]
+                        score[doc[a:b]] += weight[a:b]  # a document has a term once
+                    some = np.flatnonzero(score > 0)
+                    if len(some) > k:
+                        rounded = np.round(score[some], DECIMALS)
+                        some = some[rounded >= np.partition(rounded, len(some) - k)[len(some) - k]]
+                    found.append((np.full(len(some), q), some + len(docs), score[some]))
+                question, number, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = np.empty(len(names), np.int64)
+                place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+                keep = cut(question, place[number], score)
+                used, number = np.unique(number[keep], return_inverse=True)
+                docs = [names[i] for i in used]
+                held = question[keep], number, score[keep]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), pa.array([docs[i] for i in held[1]], batch.schema.field(0).type), pa.array(held[2])], names=["question", "doc_id", "score"])
+
+    return run
+
+
+def _answered(docs: DataFrame, block: list[Row], k: int) -> DataFrame:
+    """bm25_top for one block of questions (question_id, terms)."""
+    spark = docs.sparkSession
+    asked = sorted({t for q in block for t in q.terms})
+    number = {t: i for i, t in enumerate(asked)}
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    counted = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("terms"))
+    counted = materialize(counted.mapInArrow(_term_counts(pa.array(asked, pa.string())), f"doc_id {id_type}, length long, ids array<int>, times array<int>"), "counted")
+    n, mean = counted.agg(F.count("*"), F.avg(F.col("length").cast("double"))).first()
+    df = np.zeros(len(asked))
+    for r in counted.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row a term of this block
+        df[r["id"]] = r["count"]
+    idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
+    best = counted.select("doc_id", "length", "ids", "times").mapInArrow(_best_of_task([[number[t] for t in q.terms] for q in block], idf, mean or 1.0, k), f"question int, doc_id {id_type}, score double")
+    best = materialize(best, "best")
+    release(counted)
+    names = spark.createDataFrame([(i, q.question_id) for i, q in enumerate(block)], StructType([StructField("question", best.schema["question"].dataType), StructField("question_id", block.question_type)]))
+    return best.join(names, "question").select("question_id", "doc_id", "score")
+
+
+class _Block(list):
+    """Questions with the type of their ids."""
+
+    question_type = None
+
+
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(question_id, doc_id, score, rank): the k best of docs (doc_id, text) for each of questions (question_id, text), of those that share a term.
+
+    The same scores as bm25_corpus. The corpus is tokenised once for a block of questions, whose terms go to all
+    tasks; each task scores its documents, one block after another, and passes on its k best of each question. So
+    neither postings nor pairs of questions and documents are shuffled. Ties, to nine decimals, go to the smaller id. Rows without an id are passed over.
+    """
+    asked = questions.select("question_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    out = None
+    rows = asked.toLocalIterator()
+    while block := _Block(itertools.islice(rows, QUESTION_BLOCK)):
+        block.question_type = asked.schema["question_id"].dataType
+        part = _answered(docs.select("doc_id", "text"), block, k)
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], StructType([asked.schema["question_id"], docs.schema["doc_id"], StructField("score", DoubleType())]))
+    return top_k(out, k, "question_id", F.desc(F.round("score", DECIMALS)), "doc_id")
+
+
 def bm25_corpus(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """(question_id, doc_id, score) of docs (doc_id, text) for questions (question_id, text), where they share a term.
 
-    Only tokens that some question has leave a document; lengths are counted in place. So the shuffle carries
-    hits, not the corpus. The terms' counts are written to the scratch folder, as two steps read them.
+    All pairs; bm25_top() gives the best ones of each question without making the others. Only tokens that some
+    question has leave a document. The terms' counts are written to the scratch folder, as two steps read them.
     """
     counted = docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -39,22 +161,41 @@ def top_k(scored: DataFrame, k: int, group: str, *order: Column | str) -> DataFr
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def ranked_text(paragraphs: DataFrame) -> Column:
+    """What ranking reads of a paragraph: its text and, where there are such columns, its section's title and type."""
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("text", "section_title", "section_type") if c in paragraphs.columns]
+    return F.concat_ws(" ", *parts)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is found once: inside a lambda a column's expression would be found again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bm25_within(paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    """paragraphs (doc_id, para_idx, text) with score and rank: each document is a corpus of its own paragraphs.
+    """paragraphs (doc_id, para_idx, text, ...) with score and rank: each document is a corpus of its own paragraphs.
 
-    queries (doc_id, terms) gives each document's query terms. All is grouped by document, so one shuffle
-    serves counts, scores and ranks. Ties, to nine
-    digits, go to the earlier paragraph; without a shared term the score is 0.
+    queries (doc_id, terms) gives each document's query terms, once. A document's paragraphs meet in one row, where counts, scores
+    and ranks are taken from arrays; so the texts are shuffled once. Ties, to nine decimals, go to the earlier
+    paragraph; without a shared term the score is 0. Columns of paragraphs stay.
     """
-    rows = paragraphs.join(queries, "doc_id").withColumn("all", tokens(F.col("text"))).withColumn("length", F.size("all"))
-    doc, ranked = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "para_idx")
-    rows = rows.withColumn("n", F.count("*").over(doc)).withColumn("mean", F.avg(F.col("length").cast("double")).over(doc))
-    hits = rows.select("doc_id", "para_idx", "n", "mean", "length", F.explode(F.filter("all", lambda t: F.array_contains("terms", t))).alias("term"))
-    tf = hits.groupBy("doc_id", "para_idx", "n", "mean", "length", "term").agg(F.count("*").alias("tf"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
-    scores = tf.groupBy("doc_id", "para_idx").agg(F.sum(bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean"))).alias("score"))
-    scored = paragraphs.join(scores, ["doc_id", "para_idx"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return scored.withColumn("rank", F.row_number().over(ranked))
+    rest = [c for c in paragraphs.columns if c not in ("doc_id", "para_idx")]
+    read = paragraphs.join(queries, "doc_id").withColumn("all", tokens(ranked_text(paragraphs))).withColumn("length", F.size("all"))
+    times = lambda hits: F.transform("terms", lambda t: F.size(F.filter(hits, lambda x: x == t)))
+    read = read.withColumn("times", _let(F.filter("all", lambda t: F.array_contains("terms", t)), times))
+    listed = read.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", "times", "length", *rest))).alias("listed"), F.first("terms").alias("terms"))
+    df = F.transform("terms", lambda _, k: F.size(F.filter("listed", lambda p: F.get(p["times"], k) > 0)))
+    mean = F.aggregate("listed", F.lit(0).cast("long"), lambda s, p: s + p["length"]).cast("double") / F.size("listed")
+
+    def score(p: Column, whole: Column) -> Column:
+        each = F.zip_with(p["times"], whole["df"], lambda t, d: F.when(t > 0, bm25_weight(t, d, whole["n"], p["length"], whole["mean"])).otherwise(0.0))
+        return F.aggregate(each, F.lit(0.0), lambda s, w: s + w)
+
+    whole = F.struct(df.alias("df"), F.size("listed").alias("n"), mean.alias("mean"))
+    listed = listed.select("doc_id", _let(whole, lambda w: F.transform("listed", lambda p: F.struct(score(p, w).alias("score"), p.alias("p")))).alias("scored"))
+    order = F.array_sort(F.transform("scored", lambda s: F.struct((-F.round(s["score"], DECIMALS)).alias("by"), s["p"]["para_idx"].alias("para_idx"), s["score"].alias("score"), s["p"].alias("p"))))
+    rows = listed.select("doc_id", F.posexplode(order).alias("rank", "s"))
+    return rows.select("doc_id", F.col("s.para_idx").alias("para_idx"), *(F.col(f"s.p.{c}").alias(c) for c in rest), F.col("s.score").alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
 def positive_or_all(ranked: DataFrame) -> DataFrame:

@@ -12,8 +12,12 @@ from lodestone.functions.records import snippets
 from lodestone.functions.text import plain_terms, tokens, word_budget
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
-from lodestone.scratch import materialize
+from lodestone.operators.validation import usable, validate
+from lodestone.plans.judging import JUDGE_PROMPT, PLAN_PROMPT, Model, judge_batches, model_queries, payloads
+from lodestone.scratch import materialize, release
 
+#: Columns of papers that passages carry where there are such.
+CARRIED = ["authors", "affiliations", "journal", "url", "pmid", "pmcid", "doi", "is_open_access", "has_pdf"]
 Stage = Callable[[str], None]
 
 
@@ -28,25 +32,63 @@ def plan_queries(questions: DataFrame, most: int) -> DataFrame:
 
 
 def search(papers: DataFrame, queries: DataFrame, page_size: int) -> DataFrame:
-    """(question_id, query_idx, rank, doc_id, score): the best papers for each sub-query."""
-    keyed = queries.select(F.struct("question_id", "query_idx").alias("question_id"), "text")
-    hits = R.top_k(R.bm25_corpus(papers.select("doc_id", "text"), keyed), page_size, "question_id", F.desc(F.round("score", 9)), "doc_id")
+    """(question_id, query_idx, rank, doc_id, score): the best papers for each sub-query; field tags and operators count for nothing."""
+    keyed = queries.select(F.struct("question_id", "query_idx").alias("question_id"), plain_terms(F.col("text")).alias("text"))
+    hits = R.bm25_top(papers.select("doc_id", "text"), keyed, page_size)
     return hits.select("question_id.question_id", "question_id.query_idx", "rank", "doc_id", "score")
 
 
-def passages(papers: DataFrame, paragraphs: DataFrame, questions: DataFrame, settings: Settings | None = None, on_stage: Stage = lambda name: None) -> DataFrame:
-    """(question_id, final_pos, doc_id, paper_id, pool, snippets, ...): at most top_k passages a question.
-
-    papers (doc_id, paper_id, title, abstract, in_store, year, text), paragraphs (doc_id, para_idx, text),
-    questions (question_id, text). Sub-queries find candidates; the first hit of a paper counts. Papers in the
-    store get an excerpt: their paragraphs ranked for the question, within a word budget. A lexical judge
-    cites sentences of excerpts and of abstracts; cited sentences become spans within a budget. Two pools are
-    capped and joined; a question whose pools are empty keeps all its candidates. What several branches read
-    is written once to the scratch folder.
+def sub_queries(questions: DataFrame, most: int, planner: Model | None = None, template: str = PLAN_PROMPT, validator: Callable[[DataFrame], DataFrame] = validate) -> DataFrame:
+    """(question_id, query_idx, text): a planner's queries that are valid, or all of a question's if none is; without a planner those of plan_queries()."""
+    if planner is None:
+        return plan_queries(questions, most)
+    planned = materialize(model_queries(questions, planner, most, template), "planned")  # the model is asked once
+    keyed = planned.withColumn("query_id", F.struct("question_id", "query_idx"))
+    checked = validator(keyed.select("query_id", F.col("text").alias("query"))).select("query_id", "valid")
+    return usable(keyed.join(checked, "query_id"), "question_id").select("question_id", "query_idx", "text")
+
+
+def _cited_by_words(rows: DataFrame) -> DataFrame:
+    """Sentences that hold a term of the question: by the number of terms, then by place. A paper's best sentence places it."""
+    cited = E.lexical_judge(rows, F.col("terms"))
+    cited = cited.withColumn("judge_pos", F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("hits"), "sent_idx")))
+    best = F.max("hits").over(Window.partitionBy("pair"))
+    return cited.withColumn("first_by", F.struct((-best).cast("long").alias("x"), F.col("cand_pos").cast("long").alias("y")))
+
+
+def _cited_by_model(rows: DataFrame, candidates: DataFrame, questions: DataFrame, judge: Model, size: int, template: str) -> DataFrame:
+    """Sentences that a model cites, batch by batch of candidates. Ids it makes up are passed over; a paper's first sentence places it."""
+    papers = payloads(candidates.select("pair", "paper_id", *[c for c in ("title", "authors", "affiliations", "journal", "year") if c in candidates.columns]), rows, "pair")
+    items = E.batches(candidates.select("question_id", "pair", "cand_pos"), size).join(papers, "pair")
+    items = items.join(questions.select("question_id", F.col("text").alias("question")), "question_id")
+    ids = judge_batches(items.select("question_id", "batch", "cand_pos", "paper", "question"), judge, template)
+    ids = materialize(ids, "cited").select("question_id", "sid", F.struct("batch", "pos").alias("judge_pos"))
+    cited = rows.join(ids, ["question_id", "sid"])
+    first = F.min("judge_pos").over(Window.partitionBy("pair"))
+    return cited.withColumn("first_by", F.struct(first["batch"].alias("x"), first["pos"].alias("y")))
+
+
+def passages(
+    papers: DataFrame, paragraphs: DataFrame, questions: DataFrame, settings: Settings | None = None, on_stage: Stage = lambda name: None,
+    planner: Model | None = None, judge: Model | None = None, plan_prompt: str = PLAN_PROMPT, judge_prompt: str = JUDGE_PROMPT,
+) -> DataFrame:
+    """(question_id, final_pos, doc_id, paper_id, title, year, pool, has_excerpt, has_full_text, evidence, ...): at most top_k passages a question.
+
+    papers (doc_id, paper_id, title, abstract, in_store, year, text[, has_free_full_text, authors, journal, url, ...]), paragraphs
+    (doc_id, para_idx, text[, section_title, section_type]), questions (question_id, text). Sub-queries find candidates; the
+    first hit of a paper counts. Papers in the store or with free full text get an excerpt: their paragraphs ranked
+    for the question, within a word budget. A judge cites sentences of excerpts and of abstracts; cited sentences become
+    spans within a budget. Two pools are capped and joined; a question whose pools are empty keeps all its candidates.
+
+    planner and judge are models behind functions from prompt to reply; without them, terms of the question plan
+    and judge. What several branches read is written once to the scratch folder. on_stage is called as each stage begins.
     """
     s = settings or Settings.load(papers.sparkSession)
+    free = F.coalesce(F.col("in_store"), F.lit(False)) | (F.coalesce(F.col("has_free_full_text"), F.lit(False)) if "has_free_full_text" in papers.columns else F.lit(False))
+    papers = papers.withColumn("has_full_text", free)
+    more = [c for c in CARRIED if c in papers.columns]
     on_stage("search")
-    queries = plan_queries(questions, s.sub_queries)
+    queries = sub_queries(questions, s.sub_queries, planner, plan_prompt)
     hits = search(papers, queries, s.page_size)
     once = E.first_wins(hits.join(papers.select("doc_id", "paper_id"), "doc_id").where("paper_id <> ''"), ["question_id", "paper_id"], "query_idx", "rank")
     found = E.candidate_order(once, "question_id", "query_idx", "rank")
@@ -55,30 +97,30 @@ def passages(papers: DataFrame, paragraphs: DataFrame, questions: DataFrame, set
     found = materialize(found.select("question_id", "doc_id", "paper_id", "cand_pos").join(terms, "question_id").withColumn("pair", pair), "found")
 
     on_stage("excerpt")
-    with_text = papers.where("in_store").select("doc_id") if s.full_text_enrichment else papers.limit(0).select("doc_id")
-    body = found.join(with_text, "doc_id").select("pair", "doc_id", "terms").join(paragraphs, "doc_id").select(F.col("pair").alias("doc_id"), "para_idx", "text", "terms")
-    queries_by_pair = body.select("doc_id", "terms").distinct()
-    ranked = R.positive_or_all(R.bm25_within(body.drop("terms"), queries_by_pair))
+    with_text = papers.where("has_full_text").select("doc_id") if s.full_text_enrichment else papers.limit(0).select("doc_id")
+    asked = found.join(with_text, "doc_id").select("doc_id", "pair", "terms")
+    ranked = R.positive_or_all(R.bm25_within(asked.select("doc_id", "pair").join(paragraphs, "doc_id").drop("doc_id").withColumnRenamed("pair", "doc_id"), asked.select(F.col("pair").alias("doc_id"), "terms")))
     excerpt = R.excerpts(R.within_budget(ranked, word_budget(s.excerpt_tokens), "doc_id", "rank")).withColumnRenamed("doc_id", "pair").where("excerpt <> ''")
+    candidates = found.join(papers.select("doc_id", "title", "abstract", "has_full_text", "year", *more), "doc_id").join(excerpt, "pair", "left")
+    candidates = materialize(candidates.withColumn("has_excerpt", F.col("excerpt").isNotNull()), "candidates")
 
     on_stage("judge")
-    candidates = found.join(papers.select("doc_id", "title", "abstract", "in_store", "year"), "doc_id").join(excerpt, "pair", "left")
-    candidates = materialize(candidates.withColumn("has_excerpt", F.col("excerpt").isNotNull()), "candidates")
 
-    def judged(text: str, name: str) -> DataFrame:
-        rows = E.sentence_rows(candidates.where(f"{text} <> ''").select("pair", F.col(text).alias("text")), "pair").join(found.select("pair", "terms", "question_id", "cand_pos"), "pair")
-        cited = E.lexical_judge(rows, F.col("terms"))
-        order = Window.partitionBy("pair").orderBy(F.desc("hits"), "sent_idx")
-        cited = cited.withColumn("judge_pos", F.row_number().over(order))
+    def judged(text: str, name: str, size: int) -> DataFrame:
+        some = candidates.where(f"{text} <> ''")
+        rows = E.sentence_rows(some.select("pair", F.col(text).alias("text")), "pair").join(found.select("pair", "terms", "question_id", "cand_pos"), "pair")
+        cited = _cited_by_words(rows) if judge is None else _cited_by_model(rows, E.candidate_order(some.drop("cand_pos").join(found.select("pair", F.col("cand_pos").alias("at")), "pair"), "question_id", "at"), questions, judge, size, judge_prompt)
         kept = R.within_budget(cited.withColumn("text", F.col("sentence")), s.evidence_words, "pair", "judge_pos")
         spans = E.span_lists(E.truncated(E.spans(E.span_ids(kept, "pair"), "pair"), s.evidence_words, "pair"), "pair").withColumnRenamed("spans", f"{name}_spans")
-        best = cited.groupBy("question_id", "pair", "cand_pos").agg(F.max("hits").alias("best"))
-        placed = best.withColumn(f"{name}_order", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("best"), "cand_pos")).cast("long"))
-        return placed.select("pair", f"{name}_order").join(spans, "pair", "left")
+        best = cited.groupBy("question_id", "pair").agg(F.min("first_by").alias("first_by"))
+        placed = best.withColumn(f"{name}_order", F.row_number().over(Window.partitionBy("question_id").orderBy("first_by")).cast("long"))
+        return materialize(placed.select("pair", f"{name}_order").join(spans, "pair", "left"), name)
 
-    full, brief = judged("excerpt", "full"), judged("abstract", "abstract")
+    full, brief = judged("excerpt", "full", s.full_text_batch), judged("abstract", "abstract", s.abstract_batch)
     on_stage("merge")
     weighed = materialize(candidates.join(full, "pair", "left").join(brief, "pair", "left"), "weighed")
+    release(full, brief, candidates, found)
     merged = E.or_all_candidates(E.two_pools(weighed, "question_id", s.max_full_text, s.max_abstract_only), weighed, "question_id")
     final = E.final_order(merged, "question_id", s.top_k)
-    return final.select("question_id", "final_pos", "doc_id", "paper_id", "title", "year", "pool", "has_excerpt", snippets(F.col("full_spans"), F.col("abstract_spans"), F.col("excerpt"), F.col("abstract")).alias("evidence"))
+    evidence = snippets(F.col("full_spans"), F.col("abstract_spans"), F.col("excerpt"), F.col("abstract"))
+    return final.select("question_id", "final_pos", "doc_id", "paper_id", "title", "year", "pool", "has_excerpt", "has_full_text", evidence.alias("evidence"), *more)

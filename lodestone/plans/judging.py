@@ -1,10 +1,10 @@
-"""Judging batches of papers by a model behind a function, with its replies checked and broken batches split."""
+"""Planning and judging by a model behind a function from prompt to reply, with replies checked and broken batches split."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,44 +12,86 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.records import or_else
 
-#: Takes the JSON of a batch of papers and returns the reply text.
-Judge = Callable[[str], str]
+#: Takes a prompt and returns the model's reply. It runs on executors; one that raises counts as an empty reply.
+Model = Callable[[str], str]
 
+#: Default prompts. Names in braces are replaced; so may those of a prompt of one's own be.
+PLAN_PROMPT = "Write search queries for this question as JSON, {{\"queries\": [...]}}, {most} at most.\n\n{question}".replace("{{", "{").replace("}}", "}")
+STRICT = "Return valid JSON and nothing else.\n\n"
+JUDGE_PROMPT = "Cite the ids of all sentences that help to answer the question, best first, as JSON, {\"relevant_ids\": [...]}.\n\nQuestion: {question}\n\nPapers:\n{papers}"
 
-def cited_ids(reply: str) -> list[str] | None:
-    """relevant_ids of a reply: fenced, wrapped in prose or plain; None if there is no such list."""
-    bare = re.sub(r"^```(?:json)?|```$", "", reply.strip()).strip()
-    for text in (bare, *re.findall(r"\{.*\}|\[.*\]", bare, re.DOTALL)[:1]):
+
+def filled(template: str, **values: str) -> str:
+    """The template with each {name} replaced by its value, all at once: braces in values stay."""
+    return re.sub(r"\{(\w+)\}", lambda m: values.get(m[1], m[0]), template)
+
+
+def listed(reply: str | None, key: str) -> list[str] | None:
+    """The list under key in a reply that is a JSON object: fenced, wrapped in prose or plain; None if there is no such list."""
+    bare = re.sub(r"^```(?:json)?|```$", "", (reply or "").strip()).strip()
+    for text in (bare, *re.findall(r"\{.*\}", bare, re.DOTALL)[:1]):
         try:
             found = json.loads(text)
         except ValueError:
             continue
-        found = found.get("relevant_ids") if isinstance(found, dict) else found
+        found = found.get(key) if isinstance(found, dict) else None
         if isinstance(found, list):
             return [str(x) for x in found]
     return None
 
 
-def ask(judge: Judge, papers: list[dict], depth: int = 0) -> list[str]:
-    """The ids that the judge cites. A reply without a list splits a batch in two, twice at most, and is empty then."""
-    found = cited_ids(judge(json.dumps(papers, ensure_ascii=False)))
+def cited_ids(reply: str | None) -> list[str] | None:
+    return listed(reply, "relevant_ids")
+
+
+def _reply(model: Model, prompt: str) -> str:
+    try:
+        return model(prompt)
+    except Exception:  # noqa: BLE001 - whatever a model raises must not end the job
+        return ""
+
+
+def plan(model: Model, question: str, most: int, template: str = PLAN_PROMPT) -> list[str]:
+    """The model's queries, trimmed, each once. A reply without any is asked for again strictly; the question itself is the last resort."""
+    prompt = filled(template, question=question, most=str(most))
+    queries = listed(_reply(model, prompt), "queries") or listed(_reply(model, STRICT + prompt), "queries") or [question]
+    return [q for q in dict.fromkeys(q.strip() for q in queries) if q][:most]
+
+
+def model_queries(questions: DataFrame, model: Model, most: int, template: str = PLAN_PROMPT) -> DataFrame:
+    """(question_id, query_idx, text) of questions (question_id, text): see plan()."""
+    kind = questions.schema["question_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, k, q) for i, text in zip(f.question_id, f.text) for k, q in enumerate(plan(model, text or "", most, template))]
+            yield pd.DataFrame(rows, columns=["question_id", "query_idx", "text"])
+
+    return questions.select("question_id", "text").mapInPandas(run, f"question_id {kind}, query_idx int, text string")
+
+
+def ask(model: Model, papers: list[dict], question: str = "", template: str = "{papers}", depth: int = 0) -> list[str]:
+    """The ids that the model cites. A reply without a list splits a batch in two, twice at most, and is empty then."""
+    found = cited_ids(_reply(model, filled(template, question=question, papers=json.dumps(papers, ensure_ascii=False))))
     if found is not None:
         return found
     if len(papers) < 2 or depth >= 2:
         return []
     middle = len(papers) // 2
-    return ask(judge, papers[:middle], depth + 1) + ask(judge, papers[middle:], depth + 1)
+    return ask(model, papers[:middle], question, template, depth + 1) + ask(model, papers[middle:], question, template, depth + 1)
 
 
-def judge_batches(items: DataFrame, judge: Judge) -> DataFrame:
-    """(question_id, batch, pos, sid) in the judge's order, of items (question_id, batch, cand_pos, paper) with papers as JSON; one call a batch, batches side by side."""
+def judge_batches(items: DataFrame, model: Model, template: str = "{papers}") -> DataFrame:
+    """(question_id, batch, pos, sid) in the judge's order, of items (question_id, batch, cand_pos, paper[, question]) with papers as JSON; one call a batch, batches side by side."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("cand_pos")
-        ids = ask(judge, [json.loads(p) for p in group.paper])
-        return pd.DataFrame({"question_id": int(group.question_id.iloc[0]), "batch": int(group.batch.iloc[0]), "pos": range(len(ids)), "sid": ids}).astype({"pos": "int64", "sid": "object"})
+        question = str(group.question.iloc[0]) if "question" in group else ""
+        ids = ask(model, [json.loads(p) for p in group.paper], question, template)
+        return pd.DataFrame({"question_id": group.question_id.iloc[0], "batch": int(group.batch.iloc[0]), "pos": range(len(ids)), "sid": ids}).astype({"pos": "int64", "sid": "object"})
 
-    return items.groupBy("question_id", "batch").applyInPandas(run, "question_id long, batch long, pos long, sid string")
+    kind = items.schema["question_id"].dataType.simpleString()
+    return items.groupBy("question_id", "batch").applyInPandas(run, f"question_id {kind}, batch long, pos long, sid string")
 
 
 def payloads(papers: DataFrame, sentences: DataFrame, key: str = "doc_id") -> DataFrame:

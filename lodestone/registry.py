@@ -6,9 +6,11 @@ of them grow with the input.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import records as X
@@ -100,16 +102,20 @@ span_texts AS (SELECT doc_id, CAST(span AS BIGINT) AS span, string_agg(sentence,
 )
 
 
+def _first_line_terms() -> Column:
+    return F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0))))
+
+
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's paragraphs, ranked for its first line."""
-    asked = docs(spark, sf).select("doc_id", F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)))).alias("terms"))
+    asked = docs(spark, sf).select("doc_id", _first_line_terms().alias("terms"))
     return R.bm25_within(C.paragraphs(docs(spark, sf)), asked)
 
 
 def _cited(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's sentences that share a term with its first line, in the judge's order."""
     d = docs(spark, sf)
-    terms = d.select("doc_id", F.array_distinct(T.tokens(F.get(F.split(F.coalesce("text", F.lit("")), "\n", -1), F.lit(0)))).alias("terms"))
+    terms = d.select("doc_id", _first_line_terms().alias("terms"))
     cited = E.lexical_judge(E.sentence_rows(d).join(terms, "doc_id"), F.col("terms")).drop("terms")
     return cited.withColumn("judge_pos", F.row_number().over(R.Window.partitionBy("doc_id").orderBy(F.desc("hits"), "sent_idx")))
 
@@ -159,7 +165,7 @@ scored AS (SELECT question_id, doc_id, sum(weight) AS score FROM weighed JOIN as
 SELECT question_id, doc_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""
 )
 def bm25_corpus_topk(spark, sf):
-    return _score(R.top_k(R.bm25_corpus(docs(spark, sf), questions(spark, sf)), 10, "question_id", F.desc(F.round("score", 9)), "doc_id"))
+    return _score(R.bm25_top(docs(spark, sf), questions(spark, sf), 10))
 
 
 @query(f"WITH {RANKED} SELECT doc_id, para_idx, round(score, 5) AS score, rank FROM ranked")
@@ -442,16 +448,25 @@ def _articles(spark, sf):
     return docs(spark, sf).select("doc_id", xml.alias("xml"))
 
 
-@query(
-    r"""WITH lines AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '\s+', ' ', 'g')) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-every AS (SELECT * FROM lines UNION ALL SELECT doc_id, 'T. a | ' || doc_id || ' ; b', 1000000 FROM documents),
-firsts AS (SELECT doc_id, text, min(pos) AS pos FROM every WHERE text <> '' GROUP BY doc_id, text)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS para_idx, text, 'Lines' AS section_title, 'Intro' AS section_type FROM firsts"""
-)
+ARTICLE_PARAGRAPHS = r"""lines AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '\s+', ' ', 'g')) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+every_line AS (SELECT * FROM lines UNION ALL SELECT doc_id, 'T. a | ' || doc_id || ' ; b', 1000000 FROM documents),
+first_lines AS (SELECT doc_id, text, min(pos) AS pos FROM every_line WHERE text <> '' GROUP BY doc_id, text),
+paragraphs AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS para_idx, text FROM first_lines)"""
+
+
+@query(f"WITH {ARTICLE_PARAGRAPHS} SELECT doc_id, para_idx, text, 'Lines' AS section_title, 'Intro' AS section_type FROM paragraphs")
 def article_xml_paragraphs(spark, sf):
     return article_paragraphs(_articles(spark, sf))
 
 
+@query(f"""WITH {RANKED.replace(PARAGRAPHS, ARTICLE_PARAGRAPHS).replace(TOKENS.format("p.text"), TOKENS.format("p.text || ' Lines Intro'"))}
+SELECT doc_id, para_idx, text, 'Lines' AS section_title, 'Intro' AS section_type, round(score, 5) AS score, rank FROM ranked""")
+def article_ranking(spark, sf):
+    """Paragraphs of article XML ranked for each document's first line; titles and types of sections count as text."""
+    asked = docs(spark, sf).select("doc_id", _first_line_terms().alias("terms"))
+    return _score(R.bm25_within(article_paragraphs(_articles(spark, sf)), asked))
+
+
 @query("SELECT page_id AS doc_id, 0 AS n FROM pages WHERE false")
 def malformed_xml_empty(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
@@ -505,8 +520,10 @@ def judge_payloads(spark, sf):
     return payloads(C.papers(d), E.sentence_rows(d))
 
 
-PASSAGES = (
-    CANDIDATES
+def _passages_sql(cites: str = "hits >= 1", order: str = "hits DESC, sent_idx", place: str = "best DESC, cand_pos", candidates: str = CANDIDATES) -> str:
+    """SQL of passages(), for a judge that cites sentences where cites holds and orders them and papers so."""
+    return (
+    candidates
     + f""", {PARAGRAPHS},
 qterms AS (SELECT question_id, list_distinct({TOKENS.format("CASE WHEN b = '' THEN text ELSE b END")}) AS terms FROM bare),
 pairs AS (SELECT question_id || ':' || doc_id AS pair, question_id, doc_id, paper_id, cand_pos, terms FROM found JOIN qterms USING (question_id)),
@@ -519,27 +536,27 @@ p_ranked AS (SELECT pair, para_idx, text, coalesce(score, 0) AS score, row_numbe
 p_positive AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY CASE WHEN best > 0 THEN rank ELSE para_idx END) AS place FROM (SELECT *, max(score) OVER (PARTITION BY pair) AS best FROM p_ranked) WHERE score > 0 OR best <= 0),
 p_kept AS (SELECT * FROM (SELECT *, coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p_positive) WHERE before < 2304),
 excerpts AS (SELECT pair, string_agg(text, ' ' ORDER BY para_idx) AS excerpt FROM p_kept GROUP BY pair),
-cands AS (SELECT pairs.*, title, abstract, year, excerpt FROM pairs JOIN papers USING (doc_id) LEFT JOIN excerpts USING (pair)),
+cands AS (SELECT pairs.*, title, abstract, year, in_store, pmid, doi, excerpt FROM pairs JOIN papers USING (doc_id) LEFT JOIN excerpts USING (pair)),
 full_lists AS (SELECT pair, list_filter(list_transform(regexp_extract_all(excerpt, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g'))), lambda s: s <> '') AS found, excerpt AS whole FROM cands WHERE excerpt <> ''),
 full_rows AS (SELECT pair, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT pair, CASE WHEN len(found) = 0 AND trim(whole) <> '' THEN [trim(whole)] ELSE found END AS s FROM full_lists)),
 full_hits AS (SELECT r.*, question_id, cand_pos, len(list_intersect(list_distinct({TOKENS.format("sentence")}), terms)) AS hits FROM full_rows r JOIN pairs USING (pair)),
-full_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY hits DESC, sent_idx) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM full_hits WHERE hits >= 1),
+full_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY {order}) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM full_hits WHERE {cites}),
 full_kept AS (SELECT * FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY pair ORDER BY judge_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM full_cited) WHERE before < 250),
 full_numbered AS (SELECT *, sum(opens) OVER (PARTITION BY pair ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM (SELECT *, CASE WHEN sent_idx = lag(sent_idx) OVER (PARTITION BY pair ORDER BY sent_idx) + 1 THEN 0 ELSE 1 END AS opens FROM full_kept)),
 full_texts AS (SELECT pair, span, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM full_numbered GROUP BY pair, span),
 full_left AS (SELECT *, {N_WORDS.format("text")} AS words, CAST(250 - coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM full_texts),
 full_spans AS (SELECT pair, list(CASE WHEN words <= rest THEN text ELSE array_to_string({WORDS.format("text")}[1:rest], ' ') END ORDER BY span) AS spans FROM full_left WHERE rest > 0 GROUP BY pair),
-full_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, cand_pos) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM full_cited GROUP BY ALL)),
+full_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY {place}) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM full_cited GROUP BY ALL)),
 brief_lists AS (SELECT pair, list_filter(list_transform(regexp_extract_all(abstract, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '^[ \\n\\t\\r]+|[ \\n\\t\\r]+$', '', 'g'))), lambda s: s <> '') AS found, abstract AS whole FROM cands WHERE abstract <> ''),
 brief_rows AS (SELECT pair, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sent_idx FROM (SELECT pair, CASE WHEN len(found) = 0 AND trim(whole) <> '' THEN [trim(whole)] ELSE found END AS s FROM brief_lists)),
 brief_hits AS (SELECT r.*, question_id, cand_pos, len(list_intersect(list_distinct({TOKENS.format("sentence")}), terms)) AS hits FROM brief_rows r JOIN pairs USING (pair)),
-brief_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY hits DESC, sent_idx) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM brief_hits WHERE hits >= 1),
+brief_cited AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY {order}) AS judge_pos, {N_WORDS.format("sentence")} AS words FROM brief_hits WHERE {cites}),
 brief_kept AS (SELECT * FROM (SELECT *, coalesce(sum(words) OVER (PARTITION BY pair ORDER BY judge_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM brief_cited) WHERE before < 250),
 brief_numbered AS (SELECT *, sum(opens) OVER (PARTITION BY pair ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM (SELECT *, CASE WHEN sent_idx = lag(sent_idx) OVER (PARTITION BY pair ORDER BY sent_idx) + 1 THEN 0 ELSE 1 END AS opens FROM brief_kept)),
 brief_texts AS (SELECT pair, span, string_agg(sentence, ' ' ORDER BY sent_idx) AS text FROM brief_numbered GROUP BY pair, span),
 brief_left AS (SELECT *, {N_WORDS.format("text")} AS words, CAST(250 - coalesce(sum({N_WORDS.format("text")}) OVER (PARTITION BY pair ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest FROM brief_texts),
 brief_spans AS (SELECT pair, list(CASE WHEN words <= rest THEN text ELSE array_to_string({WORDS.format("text")}[1:rest], ' ') END ORDER BY span) AS spans FROM brief_left WHERE rest > 0 GROUP BY pair),
-brief_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY best DESC, cand_pos) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM brief_cited GROUP BY ALL)),
+brief_order AS (SELECT pair, row_number() OVER (PARTITION BY question_id ORDER BY {place}) AS place FROM (SELECT pair, question_id, cand_pos, max(hits) AS best FROM brief_cited GROUP BY ALL)),
 w AS (SELECT cands.*, excerpt IS NOT NULL AS has_excerpt, f.place AS full_order, b.place AS abstract_order, fs.spans AS full_spans, bs.spans AS abstract_spans FROM cands
   LEFT JOIN full_order f USING (pair) LEFT JOIN brief_order b USING (pair) LEFT JOIN full_spans fs USING (pair) LEFT JOIN brief_spans bs USING (pair)),
 two AS (SELECT *, 0 AS pool, full_order AS pool_order FROM w WHERE full_order IS NOT NULL UNION ALL SELECT *, 1, abstract_order FROM w WHERE NOT has_excerpt AND full_order IS NULL AND abstract_order IS NOT NULL),
@@ -547,10 +564,13 @@ capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id,
 every AS (SELECT * FROM capped UNION ALL SELECT *, 2, cand_pos, cand_pos FROM w WHERE question_id NOT IN (SELECT question_id FROM capped)),
 placed AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pool, pool_rank) AS final_pos FROM every),
 chosen AS (SELECT *, CASE WHEN len(full_spans) > 0 THEN full_spans WHEN len(abstract_spans) > 0 THEN abstract_spans ELSE [CASE WHEN coalesce(excerpt, '') <> '' THEN excerpt ELSE abstract END] END AS e FROM placed WHERE final_pos <= 60)
-SELECT question_id, final_pos, doc_id, paper_id, title, year, pool, has_excerpt, array_to_string(list_filter(list_transform(e, lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS evidence FROM chosen"""
+SELECT question_id, final_pos, doc_id, paper_id, title, year, pool, has_excerpt, in_store AS has_full_text, pmid, doi, array_to_string(list_filter(list_transform(e, lambda s: trim(s)), lambda s: s <> ''), chr(10)) AS evidence FROM chosen"""
 )
 
 
+PASSAGES = _passages_sql()
+
+
 @query("WITH " + PASSAGES)
 def evidence_pipeline(spark, sf):
     """Ranked evidence passages for every question of the benchmark."""
@@ -558,8 +578,37 @@ def evidence_pipeline(spark, sf):
     return passages(C.papers(d), C.paragraphs(d), questions(spark, sf)).withColumn("evidence", F.array_join("evidence", "\n"))
 
 
-@query()
+@query(
+    "WITH " + PASSAGES.rsplit("SELECT question_id, final_pos, doc_id", 1)[0]
+    + """SELECT question_id, final_pos, '[' || final_pos || '] ' || title || ' (' || year || ') ' || paper_id
+  || array_to_string(list_transform(list_filter(list_transform(e, lambda s: trim(s)), lambda s: s <> ''), lambda s: chr(10) || '    ' || s), '') AS line FROM chosen"""
+)
 def evidence_report(spark, sf):
     """The same as text for people."""
     d = docs(spark, sf)
     return report.lines(passages(C.papers(d), C.paragraphs(d), questions(spark, sf)))
+
+
+def _planner(prompt: str) -> str:
+    """A stand-in for a model: two plain queries of the question's words and one that isn't valid."""
+    words = re.findall(r"[^\W\d_]+", prompt.split("\n\n", 1)[1])
+    return "```json\n" + json.dumps({"queries": [" ".join(words[:3]), f"NOPE:{words[0]}", " ".join(words[3:8])]}) + "\n```"
+
+
+def _judge(prompt: str) -> str:
+    """A stand-in for a model: cites every third sentence, and one that isn't there."""
+    papers = json.loads(prompt.split("Papers:\n", 1)[1])
+    return "Here: " + json.dumps({"relevant_ids": [x["id"] for p in papers for x in p["abstract"][1::3]] + ["none_A"]})
+
+
+MODEL_PLANNED = r"""planned AS (SELECT question_id, text, min(query_idx) AS query_idx FROM (
+  SELECT item_id AS question_id, unnest([array_to_string(w[1:3], ' '), array_to_string(w[4:8], ' ')]) AS text, unnest([0, 2]) AS query_idx FROM (SELECT item_id, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark)) WHERE text <> '' GROUP BY question_id, text)"""
+LEXICAL_PLANNED = "planned AS (SELECT question_id, text, min(query_idx) AS query_idx FROM made WHERE trim(text) <> '' GROUP BY question_id, text)"
+
+
+@query("WITH " + _passages_sql("sent_idx % 3 = 1", "sent_idx", "cand_pos", CANDIDATES.replace(LEXICAL_PLANNED, MODEL_PLANNED)))
+def model_judged_pipeline(spark, sf):
+    """The same with functions in place of a planning and a judging model: replies are parsed, invalid queries and unknown ids go."""
+    d = docs(spark, sf)
+    found = passages(C.papers(d), C.paragraphs(d), questions(spark, sf), planner=_planner, judge=_judge)
+    return found.withColumn("evidence", F.array_join("evidence", "\n"))

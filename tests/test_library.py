@@ -7,10 +7,11 @@ from lodestone.config import Settings
 from lodestone.functions import records as X
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
+from lodestone.operators import ranking as R
 from lodestone.operators import validation as V
-from lodestone.plans.evidence import passages
+from lodestone.plans.evidence import passages, sub_queries
 from lodestone.plans import report
-from lodestone.plans.judging import ask, cited_ids, judge_batches, payloads, rendered
+from lodestone.plans.judging import STRICT, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of
 from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses
@@ -123,12 +124,46 @@ def test_judging_splits_broken_batches(spark):
     assert calls == [8, 4, 2, 2, 4, 2, 2]
     assert ask(lambda _: "broken", papers) == [] and ask(lambda _: '{"relevant_ids": []}', papers) == []
     assert cited_ids('Sure:\n```json\n{"relevant_ids": [1, "b"]}\n```') == ["1", "b"]
-    assert cited_ids('["x"]') == ["x"] and cited_ids('{"relevant_ids": "x"}') is None and cited_ids("") is None
+    assert cited_ids('["x"]') is None and cited_ids('{"relevant_ids": "x"}') is None and cited_ids("") is None
     rows = [(1, k // 2, k, json.dumps({"id": f"s{k}"})) for k in range(5)]
     got = judge_batches(spark.createDataFrame(rows, "question_id long, batch long, cand_pos long, paper string"), lambda p: json.dumps({"relevant_ids": [x["id"] for x in json.loads(p)][::-1]}))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 0, "s1"), (1, 0, 1, "s0"), (1, 1, 0, "s3"), (1, 1, 1, "s2"), (1, 2, 0, "s4")]
 
 
+def test_planning_by_a_model(spark):
+    asked = []
+
+    def second_time(prompt):
+        asked.append(prompt)
+        return '{"queries": [" a ", "a", "", 3, "b"]}' if prompt.startswith(STRICT) else "no json"
+
+    assert plan(second_time, "why {x}?", 7) == ["a", "3", "b"] and len(asked) == 2 and "why {x}?" in asked[0]
+    assert plan(second_time, "q", 2) == ["a", "3"]
+    assert plan(lambda _: 1 / 0, " whole question ", 7) == ["whole question"]
+    assert filled("{a} {b} {c}", a="{b}", b="x") == "{b} x {c}"
+    frame = spark.createDataFrame([(1, "q"), (2, None)], "question_id long, text string")
+    got = model_queries(frame, lambda prompt: '{"queries": ["x", "NOPE:y"]}', 7).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, "x"), (1, 1, "NOPE:y"), (2, 0, "x"), (2, 1, "NOPE:y")]
+
+
+def test_sub_queries_keeps_valid_ones_or_all(spark):
+    frame = spark.createDataFrame([(1, "one"), (2, "two")], "question_id long, text string")
+    reply = lambda prompt: '{"queries": ["NOPE:x", "fine"]}' if "one" in prompt else '{"queries": ["NOPE:x", "(a"]}'
+    assert sorted((r.question_id, r.text) for r in sub_queries(frame, 7, reply).collect()) == [(1, "fine"), (2, "(a"), (2, "NOPE:x")]
+
+
+def test_bm25_top_gives_the_best_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "DOC_BLOCK", 7)
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "the of"), (9001, None), (9002, "")], "doc_id long, text string"))
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id as question_id", "text").where("question_id < 8").unionByName(spark.createDataFrame([(100, ""), (101, None), (102, "zzzz")], "question_id long, text string"))
+    want = R.top_k(R.bm25_corpus(docs.where("doc_id is not null"), asked), 5, "question_id", F.desc(F.round("score", 9)), "doc_id").collect()
+    got = R.bm25_top(docs, asked, 5).collect()
+    plain = lambda rows: sorted((r.question_id, r["rank"], r.doc_id, round(r.score, 6)) for r in rows)
+    assert plain(got) == plain(want) and len(got) > 20
+    assert R.bm25_top(docs, asked.limit(0), 5).count() == 0 and R.bm25_top(docs.limit(0), asked, 5).count() == 0
+
+
 def test_payloads_and_reports(spark):
     papers = spark.createDataFrame([(1, "p1", "T", None, "2001"), (2, "p2", "", "A", "")], "doc_id long, paper_id string, title string, authors string, year string")
     sentences = spark.createDataFrame([(1, 1, "1_B", "b"), (1, 0, "1_A", "a")], "doc_id long, sent_idx int, sid string, sentence string")
