@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import UNDETERMINED, identify, learn
 from lodestone.llm.line_dedup import dedup_lines
-from lodestone.llm.mixing import WORD, mix_sources, token_count
+from lodestone.llm.mixing import WORD, mix_sources
 from lodestone.llm.packing import pack_documents
 from lodestone.scratch import materialize, release, tidy
 from lodestone.sources.corpus import spread
@@ -67,8 +67,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = docs.select(*COLUMNS).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
     taken = mix_sources(keyed, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE, MIX_SEED, id_col="key")
-    chosen = materialize(taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("take_tokens").alias("take")), "chosen")
-    rows = keyed.join(chosen.hint("merge"), "key").withColumn("cut", F.col("take") < token_count(F.col("text")))
+    chosen = taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("take_tokens").alias("take"), F.max("n_tokens").alias("whole"))
+    chosen = materialize(chosen.select("key", "take", (F.col("take") < F.col("whole")).alias("cut")), "chosen")
+    rows = keyed.join(chosen.hint("merge"), "key")
     words = F.regexp_extract_all("text", F.lit(rf"[ \t\n\x0B\f\r]*{WORD}"), F.lit(0))  # each with the blanks before it
     prefix = F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), "")
     rows = rows.withColumn("text", F.when(F.col("cut"), prefix).otherwise(F.col("text")))
