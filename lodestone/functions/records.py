@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import squeeze
+
 
 def or_else(*choices: Column) -> Column:
     """The first choice that is neither null nor empty, else the empty string."""
@@ -59,7 +61,7 @@ def snippets(full_text_spans: Column, abstract_spans: Column, excerpt: Column, a
 
 def license_code(value: Column) -> Column:
     """One spelling for a license family: upper case, hyphens, CC in front of BY-NC-SA."""
-    code = F.regexp_replace(F.regexp_replace(F.upper(F.trim(value)), "[_ ]", "-"), "-+", "-")
+    code = F.regexp_replace(F.regexp_replace(F.upper(squeeze(value)), "[_ ]", "-"), "-+", "-")
     return F.when(code == "BY-NC-SA", "CC-BY-NC-SA").otherwise(code)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,17 @@ from pyspark.sql import functions as F
 EVERYWHERE = "text"
 
 
-def term(word: str, column: str = EVERYWHERE) -> Column:
+def term(word: str, column: str | Column = EVERYWHERE) -> Column:
     """Whether the word stands in the column, in any case."""
     return F.array_contains(_words(column), word.lower())
 
 
-def phrase(text: str, column: str = EVERYWHERE) -> Column:
+def phrase(text: str, column: str | Column = EVERYWHERE) -> Column:
     """Whether the words stand next to each other."""
-    return F.concat(F.lit(" "), F.array_join(_words(column), " "), F.lit(" ")).contains(f" {' '.join(text.lower().split())} ")
+    return F.concat(F.lit(" "), F.array_join(_words(column), " "), F.lit(" ")).contains(f" {' '.join(re.findall(r'[\w]+', text.lower()))} ")
 
 
-def wildcard(pattern: str, column: str = EVERYWHERE) -> Column:
+def wildcard(pattern: str, column: str | Column = EVERYWHERE) -> Column:
     """Whether a word fits a pattern in which * is any run of characters and ? is one."""
     regex = "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else f"\\{c}") for c in pattern.lower())
     return F.exists(_words(column), lambda w: w.rlike(f"^{regex}$"))
@@ -35,6 +37,16 @@ def years(first: int | None = None, last: int | None = None, column: str = "year
     return F.coalesce(out, F.lit(False))
 
 
+def between(value: Column, first: Column | None = None, last: Column | None = None) -> Column:
+    """Whether a number or date lies in a range; an end may be open, a missing value lies in none."""
+    out = value.isNotNull()
+    if first is not None:
+        out = out & (value >= first)
+    if last is not None:
+        out = out & (value <= last)
+    return F.coalesce(out, F.lit(False))
+
+
 def one_of(column: str, *values: str) -> Column:
     """Whether the column has one of the values, in any case."""
     return F.coalesce(F.upper(F.col(column)).isin([v.upper() for v in values]), F.lit(False))
@@ -44,5 +56,6 @@ def flag(column: str, value: str) -> Column:
     return F.coalesce(F.col(column), F.lit(False)) == (value.upper() == "Y")
 
 
-def _words(column: str) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def _words(column: str | Column) -> Column:
+    text = F.col(column) if isinstance(column, str) else column
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

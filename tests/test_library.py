@@ -8,6 +8,7 @@ from lodestone.functions import records as X
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
+from lodestone.operators.querytext import condition, matching
 from lodestone.operators import validation as V
 from lodestone.plans.evidence import passages, sub_queries
 from lodestone.plans import report
@@ -23,6 +24,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+NO_TERMS = "Query does not contain any searchable terms"
 QUERIES = [
     ("cancer AND therapy", []),
     ('title:"x y"', []),
@@ -33,11 +35,11 @@ QUERIES = [
     ("   ", ["Query is empty or None"]),
     ("Alzheimer's disease", ["Unmatched single quotes in query"]),
     ('TITLE:"open', ["Unmatched double quotes in query"]),
-    ('"a*"', ["Wildcards are not allowed inside quotes"]),
+    ('"a*"', ['Wildcard not allowed in quotes: "a*"']),
     ("NOPE:x", ["Invalid field tag 'NOPE'"]),
     ("TITLE : x", ["Field tag 'TITLE' has invalid spacing before colon", "Field tag 'TITLE' has invalid spacing after colon"]),
-    ("TITLE:", ["Field tag 'TITLE' is missing a value"]),
-    ("TITLE:()", ["Empty group '()' is not allowed", "Field tag 'TITLE' is missing a value"]),
+    ("TITLE:", ["Field tag is missing a value", "Field tag 'TITLE' is missing a value"]),
+    ("TITLE:()", ["Field tag 'TITLE' is missing a value"]),
     ("HAS_FT:Y cancer", ["Invalid syntax: HAS_FT:Y cancer - multi-word field values must use quotes or parentheses", "Invalid value for HAS_FT: 'Y cancer' - must use Y or N"]),
     ("HAS_FT:(Y)", ["Invalid value for HAS_FT: '(Y)' - must use Y or N"]),
     ("SRC:xyz", ["Invalid value for SRC: 'XYZ'"]),
@@ -62,7 +64,7 @@ QUERIES = [
     ("DOI:11.1/x", ["Invalid DOI format: '11.1/x'"]),
     ("BOOK_ID:NBK1 AND BOOK_ID:1", ["Invalid BOOK_ID format: '1'"]),
     ("AUTH_MAN_ID:EMS123 AND AUTH_MAN_ID:1", ["Invalid AUTH_MAN_ID format: '1'"]),
-    ('TITLE:"a*"', ["Wildcards are not allowed inside quotes", "Wildcards are not allowed inside quotes for field 'TITLE'"]),
+    ('TITLE:"a*"', ['Wildcard not allowed in quotes: "a*"', "Wildcards are not allowed inside quotes for field 'TITLE'"]),
     ("BOOK_ID:NBK1*", ["Invalid BOOK_ID format: 'NBK1*'", "Wildcards are not allowed for field 'BOOK_ID'"]),
     ("E_PDATE:202?", ["Invalid value for E_PDATE: '202?' - expected YYYY or YYYY-MM-DD", "Question-mark wildcards are not allowed for field 'E_PDATE'"]),
     ("E_PDATE:202*", ["Invalid value for E_PDATE: '202*' - expected YYYY or YYYY-MM-DD", "Wildcards are only allowed in date ranges for field 'E_PDATE'"]),
@@ -71,8 +73,28 @@ QUERIES = [
     ("TITLE:[a", ["Unmatched brackets in query", "Field tag 'TITLE' is missing a value"]),
     ("a AND", ["Operator 'AND' is missing a right-hand operand"]),
     ("a OR", ["Operator 'OR' is missing a right-hand operand"]),
-    ("a NOT", ["Operator 'NOT' is missing an operand"]),
-    ("NOT NOT a", ["Illegal NOT placement"]),
+    ("a NOT", ["Illegal NOT placement"]),
+    ("NOT NOT a", ["Illegal NOT placement", NO_TERMS]),
+    ("AND a", ["Unexpected token 'AND'", NO_TERMS]),
+    ("a OR OR b", ["Operator 'OR' is missing a right-hand operand"]),
+    ("x AND AND y", ["Operator 'AND' is missing a right-hand operand"]),
+    ("(AND a)", ["Unexpected token 'AND'"]),
+    ("(a OR)", ["Operator 'OR' is missing a right-hand operand"]),
+    ("(a))(b", ["Unexpected token ')'"]),
+    ("TITLE:((a OR (b AND (c))))", []),
+    ('TITLE:"x" (a OR b) NOT c', []),
+    ("NOT (a OR b) AND NOT c", []),
+    ('"a""b" AND x y', []),
+    ("NOT", ["Illegal NOT placement", NO_TERMS]),
+    ('SRC:"MED', ["Unmatched double quotes in query", "Invalid value for SRC: '\"MED'"]),
+    ("]", ["Unexpected closing bracket", NO_TERMS]),
+    ("a ]", ["Unexpected token ']'"]),
+    ("(a ]", ["Unmatched parentheses in query"]),
+    ("[a", ["Unexpected token '['", NO_TERMS]),
+    ("()", ["Empty group '()' is not allowed"]),
+    (")", ["Unexpected closing parenthesis", NO_TERMS]),
+    ("TITLE: AND b", ["Field tag is missing a value", "Field tag 'TITLE' is missing a value"]),
+    ("a AND (b", ["Unmatched parentheses in query"]),
 ]
 
 
@@ -247,3 +269,15 @@ def test_entry_points(name):
     import __spark_entry__
 
     assert len(getattr(__spark_entry__, name)()) > 30
+
+
+def test_conditions_from_query_texts(spark):
+    rows = [(1, "A red fox", "the end", "2001", "x y"), (2, "Red and blue", None, "2010", None), (3, None, "a fox, red", None, "foxes")]
+    papers = spark.createDataFrame(rows, "doc_id long, title string, abstract string, year string, text string")
+    ask = lambda q: sorted(r.doc_id for r in matching(papers, q).collect())
+    assert ask("TITLE:red") == [1, 2] and ask("TITLE_ABS:(red fox)") == [1, 3] and ask('ABSTRACT:"FOX red"') == [3]
+    assert ask("TITLE:red NOT TITLE:(fox OR green)") == [2] and ask("PUB_YEAR:[* TO 2005] OR fox*") == [1, 3]
+    assert ask("NOT PUB_YEAR:2001") == [2, 3] and ask("x AND y") == [1] and ask("TITLE:r?d AND TITLE:b*") == [2]
+    for q in ("", "(a", "a)", "a OR", "AND a", "NOT", "a ]", "AUTH:x", "NOPE:x", "INTRO:x", "PUB_YEAR:[2001]"):
+        with pytest.raises(ValueError):
+            condition(q, papers.columns)
