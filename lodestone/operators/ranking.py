@@ -217,3 +217,28 @@ def excerpts(kept: DataFrame) -> DataFrame:
     """(doc_id, excerpt): the texts kept, in document order, joined by blanks."""
     ordered = F.array_sort(F.collect_list(F.struct("para_idx", "text")))
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("excerpt"))
+
+
+def bm25_excerpts(paragraphs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(pair, excerpt) of queries (pair, doc_id, terms): what bm25_within, positive_or_all, within_budget and excerpts give one after the other.
+
+    Many queries ask the same documents, so words are counted and weighed once for a document and term, and only terms that
+    some query asks of the document. Queries meet weights, not texts; the texts of the paragraphs that are kept are read at the end.
+    """
+    doc = Window.partitionBy("doc_id")
+    asked = materialize(queries.select("pair", "doc_id", F.explode("terms").alias("term")), "asked")
+    some = paragraphs.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    read = some.select("doc_id", "para_idx", "text", tokens(ranked_text(paragraphs)).alias("all"), word_count(F.col("text")).alias("words"))
+    read = materialize(read.withColumn("length", F.size("all")), "read")
+    sizes = read.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.col("length").cast("double")).alias("mean"))
+    hits = read.select("doc_id", "para_idx", "length", F.explode("all").alias("term")).join(asked.select("doc_id", "term").distinct(), ["doc_id", "term"], "left_semi")
+    tf = hits.groupBy("doc_id", "term", "para_idx", "length").agg(F.count("*").alias("tf")).withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "term")))
+    weights = tf.join(sizes, "doc_id").select("doc_id", "term", "para_idx", bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("weight"))
+    scores = materialize(weights.join(asked, ["doc_id", "term"]).groupBy("pair", "doc_id", "para_idx").agg(F.sum("weight").alias("score")), "scores")
+    without = queries.select("pair", "doc_id").join(scores.select("pair").distinct(), "pair", "left_anti")
+    light = read.select("doc_id", "para_idx", "words")
+    rows = scores.join(light, ["doc_id", "para_idx"]).unionByName(without.join(light, "doc_id").withColumn("score", F.lit(0.0)))
+    before = Window.partitionBy("pair").orderBy(F.desc(F.round("score", DECIMALS)), "para_idx").rowsBetween(Window.unboundedPreceding, -1)
+    kept = rows.withColumn("words_before", F.coalesce(F.sum("words").over(before), F.lit(0))).where(F.col("words_before") < limit)
+    texts = kept.select("pair", "doc_id", "para_idx").join(read.select("doc_id", "para_idx", "text"), ["doc_id", "para_idx"])
+    return excerpts(texts.select(F.col("pair").alias("doc_id"), "para_idx", "text")).withColumnRenamed("doc_id", "pair")

@@ -98,9 +98,8 @@ def passages(
 
     on_stage("excerpt")
     with_text = papers.where("has_full_text").select("doc_id") if s.full_text_enrichment else papers.limit(0).select("doc_id")
-    asked = found.join(with_text, "doc_id").select("doc_id", "pair", "terms")
-    ranked = R.positive_or_all(R.bm25_within(asked.select("doc_id", "pair").join(paragraphs, "doc_id").drop("doc_id").withColumnRenamed("pair", "doc_id"), asked.select(F.col("pair").alias("doc_id"), "terms")))
-    excerpt = R.excerpts(R.within_budget(ranked, word_budget(s.excerpt_tokens), "doc_id", "rank")).withColumnRenamed("doc_id", "pair").where("excerpt <> ''")
+    asked = found.join(with_text, "doc_id").select("pair", "doc_id", "terms")
+    excerpt = R.bm25_excerpts(paragraphs, asked, word_budget(s.excerpt_tokens)).where("excerpt <> ''")
     candidates = found.join(papers.select("doc_id", "title", "abstract", "has_full_text", "year", *more), "doc_id").join(excerpt, "pair", "left")
     candidates = materialize(candidates.withColumn("has_excerpt", F.col("excerpt").isNotNull()), "candidates")
 
@@ -110,6 +109,7 @@ def passages(
         some = candidates.where(f"{text} <> ''")
         rows = E.sentence_rows(some.select("pair", F.col(text).alias("text")), "pair").join(found.select("pair", "terms", "question_id", "cand_pos"), "pair")
         cited = _cited_by_words(rows) if judge is None else _cited_by_model(rows, E.candidate_order(some.drop("cand_pos").join(found.select("pair", F.col("cand_pos").alias("at")), "pair"), "question_id", "at"), questions, judge, size, judge_prompt)
+        cited = materialize(cited, f"{name}_cited")  # read for spans and for places
         kept = R.within_budget(cited.withColumn("text", F.col("sentence")), s.evidence_words, "pair", "judge_pos")
         spans = E.span_lists(E.truncated(E.spans(E.span_ids(kept, "pair"), "pair"), s.evidence_words, "pair"), "pair").withColumnRenamed("spans", f"{name}_spans")
         best = cited.groupBy("question_id", "pair").agg(F.min("first_by").alias("first_by"))

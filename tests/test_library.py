@@ -186,6 +186,17 @@ def test_bm25_top_gives_the_best_of_all_pairs(spark, monkeypatch):
     assert R.bm25_top(docs, asked.limit(0), 5).count() == 0 and R.bm25_top(docs.limit(0), asked, 5).count() == 0
 
 
+def test_excerpts_of_many_queries(spark):
+    """As by the steps one after the other, for queries that share documents and one that shares no term."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12")
+    some = [(f"{q}:{i}", i, t) for i in range(12) for q, t in enumerate((["the", "of"], ["en", "la", "un"], ["zzzz"], []))]
+    asked = spark.createDataFrame(some, "pair string, doc_id long, terms array<string>")
+    body = asked.select("pair", "doc_id").join(C.paragraphs(d), "doc_id").drop("doc_id").withColumnRenamed("pair", "doc_id")
+    steps = R.excerpts(R.within_budget(R.positive_or_all(R.bm25_within(body, asked.select(F.col("pair").alias("doc_id"), "terms"))), 40, "doc_id", "rank"))
+    got = {r.pair: r.excerpt for r in R.bm25_excerpts(C.paragraphs(d), asked, 40).collect()}
+    assert got == {r.doc_id: r.excerpt for r in steps.collect()} and len(got) == len(some)
+
+
 def test_payloads_and_reports(spark):
     papers = spark.createDataFrame([(1, "p1", "T", None, "2001"), (2, "p2", "", "A", "")], "doc_id long, paper_id string, title string, authors string, year string")
     sentences = spark.createDataFrame([(1, 1, "1_B", "b"), (1, 0, "1_A", "a")], "doc_id long, sent_idx int, sid string, sentence string")
