@@ -326,32 +326,30 @@ def _joined(percent: int, count_links: bool):
     return _by_tile(work, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())]))
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, compressed text) of the rows whose text has the class asked for, as an id may stand for several texts."""
-    for batch in batches:
-        keep = pa.array([bool(len(g)) and _set_id(g) == c for c, (_, g) in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(2)), strict=True)], pa.bool_())
-        packed = [zstandard.compress(x, 3) for x in batch.column(2).filter(keep).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(packed, pa.binary())], names=["cls", "packed"])
-
+def _asked_for(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cls, packed): the compressed texts of the classes and ids in needed (cls, doc_id), once for each row.
 
-def _asked_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id isn't among ids: one bit of a filter of a fixed size stands for each id."""
+    One bit of a filter of a fixed size stands for each id, so most other texts are dropped in the scan. The class is found from the text, as
+    an id may stand for several texts. All in one step of Python, so that a task keeps one worker.
+    """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    marks = ids.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    marks = needed.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
     words = np.zeros(FILTER_BITS // 64, np.int64)
     for r in marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
         words[r.word] = r.bits
-    if np.bitwise_count(words).sum() > FILTER_BITS // 2:
-        return docs
     held = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value.view(np.uint8)
         for batch in batches:
             at = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            some = batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+            cls = [_set_id(g) if len(g) else None for _, g in shingle_sets(some.column(1))]
+            packed = [zstandard.compress(x, 3) for x in some.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), some.column(0), pa.array(packed, pa.binary())], names=["cls", "doc_id", "packed"])
 
-    return docs.select("doc_id", "text", place.alias("place")).where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("place")).where("doc_id is not null")
+    return texts.mapInArrow(run, "cls long, doc_id long, packed binary").join(needed, ["cls", "doc_id"], "left_semi").select("cls", "packed")
 
 
 def _common_shingles(seen: DataFrame) -> np.ndarray:
@@ -411,8 +409,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, count_links: bool = T
     hopeful = materialize(dealt(members).mapInArrow(_hopeful(percent), "tile long, i_block int, j_block int, block int, cls long, rep long, copies long"), "hopeful")
 
     needed = materialize(hopeful.select("cls", F.col("rep").alias("doc_id")).distinct(), "needed")
-    texts = _asked_for(docs, needed.select("doc_id")).join(needed, "doc_id")
-    texts = materialize(texts.select("cls", "doc_id", "text").mapInArrow(_own, "cls long, packed binary"), "texts")
+    texts = materialize(_asked_for(docs, needed), "texts")
     one_text = texts.groupBy("cls").agg(F.min("packed").alias("packed"))  # an id may come again with a text of its class
     read = hopeful.drop("rep").join(one_text.hint("merge"), "cls")  # texts are never broadcast
     tiles_of = hopeful.groupBy("cls").agg(F.collect_set("tile").alias("tiles"))
