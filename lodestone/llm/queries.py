@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.audit import FILTERS, audit
 from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.exact_dedup import exact_duplicates
 from lodestone.llm.jaccard import jaccard_components
@@ -97,6 +99,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "class_links", "n_links")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _op1_level(k: int, budget: str) -> str:
     """SQL that shares the budgets of level k's parents among their children."""
     levels = ["domain", "lang", "source"]
@@ -271,10 +277,33 @@ SELECT doc_id, named.n AS n_shingles, coalesce(root, doc_id) AS component_id, na
 FROM named LEFT JOIN roots USING (cls) LEFT JOIN counts USING (cls) LEFT JOIN classes USING (cls)
 """
 
+def _op13_events() -> str:
+    """One row for each order and step, with the filter there and those before it."""
+    orders = ["".join(p) for p in permutations(FILTERS)]
+    return ", ".join(f"('{o}', {s + 1}, '{o[s]}', '{o[:s]}')" for o in orders for s in range(len(o)))
+
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+           regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B,
+      100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D, coalesce(doc_id > first, false) AS E FROM d),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END, CASE WHEN D THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS fails,
+      count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT * FROM (VALUES {_op13_events()}) AS o(filter_order, step, name, before)),
+x AS (SELECT m.*, o.*, contains(fails, name) AS failing, len(list_filter(string_split(fails, ''), lambda c: contains(before, c))) > 0 AS gone FROM m, o),
+s AS (SELECT part, filter_order, step, name, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = name THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley FROM s
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op2_license_scan": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8, "op9_line_dedup": OP9, "op10_ngram_jaccard": OP10}
+    return {"op1_source_mixing": OP1, "op2_license_scan": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8, "op9_line_dedup": OP9, "op10_ngram_jaccard": OP10, "op13_filter_audit": OP13}
