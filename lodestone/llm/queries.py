@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.audit import FILTERS, audit
 from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.exact_dedup import exact_duplicates
+from lodestone.llm.fptree import ranked_search
 from lodestone.llm.jaccard import jaccard_components
 from lodestone.llm.langid import identify, learn
 from lodestone.llm.licenses import BASE_PHRASES, rules, scan_licenses
@@ -99,6 +100,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "class_links", "n_links")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -276,6 +281,19 @@ counts AS (SELECT a AS cls, count(*) AS links, CAST(sum(copies) AS BIGINT) AS do
 SELECT doc_id, named.n AS n_shingles, coalesce(root, doc_id) AS component_id, named.cls AS class_id, coalesce(links, 0) AS class_links, CAST(coalesce(docs, 0) + coalesce(copies, 1) - 1 AS BIGINT) AS n_links
 FROM named LEFT JOIN roots USING (cls) LEFT JOIN counts USING (cls) LEFT JOIN classes USING (cls)
 """
+OP12 = r"""
+WITH lowered AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+asked AS (SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+whole AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM lowered WHERE len(t) > 0),
+terms AS (SELECT item, item_id, unnest(t) AS term FROM asked),
+tf AS (SELECT row, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, t, unnest(t) AS term FROM lowered) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, whole),
+parts AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * CAST(50 + (50 * n * n_docs) // n_terms AS BIGINT))) AS part FROM tf JOIN w USING (term), whole),
+scores AS (SELECT item, item_id, row, doc_id, CAST(sum(part) AS BIGINT) AS score FROM parts JOIN terms USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores) WHERE rank <= 50
+"""
+
 
 def _op13_events() -> str:
     """One row for each order and step, with the filter there and those before it."""
@@ -285,14 +303,15 @@ def _op13_events() -> str:
 
 OP13 = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
-           regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+           regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 f AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B,
       100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D, coalesce(doc_id > first, false) AS E FROM d),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
 m AS (SELECT part, concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END, CASE WHEN D THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS fails,
       count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
 o AS (SELECT * FROM (VALUES {_op13_events()}) AS o(filter_order, step, name, before)),
-x AS (SELECT m.*, o.*, contains(fails, name) AS failing, len(list_filter(string_split(fails, ''), lambda c: contains(before, c))) > 0 AS gone FROM m, o),
+x AS (SELECT m.*, o.*, contains(fails, name) AS failing, len(list_filter(string_split(fails, ''), lambda c: c <> '' AND contains(before, c))) > 0 AS gone FROM m, o),
 s AS (SELECT part, filter_order, step, name, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed,
       sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = name THEN n ELSE 0 END) AS unique_fails,
       sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
@@ -306,4 +325,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": OP1, "op2_license_scan": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8, "op9_line_dedup": OP9, "op10_ngram_jaccard": OP10, "op13_filter_audit": OP13}
+    return {"op1_source_mixing": OP1, "op2_license_scan": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_chat_format": OP8, "op9_line_dedup": OP9, "op10_ngram_jaccard": OP10, "op12_lexical_search": OP12, "op13_filter_audit": OP13}
