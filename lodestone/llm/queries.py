@@ -20,6 +20,7 @@ from lodestone.llm.line_dedup import dedup_lines
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.neighbours import nearest
 from lodestone.llm.packing import pack_documents
+from lodestone.llm.pages import extract_pages
 from lodestone.llm.urlfilter import SEGMENT, filter_urls, host
 from lodestone.sources.corpus import spread
 
@@ -100,6 +101,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "class_links", "n_links")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
