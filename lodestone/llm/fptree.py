@@ -28,6 +28,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ITEM_BLOCK, TOGETHER = 4096, 256
 #: Documents of a trie, and of a node below which documents are scored one by one.
 TRIE, LEAF = 8192, 4
+#: Bytes of a path by which documents are dealt over tasks (four a term), so that what Spark samples of them stays small.
+DEALT = 32
 
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -251,7 +253,7 @@ def _answered(docs: DataFrame, block: list[Row], k: int) -> DataFrame:
     place[order] = np.arange(len(order))
     vectors = counted.mapInArrow(_vectors(place, n_docs, max(1, n_terms)), f"doc_id {kind}, m long, path binary, times binary")
     # by path, then id: a path that many documents share is spread over tasks
-    vectors = materialize(vectors.repartitionByRange("path", "doc_id").sortWithinPartitions("path"), "vectors")
+    vectors = materialize(vectors.repartitionByRange(F.substring("path", 1, DEALT), "doc_id").sortWithinPartitions("path"), "vectors")
     release(counted)
     out = None
     for first in range(0, len(block), TOGETHER):
