@@ -16,15 +16,29 @@ def term(word: str, column: str | Column = EVERYWHERE) -> Column:
     return F.array_contains(_words(column), word.lower())
 
 
+def normal(column: str | Column = EVERYWHERE) -> Column:
+    """The words of a column, lowered, each with a blank on both sides of it."""
+    return F.concat(F.lit(" "), F.array_join(_words(column), " "), F.lit(" "))
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower())
+
+
 def phrase(text: str, column: str | Column = EVERYWHERE) -> Column:
-    """Whether the words stand next to each other."""
-    return F.concat(F.lit(" "), F.array_join(_words(column), " "), F.lit(" ")).contains(f" {' '.join(re.findall(r'[\w]+', text.lower()))} ")
+    """Whether the words stand next to each other; a text without words stands nowhere."""
+    return normal(column).contains(f" {' '.join(words_of(text))} ") if words_of(text) else F.lit(False)
+
+
+def wildcard_regex(pattern: str) -> str:
+    """A regular expression on normal() for a pattern in which * is any run of word characters and ? is one; signs part words, as in texts."""
+    pieces = re.findall(r"[\w*?]+", pattern.lower())
+    return " " + " ".join("".join({"*": "[^ ]*", "?": "[^ ]"}.get(c, c) for c in p) for p in pieces) + " " if pieces else "(?!)"
 
 
 def wildcard(pattern: str, column: str | Column = EVERYWHERE) -> Column:
-    """Whether a word fits a pattern in which * is any run of characters and ? is one."""
-    regex = "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else f"\\{c}") for c in pattern.lower())
-    return F.exists(_words(column), lambda w: w.rlike(f"^{regex}$"))
+    """Whether words fit a pattern in which * is any run of characters and ? is one."""
+    return normal(column).rlike(wildcard_regex(pattern))
 
 
 def years(first: int | None = None, last: int | None = None, column: str = "year") -> Column:

@@ -1,8 +1,7 @@
-"""Checks of fielded queries in a column: clauses are taken out with regular expressions and checked by column rules.
+"""Checks of fielded queries in a column: parsed once, then each clause is checked by column rules.
 
 A clause is FIELD:value, where value is quoted, a range in brackets, a group in parentheses, or bare up to
-the next operator or bracket. Rules hold per clause. Whether operators, groups and operands stand where they may is
-told by one pass over a query's tokens, each seen beside the one before it and the depth of groups.
+the next operator or bracket; clauses inside a group count as well. What is wrong with operators, groups and operands comes from parsing.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.records import day_key, is_day, is_isbn, license_code, role_name
+from lodestone.operators.parsing import parse_column
 
 # Fields and the values they take.
 FIELDS = """ABSTRACT ACCESSION_ID ACCESSION_TYPE ACK_FUND AFF ANNOTATION_TYPE APPENDIX ARXPR_PUBS AUTH AUTHORID AUTHORID_TYPE
@@ -43,37 +43,27 @@ FORMATS = {"AUTHORID": r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$", "PMCID": r"(?i)^PMC\d+
 #: Fields that are of use only beside others.
 COMPANIONS = {"GRANT_ID": ["GRANT_AGENCY"], "EXT_ID": ["SRC"], "INVESTIGATOR": ["AUTH_COLLECTIVE_LIST"], "ISSUE": ["JOURNAL", "VOLUME"]}
 
-_DOUBLE, _SINGLE = r'"(?:""|[^"])*+"?', r"'[^']*+'?"
-_END = r"""(?=[\s()\[\]:"']|$)"""
-_WORD = r"""[^\s()\[\]:"']++"""
-_NAME = rf"(?!(?:AND|OR|NOT){_END}){_WORD}"
+CITATION, BARE_WILDCARD = r"^[A-Za-z0-9.-]+_([A-Za-z]+)$", r"^[*?]+$"
 
+#: What a clause's checks read: of the clauses of a query, its place, and the value without its quotes.
+CLAUSE = ["pos", "raw", "field", "before", "behind", "value", "kind", "bare"]
 
-def _group(depth: int) -> str:
-    """Parentheses with as many levels inside."""
-    return rf"\((?:[^()]|{_group(depth - 1)})*+\)" if depth else r"\([^()]*+\)"
 
-
-#: A bare value goes on over words, quotes, colons and opening brackets up to an operator.
-_BARE = rf"(?!(?:AND|OR){_END})(?:{_WORD}|:)(?:\s*+(?!(?:AND|OR|NOT){_END})(?:{_WORD}|{_DOUBLE}|{_SINGLE}|[:\[]))*+"
-_RANGE = r"\[[^\]]*+\]?"
-#: name, blanks before the colon, blanks behind it, value
-CLAUSE = rf"({_NAME})(\s*):(\s*)({_DOUBLE}|{_SINGLE}|{_RANGE}|{_group(6)}|{_BARE}|)"
-#: A field with its value, with the parenthesis that opens its value or with nothing; a quoted text; a sign; a word.
-TOKEN = rf"{_NAME}\s*:\s*(?:{_DOUBLE}|{_SINGLE}|{_RANGE}|\(|{_BARE}|)|{_DOUBLE}|{_SINGLE}|[()\[\]:]|{_WORD}"
+def _clauses(parsed: DataFrame) -> DataFrame:
+    """parsed (p: see parse_column) with a row a clause, or one with a null pos where a query has none."""
+    columns = [c for c in parsed.columns]
+    rows = parsed.select("*", F.posexplode_outer("p.clauses").alias("pos", "part")).select(*columns, "pos", "part.raw", F.upper("part.raw").alias("field"), "part.before", "part.behind", "part.value", "part.kind")
+    rows = rows.withColumn("kind", F.when(F.trim("value") == "", "missing").otherwise(F.col("kind")))
+    first = F.substring("value", 1, 1)
+    closed = (F.length("value") > 1) & (F.substring("value", -1, 1) == first)
+    bare = F.when(F.col("kind").isin("quoted", "single_quoted") & closed, F.expr("trim(substring(value, 2, length(value) - 2))")).otherwise(F.trim("value"))
+    return rows.withColumn("bare", bare)
 
 
 def clauses(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """queries with pos, raw, field, before, behind, value, kind and bare (the value without its quotes): one row a clause."""
-    q = F.coalesce(F.col(query_col), F.lit(""))
-    part = lambda k: F.regexp_extract_all(q, F.lit(CLAUSE), F.lit(k))
-    parts = F.arrays_zip(part(1).alias("raw"), part(2).alias("before"), part(3).alias("behind"), part(4).alias("value"))
-    rows = queries.select("*", F.posexplode(parts).alias("pos", "part")).select(*queries.columns, "pos", "part.*")
-    first = F.substring("value", 1, 1)
-    kind = F.when(first == '"', "quoted").when(first == "'", "single_quoted").when(first == "[", "range").when(first == "(", "parenthesized").when(F.trim("value") == "", "missing").otherwise("bare")
-    closed = (F.length("value") > 1) & (F.substring("value", -1, 1) == first)
-    bare = F.when(kind.isin("quoted", "single_quoted") & closed, F.expr("trim(substring(value, 2, length(value) - 2))")).otherwise(F.trim("value"))
-    return rows.withColumn("field", F.upper("raw")).withColumn("kind", kind).withColumn("bare", bare)
+    rows = _clauses(queries.withColumn("p", parse_column(F.col(query_col))))
+    return rows.where("pos is not null").select(*queries.columns, *CLAUSE)
 
 
 def _date_messages(field: Column, bare: Column, kind: Column) -> list[tuple[Column, Column]]:
@@ -100,7 +90,7 @@ def clause_messages(rows: DataFrame) -> DataFrame:
     known = field.isin(FIELDS)
     inner = F.expr("trim(substring(value, 2, length(value) - 2))")
     missing = (kind == "missing") | (kind.isin("range", "parenthesized") & (inner == ""))
-    source = F.upper(F.regexp_extract(bare, r"^[A-Za-z0-9.-]+_([A-Za-z]+)$", 1))
+    source = F.upper(F.regexp_extract(bare, CITATION, 1))
     several = field.isin(ONE_VALUE) & bare.contains(",")
     invalid = say("Invalid value for ", field, ": '", bare, "'")
     shape = F.lit(False)
@@ -110,7 +100,7 @@ def clause_messages(rows: DataFrame) -> DataFrame:
     wild, quoted, dated = bare.rlike(r"[*?]"), kind.isin("quoted", "single_quoted"), field.isin(DATE_FIELDS)
     checks = [
         (~known, say("Invalid field tag '", raw, "'")),
-        (F.col("before") != "", say("Field tag '", raw, "' has invalid spacing before colon")),
+        ((F.col("before") != "") & (kind != "missing"), say("Field tag '", raw, "' has invalid spacing before colon")),
         ((F.col("behind") != "") & (kind != "missing"), say("Field tag '", raw, "' has invalid spacing after colon")),
         (known & missing, say("Field tag '", raw, "' is missing a value")),
     ]
@@ -134,80 +124,28 @@ def clause_messages(rows: DataFrame) -> DataFrame:
         (wild & ~quoted & field.isin(NO_WILDCARD), say("Wildcards are not allowed for field '", field, "'")),
         (dated & ~quoted & bare.contains("?"), say("Question-mark wildcards are not allowed for field '", field, "'")),
         (dated & ~quoted & bare.contains("*") & ~bare.contains("?") & (kind != "range"), say("Wildcards are only allowed in date ranges for field '", field, "'")),
-        (field.isin(NO_BARE_WILDCARD) & ~quoted & bare.rlike(r"^[*?]+$"), say("Wildcard-only presence checks are not allowed for field '", field, "' - use ANNOTATION_TYPE or HAS_TM when you mean annotation presence")),
+        (field.isin(NO_BARE_WILDCARD) & ~quoted & bare.rlike(BARE_WILDCARD), say("Wildcard-only presence checks are not allowed for field '", field, "' - use ANNOTATION_TYPE or HAS_TM when you mean annotation presence")),
     ]
     made = F.array(*(F.when(c, m) for c, m in [*checks, *((usable & c, m) for c, m in rules)]))
     return rows.withColumn("messages", F.filter(made, lambda m: m.isNotNull()))
 
 
-def first_fault(query: Column) -> Column:
-    """(fault, at): the first place where a query's operators, operands and groups don't fit, and the number of its token; null if all do.
-
-    Two operands side by side are joined by AND. A token is judged by the one before it and by the depth of open groups.
-    """
-    no = F.lit(None).cast("string")
-    zero = F.struct(F.lit("start").alias("before"), F.lit("").alias("operator"), F.lit(0).alias("depth"), F.lit(0).alias("n"), no.alias("fault"), F.lit(-1).alias("at"))
-
-    def step(acc: Column, t: Column) -> Column:
-        before, depth = acc["before"], acc["depth"]
-        say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-        operand, inside = before == "operand", depth > 0
-        unexpected, unmatched = say("Unexpected token '", t, "'"), F.lit("Unmatched parentheses in query")
-        lone = say("Operator '", acc["operator"], "' is missing a right-hand operand")
-        illegal = F.lit("Illegal NOT placement")
-        joins, opens, named = t.isin("AND", "OR"), t == "(", t.rlike(r":\s*\($") & ~F.substring(t, 1, 1).isin('"', "'")
-        field = t.rlike(rf"^{_NAME}\s*:")
-        fault = (
-            F.when((joins | (t == ")")) & (before == "operator"), lone)
-            .when((joins | t.isin(")", "NOT")) & (before == "NOT"), illegal)
-            .when(joins & ~operand, unexpected)
-            .when((t == ")") & ~inside, F.when(before == "start", F.lit("Unexpected closing parenthesis")).otherwise(unexpected))
-            .when((t == ")") & (before == "group"), F.lit("Empty group '()' is not allowed"))
-            .when(t.isin("[", ":", "]") & operand & inside, unmatched)
-            .when((t == "]") & ~operand, F.lit("Unexpected closing bracket"))
-            .when(t.isin("[", ":", "]"), unexpected)
-            .when(field & t.rlike(r":\s*$"), F.lit("Field tag is missing a value"))
-            .when(field & t.rlike(r":\s*\[[^\]]*$"), F.lit("Unmatched brackets in query"))
-        )
-        after = F.when(joins, "operator").when(t == "NOT", "NOT").when(opens, "group").when(named, "value").otherwise("operand")
-        return F.struct(
-            after.alias("before"),
-            F.when(joins, t).otherwise(acc["operator"]).alias("operator"),
-            (depth + F.when(opens | named, 1).when((t == ")") & inside, -1).otherwise(0)).alias("depth"),
-            (acc["n"] + 1).alias("n"),
-            F.coalesce(acc["fault"], fault).alias("fault"),
-            F.when(acc["fault"].isNull() & fault.isNotNull(), acc["n"]).otherwise(acc["at"]).alias("at"),
-        )
-
-    def finish(acc: Column) -> Column:
-        end = F.when(acc["before"] == "operator", F.concat(F.lit("Operator '"), acc["operator"], F.lit("' is missing a right-hand operand"))).when(acc["before"] == "NOT", "Illegal NOT placement").when(acc["depth"] > 0, "Unmatched parentheses in query")
-        return F.struct(F.coalesce(acc["fault"], end).alias("fault"), F.when(acc["fault"].isNull(), acc["n"] - 1).otherwise(acc["at"]).alias("at"))
-
-    return F.aggregate(F.regexp_extract_all(query, F.lit(f"({TOKEN})"), F.lit(1)), zero, step, finish)
-
-
 def validate(queries: DataFrame, id_col: str = "query_id", query_col: str = "query") -> DataFrame:
-    """(id, query, valid, reasons, warnings): what is wrong with each query: its first fault as a whole, its quotes, its clauses in order, each message once.
+    """(id, query, valid, reasons, warnings): all that is wrong with each query: its structure, its quotes, its clauses in order, each message once.
 
-    A query with several faults of structure has the first one named. A null query is an empty one.
+    Ids are unique. A null query is an empty one. Each text is parsed once, and its clauses meet again by id.
     """
-    checked = clause_messages(clauses(queries.select(id_col, query_col), query_col))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "messages")))
-    found = checked.groupBy(id_col).agg(F.flatten(F.transform(ordered, lambda x: x["messages"])).alias("found"), F.collect_set("field").alias("present"))
-    q = F.coalesce(F.col(query_col), F.lit(""))
-    tokens = F.regexp_extract_all(q, F.lit(f"({_DOUBLE}|{_SINGLE}|{_WORD}|[()\\[\\]:])"), F.lit(1))
-    quoted = F.filter(tokens, lambda t: F.substring(t, 1, 1).isin('"', "'"))
-    closed = lambda t: (F.length(t) > 1) & (F.substring(t, -1, 1) == F.substring(t, 1, 1))
-    name = lambda t: F.when(F.substring(t, 1, 1) == '"', "double").otherwise("single")
-    quotes = F.flatten(F.transform(quoted, lambda t: F.array(F.when(~closed(t), F.concat(F.lit("Unmatched "), name(t), F.lit(" quotes in query"))), F.when(t.rlike(r"[*?]"), F.concat(F.lit("Wildcard not allowed in quotes: "), t)))))
-    joined = queries.select(id_col, query_col).withColumn("fault", first_fault(q)).join(found, id_col, "left")
-    aimless = (F.col("fault.fault").isNotNull()) & ((F.col("fault.at") == 0) | (F.col("fault.at") == 1) & q.rlike(rf"^\s*NOT{_END}")) & ~F.coalesce(F.col("fault.fault").isin("Field tag is missing a value", "Unmatched brackets in query", "Unmatched parentheses in query"), F.lit(False))
+    read = queries.select(F.col(id_col), F.col(query_col)).withColumn("p", parse_column(F.col(query_col)))
+    checked = clause_messages(_clauses(read))
     nothing = F.array().cast("array<string>")
-    said = F.concat(F.array("fault.fault"), quotes, F.coalesce("found", nothing), F.array(F.when(aimless, "Query does not contain any searchable terms")))
-    reasons = F.when(F.trim(q) == "", F.array(F.lit("Query is empty or None"))).otherwise(F.array_distinct(F.filter(said, lambda m: m.isNotNull())))
-    present = F.coalesce("present", nothing)
-    hints = [F.when(F.array_contains(present, field) & ~F.forall(F.array(*map(F.lit, others)), lambda o: F.array_contains(present, o)), f"{field} is usually used together with {' and '.join(others)}") for field, others in COMPANIONS.items()]
-    out = joined.select(id_col, query_col, reasons.alias("reasons"), F.filter(F.array(*hints), lambda m: m.isNotNull()).alias("warnings"))
+    whole = lambda c: F.first(F.col(f"p.{c}")).alias(c)
+    one = F.struct(F.col("pos"), F.when(F.col("pos").isNotNull(), F.col("messages")).otherwise(nothing).alias("messages"))
+    found = checked.groupBy(id_col).agg(F.first(query_col).alias(query_col), whole("faults"), whole("quote_faults"), whole("has_root"), F.array_sort(F.collect_list(one)).alias("listed"), F.collect_set("field").alias("present"))
+    aimless = F.when(~F.col("has_root"), F.array(F.lit("Query does not contain any searchable terms"))).otherwise(nothing)
+    said = F.concat("faults", "quote_faults", F.flatten(F.transform("listed", lambda x: x["messages"])), aimless)
+    reasons = F.when(F.trim(F.coalesce(F.col(query_col), F.lit(""))) == "", F.array(F.lit("Query is empty or None"))).otherwise(F.array_distinct(said))
+    hints = [F.when(F.array_contains("present", field) & ~F.forall(F.array(*map(F.lit, others)), lambda o: F.array_contains("present", o)), f"{field} is usually used together with {' and '.join(others)}") for field, others in COMPANIONS.items()]
+    out = found.select(id_col, query_col, reasons.alias("reasons"), F.filter(F.array(*hints), lambda m: m.isNotNull()).alias("warnings"))
     return out.withColumn("valid", F.size("reasons") == 0)
 
 

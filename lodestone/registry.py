@@ -19,6 +19,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
 from lodestone.operators import search as S
 from lodestone.operators import validation as V
+from lodestone.operators.parsing import parse_column, with_rows
 from lodestone.operators.querytext import condition
 from lodestone.plans import report
 from lodestone.plans.judging import payloads
@@ -405,7 +406,55 @@ def query_faults(spark, sf):
     """The first fault in the structure of queries that start as listed and go on with a document's source."""
     starts = F.element_at(F.array(*(F.lit(t) for t, _ in FAULTS)), (F.col("doc_id") % len(FAULTS) + 1).cast("int"))
     made = docs(spark, sf).select(F.col("doc_id").alias("query_id"), F.concat(starts, F.col("source"), F.lit(' AND "'), "lang", F.lit('"')).alias("query"))
-    return made.select("query_id", V.first_fault(F.col("query"))["fault"].alias("fault"))
+    return made.select("query_id", F.get(parse_column(F.col("query"))["faults"], F.lit(0)).alias("fault"))
+
+
+#: Query texts made of parts of documents: what they start with, their tokens, their trees and all faults of their structure.
+MADE = ["", "AND ", "(", "( ) OR ", "x NOT NOT ", "x OR AND ", "y] ", "TITLE:(a (b OR c)) NOT ", "TITLE:((((((((a OR BOGUS:y))))))) ] ", "KW:(] OR (NOT )) AND ", 'AUTH : "a ""b"" c" PUB_YEAR:[1990 TO [2000 OR ']
+MADE_FAULTS = [
+    [], ["Unexpected token 'AND'", "Unexpected token '{0}'"], ["Unmatched parentheses in query"], ["Empty group '()' is not allowed"], ["Illegal NOT placement", "Unexpected token 'NOT'"], ["Operator 'OR' is missing a right-hand operand", "Unexpected token 'AND'"],
+    ["Unexpected token ']'"], [], ["Unmatched parentheses in query"],
+    ["Unexpected closing bracket", "Illegal NOT placement", "Grouped expression is empty"], ["Unmatched brackets in query"],
+]
+
+
+def _made_queries(spark, sf):
+    """A start by id, then `source AND "lang"`."""
+    starts = F.element_at(F.array(*map(F.lit, MADE)), (F.col("doc_id") % len(MADE) + 1).cast("int"))
+    return docs(spark, sf).select(F.col("doc_id").alias("query_id"), F.concat(starts, F.col("source"), F.lit(' AND "'), "lang", F.lit('"')).alias("query"))
+
+
+def _sql_list(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+MADE_SQL = f"made AS (SELECT doc_id AS query_id, source, lang, {_sql_list(MADE)}[CAST(doc_id % {len(MADE)} AS INTEGER) + 1] || source || ' AND \"' || lang || '\"' AS query FROM documents)"
+
+
+@query(
+    rf"""WITH {MADE_SQL}, m AS (SELECT query_id, regexp_extract_all(query, '"(?:[^"]|"")*"?|''[^'']+''?|[()\[\]:]|[^\s()\[\]:"'']+') AS t FROM made)
+SELECT query_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS text,
+       CASE substr(unnest(t), 1, 1) WHEN '"' THEN 'QUOTED' WHEN '(' THEN 'LPAREN' WHEN ')' THEN 'RPAREN' WHEN '[' THEN 'LBRACKET' WHEN ']' THEN 'RBRACKET' WHEN ':' THEN 'COLON' ELSE CASE WHEN unnest(t) IN ('AND', 'OR', 'NOT') THEN unnest(t) ELSE 'WORD' END END AS kind FROM m"""
+)
+def query_tokens(spark, sf):
+    return with_rows(_made_queries(spark, sf), "query_tokens").select("query_id", "pos", "text", "kind")
+
+
+@query(f"WITH {MADE_SQL} SELECT query_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS pos, replace(unnest(f), '{{0}}', source) AS fault FROM (SELECT query_id, source, [{', '.join(map(_sql_list, MADE_FAULTS))}][CAST(query_id % {len(MADE)} AS INTEGER) + 1] AS f FROM made) WHERE len(f) > 0")
+def query_all_faults(spark, sf):
+    return with_rows(_made_queries(spark, sf), "query_faults").select("query_id", "pos", "fault")
+
+
+@query(
+    """WITH t AS (SELECT doc_id AS query_id, source AS s, lang AS l, n_chars % 7 AS n FROM documents),
+r AS (SELECT query_id, [('term', 0, '', 'word', s), ('term', 0, 'TITLE', 'word', l), ('term', 0, 'KW', 'quoted', '"' || s || ' ' || l || '"'), ('not', 1, '', '', ''), ('or', 2, '', '', ''), ('and', 2, '', '', ''), ('term', 0, 'PUB_YEAR', 'range', '[' || n || ' TO *]'), ('or', 2, '', '', '')] AS x FROM t)
+SELECT query_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS pos, unnest(x)[1] AS op, unnest(x)[2] AS operands, unnest(x)[3] AS field, unnest(x)[4] AS kind, unnest(x)[5] AS text FROM r"""
+)
+def query_tree(spark, sf):
+    """Trees of `source TITLE:(lang OR NOT KW:"source lang") OR PUB_YEAR:[n TO *]`, operands before operators."""
+    made = F.concat("source", F.lit(" TITLE:("), "lang", F.lit(' OR NOT KW:"'), "source", F.lit(" "), "lang", F.lit('") OR PUB_YEAR:['), (F.col("n_chars") % 7).cast("string"), F.lit(" TO *]"))
+    rows = docs(spark, sf).select(F.col("doc_id").alias("query_id"), made.alias("query"))
+    return with_rows(rows, "query_tree").drop("query")
 
 
 def _fielded(spark, sf):

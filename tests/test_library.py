@@ -74,11 +74,11 @@ QUERIES = [
     ("a AND", ["Operator 'AND' is missing a right-hand operand"]),
     ("a OR", ["Operator 'OR' is missing a right-hand operand"]),
     ("a NOT", ["Illegal NOT placement"]),
-    ("NOT NOT a", ["Illegal NOT placement", NO_TERMS]),
-    ("AND a", ["Unexpected token 'AND'", NO_TERMS]),
-    ("a OR OR b", ["Operator 'OR' is missing a right-hand operand"]),
-    ("x AND AND y", ["Operator 'AND' is missing a right-hand operand"]),
-    ("(AND a)", ["Unexpected token 'AND'"]),
+    ("NOT NOT a", ["Illegal NOT placement", "Unexpected token 'NOT'", NO_TERMS]),
+    ("AND a", ["Unexpected token 'AND'", "Unexpected token 'a'", NO_TERMS]),
+    ("a OR OR b", ["Operator 'OR' is missing a right-hand operand", "Unexpected token 'OR'"]),
+    ("x AND AND y", ["Operator 'AND' is missing a right-hand operand", "Unexpected token 'AND'"]),
+    ("(AND a)", ["Unexpected token 'AND'", "Unmatched parentheses in query", "Unexpected token ')'"]),
     ("(a OR)", ["Operator 'OR' is missing a right-hand operand"]),
     ("(a))(b", ["Unexpected token ')'"]),
     ("TITLE:((a OR (b AND (c))))", []),
@@ -89,12 +89,26 @@ QUERIES = [
     ('SRC:"MED', ["Unmatched double quotes in query", "Invalid value for SRC: '\"MED'"]),
     ("]", ["Unexpected closing bracket", NO_TERMS]),
     ("a ]", ["Unexpected token ']'"]),
-    ("(a ]", ["Unmatched parentheses in query"]),
-    ("[a", ["Unexpected token '['", NO_TERMS]),
+    ("(a ]", ["Unmatched parentheses in query", "Unexpected token ']'"]),
+    ("[a", ["Unexpected token '['", "Unexpected token 'a'", NO_TERMS]),
     ("()", ["Empty group '()' is not allowed"]),
     (")", ["Unexpected closing parenthesis", NO_TERMS]),
     ("TITLE: AND b", ["Field tag is missing a value", "Field tag 'TITLE' is missing a value"]),
     ("a AND (b", ["Unmatched parentheses in query"]),
+    ("TITLE:((((((((a OR b))))))))", []),
+    ("TITLE:" + "(" * 5000 + "a OR b" + ")" * 5000, []),
+    ("TITLE:(a OR BOGUS:y)", ["Invalid field tag 'BOGUS'"]),
+    ("TITLE:(a OR PUB_YEAR:20x)", ["Invalid value for PUB_YEAR: '20x' - expected YYYY"]),
+    ("NOPE:(SRC:q OR (LANG:ger))", ["Invalid value for SRC: 'Q'", "Invalid value for LANG: 'ger'", "Invalid field tag 'NOPE'"]),
+    ("TITLE:(a BOGUS:y)", []),
+    ("NOT ] a", ["Unexpected closing bracket", "Operator 'NOT' is missing an operand", "Unexpected token 'a'", NO_TERMS]),
+    ("(OR)", ["Unexpected token 'OR'", "Grouped expression is empty"]),
+    ("(]) OR b", ["Unexpected closing bracket", "Grouped expression is empty"]),
+    ("TITLE:(a OR) AND AUTH:(b NOT) c OR", ["Operator 'OR' is missing a right-hand operand", "Illegal NOT placement", "Operator 'OR' is missing a right-hand operand"][:2]),
+    ("TITLE:(a AND (b) c", ["Unmatched parentheses in query"]),
+    ("a OR ] b", ["Unexpected closing bracket", "Unexpected token 'b'"]),
+    ("TITLE:NOT x AND TITLE:] y", ["Unexpected token ']'", "Invalid syntax: TITLE:NOT x - multi-word field values must use quotes or parentheses", "Field tag 'TITLE' is missing a value"]),
+    ("TITLE :", ["Field tag is missing a value", "Field tag 'TITLE' is missing a value"]),
 ]
 
 
