@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
-from lodestone.functions.text import tokens, word_count
+from lodestone.functions.text import STOPWORDS, plain_terms, tokens, word_count
+from lodestone.operators.parsing import parse
+from lodestone.operators.percolate import Steps, answerable, percolator, positive_words
+from lodestone.operators.querytext import program
 from lodestone.scratch import materialize, release
 
 K1, B = 1.5, 0.75
@@ -29,8 +34,9 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean: Column,
     return idf * d(tf) / (d(tf) + k1 * (F.lit(1.0 - b) + b * d(length) / d(mean)))
 
 
-def _term_counts(asked: pa.Array):
-    """doc_id, length and, for the asked terms that occur, their numbers and counts."""
+def _term_counts(asked: pa.Array, stored=None, names: list[str] = ()):
+    """doc_id, length, the numbers and counts of the asked terms that occur, and the conditions that the document meets."""
+    listed = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,14 +48,21 @@ def _term_counts(asked: pa.Array):
             key = doc.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(asked)) + term.filter(hit).to_numpy(zero_copy_only=False)
             key, times = np.unique(key, return_counts=True)
             ends = np.searchsorted(key, np.arange(len(batch) + 1) * max(1, len(asked)))
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), length.cast(pa.int64()), listed(key % max(1, len(asked))), listed(times)], names=["doc_id", "length", "ids", "times"])
+            met: list[list[int]] = [[]] * len(batch)
+            if stored is not None:
+                values = [batch.column(i + 2).to_pylist() for i in range(len(names))]
+                met = [stored.matches({name: column[i] for name, column in zip(names, values, strict=True)}) for i in range(len(batch))]
+            met_ends = np.concatenate([[0], np.cumsum([len(x) for x in met])])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), length.cast(pa.int64()), listed(ends, key % max(1, len(asked))), listed(ends, times), listed(met_ends, np.array([k for x in met for k in x], np.int32))],
+                names=["doc_id", "length", "ids", "times", "met"],
+            )
 
     return run
 
 
-def _best_of_task(questions: list[list[int]], idf: np.ndarray, mean: float, k: int):
-    """(question, doc_id, score): the k best documents of a task for each question, given as term numbers."""
+def _best_of_task(questions: list[list[int]], gated: set[int], idf: np.ndarray, mean: float, k: int):
+    """(question, doc_id, score): the k best documents of a task for each question, given as term numbers; gated ones take all that meet their condition, and no others."""
 
     def cut(question: np.ndarray, doc: np.ndarray, score: np.ndarray) -> np.ndarray:
         order = np.lexsort((doc, -np.round(score, DECIMALS), question))
@@ -71,13 +84,17 @@ def _best_of_task(questions: list[list[int]], idf: np.ndarray, mean: float, k: i
                 term, doc, weight = term[order], doc[order], weight[order]
                 bounds = np.searchsorted(term, np.arange(len(idf) + 1))
                 names = docs + batch.column(0).to_pylist()
+                meeting = batch.column(4)
+                met, met_doc = meeting.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(meeting).to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(met, kind="stable")
+                met, met_doc = met[order], met_doc[order]
                 found = [held]
                 for q, terms in enumerate(questions):
                     score = np.zeros(len(batch))
                     for t in terms:
                         a, b = bounds[t], bounds[t + 1]
                         score[doc[a:b]] += weight[a:b]  # a document has a term once
-                    some = np.flatnonzero(score > 0)
+                    some = met_doc[np.searchsorted(met, q) : np.searchsorted(met, q, "right")] if q in gated else np.flatnonzero(score > 0)
                     if len(some) > k:
                         rounded = np.round(score[some], DECIMALS)
                         some = some[rounded >= np.partition(rounded, len(some) - k)[len(some) - k]]
@@ -95,45 +112,68 @@ def _best_of_task(questions: list[list[int]], idf: np.ndarray, mean: float, k: i
     return run
 
 
-def _answered(docs: DataFrame, block: list[Row], k: int) -> DataFrame:
-    """bm25_top for one block of questions (question_id, terms)."""
+class _Asked(NamedTuple):
+    """A question by its terms and, if it sets one, its condition."""
+
+    question_id: object
+    terms: list[str]
+    steps: Steps | None
+
+
+def _asked(row: Row, fielded: bool) -> _Asked:
+    """A question as it is ranked. A text with a fault, and one of words alone, is a list of loose words; else positive operands rank what meets the condition."""
+    # a question mark at the end of a word is one
+    if not fielded or all(t.kind == "WORD" and not re.search(r"[*]|[?]\w", t.text) for t in parse(row["text"] or "").tokens):
+        return _Asked(row["question_id"], row["terms"], None)
+    try:
+        steps = program(row["text"])
+    except ValueError:
+        return _Asked(row["question_id"], row["terms"], None)
+    return _Asked(row["question_id"], [w for w in positive_words(steps) if len(w) > 1 and w not in STOPWORDS], steps)
+
+
+def _answered(docs: DataFrame, block: list[_Asked], question_type: DataType, k: int) -> DataFrame:
+    """bm25_top for one block of questions."""
     spark = docs.sparkSession
     asked = sorted({t for q in block for t in q.terms})
     number = {t: i for i, t in enumerate(asked)}
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("terms"))
-    counted = materialize(counted.mapInArrow(_term_counts(pa.array(asked, pa.string())), f"doc_id {id_type}, length long, ids array<int>, times array<int>"), "counted")
+    some = docs.where("doc_id is not null")
+    gated = {i: q.steps for i, q in enumerate(block) if q.steps is not None}
+    stored, columns = percolator(some, gated) if gated else (None, {})
+    counted = some.select("doc_id", tokens(F.col("text")).alias("terms"), *(c.alias(name) for name, c in columns.items()))
+    counted = materialize(counted.mapInArrow(_term_counts(pa.array(asked, pa.string()), stored, list(columns)), f"doc_id {id_type}, length long, ids array<int>, times array<int>, met array<int>"), "counted")
     n, mean = counted.agg(F.count("*"), F.avg(F.col("length").cast("double"))).first()
     df = np.zeros(len(asked))
     for r in counted.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row a term of this block
         df[r["id"]] = r["count"]
     idf = np.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    best = counted.select("doc_id", "length", "ids", "times").mapInArrow(_best_of_task([[number[t] for t in q.terms] for q in block], idf, mean or 1.0, k), f"question int, doc_id {id_type}, score double")
+    best = counted.mapInArrow(_best_of_task([[number[t] for t in q.terms] for q in block], set(gated), idf, mean or 1.0, k), f"question int, doc_id {id_type}, score double")
     best = materialize(best, "best")
     release(counted)
-    names = spark.createDataFrame([(i, q.question_id) for i, q in enumerate(block)], StructType([StructField("question", best.schema["question"].dataType), StructField("question_id", block.question_type)]))
+    names = spark.createDataFrame([(i, q.question_id) for i, q in enumerate(block)], StructType([StructField("question", best.schema["question"].dataType), StructField("question_id", question_type)]))
     return best.join(names, "question").select("question_id", "doc_id", "score")
 
 
-class _Block(list):
-    """Questions with the type of their ids."""
-
-    question_type = None
-
-
-def bm25_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def bm25_top(docs: DataFrame, questions: DataFrame, k: int, fielded: bool = False, skip: bool = False) -> DataFrame:
     """(question_id, doc_id, score, rank): the k best of docs (doc_id, text) for each of questions (question_id, text), of those that share a term.
 
     The same scores as bm25_corpus. The corpus is tokenised once for a block of questions, whose terms go to all
     tasks; each task scores its documents, one block after another, and passes on its k best of each question. So
     neither postings nor pairs of questions and documents are shuffled. Ties, to nine decimals, go to the smaller id. Rows without an id are passed over.
+
+    fielded: texts with operators, quotes, parentheses, wildcards or fields are conditions (see querytext.py) on docs, whose columns they may
+    name. The documents that meet one are found in the same pass (see percolate.py), and ranked by the words of its positive operands; they
+    need not share any. A text with a fault is ranked by its words, without tags and operators, as is one of words alone. A
+    field without a column raises a ValueError, or, with skip, its question finds nothing.
     """
-    asked = questions.select("question_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    plain = plain_terms(F.col("text")) if fielded else F.col("text")
+    asked = questions.select("question_id", "text", F.array_distinct(tokens(plain)).alias("terms"))
+    rows = (q for q in (_asked(row, fielded) for row in (asked if fielded else asked.where(F.size("terms") > 0)).toLocalIterator()) if q.terms or q.steps)
+    rows = (q for q in rows if q.steps is None or not skip or answerable([q.steps], docs.columns))
     out = None
-    rows = asked.toLocalIterator()
-    while block := _Block(itertools.islice(rows, QUESTION_BLOCK)):
-        block.question_type = asked.schema["question_id"].dataType
-        part = _answered(docs.select("doc_id", "text"), block, k)
+    while block := list(itertools.islice(rows, QUESTION_BLOCK)):
+        part = _answered(docs if fielded else docs.select("doc_id", "text"), block, asked.schema["question_id"].dataType, k)
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], StructType([asked.schema["question_id"], docs.schema["doc_id"], StructField("score", DoubleType())]))

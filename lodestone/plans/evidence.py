@@ -32,9 +32,13 @@ def plan_queries(questions: DataFrame, most: int) -> DataFrame:
 
 
 def search(papers: DataFrame, queries: DataFrame, page_size: int) -> DataFrame:
-    """(question_id, query_idx, rank, doc_id, score): the best papers for each sub-query; field tags and operators count for nothing."""
-    keyed = queries.select(F.struct("question_id", "query_idx").alias("question_id"), plain_terms(F.col("text")).alias("text"))
-    hits = R.bm25_top(papers.select("doc_id", "text"), keyed, page_size)
+    """(question_id, query_idx, rank, doc_id, score): the best papers for each sub-query.
+
+    Words alone are ranked, whichever of them a paper has. Operators, fields, quotes, parentheses and wildcards make a sub-query a condition
+    that its papers meet; positive words rank them. One that names a field without a column finds nothing, and leaves the others alone. See bm25_top().
+    """
+    keyed = queries.select(F.struct("question_id", "query_idx").alias("question_id"), "text")
+    hits = R.bm25_top(papers, keyed, page_size, fielded=True, skip=True)
     return hits.select("question_id.question_id", "question_id.query_idx", "rank", "doc_id", "score")
 
 

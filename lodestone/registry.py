@@ -20,6 +20,7 @@ from lodestone.operators import ranking as R
 from lodestone.operators import search as S
 from lodestone.operators import validation as V
 from lodestone.operators.parsing import parse_column, with_rows
+from lodestone.operators.percolate import percolate
 from lodestone.operators.querytext import condition
 from lodestone.plans import report
 from lodestone.plans.judging import payloads
@@ -409,6 +410,25 @@ def query_faults(spark, sf):
     return made.select("query_id", F.get(parse_column(F.col("query"))["faults"], F.lit(0)).alias("fault"))
 
 
+@query(
+    rf"""WITH {PAPERS}, d AS (SELECT doc_id, {W} AS w, year, lang, in_store, {TITLE_WORDS} AS tw, ' ' || array_to_string({W}, ' ') || ' ' AS norm FROM papers),
+c AS (SELECT doc_id AS query_id, doc_id % 4 = 3 AS other, w[3] AS a, w[4] AS b, w[7] AS c, w[2] AS d, w[10] AS e FROM d WHERE len(w) >= 10),
+t AS (SELECT DISTINCT doc_id, unnest(w) AS word FROM d),
+pairs AS (SELECT query_id, doc_id FROM c JOIN t ON t.word = c.a)
+SELECT query_id, doc_id FROM pairs JOIN c USING (query_id) JOIN d USING (doc_id)
+WHERE CASE WHEN other THEN contains(norm, ' ' || a || ' ' || b || ' ') OR (list_contains(w, a) AND lang = 'de' AND NOT in_store)
+           ELSE list_contains(w, b) AND (list_contains(w, c) OR list_contains(tw, d)) AND NOT list_contains(w, e) AND CAST(year AS INTEGER) >= 2005 END"""
+)
+def stored_conditions(spark, sf):
+    """A condition made of each document's words, and all papers that meet it."""
+    w = lambda i: F.get(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lit(i - 1))
+    one = F.concat(w(3), F.lit(" "), w(4), F.lit(" ("), w(7), F.lit(" OR TITLE:"), w(2), F.lit(") NOT "), w(10), F.lit(" AND PUB_YEAR:[2005 TO *]"))
+    other = F.concat(F.lit('"'), w(3), F.lit(" "), w(4), F.lit('" OR ('), w(3), F.lit(" AND LANG:de AND NOT IN_EPMC:Y)"), F.substring(w(10), 1, 0))
+    d = docs(spark, sf)
+    conditions = d.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 3, other).otherwise(one).alias("query")).where("query is not null")
+    return percolate(C.papers(d), conditions)
+
+
 #: Query texts made of parts of documents: what they start with, their tokens, their trees and all faults of their structure.
 MADE = ["", "AND ", "(", "( ) OR ", "x NOT NOT ", "x OR AND ", "y] ", "TITLE:(a (b OR c)) NOT ", "TITLE:((((((((a OR BOGUS:y))))))) ] ", "KW:(] OR (NOT )) AND ", 'AUTH : "a ""b"" c" PUB_YEAR:[1990 TO [2000 OR ']
 MADE_FAULTS = [
@@ -703,3 +723,29 @@ def model_judged_pipeline(spark, sf):
     d = docs(spark, sf)
     found = passages(C.papers(d), C.paragraphs(d), questions(spark, sf), planner=_planner, judge=_judge)
     return found.withColumn("evidence", F.array_join("evidence", "\n"))
+
+
+def _fielded_planner(prompt: str) -> str:
+    """A stand-in for a model: loose words, alternatives without a word, a title or a word in some years, and a field that papers don't have."""
+    w = re.findall(r"[^\W\d_]+", prompt.split("\n\n", 1)[1])
+    w += ["none"] * (6 - len(w))
+    return json.dumps({"queries": [f"{w[0]} {w[1]} {w[2]}", f"({w[0]} OR {w[1]}) NOT {w[3]}", f"TITLE:{w[0]} OR ({w[1]} AND PUB_YEAR:[2005 TO 2015])", f"MESH:{w[2]}", f'"{w[4]} {w[5]}"']})
+
+
+FIELDED_PLANNED = r"""qw AS (SELECT item_id AS question_id, list_concat(w, list_transform(range(6 - len(w)), lambda i: 'none')) AS w FROM (SELECT item_id, regexp_extract_all(text, '\p{L}+') AS w FROM benchmark)),
+ql AS (SELECT question_id, w, list_transform(w, lambda x: lower(x)) AS l FROM qw),
+planned AS (SELECT question_id, unnest([0, 1, 2, 4]) AS query_idx, unnest([array_to_string(w[1:3], ' '), w[1] || ' ' || w[2], w[1] || ' ' || w[2], w[5] || ' ' || w[6]]) AS text FROM qw)"""
+FIELDED_SCORED = rf"""loose AS (SELECT question_id, query_idx, doc_id, sum(weight) AS score FROM weighed JOIN sub USING (term) GROUP BY ALL),
+d AS (SELECT doc_id, year, {W} AS dw, {TITLE_WORDS} AS tw, ' ' || array_to_string({W}, ' ') || ' ' AS norm FROM papers),
+met AS (SELECT question_id, doc_id, unnest([1, 2, 4]) AS query_idx, unnest([(list_contains(dw, l[1]) OR list_contains(dw, l[2])) AND NOT list_contains(dw, l[4]),
+    list_contains(tw, l[1]) OR (list_contains(dw, l[2]) AND CAST(year AS INTEGER) BETWEEN 2005 AND 2015), contains(norm, ' ' || l[5] || ' ' || l[6] || ' ')]) AS holds FROM ql, d),
+scored AS (SELECT * FROM loose WHERE query_idx = 0 UNION ALL SELECT question_id, query_idx, doc_id, coalesce(score, 0) FROM met LEFT JOIN loose USING (question_id, query_idx, doc_id) WHERE holds)"""
+LOOSE_SCORED = "scored AS (SELECT question_id, query_idx, doc_id, sum(weight) AS score FROM weighed JOIN sub USING (term) GROUP BY ALL)"
+FIELDED_CANDIDATES = f"{PAPERS}, " + CANDIDATES.replace(LEXICAL_PLANNED, FIELDED_PLANNED).replace(LOOSE_SCORED, FIELDED_SCORED).replace(f", {PAPERS}", "")
+
+
+@query("WITH " + _passages_sql(candidates=FIELDED_CANDIDATES))
+def fielded_pipeline(spark, sf):
+    """Passages for sub-queries with operators, fields, ranges of years and phrases, which papers have to meet."""
+    d = docs(spark, sf)
+    return passages(C.papers(d), C.paragraphs(d), questions(spark, sf), planner=_fielded_planner).withColumn("evidence", F.array_join("evidence", "\n"))

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,10 @@ from lodestone.functions import records as X
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
-from lodestone.operators.querytext import condition, matching
+from lodestone.operators.percolate import Percolator, percolate, positive_words
+from lodestone.operators.querytext import condition, matching, program
 from lodestone.operators import validation as V
-from lodestone.plans.evidence import passages, sub_queries
+from lodestone.plans.evidence import passages, search, sub_queries
 from lodestone.plans import report
 from lodestone.plans.judging import STRICT, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
@@ -306,3 +308,58 @@ def test_conditions_from_query_texts(spark):
     for q in ("", "(a", "a)", "a OR", "AND a", "NOT", "a ]", "AUTH:x", "NOPE:x", "INTRO:x", "PUB_YEAR:[2001]"):
         with pytest.raises(ValueError):
             condition(q, papers.columns)
+
+
+PAPERS3 = [(1, "Cancer in men", "cancer therapy covid-19 vaccine", "1989"), (2, "Mice", "cancer in mouse mouse", "1995"), (3, "Mouse", "a mouse and cancer", "1990"), (4, None, None, None)]
+
+
+def papers3(spark):
+    return spark.createDataFrame(PAPERS3, "doc_id long, title string, text string, year string")
+
+
+SEARCHES = [
+    ("cancer NOT mouse", [1]), ("mouse AND PUB_YEAR:1990", [3]), ("mouse", [2, 3]), ("mouse zebra", [2, 3]), ("TITLE:mouse", [3]), ('"in mouse"', [2]), ("NOT cancer", [4]), ("PUB_YEAR:[1990 TO *]", [2, 3]),
+    ("(mouse OR therapy) AND NOT TITLE:mice", [1, 3]), ("NOT (NOT cancer OR therapy)", [2, 3]), ("covid-19*", [1]), ("covid-1?", [1]), ('"---"', []), ("mous* NOT PUB_YEAR:1995", [3]), ("zebra AND cancer", []),
+    ("TITLE:(mouse OR (cancer NOT mice))", [1, 3]), ("NOT PUB_YEAR:1990", [1, 2, 4]),
+]
+
+
+def test_searches_hold_to_the_query(spark):
+    """In columns, stored, and as ranked sub-queries."""
+    p = papers3(spark)
+    stored = percolate(p, spark.createDataFrame([(i, q) for i, (q, _) in enumerate(SEARCHES)], "query_id int, query string")).collect()
+    hits = search(p, spark.createDataFrame([(7, i, q) for i, (q, _) in enumerate(SEARCHES)], "question_id long, query_idx int, text string"), 50).collect()
+    for i, (q, want) in enumerate(SEARCHES):
+        if "zebra" not in q or "AND" in q:
+            if q != "mouse zebra":
+                assert sorted(r.doc_id for r in matching(p, q).collect()) == want, q
+                assert sorted(r.doc_id for r in stored if r.query_id == i) == want, q
+        assert sorted(r.doc_id for r in hits if r.query_idx == i) == want, q
+    assert [r.doc_id for r in sorted(hits, key=lambda r: r["rank"]) if r.query_idx == 2] == [2, 3]  # twice the word goes first
+
+
+def test_fields_without_a_column(spark):
+    p = papers3(spark)
+    with pytest.raises(ValueError):
+        percolate(p, spark.createDataFrame([(1, "MESH:x")], "query_id int, query string"))
+    asked = spark.createDataFrame([(1, 0, "MESH:mouse"), (1, 1, "TITLE:mouse"), (1, 2, "(mouse")], "question_id long, query_idx int, text string")
+    assert sorted((r.query_idx, r.doc_id) for r in search(p, asked, 5).collect()) == [(1, 3), (2, 2), (2, 3)]
+    assert [r.doc_id for r in matching(p.withColumn("mesh", F.concat(F.lit("A "), "title")), "MESH:mouse").collect()] == [3]
+    for q in ("PUB_YEAR:2020*", "CITED:x", "TITLE:a b", "FIRST_PDATE:[2001-1 TO *]"):
+        with pytest.raises(ValueError, match="PUB_YEAR|CITED|TITLE|FIRST_PDATE"):
+            condition(q, [*p.columns, "cited", "first_pdate"])
+
+
+def test_only_conditions_whose_word_a_paper_has_are_evaluated():
+    texts = [f"w{k} AND (common OR x{k})" for k in range(300)] + ["x1 OR NOT common", "common w5", "y1 OR y2 OR w7"]
+    stored = Percolator({k: program(t) for k, t in enumerate(texts)}, Counter(common=50))
+    assert stored.matches({"text text": " common w5 w7 "}) == [5, 7, 301, 302] and stored.evaluated == 5
+    assert positive_words(program("a NOT (b OR NOT c) TITLE:(d OR NOT e)")) == ["a", "c", "d"]
+
+
+def test_stored_conditions_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.percolate.BLOCK", 2)
+    rows = [(i, q) for i, q in enumerate(["mouse", "cancer", "therapy", "NOT mouse", "zebra"])]
+    got = percolate(papers3(spark), spark.createDataFrame(rows, "query_id long, query string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 4)]
+    assert percolate(papers3(spark), spark.createDataFrame([], "query_id long, query string")).collect() == []
