@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrays import let, running
+
 #: Words are runs of digits, a-z and everything beyond ASCII.
 WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,14 +129,13 @@ def _places(norm: Column, pattern: Column) -> Column:
     """First word and word behind the last one of each match of pattern in words joined by blanks."""
     between, found = F.split(norm, pattern, -1), F.regexp_extract_all(norm, pattern, F.lit(0))
     counts = F.zip_with(F.transform(between, _word_count), F.transform(found, _word_count), lambda a, b: F.struct(a.alias("gap"), F.coalesce(b, F.lit(0)).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,behind:int>>").alias("out"))
 
-    def step(acc, c):
-        first = acc["at"] + c["gap"]
-        hit = F.struct(first.alias("first"), (first + c["size"]).alias("behind"))
-        return F.struct((first + c["size"]).alias("at"), F.when(c["size"] > 0, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
+    def placed(c: Column) -> Column:
+        starts = running(F.transform(c, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b, "int")
+        every = F.zip_with(c, starts, lambda x, at: F.struct((at + x["gap"]).alias("first"), (at + x["gap"] + x["size"]).alias("behind")))
+        return F.filter(every, lambda h: h["behind"] > h["first"])
 
-    return F.aggregate(counts, zero, step)["out"]
+    return let(counts, placed)
 
 
 def _labelled(places: Column, label: str) -> Column:
@@ -173,16 +174,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hit = "array<struct<first:int,until:int,priority:int,label:string,confidence:double>>"
     texts = texts.select("doc_id", "n_words", F.when(F.col("norm").isNull(), nothing).otherwise(base).alias("base"), F.when(F.col("norm").isNull(), F.array().cast(hit)).otherwise(F.array_sort(hits)).alias("hits"))
 
-    # ends reached so far by matches of priority 1, up to 2, and up to 3
-    zero = F.struct(F.lit(-1).alias("p1"), F.lit(-1).alias("p2"), F.lit(-1).alias("p3"), F.array().cast(hit).alias("kept"))
-
-    def step(acc, h):
-        end, p = -h["until"], h["priority"]
-        reached = F.when(p == 1, acc["p1"]).when(p == 2, acc["p2"]).otherwise(acc["p3"])
-        up = lambda k: F.when(p <= k, F.greatest(acc[f"p{k}"], end)).otherwise(acc[f"p{k}"]).alias(f"p{k}")
-        return F.struct(up(1), up(2), up(3), F.when(reached >= end, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(h))).alias("kept"))
-
-    texts = texts.select("doc_id", "n_words", "base", F.aggregate("hits", zero, step)["kept"].alias("kept"))
+    # ends that matches of priority 1, up to 2, and up to 3 have reached before each match
+    none = F.struct(*(F.lit(-1).alias(f"p{k}") for k in (1, 2, 3)))
+    ends = F.transform("hits", lambda h: F.struct(*(F.when(h["priority"] <= k, -h["until"]).otherwise(-1).alias(f"p{k}") for k in (1, 2, 3))))
+    reached = running(ends, none, lambda a, b: F.struct(*(F.greatest(a[f"p{k}"], b[f"p{k}"]).alias(f"p{k}") for k in (1, 2, 3))), "struct<p1:int,p2:int,p3:int>")
+    seen = F.zip_with("hits", reached, lambda h, r: F.struct(h.alias("hit"), F.when(h["priority"] == 1, r["p1"]).when(h["priority"] == 2, r["p2"]).otherwise(r["p3"]).alias("end")))
+    kept = F.transform(F.filter(seen, lambda x: x["end"] < -x["hit"]["until"]), lambda x: x["hit"])
+    texts = texts.select("doc_id", "n_words", "base", kept.alias("kept"))
     names = lambda array: F.transform(array, lambda h: h["label"])
     joined = lambda array: F.array_join(F.array_sort(F.array_distinct(array)), ",")
     starts = F.transform("base", lambda h: h["first"].cast("long"))

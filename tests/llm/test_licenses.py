@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from brute import lower
 
@@ -69,3 +70,16 @@ def test_gate_and_keywords_lose_nothing(spark, monkeypatch):
     by_text = {t: got[i][5] for i, t in enumerate(texts)}
     assert by_text["licensed under the Expat License"].split(",")[0] == "mit"
     assert by_text["Released under the CC_BY 4.0."] == "cc-by-4.0"
+
+
+def test_time_grows_with_the_matches(spark):
+    """Twice the mentions in one text take at most 2.5 times as long."""
+    took, found = [], []
+    for n in (8_000, 16_000):
+        frame = spark.createDataFrame([(1, "under the mit license and x " * n)], "doc_id long, text string")
+        scan_licenses(frame).collect()
+        began = time.time()
+        found.append(scan_licenses(frame).first())
+        took.append(time.time() - began)
+    assert [r.n_base for r in found] == [8_000, 16_000] and found[1].last_word == 15_999 * 6 + 2
+    assert took[1] <= 2.5 * took[0] + 1
