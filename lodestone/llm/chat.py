@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.arrays import let, running
+
 # The template. A block holds neighbouring turns of one role, parted by PART.
 OPEN, CLOSE, PART = "### ", ": ", "<part/>"
 END = "</turn>\n"
 #: Control strings inside texts and roles, and what stands for them. Every backslash goes first, so that
 #: one in an escaped text always starts an escape; no escape's result is read again.
 ESCAPES = [("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\e"), ("<part/>", "\\p")]
+#: Characters of a cut of a formatted text.
+CUT = 4096
 #: Roles also lose the string that ends a header.
 ROLE_ESCAPES = [*ESCAPES, (":", "\\c")]
 
@@ -66,14 +70,11 @@ def format_conversations(turns: DataFrame, trained_role: str = "assistant", conv
     )
     pieces = sorted_turns.select("conv_id", marked.alias("pieces"))
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["behind"])), "")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def walk(acc, p):
-        start = acc["at"] + F.length(p["before"])
-        span = F.struct(start.alias("start"), F.length(p["text"]).alias("length"))
-        return F.struct((start + F.length(p["text"]) + F.length(p["behind"])).alias("at"), F.when(p["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return pieces.select("conv_id", formatted.alias("formatted"), F.aggregate("pieces", zero, walk)["spans"].alias("loss_mask"))
+    size = lambda p: F.length(p["before"]) + F.length(p["text"]) + F.length(p["behind"])
+    starts = running(F.transform("pieces", size), F.lit(0), lambda a, b: a + b, "int")
+    said = F.zip_with("pieces", starts, lambda p, at: F.struct((at + F.length(p["before"])).alias("start"), F.length(p["text"]).alias("length"), p["trained"].alias("trained")))
+    mask = F.transform(F.filter(said, lambda s: s["trained"]), lambda s: F.struct(s["start"], s["length"]))
+    return pieces.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -86,5 +87,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         texts = F.split(F.substring(body(block), F.length(head) + len(CLOSE) + 1, F.length(block)), PART, -1)
         return F.transform(texts, lambda t: F.struct(_role_name(head).alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_mask", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"])))
+    # a place in a long text is found by counting from its start, so the text is cut once and places are looked up in its cuts
+    cut = lambda cuts, s: F.array_join(F.slice(cuts, F.floor(s["start"] / CUT).cast("int") + 1, F.floor((s["start"] % CUT + s["length"]) / CUT).cast("int") + 1), "")
+    cuts = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    loss = let(cuts, lambda c: F.transform("loss_mask", lambda s: unescape(F.substring(cut(c, s), s["start"] % CUT + 1, s["length"]))))
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, turns))).withColumn("loss_texts", loss)

@@ -1,4 +1,7 @@
 import hashlib
+import time
+
+from pyspark.sql import functions as F
 
 from lodestone.llm.chat import format_conversations, read_back
 from lodestone.llm.queries import op8_chat_format
@@ -33,3 +36,16 @@ def test_ties_and_rows_without_a_conversation(spark):
     rows = [(1, 0, "user", "###a"), (1, 0, "user", "Ab"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", "y")]
     got = [(r.conv_id, [t.text for t in r.turns], r.loss_texts) for r in read_back(format_conversations(spark.createDataFrame(rows, SCHEMA))).collect()]
     assert sorted(got, key=repr) == sorted([(1, ["###a", "Ab"], []), (None, ["x"], []), (None, ["y"], ["y"]), (None, ["y"], ["y"])], key=repr)
+
+
+def test_time_grows_with_the_turns(spark):
+    """Twice the turns of one conversation take at most 2.5 times as long."""
+    took = []
+    for n in (10_000, 20_000):
+        frame = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('é𝄞 ', id, repeat('x', int(id % 7 * 900))) as text")
+        read = read_back(format_conversations(frame)).select("loss_texts", F.size("turns").alias("n"))
+        began = time.time()
+        got = read.first()
+        took.append(time.time() - began)
+        assert got.n == n and got.loss_texts == [f"é𝄞 {k}" + "x" * (k % 7 * 900) for k in range(1, n, 2)]
+    assert took[1] <= 2.5 * took[0] + 1 and took[0] < 15
