@@ -215,7 +215,7 @@ SELECT doc_id, k AS keep_id, g AS group_size, doc_id = k AS kept, h AS text_sha2
 
 OP6 = r"""
 WITH p AS (
-  SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+  SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+?)\.?(?:[:/?#]|$)', 1)) AS host,
          regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS segment,
          CAST(DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS DATE) AS fetch_day
   FROM pages
@@ -227,7 +227,7 @@ WITH p AS (
 ), daily AS (SELECT key, list, day, arg_max(adds, seq) AS adds FROM e GROUP BY ALL),
 spans AS (SELECT key, list, adds, day AS since, lead(day) OVER (PARTITION BY key, list ORDER BY day) AS until FROM daily),
 probes AS (
-  SELECT DISTINCT page_id, fetch_day, unnest(list_distinct(list_concat(list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+  SELECT DISTINCT page_id, fetch_day, unnest(list_distinct(list_concat(CASE WHEN host[1] = '[' THEN [] ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END,
          CASE WHEN segment <> '' AND host <> '' THEN [host || '/' || segment] ELSE [] END))) AS key FROM p
 ), hits AS (SELECT page_id, key, list FROM probes JOIN spans USING (key) WHERE adds AND since <= fetch_day AND (until IS NULL OR fetch_day < until)),
 v AS (

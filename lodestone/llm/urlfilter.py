@@ -51,15 +51,15 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     longest key that matches, of equals the first. A capture is blocked if entries match and the list `allow` has
     none for the longest key, or for another one as long.
 
-    Intervals are cut at months and joined by key and month, so that the captures of a busy host are spread
+    Intervals are clipped at the first and the last fetch day, cut at months and joined by key and month, so that the captures of a busy host are spread
     over months and none meets intervals of other times; a verdict is found once for each URL and day. A capture
     with a null or unusable URL or a null day matches nothing. An IPv6 address matches entries for a path below it only. Repeated rows stay; columns of captures stay,
     in order, but for those of the four added names. Empty tables are fine.
     """
     month = lambda day: F.trunc(day, "month")
-    last = captures.agg(F.max(F.col(f"`{day_col}`"))).scalar()
-    spans = validity(entries).withColumn("last", last).where("since <= last")
-    spans = spans.withColumn("month", F.explode(F.sequence(month("since"), month(F.least(F.coalesce(F.date_sub("until", 1), "last"), "last")), F.expr("interval 1 month"))))
+    days = captures.agg(F.struct(F.min(F.col(f"`{day_col}`")).alias("first"), F.max(F.col(f"`{day_col}`")).alias("last"))).scalar()
+    spans = validity(entries).withColumn("days", days).select("*", "days.first", "days.last").where("since <= last and (until is null or until > first)")
+    spans = spans.withColumn("month", F.explode(F.sequence(month(F.greatest("since", "first")), month(F.least(F.coalesce(F.date_sub("until", 1), "last"), "last")), F.expr("interval 1 month"))))
     spans = materialize(spans.select("key", "month", "list", "since", "until"), "spans")
     names = [c for c in captures.columns if c not in ("n_active", "lists", "winner", "blocked")]
     captures = captures.select(*(F.col(f"`{c}`") for c in names))

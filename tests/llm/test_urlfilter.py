@@ -2,6 +2,9 @@ import datetime as dt
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from lodestone.llm import urlfilter
 from lodestone.llm.urlfilter import HOST, SEGMENT, filter_urls
 
 DAY0 = dt.date(2023, 1, 1)
@@ -53,3 +56,19 @@ def test_empty_tables(spark):
     entries = spark.createDataFrame([], "key string, list string, action string, day date, seq long")
     assert filter_urls(captures, entries).first().blocked is False
     assert filter_urls(captures.limit(0), entries).count() == 0
+
+
+def test_old_entries_are_clipped(spark):
+    """Months of entries before the first and behind the last fetch are no rows."""
+    captures = spark.createDataFrame([(1, "https://a.example.com/x", "2024-05-03"), (2, "https://b.example.com/", "2024-06-01")], "page_id long, url string, d string").withColumn("fetch_day", F.to_date("d"))
+    rows = [("example.com", "spam", "add", "0001-01-01", 1), ("a.example.com", "adult", "add", "1990-01-01", 1), ("a.example.com", "adult", "remove", "2024-05-03", 2), ("b.example.com", "spam", "add", "2030-01-01", 1)]
+    entries = spark.createDataFrame(rows, "key string, list string, action string, d string, seq long").withColumn("day", F.to_date("d"))
+    seen = []
+    real = urlfilter.materialize
+    urlfilter.materialize = lambda df, label: seen.append((label, real(df, label))) or seen[-1][1]
+    try:
+        got = filter_urls(captures, entries).select("page_id", "n_active", "lists").collect()
+    finally:
+        urlfilter.materialize = real
+    assert sorted(map(tuple, got)) == [(1, 1, "spam"), (2, 1, "spam")]
+    assert dict(seen)["spans"].count() == 2
