@@ -20,8 +20,6 @@ TABLES, PROBE_SHARE, ROUNDS = 8, 3 / 32, 3
 SEED = 40_961
 #: Members and queries of a bucket that are scored in one task; a larger bucket is cut into blocks of both, which all meet.
 BLOCK, QUERY_BLOCK = 20_000, 5_000
-#: A space of so few rows is searched whole, as hashing would save nothing.
-WHOLE = 1_000
 #: Squared lengths of a space that differ by less than this share of their mean count as equal.
 EQUAL_LENGTHS = 1e-3
 
@@ -74,7 +72,6 @@ class Space:
     mean: float  # of squared lengths
     scale: float  # 0: all lengths are equal, and nothing is added
     most: float  # square of the length that members get
-    whole: bool = False
 
     def width(self) -> int:
         return width_of(self.dim + 2 if self.scale else self.dim)
@@ -93,12 +90,12 @@ class Space:
 def _spaces(clean: DataFrame) -> dict[tuple[int, int], Space]:
     """The spaces, by dimensions and octave of lengths: one row each comes to the driver, some dozens."""
     square = F.col("square")
-    rows = clean.groupBy("dim", "octave").agg(F.avg(square).alias("mean"), F.stddev_pop(square).alias("sd"), F.min(square).alias("least"), F.max(square).alias("most"), F.count("*").alias("rows"))
+    rows = clean.groupBy("dim", "octave").agg(F.avg(square).alias("mean"), F.stddev_pop(square).alias("sd"), F.min(square).alias("least"), F.max(square).alias("most"))
     out = {}
     for r in rows.collect():
         scale = 0.0 if r.sd < EQUAL_LENGTHS * r.mean else math.sqrt(2 * r.sd)  # adds as much to members as to queries
         most = r.most + (max(r.most - r.mean, r.mean - r.least) / scale) ** 2 if scale else 0.0
-        out[r.dim, r.octave] = Space(r.dim, r.mean, scale, most, r.rows <= WHOLE)
+        out[r.dim, r.octave] = Space(r.dim, r.mean, scale, most)
     return out
 
 
@@ -151,8 +148,8 @@ def _hashed(spaces: dict[tuple[int, int], Space], tables: int, share: float | No
                     uid, vec_id, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_pylist()
                     x = np.stack([_unpacked(v, dim) for v in raw])
                     x = space.queries(x) if share else space.members(x)
-                    probes = max(1, round((1 if space.whole else share) * 2 * space.width())) if share else 1
-                    for t in range(1 if space.whole else tables):
+                    probes = max(1, round(share * 2 * space.width())) if share else 1
+                    for t in range(tables):
                         axes = signed_axes(x, t, probes)
                         n, each = axes.size, axes.shape[1]
                         columns = np.full(n, dim), np.full(n, octave), np.full(n, t), axes.ravel(), np.full(n, int(bool(share))), np.repeat(uid, each), np.repeat(vec_id, each), np.repeat(np.array(raw, object), each)
@@ -233,7 +230,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, pro
     its nearest axes, probe_share of all, in every table of every space.
     Every block of a bucket ranks its members by distances of the original vectors in double precision and
     passes the first k on. Ties go to the smaller id. score is the distance. Buckets of any size are
-    searched whole, in blocks, and so are spaces of few rows. A query whose buckets hold fewer than k rows searches all rows, in blocks; probe_share 1 searches
+    searched whole, in blocks. A query whose buckets hold fewer than k rows searches all rows, in blocks; probe_share 1 searches
     all rows for every query.
 
     is_query is a condition on the rows. A row is no candidate of itself; other rows with its id are, and
