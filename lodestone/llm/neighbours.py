@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.scratch import materialize, release
 
-#: Hash tables, share of each one's buckets that a query looks into, and sign flips with Hadamard steps of a rotation.
+#: Hash tables, share of all their buckets that a query looks into, and sign flips with Hadamard steps of a rotation.
 TABLES, PROBE_SHARE, ROUNDS = 8, 3 / 32, 3
 SEED = 40_961
 #: Members and queries of a bucket that are scored in one task; a larger bucket is cut into blocks of both, which all meet.
@@ -49,11 +49,23 @@ def rotated(x: np.ndarray, table: int) -> np.ndarray:
     return out
 
 
-def signed_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The nearest signed axes of each row, nearest first; axis a is 2a, its opposite 2a + 1."""
+def axis_values(x: np.ndarray, table: int) -> np.ndarray:
+    """How near each row is to each signed axis: the cosine; axis a is 2a, its opposite 2a + 1."""
     y = rotated(x, table)
-    value = np.stack([y, -y], axis=2).reshape(len(y), -1)
-    return np.argsort(-value, axis=1, kind="stable")[:, :probes]
+    return np.stack([y, -y], axis=2).reshape(len(y), -1)
+
+
+def signed_axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
+    """The nearest signed axes of each row, nearest first."""
+    return np.argsort(-axis_values(x, table), axis=1, kind="stable")[:, :probes]
+
+
+def probed(x: np.ndarray, tables: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and signed axes of each row's nearest axes in all tables together: a table in which it lies between axes is asked less."""
+    values = np.concatenate([axis_values(x, t) for t in range(tables)], axis=1)
+    best = np.argpartition(-values, probes - 1, axis=1)[:, :probes] if probes < values.shape[1] else np.tile(np.arange(values.shape[1]), (len(x), 1))
+    axes = values.shape[1] // tables
+    return best // axes, best % axes
 
 
 CLEAN = "uid long, vec_id long, dim int, octave int, square double, query boolean, v binary"
@@ -143,17 +155,20 @@ def _hashed(spaces: dict[tuple[int, int], Space], tables: int, share: float | No
             dims, octaves = whole.column(2).to_numpy(), whole.column(3).to_numpy()
             for (dim, octave), space in spaces.items():
                 here = whole.filter(pa.array((dims == dim) & (True if share else octaves == octave)))
-                for at in range(0, len(here), 2048):
-                    batch = here.slice(at, 2048)
+                step = 256 if share else 2048
+                for at in range(0, len(here), step):
+                    batch = here.slice(at, step)
                     uid, vec_id, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(4).to_pylist()
                     x = np.stack([_unpacked(v, dim) for v in raw])
-                    x = space.queries(x) if share else space.members(x)
-                    probes = max(1, round(share * 2 * space.width())) if share else 1
-                    for t in range(tables):
-                        axes = signed_axes(x, t, probes)
-                        n, each = axes.size, axes.shape[1]
-                        columns = np.full(n, dim), np.full(n, octave), np.full(n, t), axes.ravel(), np.full(n, int(bool(share))), np.repeat(uid, each), np.repeat(vec_id, each), np.repeat(np.array(raw, object), each)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
+                    if share:
+                        table, axis = probed(space.queries(x), tables, max(1, round(share * tables * 2 * space.width())))
+                    else:
+                        x = space.members(x)
+                        axis = np.concatenate([signed_axes(x, t, 1) for t in range(tables)], axis=1)
+                        table = np.tile(np.arange(tables), (len(x), 1))
+                    n, each = axis.size, axis.shape[1]
+                    columns = np.full(n, dim), np.full(n, octave), table.ravel(), axis.ravel(), np.full(n, int(bool(share))), np.repeat(uid, each), np.repeat(vec_id, each), np.repeat(np.array(raw, object), each)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=names)
 
     return run
 
@@ -227,7 +242,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, pro
     Vectors of one number of dimensions and of lengths within a factor of two form a space, in which they are extended so
     that the nearest has the smallest angle (see Space). Each table turns vectors, scaled to unit length, by random
     signs and Hadamard steps and lists them under the signed axis nearest to them. A query looks into the buckets of
-    its nearest axes, probe_share of all, in every table of every space.
+    its nearest axes in all tables together, probe_share of all, in every space.
     Every block of a bucket ranks its members by distances of the original vectors in double precision and
     passes the first k on. Ties go to the smaller id. score is the distance. Buckets of any size are
     searched whole, in blocks. A query whose buckets hold fewer than k rows searches all rows, in blocks; probe_share 1 searches
