@@ -17,6 +17,7 @@ from lodestone.functions import records as X
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
+from lodestone.operators import postings as P
 from lodestone.operators import search as S
 from lodestone.operators import validation as V
 from lodestone.operators.parsing import parse_column, with_rows
@@ -171,6 +172,25 @@ def bm25_corpus_topk(spark, sf):
     return _score(R.bm25_top(docs(spark, sf), questions(spark, sf), 10))
 
 
+@query(_oracles["bm25_corpus_topk"])
+def index_topk(spark, sf):
+    """The same rows from a written index."""
+    return _score(P.ranked(P.build_index(docs(spark, sf)), questions(spark, sf), 10).hits)
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'), '  ') || ' ' AS norm FROM documents),
+a AS (SELECT item_id AS phrase_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')[1:item_id % 3 + 2] AS w FROM benchmark),
+p AS (SELECT phrase_id, ' ' || array_to_string(w, '  ') || ' ' AS p FROM a WHERE len(w) > 0),
+t AS (SELECT phrase_id, doc_id, CAST((length(norm) - length(replace(norm, p, ''))) // length(p) AS BIGINT) AS n_places FROM d, p WHERE contains(norm, p))
+SELECT * FROM t"""
+)
+def index_phrases(spark, sf):
+    """Documents that hold the first words of each question next to each other."""
+    asked = questions(spark, sf).select(F.col("question_id").alias("phrase_id"), F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lit(1), (F.col("question_id") % 3 + 2).cast("int")), "-").alias("text"))
+    return P.phrases(P.build_index(docs(spark, sf)), asked)
+
+
 @query(f"WITH {RANKED} SELECT doc_id, para_idx, round(score, 5) AS score, rank FROM ranked")
 def bm25_paragraph_rank(spark, sf):
     return _score(_ranked(spark, sf)).select("doc_id", "para_idx", "score", "rank")

@@ -8,6 +8,7 @@ from lodestone.config import Settings
 from lodestone.functions import records as X
 from lodestone.functions import text as T
 from lodestone.operators import evidence as E
+from lodestone.operators import postings as P
 from lodestone.operators import ranking as R
 from lodestone.operators.percolate import Percolator, percolate, positive_words
 from lodestone.operators.querytext import condition, matching, program
@@ -363,3 +364,29 @@ def test_stored_conditions_come_in_blocks(spark, monkeypatch):
     got = percolate(papers3(spark), spark.createDataFrame(rows, "query_id long, query string")).collect()
     assert sorted(map(tuple, got)) == [(0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 1), (3, 1), (3, 4)]
     assert percolate(papers3(spark), spark.createDataFrame([], "query_id long, query string")).collect() == []
+
+
+def test_index_reads_less_than_it_stores(spark, monkeypatch, tmp_path):
+    """The same best documents as by bm25_top; chunks that can't reach them are left out."""
+    monkeypatch.setattr(P, "CHUNK", 4)
+    monkeypatch.setattr(P, "FIRST", 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "the of"), (9001, None), (9002, "")], "doc_id long, text string"))
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id as question_id", "text").where("question_id < 12").unionByName(spark.createDataFrame([(100, ""), (101, None), (102, "zzzz")], "question_id long, text string"))
+    index = P.build_index(docs, str(tmp_path / "index"))
+    for k in (1, 5):
+        want = R.bm25_top(docs, asked, k).collect()
+        got = P.ranked(P.Index(spark, index.folder), asked, k)
+        plain = lambda rows: sorted((r.question_id, r["rank"], r.doc_id, round(r.score, 6)) for r in rows)
+        assert plain(got.hits.collect()) == plain(want)
+        read, stored = got.read.count(), got.bounds.count()
+        assert read < stored and got.read.distinct().count() == read
+    assert P.ranked(index, asked.limit(0), 5).hits.count() == 0
+    few = P.build_index(docs, None, spark.createDataFrame([("the",)], "term string"))
+    assert {r.term for r in few.table("blocks").collect()} == {"the"}
+
+
+def test_index_finds_phrases(spark):
+    docs = spark.createDataFrame([(1, "to be or not to be"), (2, "be to or"), (3, "To be, TO BE!"), (4, None), (5, "not to")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "to be"), (2, "be or not"), (3, "to to"), (4, "--"), (5, "not"), (6, "be to be"), (7, "be to")], "phrase_id long, text string")
+    got = sorted(map(tuple, P.phrases(P.build_index(docs), asked).collect()))
+    assert got == [(1, 1, 2), (1, 3, 2), (2, 1, 1), (5, 1, 1), (5, 5, 1), (6, 3, 1), (7, 2, 1), (7, 3, 1)]
