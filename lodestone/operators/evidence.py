@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ def batches(candidates: DataFrame, size: int) -> DataFrame:
     return candidates.withColumn("batch", F.floor((F.col("cand_pos") - 1) / size).cast("long"))
 
 
-def sentence_rows(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+def sentence_rows(texts: DataFrame, key: str = "doc_id", split: Callable[[Column], Column] = sentences) -> DataFrame:
     """(key, sent_idx, sentence, sid) of texts (key, text)."""
-    rows = texts.select(key, F.posexplode(sentences(F.coalesce(F.col("text"), F.lit("")))).alias("sent_idx", "sentence"))
+    rows = texts.select(key, F.posexplode(split(F.coalesce(F.col("text"), F.lit("")))).alias("sent_idx", "sentence"))
     return rows.withColumn("sid", F.concat(F.col(key).cast("string"), F.lit("_"), sentence_suffix(F.col("sent_idx"))))
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.records import snippets
-from lodestone.functions.text import plain_terms, tokens, word_budget
+from lodestone.functions.text import plain_terms, sentences, tokens, word_budget
 from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
 from lodestone.operators.validation import usable, validate
@@ -75,6 +75,7 @@ def _cited_by_model(rows: DataFrame, candidates: DataFrame, questions: DataFrame
 def passages(
     papers: DataFrame, paragraphs: DataFrame, questions: DataFrame, settings: Settings | None = None, on_stage: Stage = lambda name: None,
     planner: Model | None = None, judge: Model | None = None, plan_prompt: str = PLAN_PROMPT, judge_prompt: str = JUDGE_PROMPT,
+    split: Callable[[Column], Column] = sentences,
 ) -> DataFrame:
     """(question_id, final_pos, doc_id, paper_id, title, year, pool, has_excerpt, has_full_text, evidence, ...): at most top_k passages a question.
 
@@ -85,7 +86,7 @@ def passages(
     spans within a budget. Two pools are capped and joined; a question whose pools are empty keeps all its candidates.
 
     planner and judge are models behind functions from prompt to reply; without them, terms of the question plan
-    and judge. What several branches read is written once to the scratch folder. on_stage is called as each stage begins.
+    and judge. split cuts texts into sentences (see segmentation.py for one that learns abbreviations). What several branches read is written once to the scratch folder. on_stage is called as each stage begins.
     """
     s = settings or Settings.load(papers.sparkSession)
     free = F.coalesce(F.col("in_store"), F.lit(False)) | (F.coalesce(F.col("has_free_full_text"), F.lit(False)) if "has_free_full_text" in papers.columns else F.lit(False))
@@ -111,7 +112,7 @@ def passages(
 
     def judged(text: str, name: str, size: int) -> DataFrame:
         some = candidates.where(f"{text} <> ''")
-        rows = E.sentence_rows(some.select("pair", F.col(text).alias("text")), "pair").join(found.select("pair", "terms", "question_id", "cand_pos"), "pair")
+        rows = E.sentence_rows(some.select("pair", F.col(text).alias("text")), "pair", split).join(found.select("pair", "terms", "question_id", "cand_pos"), "pair")
         cited = _cited_by_words(rows) if judge is None else _cited_by_model(rows, E.candidate_order(some.drop("cand_pos").join(found.select("pair", F.col("cand_pos").alias("at")), "pair"), "question_id", "at"), questions, judge, size, judge_prompt)
         cited = materialize(cited, f"{name}_cited")  # read for spans and for places
         kept = R.within_budget(cited.withColumn("text", F.col("sentence")), s.evidence_words, "pair", "judge_pos")

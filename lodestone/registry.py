@@ -19,6 +19,7 @@ from lodestone.operators import evidence as E
 from lodestone.operators import ranking as R
 from lodestone.operators import postings as P
 from lodestone.operators import search as S
+from lodestone.operators import segmentation as G
 from lodestone.operators import validation as V
 from lodestone.operators.parsing import parse_column, with_rows
 from lodestone.operators.percolate import percolate
@@ -223,6 +224,49 @@ def sentence_ids(spark, sf):
     return E.sentence_rows(docs(spark, sf))
 
 
+# Every seventh source stands as an abbreviation in the texts that are split.
+DOTTED = """texts AS (SELECT doc_id, replace(coalesce(text, ''), ' de ', ' ' || CASE WHEN doc_id % 7 < 5 THEN 'cf. ' ELSE 'e.g. 3.5 ' END) AS text FROM documents)"""
+LEARNED = (
+    DOTTED
+    + r""",
+pieces AS (SELECT unnest(regexp_extract_all(lower(text), '\S+')) AS piece FROM texts),
+cores AS (SELECT regexp_replace(regexp_replace(piece, '^[\"''“‘«(\[{]+', ''), '[\"''”’»)\]},;:]+$', '') AS core FROM pieces),
+words AS (SELECT regexp_replace(core, '\.$', '') AS word, ends_with(core, '.') AS dotted FROM cores),
+counts AS (SELECT word, CAST(count(*) AS DOUBLE) AS a, CAST(count(*) FILTER (dotted) AS DOUBLE) AS ab FROM words WHERE regexp_full_match(word, '\p{L}+(\.\p{L}+)*') GROUP BY word),
+whole AS (SELECT sum(a) AS n, sum(ab) AS b FROM counts),
+measured AS (SELECT *, CAST(length(word) - length(replace(word, '.', '')) AS DOUBLE) AS dots, CAST(length(replace(word, '.', '')) AS DOUBLE) AS letters, b / n AS p FROM counts, whole WHERE ab > 0),
+learned AS (SELECT word, 2 * (ab * ln(CAST(0.99 AS DOUBLE)) + (a - ab) * ln(1 - CAST(0.99 AS DOUBLE)) - ab * ln(p) - (a - ab) * ln(1 - p)) * exp(-letters) * (dots + 1) * pow(letters, -(a - ab)) AS score FROM measured),
+known AS (SELECT word, score FROM learned WHERE score >= 0.3)"""
+)
+
+
+def _dotted(spark, sf):
+    d = docs(spark, sf)
+    return d.select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit(" de "), F.concat(F.lit(" "), F.when(F.col("doc_id") % 7 < 5, "cf. ").otherwise("e.g. 3.5 "))).alias("text"))
+
+
+@query(f"WITH {LEARNED} SELECT word, round(score, 4) AS score FROM known")
+def learned_abbreviations(spark, sf):
+    return G.abbreviations(_dotted(spark, sf)).withColumn("score", F.round("score", 4))
+
+
+@query(
+    f"WITH {LEARNED}"
+    + r""", cut AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS t FROM texts),
+each AS (SELECT doc_id, unnest(t) AS piece, generate_subscripts(t, 1) AS k, len(t) AS n FROM cut),
+beside AS (SELECT *, rtrim(piece, chr(32) || chr(10) || chr(13) || chr(9)) AS core, lead(piece) OVER (PARTITION BY doc_id ORDER BY k) AS after FROM each),
+marked AS (SELECT *, regexp_matches(core, '[.!?…]+[\"''”’»)\]}]*$') AS ends, regexp_matches(core, '(^|[^.])\.[\"''”’»)\]}]*$') AS dotted,
+  lower(regexp_replace(ltrim(core, '\"''“‘«([{'), '\.[\"''”’»)\]}]*$', '')) AS word, substr(ltrim(after, '\"''“‘«([{'), 1, 1) AS next FROM beside),
+judged AS (SELECT m.*, k = n OR contains(substr(piece, length(core) + 1), chr(10)) OR (ends AND NOT (dotted AND (regexp_matches(next, '\p{Ll}') OR known.word IS NOT NULL OR regexp_full_match(m.word, '\p{L}')))) AS last FROM marked m LEFT JOIN known USING (word)),
+numbered AS (SELECT *, coalesce(sum(CAST(last AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_idx FROM judged)
+SELECT doc_id, CAST(sent_idx AS INTEGER) AS sent_idx, rtrim(string_agg(piece, '' ORDER BY k), chr(32) || chr(10) || chr(13) || chr(9)) AS sentence FROM numbered GROUP BY doc_id, sent_idx"""
+)
+def learned_sentences(spark, sf):
+    """Sentences of documents into which abbreviations and decimals are put, by what is learned from them."""
+    texts = _dotted(spark, sf)
+    return E.sentence_rows(texts, split=G.learned(texts)).drop("sid")
+
+
 @query(f"WITH {CITED} SELECT doc_id, sid, judge_pos, words, words_before FROM kept")
 def evidence_budget(spark, sf):
     return _kept(spark, sf).select("doc_id", "sid", "judge_pos", "words", "words_before")

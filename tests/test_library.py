@@ -10,6 +10,7 @@ from lodestone.functions import text as T
 from lodestone.operators import evidence as E
 from lodestone.operators import postings as P
 from lodestone.operators import ranking as R
+from lodestone.operators import segmentation as G
 from lodestone.operators.percolate import Percolator, percolate, positive_words
 from lodestone.operators.querytext import condition, matching, program
 from lodestone.operators import validation as V
@@ -390,3 +391,17 @@ def test_index_finds_phrases(spark):
     asked = spark.createDataFrame([(1, "to be"), (2, "be or not"), (3, "to to"), (4, "--"), (5, "not"), (6, "be to be"), (7, "be to")], "phrase_id long, text string")
     got = sorted(map(tuple, P.phrases(P.build_index(docs), asked).collect()))
     assert got == [(1, 1, 2), (1, 3, 2), (2, 1, 1), (5, 1, 1), (5, 5, 1), (6, 3, 1), (7, 2, 1), (7, 3, 1)]
+
+
+def test_sentences_by_learned_abbreviations(spark):
+    said = ["See Fig. 2 and Fig. 3 for more.", "Doses (e.g. 3.5 mg) were given by Dr. Smith.", "As in Fig. 4, e.g. here. The end.", "J. Doe et al. say no. Is it so? It is!", "One figure. Two. Line\nbreak"]
+    filler = [f"The {w} was here, so in the end two of them say more to the {v}. The {v} left a figure for Smith so that no {w} were it." for w in "cat dog cow fox owl hen".split() for v in "man boy girl king".split()]
+    texts = spark.createDataFrame([(t,) for t in said * 6 + filler] + [(None,), ("",)], "text string")
+    known = {r.word for r in G.abbreviations(texts).collect()}
+    assert {"fig", "e.g", "dr", "al"} <= known and not known & {"left", "smith", "end", "two", "here", "more", "so"}
+    cut = lambda t: G.split(t, frozenset(known))
+    assert cut(said[0]) == [said[0]] and cut(said[1]) == [said[1]] and cut(said[2]) == ["As in Fig. 4, e.g. here.", "The end."]
+    assert cut(said[3]) == ["J. Doe et al. say no.", "Is it so?", "It is!"] and cut(said[4]) == ["One figure.", "Two.", "Line", "break"]
+    assert cut('He said "No." Then (see Dr. X.) left... Off  he went.') == ['He said "No."', "Then (see Dr. X.) left...", "Off  he went."] and cut("") == [] and cut(" \n ") == []
+    rows = spark.createDataFrame([(1, said[2]), (2, None)], "doc_id long, text string")
+    assert [r.sentence for r in E.sentence_rows(rows, split=G.splitter(known)).orderBy("sent_idx").collect()] == cut(said[2])
