@@ -26,7 +26,7 @@ FIELDS = {
     "EXT_ID": ("one", "pmid"), "PMCID": ("one", "pmcid"), "DOI": ("one", "doi"), "ISSN": ("one", "issn"), "ISBN": ("one", "isbn"), "BOOK_ID": ("one", "book_id"),
     "OPEN_ACCESS": ("flag", "is_open_access"), "IN_EPMC": ("flag", "in_store"), "HAS_FREE_FULLTEXT": ("flag", "has_free_full_text"),
     **{f: ("date", f.lower()) for f in ("E_PDATE", "P_PDATE", "FIRST_PDATE", "FIRST_IDATE", "UPDATE_DATE", "CREATION_DATE", "EMBARGO_DATE")},
-    **{f: ("section", "sections") for f in ("INTRO", "METHODS", "RESULTS", "DISCUSS", "CONCL", "CASE", "ACK_FUND", "AUTH_CON", "COMP_INT", "SUPPL", "APPENDIX", "TABLE", "FIG", "REF", "DATA_AVAILABILITY")},
+    **{f: ("section", "sections") for f in ("INTRO", "METHODS", "RESULTS", "DISCUSS", "CONCL", "CASE", "ACK_FUND", "AUTH_CON", "COMP_INT", "SUPPL", "APPENDIX", "TABLE", "FIG", "REF", "DATA_AVAILABILITY", "ABBR", "KEYWORD", "OTHER")},
 }
 FIELDS = {**{f: ("flag", f.lower()) for f in FLAG_FIELDS}, **FIELDS}
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,9 @@ from lodestone.operators.querytext import condition
 from lodestone.plans import report
 from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
-from lodestone.scratch import materialize
+from lodestone.scratch import materialize, scratch_dir
 from lodestone.sources import corpus as C
-from lodestone.sources.articles import article_paragraphs
+from lodestone.sources.articles import article_paragraphs, store_full_texts, with_full_text, with_sections
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -648,6 +649,42 @@ def malformed_xml_empty(spark, sf):
     return article_paragraphs(_articles(spark, sf).withColumn("xml", cut).union(pages)).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
 
 
+#: Types and titles of the sections that lines of a document go to in turn, and searches in them.
+PARTS = [("Intro", ""), ("", "Materials and methods"), ("results|discussion", "Results"), ("", "Remarks")]
+SECTION_TEXTS = [
+    ("INTRO:the AND NOT METHODS:the", "contains(i, ' the ') AND NOT contains(m, ' the ')"), ('RESULTS:"of the" OR DISCUSS:"in the"', "contains(r, ' of the ') OR contains(r, ' in the ')"),
+    ("OTHER:(license OR de) IN_EPMC:Y", "(contains(o, ' license ') OR contains(o, ' de ')) AND in_store"), ("CONCL:the", "false"),
+]
+
+
+def _section_sql(k: int) -> str:
+    own = f"string_agg(line, chr(10) ORDER BY pos) FILTER (pos % 4 = {k})"
+    return f"' ' || array_to_string(regexp_extract_all(lower(coalesce({own}, '')), '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' '"
+
+
+@query(
+    f"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos, coalesce(n_chars > 2000, false) AS in_store FROM documents),
+once AS (SELECT doc_id, in_store, line, min((pos + 3) % 4 * 1000000 + pos) % 1000000 AS pos FROM (SELECT doc_id, in_store, pos, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line FROM lines) WHERE line <> '' GROUP BY ALL),
+s AS (SELECT doc_id, in_store, {_section_sql(1)} AS i, {_section_sql(2)} AS m, {_section_sql(3)} AS r, {_section_sql(0)} AS o FROM once WHERE doc_id % 5 <> 1 GROUP BY doc_id, in_store)
+"""
+    + " UNION ALL ".join(f"SELECT {k} AS query_id, doc_id FROM s WHERE {sql}" for k, (_, sql) in enumerate(SECTION_TEXTS))
+)
+def section_search(spark, sf):
+    """Searches in sections of full texts, which lie in a bucketed table and are fetched by id; every fifth paper has none."""
+    d = docs(spark, sf)
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.transform(F.split(safe, "\n", -1), lambda x, k: F.struct(x.alias("line"), ((k + 1) % 4).alias("part")))
+    part = lambda k, kind, title: F.concat(F.lit(f'<sec sec-type="{kind}"><title>{title}</title>'), F.array_join(F.transform(F.filter(lines, lambda x: x["part"] == k), lambda x: F.concat(F.lit("<p>"), x["line"], F.lit("</p>"))), ""), F.lit("</sec>"))
+    xml = F.concat(F.lit("<article><body>"), *(part((k + 1) % 4, *PARTS[k]) for k in range(4)), F.lit("</body></article>"))
+    full = d.where("doc_id % 5 <> 1").select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), xml.alias("xml"))
+    table = f"full_texts_{uuid.uuid4().hex}"
+    store_full_texts(full, table, 8, path=f"{scratch_dir(spark)}/{table}")
+    papers = C.papers(d).drop("text").withColumn("full_text_id", X.full_text_id(F.lit(True), F.array().cast("array<string>"), F.col("doc_id").cast("string")))
+    found = with_sections(with_full_text(papers, spark.table(table)))
+    asked = F.array(*(F.when(condition(text, found.columns), k) for k, (text, _) in enumerate(SECTION_TEXTS)))
+    return found.select(F.explode(F.array_compact(asked)).alias("query_id"), "doc_id")
+
+
 def _raw_records(spark, sf):
     """Documents as raw search records, with what is missing or wrong in real ones."""
     d, s = F.col("doc_id"), F.col("doc_id").cast("string")

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 # Elements and section types whose content is no evidence.
 SKIPPED_TAGS = {"abstract", "app", "app-group", "article-meta", "back", "bio", "fn-group", "front", "journal-meta", "ref", "ref-list", "table-wrap-foot"}
 SKIPPED_SECTIONS = {"abbreviations", "acknowledgements", "acknowledgments", "author-contributions", "competing-interests", "conflict", "conflict-of-interest", "data-availability", "ethics", "funding", "references", "supplementary-material"}
 
+#: Search fields of sections, by what is in a section's type or, without one, in its title.
+SECTION_FIELDS = {
+    "intro": "intro|background", "methods": "method|material|experimental", "results": "result|finding", "discuss": "discuss", "concl": "conclu", "case": "case", "suppl": "supplement", "appendix": "appendi", "abbr": "abbreviat",
+    "ack_fund": "acknowledg|funding", "auth_con": "contribution", "comp_int": "competing|conflict", "data_availability": "availab", "keyword": "keyword",
+}
+
 
 def _tag(node: ET.Element) -> str:
     return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
@@ -25,10 +33,16 @@ def _squeezed(parts) -> str:
 def _prose(node: ET.Element) -> Iterator[str]:
     """The text under node without tables, but with what follows them."""
     yield node.text or ""
-    for child in node:
+    waiting: list[ET.Element | str] = list(reversed(node))
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, str):
+            yield child
+            continue
+        waiting.append(child.tail or "")
         if _tag(child) not in ("table", "table-wrap"):
-            yield from _prose(child)
-        yield child.tail or ""
+            yield child.text or ""
+            waiting += reversed(child)
 
 
 def _table(node: ET.Element) -> str:
@@ -81,3 +95,30 @@ def article_paragraphs(articles: DataFrame, id_col: str = "doc_id", xml_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *columns], names=["doc_id", "para_idx", "text", "section_title", "section_type"])
 
     return articles.select(F.col(id_col), F.col(xml_col)).mapInArrow(run, f"doc_id {kind}, para_idx int, text string, section_title string, section_type string")
+
+
+def sections_of(xml: str | None) -> dict[str, str]:
+    """The text of an article by search field, paragraphs joined by line ends; a section of several kinds counts as each, one of none as `other`."""
+    found: dict[str, list[str]] = {}
+    for text, title, kind in paragraphs_of(xml):
+        name = (kind or title).lower()
+        for field in [f for f, pattern in SECTION_FIELDS.items() if re.search(pattern, name)] or ["other"]:
+            found.setdefault(field, []).append(text)
+    return {field: "\n".join(texts) for field, texts in found.items()}
+
+
+def with_sections(articles: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """articles with sections, a map from search field to text, in place of the XML: what fields like METHODS look at. XML that can't be parsed has none."""
+    sections = F.pandas_udf(lambda xmls: xmls.map(sections_of), MapType(StringType(), StringType()))
+    return articles.withColumn("sections", sections(F.col(xml_col))).drop(xml_col)
+
+
+def store_full_texts(full_texts: DataFrame, table: str, buckets: int = 64, **options: str) -> None:
+    """Writes full texts (pmcid, xml) as a table in buckets by pmcid, so that with_full_text() shuffles papers only."""
+    full_texts.select("pmcid", "xml").write.mode("overwrite").options(**options).bucketBy(buckets, "pmcid").sortBy("pmcid").saveAsTable(table)
+
+
+def with_full_text(papers: DataFrame, full_texts: DataFrame) -> DataFrame:
+    """papers (full_text_id, ...; see records.full_text_id) with xml of full_texts (pmcid, xml), null where there is none or none may be fetched."""
+    asked = F.nullif(F.col("full_text_id"), F.lit(""))
+    return papers.join(full_texts.select("pmcid", "xml").withColumnRenamed("pmcid", "__pmcid").hint("merge"), asked == F.col("__pmcid"), "left").drop("__pmcid")

@@ -18,7 +18,7 @@ from lodestone.plans.evidence import passages, search, sub_queries
 from lodestone.plans import report
 from lodestone.plans.judging import STRICT, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
-from lodestone.sources.articles import article_paragraphs, paragraphs_of
+from lodestone.sources.articles import article_paragraphs, paragraphs_of, sections_of, store_full_texts, with_full_text, with_sections
 from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses
 
 SF = "/root/testdata/sf0.001"
@@ -405,3 +405,20 @@ def test_sentences_by_learned_abbreviations(spark):
     assert cut('He said "No." Then (see Dr. X.) left... Off  he went.') == ['He said "No."', "Then (see Dr. X.) left...", "Off  he went."] and cut("") == [] and cut(" \n ") == []
     rows = spark.createDataFrame([(1, said[2]), (2, None)], "doc_id long, text string")
     assert [r.sentence for r in E.sentence_rows(rows, split=G.splitter(known)).orderBy("sent_idx").collect()] == cut(said[2])
+
+
+def test_sections_and_full_texts(spark, tmp_path):
+    assert sections_of(ARTICLE) == {"methods": "One bold text\nOuter inner end\ninner\nBefore after\nT1. About it. a ; b | c\nAbout it", "other": "deep\nsecond"}
+    assert sections_of("<r><sec sec-type='results|discussion'><title>x</title><p>a</p></sec><sec><title>Conclusions</title><p>b</p></sec></r>") == {"results": "a", "discuss": "a", "concl": "b"}
+    assert sections_of(None) == {} and sections_of("<") == {}
+    deep = "<r><p>" + "<i>" * 20_000 + "x" + "</i>y" * 20_000 + "</p></r>"
+    assert [t for t, *_ in paragraphs_of(deep)] == ["x" + "y" * 20_000]
+    store_full_texts(spark.createDataFrame([("PMC1", ARTICLE), ("PMC2", "<"), ("PMC9", None)], "pmcid string, xml string"), "full_texts_test", 4, path=str(tmp_path / "t"))
+    papers = spark.createDataFrame([(1, "PMC1"), (2, "PMC2"), (3, ""), (4, None), (5, "PMC7"), (6, "PMC1")], "doc_id long, full_text_id string")
+    found = with_full_text(papers, spark.table("full_texts_test"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.rindex("Sort") :]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange" not in scan
+    got = {r.doc_id: r.sections for r in with_sections(found).collect()}
+    assert len(got) == 6 and got[1] == got[6] == sections_of(ARTICLE) and not any(got[i] for i in (2, 3, 4, 5))
+    assert [r.doc_id for r in matching(with_sections(found), 'METHODS:"bold text" NOT RESULTS:x').orderBy("doc_id").collect()] == [1, 6]
