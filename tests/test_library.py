@@ -14,9 +14,9 @@ from lodestone.operators import segmentation as G
 from lodestone.operators.percolate import Percolator, percolate, positive_words
 from lodestone.operators.querytext import condition, matching, program
 from lodestone.operators import validation as V
-from lodestone.plans.evidence import passages, search, sub_queries
+from lodestone.plans.evidence import RunCounts, passages, search, sub_queries
 from lodestone.plans import report
-from lodestone.plans.judging import STRICT, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
+from lodestone.plans.judging import STRICT, Retrying, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of, sections_of, store_full_texts, with_full_text, with_sections
 from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses
@@ -422,3 +422,36 @@ def test_sections_and_full_texts(spark, tmp_path):
     got = {r.doc_id: r.sections for r in with_sections(found).collect()}
     assert len(got) == 6 and got[1] == got[6] == sections_of(ARTICLE) and not any(got[i] for i in (2, 3, 4, 5))
     assert [r.doc_id for r in matching(with_sections(found), 'METHODS:"bold text" NOT RESULTS:x').orderBy("doc_id").collect()] == [1, 6]
+
+
+def test_a_run_counts_its_stages(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id as question_id", "text").where("question_id < 5")
+    counts = RunCounts(spark)
+
+    def judge(prompt):
+        raise OSError("no model")
+
+    got = passages(C.papers(d), C.paragraphs(d), q, Settings(top_k=8), planner=lambda prompt: '{"queries": ["the of", "NOPE:x", "the AND NOT of"]}', judge=judge, counts=counts).collect()
+    seen = counts.all()
+    assert seen["query_count"] == 10 and seen["final_count"] == len(got) == 40 and seen["ft_relevant_count"] == seen["abstract_relevant_count"] == 0
+    assert seen["candidate_count"] >= 40 and 0 < seen["excerpt_count"] < seen["candidate_count"] and seen["model_failures"] >= 10
+
+
+def test_models_are_asked_again_and_told_what_is_known(spark):
+    calls = []
+
+    def model(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise OSError
+        return '{"queries": ["q"]}'
+
+    assert Retrying(model, 3, 0.0)("p") == '{"queries": ["q"]}' and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError):
+        Retrying(model, 2, 0.0)("p")
+    frame = spark.createDataFrame([(1, "what", ["a fact", "another"]), (2, "why", None)], "question_id long, text string, prior array<string>")
+    got = model_queries(frame, lambda prompt: json.dumps({"queries": [prompt]}), 3, "{today_year} {question}{context}").collect()
+    year = got[0].text[:4]
+    assert sorted(r.text for r in got) == [f"{year} what\n\nEvidence already gathered:\n- a fact\n- another", f"{year} why"] and year.isdigit()
