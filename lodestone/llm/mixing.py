@@ -13,6 +13,8 @@ from lodestone.scratch import materialize
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Hexadecimal digits of the order's hash that name a bucket of a leaf.
 BUCKET_DIGITS = 3
+#: Part of all words that a balanced budget takes at least.
+LEAST_BALANCED = 1, 2
 
 
 def token_count(text: Column) -> Column:
@@ -64,11 +66,21 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     return parents
 
 
-def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], seed: int = 0, max_epochs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def balanced_budget(leaves: DataFrame, level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
+    """The budget at which the scarcest of the level's values that weights name is just used up, but LEAST_BALANCED of all capacity at least: then it is short, and the others share the rest."""
+    named = [name for name, w in weights.get(level, {}).items() if w]
+    nodes = leaves.groupBy(level).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights)).where("w > 0 and cap > 0")
+    whole = nodes.agg(F.sum("w")).scalar()
+    scarcest = nodes.where(F.col(level).isin(named)).withColumn("whole", whole).agg(F.min(F.expr("cap * whole div w"))).scalar()
+    return F.greatest(F.coalesce(scarcest, F.col("cap")), F.expr(f"cap * {LEAST_BALANCED[0]} div {LEAST_BALANCED[1]}"))
+
+
+def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int] | None, seed: int = 0, max_epochs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, levels, epoch, n_tokens, take_tokens): what is taken of each document in each epoch.
 
     levels names the tree's levels from the root and gives their values; weights holds integers for values
-    of a level, 1 if not named, 0 to leave out. The budget is share[0] / share[1] of all words. A leaf can
+    of a level, 1 if not named, 0 to leave out. The budget is share[0] / share[1] of all words; without a share it is the
+    largest that gives each value named in the first level's weights its part (see balanced_budget()). A leaf can
     give max_epochs times its words. Every epoch orders a leaf's documents by a hash of seed, epoch and
     id; whole epochs are taken first, then the next one's prefix, of which the last document may be cut
     (take_tokens < n_tokens). The budgets of all leaves are met to the word.
@@ -82,7 +94,8 @@ def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[
     light = docs.select(F.col(id_col).alias("doc_id"), *(F.coalesce(c, F.lit("none")).alias(k) for k, c in levels.items()), token_count(F.col(text_col)).alias("n_tokens"))
     light = materialize(light.where("n_tokens > 0"), "counted")
     leaves = light.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
-    budgets = leaf_budgets(leaves, names, weights, F.expr(f"(cap div {int(max_epochs)}) * {int(share[0])} div {int(share[1])}"))
+    total = F.expr(f"(cap div {int(max_epochs)}) * {int(share[0])} div {int(share[1])}") if share else balanced_budget(leaves, names[0], weights)
+    budgets = leaf_budgets(leaves, names, weights, total)
     plan = leaves.join(budgets, names).select(*names, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"))
     plan = materialize(plan, "plan")
     rows = light.join(plan, names)
