@@ -7,7 +7,6 @@ earlier copy to lose lines to in line_dedup, and lose to a copy with an id in ne
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +18,14 @@ from lodestone.llm.packing import pack_documents
 from lodestone.scratch import materialize, release, tidy
 from lodestone.sources.corpus import spread
 
+import public_tokenizers  # isort: skip - behind lodestone.llm, whose absence the entry point looks for
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text stays if its language has the majority of its letters and a letter is no more than e**5 times less likely in it
 #: than in text learned from. Clean short texts with a license line in English reach 0.5 and -4; text in a language that
 #: wasn't learned lies at -7 and below.
 LEAST_SHARE, LEAST_FIT = 0.5, -5.0
-MIX_SHARE, MIX_SEED = (19, 20), 7
+MIX_SEED = 7
 MIX_WEIGHTS = {"lang": {"en": 6, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 8}}
 
 
@@ -60,13 +61,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the target mixture takes, within 95 % of all words; the document in which a leaf's prefix ends is cut there.
+    """Keeps what the target mixture takes in one epoch; the document in which a leaf's prefix ends is cut there.
 
-    With one epoch and so large a share most leaves are taken whole, and the weights decide which ones give up the rest.
+    The languages get their weights: the scarcest of them is taken whole, the others as much as its weight allows. Within a language sources share
+    by weight, and those that run short leave the rest to the others.
     Rows with the same id and text are taken together.
     """
     keyed = docs.select(*COLUMNS).withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
-    taken = mix_sources(keyed, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, MIX_SHARE, MIX_SEED, id_col="key")
+    taken = mix_sources(keyed, {"lang": F.col("lang"), "source": F.col("source")}, MIX_WEIGHTS, None, MIX_SEED, id_col="key")
     chosen = taken.groupBy(F.col("doc_id").alias("key")).agg(F.max("take_tokens").alias("take"), F.max("n_tokens").alias("whole"))
     chosen = materialize(chosen.select("key", "take", (F.col("take") < F.col("whole")).alias("cut")), "chosen")
     rows = keyed.join(chosen.hint("merge"), "key")
