@@ -26,6 +26,8 @@ from lodestone.scratch import materialize, release
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Items for which the corpus is read once; of these, items that are looked up together in one pass over the vectors.
 ITEM_BLOCK, TOGETHER = 4096, 256
+#: Bytes of texts that are cut into words at once.
+AT_ONCE = 1 << 18
 #: Documents of a trie, and of a node below which documents are scored one by one.
 TRIE, LEAF = 8192, 4
 #: Bytes of a path by which documents are dealt over tasks (four a term), so that what Spark samples of them stays small.
@@ -83,7 +85,7 @@ def _term_counts(asked: Asked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max(1, asked.size)
         for batch in batches:
-            for row, data, offsets in text_chunks(batch.column(1)):
+            for row, data, offsets in text_chunks(batch.column(1), AT_ONCE):
                 starts, ends, at = word_bounds(data, offsets, _IN_TERM)
                 word, term = asked.find(data, starts, ends)
                 key, times = np.unique((np.searchsorted(at, word, "right") - 1) * width + term, return_counts=True)

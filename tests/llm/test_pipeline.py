@@ -3,6 +3,7 @@ import re
 import numpy as np
 import public_tokenizers
 from brute import components, cut_lines
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -38,7 +39,9 @@ def test_stages_against_plain_versions(spark):
     assert fourth.columns == p.COLUMNS
     mixed = {r.doc_id: r for r in fourth.collect()}
     words = lambda rows: sum(len(re.findall(BLANK, r.text)) for r in rows.values())
-    assert set(mixed) <= set(left) and words(mixed) == words(left) * 19 // 20
+    assert set(mixed) <= set(left) and words(mixed) == budget(left.values())
+    parts = {lang: words({d: r for d, r in mixed.items() if r.lang == lang}) for lang in p.MIX_WEIGHTS["lang"]}
+    assert all(abs(100 * parts[lang] / words(mixed) - 100 * w / sum(p.MIX_WEIGHTS["lang"].values())) < 2 for lang, w in p.MIX_WEIGHTS["lang"].items())
     cut = [d for d, r in mixed.items() if r.text != left[d].text]
     assert cut and len({(left[d].lang, left[d].source) for d in cut}) == len(cut)
     assert all(left[d].text.startswith(mixed[d].text) and mixed[d].n_chars == len(mixed[d].text) for d in cut)
@@ -77,13 +80,30 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
     assert got == sorted([("1", a), ("1", other), ("7", "x y"), ("None", "z z"), ("9", ""), ("10", "None")])
 
 
+def budget(rows) -> int:
+    """The words that a mixture takes by the weights of languages: the scarcest one is used up, but half of all at least."""
+    sizes: dict = {}
+    for r in rows:
+        sizes[r.lang] = sizes.get(r.lang, 0) + len(re.findall(BLANK, r.text))
+    weights = p.MIX_WEIGHTS["lang"]
+    whole = sum(weights.get(lang, 1) for lang in sizes)
+    total = sum(sizes.values())
+    return min(total, max(total // 2, min(n * whole // weights[lang] for lang, n in sizes.items() if lang in weights)))
+
+
 def test_mixing_takes_rows_without_an_id(spark):
     rows = [(None if i % 2 else i, f"word{i} of the text " * 10, ["en", "de"][i % 3 == 0], f"src{i % 4}", i) for i in range(40)]
     got = p.mixing(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
-    assert sum(len(r.text.split()) for r in got) == 40 * 40 * 19 // 20
+    assert sum(len(r.text.split()) for r in got) == budget(Row(lang=r[2], text=r[1]) for r in rows) == 26 * 40 * 8 // 6
     assert sum(r.doc_id is None for r in got) > 10
 
 
+def test_a_scarce_language_takes_no_more_than_half_of_all_words(spark):
+    rows = [(i, f"word{i} of the text " * 10, "de" if i == 7 else "en", "src1", i) for i in range(40)]
+    got = p.mixing(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    assert sum(len(r.text.split()) for r in got) == 20 * 40 and 7 in {r.doc_id for r in got}
+
+
 def test_run_on_nulls_and_nothing(spark, tmp_path):
     long = " ".join(f"word{i} of the text" for i in range(40))
     # the rows without an id: one that is learned from, one that is a copy
