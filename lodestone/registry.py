@@ -30,6 +30,7 @@ from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
 from lodestone.scratch import materialize, scratch_dir
 from lodestone.sources import corpus as C
+from lodestone.sources.remote import remote_records
 from lodestone.sources.articles import article_paragraphs, store_full_texts, with_full_text, with_sections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,6 +714,27 @@ def record_projection(spark, sf):
     return p.select("pmid", "title", "authors", "is_open_access", "has_pdf", "in_store", F.get("author_names", F.lit(0)).alias("author"), "affiliations", "url", "has_free_full_text", wanted.alias("full_text_id"))
 
 
+@query(
+    """WITH r AS (SELECT source, doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE source IS NOT NULL),
+q AS (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INTEGER) AS query_idx FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+SELECT query_idx, source AS query, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS VARCHAR) AS pmid, lang AS title FROM r JOIN q USING (source) WHERE rank <= 20 AND query_idx % 5 <> 2"""
+)
+def remote_search(spark, sf):
+    """Pages of answers, one a source of the documents, read by the data source for searches; every fifth answer is cut and gives nothing."""
+    d = docs(spark, sf).where("source is not null")
+    first = d.withColumn("rank", F.row_number().over(R.Window.partitionBy("source").orderBy("doc_id"))).where("rank <= 20")
+    record = F.to_json(F.struct(F.col("doc_id").cast("string").alias("pmid"), F.col("lang").alias("title")))
+    pages = first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", record.alias("r")))), lambda x: x["r"]), ",").alias("records")).orderBy("source").collect()  # 20 records a source
+    folder = f"{scratch_dir(spark)}/answers-{uuid.uuid4().hex}"
+    path, files = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, page in enumerate(pages):
+        out = files.create(path(f"{folder}/{k}.json"))
+        out.write(bytearray(('{"resultList": {"result": [' + page.records + "]}}")[: None if k % 5 != 2 else -9].encode()))
+        out.close()
+    found = remote_records(spark, folder.removeprefix("file:").replace("///", "/", 1), [p.source for p in pages])
+    return found.select("query_idx", "query", "rank", "pmid", "title")
+
+
 @query(
     """SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN NULL WHEN 4 THEN '' ELSE doc_id || ',' || (doc_id + 1) END AS ids FROM documents"""
 )

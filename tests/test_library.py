@@ -1,5 +1,10 @@
+import datetime
 import json
+import threading
+import time
 from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +24,8 @@ from lodestone.plans import report
 from lodestone.plans.judging import STRICT, Retrying, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of, sections_of, store_full_texts, with_full_text, with_sections
-from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses
+from lodestone.sources.remote import SearchReader, SubQuery, remote_records
+from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses, first_hits
 
 SF = "/root/testdata/sf0.001"
 
@@ -455,3 +461,59 @@ def test_models_are_asked_again_and_told_what_is_known(spark):
     got = model_queries(frame, lambda prompt: json.dumps({"queries": [prompt]}), 3, "{today_year} {question}{context}").collect()
     year = got[0].text[:4]
     assert sorted(r.text for r in got) == [f"{year} what\n\nEvidence already gathered:\n- a fact\n- another", f"{year} why"] and year.isdigit()
+
+
+def test_search_source_retries_and_isolates(spark):
+    """Against a service on this machine: some answers fail for a while, one for good, one is broken, one is not found."""
+    seen: Counter = Counter()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = parse_qs(urlparse(self.path).query)
+            assert asked["format"] == ["json"] and asked["pageSize"] == ["2"] and asked["resultType"] == ["core"]
+            q = asked["query"][0]
+            seen[q] += 1
+            code = 503 if q == "busy" and seen[q] < 3 or q == "down" else 404 if q == "gone" else 200
+            self.send_response(code)
+            self.end_headers()
+            ids = [{"pmid": f"{q}{k}", "fullTextIdList": {"fullTextId": ["P1", "P2"] if k else "P0"}} for k in range(3)]
+            self.wfile.write(json.dumps({"resultList": {"result": ids}}).encode()[: 20 if q == "broken" else None])
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_port}/search"
+    queries = ["a b&c", "busy", "down", "gone", "broken"]
+    rows = remote_records(spark, address, queries, page_size="2", wait="0.01")
+    assert rows.rdd.getNumPartitions() == 5
+    got = rows.collect()
+    assert sorted((r.query_idx, r["rank"], r.pmid) for r in got) == [(0, 1, "a b&c0"), (0, 2, "a b&c1"), (1, 1, "busy0"), (1, 2, "busy1")]
+    assert seen["busy"] == 3 and seen["down"] == 4 and seen["gone"] == 1 and seen["broken"] == 1
+    assert [p.full_text_ids for p in C.records_to_papers(rows.where("query_idx = 0").orderBy("rank")).collect()] == [["P0"], ["P1", "P2"]]
+    strict = SearchReader({"endpoint": address, "queries": '["gone"]', "page_size": "2", "failures": "raise"})
+    with pytest.raises(OSError):
+        list(strict.read(SubQuery(0, "gone")))
+    server.shutdown()
+
+
+def test_first_hits_of_a_stream(spark, tmp_path):
+    """Three batches give the rows that first_wins gives for all hits in time; a late one is dropped."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    batches = [
+        [(1, "a", 2, 1, 0), (1, "b", 0, 5, 1), (2, "a", 1, 1, 2)], [(1, "a", 0, 9, 5), (1, "b", 0, 7, 6), (1, "a", 1, 1, 8)], [(9, "z", 0, 1, 100)],
+        [(1, "a", 0, 1, 3), (9, "z", 0, 0, 101)], [(9, "end", 0, 0, 300)], [(9, "end", 0, 0, 301)],
+    ]
+    schema = "question_id long, paper_id string, query_idx int, rank int, seen timestamp"
+    for k, rows in enumerate(batches):
+        made = [(q, p, i, r, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)) for q, p, i, r, s in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = first_hits(stream, 10).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    got = sorted((r.question_id, r.paper_id, r.query_idx, r["rank"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    every = spark.createDataFrame([x[:4] for rows in batches for x in rows if x != (1, "a", 0, 1, 3) and x[1] != "end"], "question_id long, paper_id string, query_idx int, rank int")
+    assert got == sorted((r.question_id, r.paper_id, r.query_idx, r["rank"]) for r in E.first_wins(every, ["question_id", "paper_id"], "query_idx", "rank").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
