@@ -26,6 +26,7 @@ from lodestone.operators.parsing import parse_column, with_rows
 from lodestone.operators.percolate import percolate
 from lodestone.operators.querytext import condition
 from lodestone.plans import report
+from lodestone.plans.expansion import expanded_terms, tiered_queries, within_years
 from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
 from lodestone.scratch import materialize, scratch_dir
@@ -332,6 +333,51 @@ def per_subquery_cap(spark, sf):
     return search(docs(spark, sf), plan_queries(questions(spark, sf), 7), 50).drop("score")
 
 
+EXPANDED = f"""{BM25}, asked AS (SELECT item_id AS question_id, text, {TOKENS.format("text")} AS t FROM benchmark),
+sub AS (SELECT question_id, unnest(list_distinct(t)) AS term FROM asked),
+scored AS (SELECT question_id, doc_id, sum(weight) AS score FROM weighed JOIN sub USING (term) GROUP BY ALL),
+best AS (SELECT question_id, doc_id, score / sum(score) OVER (PARTITION BY question_id) AS share FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10),
+learned AS (SELECT question_id, term, sum(share * tf / CAST(dl AS DOUBLE)) * CAST(0.5 AS DOUBLE) AS weight FROM best JOIN tf USING (doc_id) GROUP BY ALL),
+own AS (SELECT question_id, term, CAST(0.5 AS DOUBLE) * count(*) / CAST(n AS DOUBLE) AS weight FROM (SELECT question_id, len(t) AS n, unnest(t) AS term FROM asked) GROUP BY question_id, term, n),
+both_ AS (SELECT question_id, term, sum(weight) AS weight FROM (SELECT * FROM learned UNION ALL SELECT * FROM own) GROUP BY ALL),
+expanded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(weight, 9) DESC, term) AS place FROM both_) WHERE place <= 8)"""
+
+
+@query(f"WITH {EXPANDED} SELECT question_id, CAST(place AS INTEGER) AS place, term, round(weight, 6) AS weight FROM expanded")
+def expanded_query_terms(spark, sf):
+    """The strongest terms of each question, its own and those of its first results."""
+    return expanded_terms(docs(spark, sf), questions(spark, sf)).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"""WITH {EXPANDED}, l AS (SELECT question_id, text, list(term ORDER BY place) AS t FROM expanded JOIN asked USING (question_id) GROUP BY question_id, text),
+m AS (SELECT question_id, [array_to_string(list_filter({WORDS.format("translate(regexp_replace(text, '\\b[A-Z_]+:', '', 'g'), '\"()', '   ')")}, lambda w: w NOT IN ('AND', 'OR', 'NOT')), ' '), array_to_string(t[1:2], ' '),
+  array_to_string(list_transform(t[1:4], lambda x: 'TITLE_ABS:"' || x || '"'), ' OR '), array_to_string(list_transform(t[3:6], lambda x: 'TITLE_ABS:"' || x || '"'), ' OR ')]
+  || list_transform([1, 2, 3], lambda k: t[k] || ' AND (TITLE_ABS:"' || t[k + 1] || '" OR TITLE_ABS:"' || t[k + 2] || '")') AS q FROM l),
+e AS (SELECT question_id, unnest(q) AS text, generate_subscripts(q, 1) - 1 AS query_idx FROM m)
+SELECT question_id, CAST(min(query_idx) AS INTEGER) AS query_idx, text FROM e WHERE trim(text) <> '' GROUP BY question_id, text"""
+)
+def expanded_queries(spark, sf):
+    """Sub-queries in three tiers, by terms that are learned from first results."""
+    return tiered_queries(docs(spark, sf), questions(spark, sf), 7)
+
+
+#: What questions may say of years, in turn, and the years that this leaves of 2000 to 2024, this year being 2024.
+YEARS_SAID = [("", 0, 9999), (" in the last five years", 2020, 2024), (" since 2010", 2010, 9999), (" between 2003 and 2006?", 2003, 2006), (" before 2002", 0, 2001), (" recent work", 2022, 2024), (", 2011-2013", 2011, 2013), (" in 2007.", 2007, 2007)]
+
+
+@query(
+    f"""WITH {PAPERS}, s AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a}, {b})" for k, (_, a, b) in enumerate(YEARS_SAID))}) AS s(k, a, b))
+SELECT item_id AS question_id, count(*) AS n, min(doc_id) AS first_id FROM benchmark JOIN s ON s.k = item_id % {len(YEARS_SAID)} JOIN papers ON doc_id % 40 = item_id % 40 AND CAST(year AS INTEGER) BETWEEN a AND b GROUP BY item_id"""
+)
+def constrained_judge(spark, sf):
+    """Papers of questions that name years, relative or not: those outside go."""
+    said = F.element_at(F.array(*(F.lit(t) for t, _, _ in YEARS_SAID)), (F.col("question_id") % len(YEARS_SAID) + 1).cast("int"))
+    asked = questions(spark, sf).withColumn("text", F.concat(F.lit("What is known"), said))
+    rows = C.papers(docs(spark, sf)).select("doc_id", "year", (F.col("doc_id") % 40).alias("k")).join(asked.select("question_id", (F.col("question_id") % 40).alias("k")), "k")
+    return within_years(rows, asked, 2024).groupBy("question_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
 CANDIDATES = (
     PLANNED
     + f""", {PAPERS},

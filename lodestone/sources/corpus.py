@@ -66,9 +66,12 @@ def papers(docs: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, para_idx, text): the lines of documents that aren't blank, repeated ones once."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("para_idx", "text")).where("trim(text) <> ''")
-    return rows.groupBy("doc_id", "text").agg(F.min("para_idx").alias("para_idx")).select("doc_id", "para_idx", "text")
+    """(doc_id, para_idx, text): the lines of documents that aren't blank, repeated ones once, at their first place. Nothing is shuffled."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda t, i: F.struct(t.alias("text"), i.alias("para_idx")))
+    lines = F.array_sort(F.filter(lines, lambda x: F.trim(x["text"]) != ""))
+    # in order, equal lines are neighbours; the array is bound to a name so that it is sorted once
+    first = F.get(F.transform(F.array(lines), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["text"] != x["text"]))), F.lit(0))
+    return docs.select("doc_id", F.explode(first).alias("line")).select("doc_id", "line.para_idx", "line.text")
 
 
 def records_to_papers(raw: DataFrame) -> DataFrame:

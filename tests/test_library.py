@@ -19,6 +19,7 @@ from lodestone.operators import segmentation as G
 from lodestone.operators.percolate import Percolator, percolate, positive_words
 from lodestone.operators.querytext import condition, matching, program
 from lodestone.operators import validation as V
+from lodestone.plans.expansion import tiered_queries, within_years, year_window
 from lodestone.plans.evidence import RunCounts, passages, search, sub_queries
 from lodestone.plans import report
 from lodestone.plans.judging import STRICT, Retrying, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
@@ -517,3 +518,24 @@ def test_first_hits_of_a_stream(spark, tmp_path):
     every = spark.createDataFrame([x[:4] for rows in batches for x in rows if x != (1, "a", 0, 1, 3) and x[1] != "end"], "question_id long, paper_id string, query_idx int, rank int")
     assert got == sorted((r.question_id, r.paper_id, r.query_idx, r["rank"]) for r in E.first_wins(every, ["question_id", "paper_id"], "query_idx", "rank").collect())
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_years_that_questions_name(spark):
+    cases = [
+        ("work of the last two years", 2025, 2026), ("past 3 years", 2024, 2026), ("last year", 2025, 2026), ("this year", 2026, 2026), ("from 2001 to 2004", 2001, 2004), ("since 1999", 1999, None),
+        ("after 2010", 2011, None), ("up to 2010", None, 2010), ("in 2010", 2010, 2010), ("2010–2012", 2010, 2012), ("200 mice and 1500 cells", None, None), ("", None, None), (None, None, None),
+    ]
+    frame = spark.createDataFrame([(i, q) for i, (q, _, _) in enumerate(cases)], "question_id int, text string")
+    got = {r.question_id: (r.w.first, r.w.last) for r in frame.select("question_id", year_window(F.col("text"), 2026).alias("w")).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in enumerate(cases)}
+    rows = spark.createDataFrame([(4, "2001"), (4, "2000"), (4, None), (11, None), (99, "x")], "question_id int, year string")
+    assert sorted(map(tuple, within_years(rows, frame, 2026).collect()), key=repr) == [(11, None), (4, "2001"), (99, "x")]
+
+
+def test_tiers_of_sub_queries(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma{i % 3} delta{i % 2} words here") for i in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "zzz"), (3, "")], "question_id long, text string")
+    for most in (1, 3, 7):
+        rows = tiered_queries(docs, asked, most).collect()
+        assert all(sum(r.question_id == q for r in rows) <= most for q in (1, 2)) and all(r.text.count(" AND ") <= 1 for r in rows)
+        assert [r.text for r in rows if r.question_id == 1 and r.query_idx == 0] == ["alpha beta"] and all(r.valid for r in V.validate(spark.createDataFrame([(k, r.text) for k, r in enumerate(rows)], "query_id int, query string")).collect())
