@@ -24,6 +24,8 @@ from lodestone.operators.querytext import Leaf, program
 Steps = list[tuple[str, int, Leaf | None]]
 #: Conditions that are looked up in one pass over the papers.
 BLOCK = 16_384
+#: Kinds of operands that look at texts.
+TEXTS = ("phrase", "wildcard")
 #: One of so many papers is read for how common words are, which decides what is looked up, not what is found.
 SAMPLED = 64
 
@@ -65,10 +67,6 @@ def needed_words(steps: Steps, common: Counter) -> set[str] | None:
     return stack[0][1]
 
 
-def _is_text(leaf: Leaf) -> bool:
-    return leaf.kind in ("phrase", "wildcard")
-
-
 def answerable(programs: Iterable[Steps], has: list[str]) -> bool:
     """Whether papers with these columns have one for each field."""
     return all(c.partition(".")[0] in has for _, _, leaf in itertools.chain.from_iterable(programs) if leaf for c in leaf.columns)
@@ -77,16 +75,18 @@ def answerable(programs: Iterable[Steps], has: list[str]) -> bool:
 def columns_of(programs: Iterable[Steps], has: list[str]) -> dict[str, Column]:
     """What the conditions read of papers with these columns, by name: texts as search.normal() has them, other values as they are compared."""
     out: dict[str, Column] = {}
-    for _, _, leaf in itertools.chain.from_iterable(programs):
-        for c in leaf.columns if leaf else ():
-            key, _, section = c.partition(".")
-            if key not in has:
-                raise ValueError(f"there is nothing to look for {c} in")
-            value = F.element_at(F.col(key), section) if section else F.col(key)
-            if _is_text(leaf):
-                out[f"text {c}"] = S.normal(value)
-            else:
-                out[f"{leaf.kind} {c}"] = {"flag": F.coalesce(value, F.lit(False)), "one": F.upper(value.cast("string")), "year": value.try_cast("int"), "number": value, "date": value.cast("date").cast("string")}[leaf.kind]
+    # a column for each of what is read, not for each of many operands
+    for kind, c in dict.fromkeys((leaf.kind, c) for _, _, leaf in itertools.chain.from_iterable(programs) if leaf for c in leaf.columns):
+        key, _, section = c.partition(".")
+        if key not in has:
+            raise ValueError(f"there is nothing to look for {c} in")
+        value = F.element_at(F.col(key), section) if section else F.col(key)
+        if kind in TEXTS:
+            out[f"text {c}"] = S.normal(value)
+        elif kind in ("flag", "one", "year"):
+            out[f"{kind} {c}"] = {"flag": F.coalesce(value, F.lit(False)), "one": F.upper(value.cast("string")), "year": value.try_cast("int")}[kind]
+        else:
+            out[f"{kind} {c}"] = value.cast("date").cast("string") if kind == "date" else value
     return out
 
 
