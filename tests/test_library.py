@@ -25,6 +25,7 @@ from lodestone.plans import report
 from lodestone.plans.judging import STRICT, Retrying, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of, sections_of, store_full_texts, with_full_text, with_sections
+from lodestone.sources.chat import ChatModel, assistant_text, endpoint_url, replies, reply_text, wait_seconds
 from lodestone.sources.remote import SearchReader, SubQuery, remote_records
 from lodestone.streaming.ingest import arriving_paragraphs, checked_clauses, first_hits
 
@@ -539,3 +540,68 @@ def test_tiers_of_sub_queries(spark):
         rows = tiered_queries(docs, asked, most).collect()
         assert all(sum(r.question_id == q for r in rows) <= most for q in (1, 2)) and all(r.text.count(" AND ") <= 1 for r in rows)
         assert [r.text for r in rows if r.question_id == 1 and r.query_idx == 0] == ["alpha beta"] and all(r.valid for r in V.validate(spark.createDataFrame([(k, r.text) for k, r in enumerate(rows)], "query_id int, query string")).collect())
+
+
+ANSWERS = [
+    ({"choices": [{"message": {"content": "plain"}}]}, "plain"),
+    ({"choices": [{"message": {"content": '["a", 1]'}}]}, '["a", 1]'),
+    ({"choices": [{"message": {"content": ["a", {"text": "b"}, {"content": "c"}, {"text": "", "content": "d"}, {"type": "image"}, 7, None, ""]}}]}, "a\nb\nc\nd"),
+    ({"choices": [{"message": {"content": None, "reasoning_content": "thought"}}]}, "thought"),
+    ({"choices": [{"message": {"content": [], "output_text": "out"}}]}, "out"),
+    ({"choices": [{"text": "old"}, {"message": {"content": "second"}}]}, "old"),
+    ({"choices": [{"message": None}]}, ""),
+    ({"choices": []}, ""),
+    ({"error": "down"}, ""),
+]
+
+
+def test_texts_of_answers(spark):
+    assert [reply_text(a) for a, _ in ANSWERS] == [t for _, t in ANSWERS]
+    rows = [(k, json.dumps(a)) for k, (a, _) in enumerate(ANSWERS)] + [(100, "no JSON"), (101, None), (102, "")]
+    got = spark.createDataFrame(rows, "k int, body string").select("k", assistant_text(F.col("body")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in got] == [t for _, t in ANSWERS] + ["", "", ""]
+
+
+def test_endpoints_and_waits(spark, monkeypatch):
+    assert {endpoint_url(u) for u in ("http://h/v1", "http://h/v1//", "http://h/v1/chat/completions", "http://h/v1/chat/completions/")} == {"http://h/v1/chat/completions"}
+    assert [wait_seconds(k, None, lambda: 0.5) for k in (0, 3, 9)] == [1.0, 8.0, 120.0]
+    assert wait_seconds(0, None, lambda: 0.0) == 1.0 and wait_seconds(4, None, lambda: 1.0) == 20.0 and wait_seconds(4, None, lambda: 0.0) == 12.0
+    assert wait_seconds(5, "0.5") == 0.5 and wait_seconds(1, "soon", lambda: 0.5) == 2.0
+    monkeypatch.setenv("LODESTONE_CHAT_NAME", "m")
+    spark.conf.set("lodestone.chat.url", "http://x")
+    assert (m := ChatModel.load(spark, timeout=5.0)).url == "http://x" and m.name == "m" and m.timeout == 5.0 and "EMPTY" not in repr(m)
+    spark.conf.unset("lodestone.chat.url")
+
+
+def test_models_behind_an_endpoint(spark):
+    """Against a service on this machine: busy and down for a while, refused for good, one answer in blocks."""
+    seen: Counter = Counter()
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert self.path == "/v1/chat/completions" and self.headers["Authorization"] == "Bearer k" and asked["model"] == "m" and asked["temperature"] == 0.0 and asked["max_tokens"] == 1
+            prompt = asked["messages"][0]["content"]
+            seen[prompt] += 1
+            code = 429 if prompt == "busy" and seen[prompt] < 3 else 503 if prompt == "down" else 401 if prompt == "refused" else 200
+            self.send_response(code)
+            if code != 200:
+                self.send_header("Retry-After", "0.01")
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": ["re", {"text": prompt}]}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    model = ChatModel(f"http://127.0.0.1:{server.server_port}/v1/", "m", "k", 0.0, 0, attempts=3)
+    prompts = spark.createDataFrame([(1, "a"), (2, "busy"), (3, "refused"), (4, None)], "prompt_id long, prompt string")
+    got = {r.prompt_id: (r.reply, r.error) for r in replies(prompts, model).collect()}
+    assert got[1] == ("re\na", None) and got[2] == ("re\nbusy", None) and got[3][0] is None and "401" in got[3][1] and got[4] == (None, None)
+    assert seen["busy"] == 3 and seen["refused"] == 1
+    with pytest.raises(OSError):
+        ChatModel(model.url, "m", "k", 0.0, 0, attempts=1)("down")
+    assert replies(prompts.where("false"), model).collect() == []
+    assert [r.text for r in model_queries(spark.createDataFrame([(1, "a")], "question_id long, text string"), model, 3, "{question}").collect()] == ["a"]
+    server.shutdown()
