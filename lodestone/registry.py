@@ -31,6 +31,7 @@ from lodestone.plans.judging import payloads
 from lodestone.plans.evidence import passages, plan_queries, search
 from lodestone.scratch import materialize, scratch_dir
 from lodestone.sources import corpus as C
+from lodestone.sources.chat import assistant_text
 from lodestone.sources.remote import remote_records
 from lodestone.sources.articles import article_paragraphs, store_full_texts, with_full_text, with_sections
 
@@ -619,6 +620,80 @@ def validate_batch_summary(spark, sf):
     return V.summary(V.validate(_fielded(spark, sf)))
 
 
+def _one(at: int, *values: str) -> str:
+    """One of five values by a character of the digest, as SQL."""
+    return f"CASE {' '.join(f"WHEN substr(h, {at}, 1) < '{k}' THEN '{v}'" for k, v in zip('2468', values))} ELSE '{values[-1]}' END"
+
+
+def _bad(field: str, shown: str = "v") -> str:
+    return f"'Invalid value for {field}: ''' || {shown} || ''''"
+
+
+def _shape(field: str) -> str:
+    return f"'Invalid {field} format: ''' || v || ''''"
+
+
+def _unlike(pattern: str, field: str) -> str:
+    return f"CASE WHEN NOT regexp_full_match(v, '{pattern}') THEN {_shape(field)} END"
+
+
+def _not_in(values, shown: str, message: str) -> str:
+    return f"CASE WHEN {shown} NOT IN ({', '.join(f"'{v}'" for v in values)}) THEN {message} END"
+
+
+#: Rules for clauses. Each has a field (None: the value is the whole query), a value as SQL over h, the digest of a document's text with a quarter of its letters left, and w, a word
+#: with its first one; and what is wrong with the value v as SQL, null if nothing is.
+RULES = {
+    "flag": ("HAS_PDF", _one(1, "Y", "n", "y", "no", "w"), _not_in("YN", "upper(v)", _bad("HAS_PDF") + " || ' - must use Y or N'")),
+    "source": ("SRC", _one(2, "med", "PMC", "PPR", "XYZ", "ME"), _not_in(V.SOURCES, "upper(v)", _bad("SRC", "upper(v)"))),
+    "accession": ("ACCESSION_TYPE", _one(3, "PDB", "uniprot", "pdx", "doi", "geo1"), _not_in(V.ACCESSION_TYPES, "lower(v)", _bad("ACCESSION_TYPE", "lower(v)"))),
+    "annotation": ("ANNOTATION_TYPE", _one(4, "Gene", "gene", "Kit", "Chemicals", "LS"), _not_in(V.ANNOTATION_TYPES, "v", _bad("ANNOTATION_TYPE"))),
+    "author id type": ("AUTHORID_TYPE", _one(5, "orcid", "ORCID", "isni", "Orcid", "o"), _not_in(["ORCID"], "upper(v)", _bad("AUTHORID_TYPE", "upper(v)"))),
+    "role": ("AUTHOR_ROLES", _one(6, "software", "Validation", "writer", "RESOURCES", "editing"), _not_in([r.lower() for r in V.AUTHOR_ROLES], "lower(v)", _bad("AUTHOR_ROLES"))),
+    "language": ("LANG", _one(7, "eng", "ger", "German", "FRENCH", "de"), _not_in([x.lower() for x in [*V.LANGUAGES, *V.LANGUAGE_CODES]], "lower(v)", _bad("LANG"))),
+    "license": ("LICENSE", _one(8, "cc-by", "CC_BY__NC", "by-nc-sa", "cc0", "gpl"), _not_in([*V.LICENSES, "BY-NC-SA"], "regexp_replace(upper(v), '[-_]+', '-', 'g')", _bad("LICENSE"))),
+    "author id": ("AUTHORID", "substr(h, 1, 4) || '-' || substr(h, 5, 4) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 3) || " + _one(16, "X", "7", "x", "0", "1"), _unlike("[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]", "AUTHORID")),
+    "cited": ("CITES", "substr(h, 1, 8) || " + _one(9, "_med", "_PMC", "_x", "-MED", "_AGR"), f"CASE WHEN NOT regexp_full_match(v, '[A-Za-z0-9.-]+_[A-Za-z]+') THEN 'Invalid CITES format: ''' || v || ''' - expected identifier_source' ELSE {_not_in(V.SOURCES, "upper(split_part(v, '_', 2))", "'Invalid source suffix in CITES: ''' || v || ''''")} END"),
+    "store id": ("PMCID", _one(1, "PMC", "pmc", "", "PMC", "PM") + " || substr(h, 2, 6)", _unlike("(?i)PMC[0-9]+", "PMCID")),
+    "serial": ("ISSN", "substr(h, 1, 4) || '-' || substr(h, 5, 3) || " + _one(8, "X", "x", "1", "y", "0"), _unlike("(?i)[0-9]{4}-[0-9]{3}[0-9X]", "ISSN")),
+    "book number": ("ISBN", _one(1, "978-", "978", "", "9", "97-8") + " || substr(h, 2, 10)", f"CASE WHEN NOT regexp_full_match(replace(v, '-', ''), '[0-9]{{9}}[0-9Xx]|[0-9]{{13}}') THEN {_shape('ISBN')} END"),
+    "digital id": ("DOI", _one(1, "10.", "11.", "10.", "doi", "10.") + " || substr(h, 2, 6) || '/' || w", _unlike(r"10\.[0-9]{4,9}/[^ ]+", "DOI")),
+    "book": ("BOOK_ID", _one(1, "NBK", "nbk", "NB", "", "NBK") + " || substr(h, 2, 6)", _unlike("(?i)NBK[0-9]+", "BOOK_ID")),
+    "manuscript": ("AUTH_MAN_ID", "w || substr(h, 2, 1)", _unlike("[A-Za-z]{2,}[A-Za-z0-9._-]*[0-9]+[A-Za-z0-9._-]*", "AUTH_MAN_ID")),
+    "several": ("DOI", "'10.1000/' || w || ',' || substr(h, 1, 2)", "'Multiple comma-separated values are not allowed for field ''DOI'''"),
+    "wild id": ("BOOK_ID", "'NBK' || substr(h, 1, 2) || " + _one(3, "", "*", "", "?", ""), f"CASE WHEN regexp_matches(v, '[*?]') THEN {_shape('BOOK_ID')} || '; Wildcards are not allowed for field ''BOOK_ID''' WHEN NOT regexp_full_match(v, 'NBK[0-9]+') THEN {_shape('BOOK_ID')} END"),
+    "wild date": ("P_PDATE", "'19' || substr(h, 1, 1) || " + _one(2, "*", "1", "?", "7", "*"), f"CASE WHEN NOT regexp_full_match(v, '[0-9]{{4}}') THEN {_bad('P_PDATE')} || ' - expected YYYY or YYYY-MM-DD' || CASE WHEN contains(v, '?') THEN '; Question-mark wildcards are not allowed for field ''P_PDATE''' WHEN contains(v, '*') THEN '; Wildcards are only allowed in date ranges for field ''P_PDATE''' ELSE '' END END"),
+    "wild alone": ("MESH", _one(1, "*", "a*", "**", "x", "?"), "CASE WHEN regexp_full_match(v, '[*?]+') THEN 'Wildcard-only presence checks are not allowed for field ''MESH'' - use ANNOTATION_TYPE or HAS_TM when you mean annotation presence' END"),
+    "tag": (None, "CASE WHEN substr(h, 1, 1) < '5' THEN 'Methods' ELSE w END || ':x'", _not_in(V.FIELDS, "upper(split_part(v, ':', 1))", "'Invalid field tag ''' || split_part(v, ':', 1) || ''''")),
+    "spacing": (None, "'KW' || " + _one(1, "", " ", "", " ", "") + " || ':' || " + _one(2, "", " ", "", "", " ") + " || w", "nullif(concat_ws('; ', CASE WHEN contains(v, ' :') THEN 'Field tag ''KW'' has invalid spacing before colon' END, CASE WHEN contains(v, ': ') THEN 'Field tag ''KW'' has invalid spacing after colon' END), '')"),
+    "several words": ("TITLE", "w || " + _one(1, "", " x", "", "_x", " y"), "CASE WHEN contains(v, ' ') THEN 'Invalid syntax: TITLE:' || v || ' - multi-word field values must use quotes or parentheses' END"),
+    "wild in quotes": (None, "'\"' || w || " + _one(1, "", "*", "", "?", "") + " || '\"'", "CASE WHEN regexp_matches(v, '[*?]') THEN 'Wildcard not allowed in quotes: ' || v END"),
+    "open quotes": (None, "w || " + _one(1, "", " \"", "", " \"", "") + " || w", "CASE WHEN contains(v, '\"') THEN 'Unmatched double quotes in query' END"),
+    "blank": (None, _one(1, "", " ", "x", "  ", "y"), "CASE WHEN trim(v) = '' THEN 'Query is empty or None' END"),
+    "grant": ("GRANT_ID", "w || " + _one(1, "", " AND GRANT_AGENCY:x", "", " AND ISSUE:1", " OR GRANT_AGENCY:y"), "NULL"),
+    "issue": ("ISSUE", "w || " + _one(1, "", " AND JOURNAL:x", " AND JOURNAL:x AND VOLUME:2", " AND EXT_ID:1 AND SRC:med", " AND INVESTIGATOR:x"), "NULL"),
+}
+RULE_VALUES = ["translate(md5(coalesce(text, '')), 'abcde', '01234') AS h", "'t' || regexp_extract(coalesce(text, ''), '[A-Za-z]+', 0) AS w"]
+HINTS_SQL = ", ".join(
+    f"CASE WHEN contains(query, '{field}:') AND NOT ({' AND '.join(f"contains(query, '{o}:')" for o in others)}) THEN '{field} is usually used together with {' and '.join(others)}' END"
+    for field, others in [("GRANT_ID", ["GRANT_AGENCY"]), ("EXT_ID", ["SRC"]), ("INVESTIGATOR", ["AUTH_COLLECTIVE_LIST"]), ("ISSUE", ["JOURNAL", "VOLUME"])]
+)
+RULES_SQL = " UNION ALL ".join(f"SELECT doc_id, '{rule}' AS rule, {v} AS v, {f"'{field}:' || " if field else ''}{v} AS query FROM d" for rule, (field, v, _) in RULES.items())
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {", ".join(RULE_VALUES)} FROM documents), q AS ({RULES_SQL}),
+c AS (SELECT doc_id, rule, query, CASE rule {" ".join(f"WHEN '{rule}' THEN {wrong}" for rule, (_, _, wrong) in RULES.items())} END AS wrong FROM q)
+SELECT doc_id, rule, query, coalesce(wrong, '') AS reasons, wrong IS NULL AS valid, concat_ws('; ', {HINTS_SQL}) AS warnings FROM c"""
+)
+def validate_rules(spark, sf):
+    """Every rule for clauses, on values made from the digest and the first word of each document's text."""
+    made = F.array(*(F.struct(F.lit(rule).alias("rule"), F.expr(f"'{field}:' || {v}" if field else v).alias("query")) for rule, (field, v, _) in RULES.items()))
+    asked = docs(spark, sf).selectExpr("doc_id", *RULE_VALUES).select("doc_id", F.explode(made).alias("q")).select(F.concat_ws("|", "doc_id", "q.rule").alias("query_id"), "q.query")
+    key = F.split("query_id", r"\|")
+    return V.validate(asked).select(F.get(key, F.lit(0)).cast("long").alias("doc_id"), F.get(key, F.lit(1)).alias("rule"), "query", F.array_join("reasons", "; ").alias("reasons"), "valid", F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query(
     """WITH d AS (SELECT doc_id, (CASE WHEN doc_id % 6 = 0 THEN CAST(1900 + doc_id % 150 AS VARCHAR) ELSE (1980 + doc_id % 50) || '-' || lpad(CAST(doc_id % 14 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 33 AS VARCHAR), 2, '0') END) AS value FROM documents)
 SELECT doc_id, value, CASE WHEN length(value) = 4 OR try_cast(value AS DATE) IS NOT NULL THEN '' ELSE 'Invalid value for FIRST_PDATE: ''' || value || ''' - expected YYYY or YYYY-MM-DD' END AS message FROM d"""
@@ -791,6 +866,19 @@ def lenient_replies(spark, sf):
     return docs(spark, sf).select("doc_id", F.array_join(X.reply_ids(reply), ",").alias("ids"))
 
 
+@query(
+    r"""SELECT doc_id, coalesce(CASE doc_id % 5 WHEN 1 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) WHEN 4 THEN '' ELSE text END, '') AS reply FROM documents"""
+)
+def assistant_texts(spark, sf):
+    """The texts in logged answers of a chat model: a string, a block a line, reasoning without content, an old form, and a cut answer."""
+    d, text = F.col("doc_id") % 5, F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    message = lambda *c: F.to_json(F.struct(F.array(F.struct(F.struct(*c).alias("message"))).alias("choices")))
+    old = F.to_json(F.struct(F.array(F.struct(text.alias("text"))).alias("choices")))
+    body = F.when(d == 0, message(text.alias("content"))).when(d == 1, message(lines.alias("content"))).when(d == 2, message(F.lit("").alias("content"), text.alias("reasoning_content"))).when(d == 3, old).otherwise(F.expr("'{' || left(text, 10)"))
+    return docs(spark, sf).select("doc_id", assistant_text(body).alias("reply"))
+
+
 @query(
     f"""WITH {PAPERS}, {SENTENCES}, items AS (SELECT doc_id, string_agg('{{"id":' || to_json(sid) || ',"text":' || to_json(sentence) || '}}', ',' ORDER BY sent_idx) AS items FROM sids GROUP BY doc_id)
 SELECT doc_id, '{{"id":' || to_json(paper_id) || ',"title":' || to_json(CASE WHEN title = '' THEN 'N/A' ELSE title END) || ',"authors":"N/A","affiliations":"N/A","journal":"N/A","year":"' || year || '","abstract":[' || coalesce(items, '') || ']}}' AS paper FROM papers LEFT JOIN items USING (doc_id)"""
