@@ -11,8 +11,8 @@ from lodestone.scratch import materialize
 
 #: Words are runs of anything but blanks and the controls 9 to 13.
 WORD = r"[^ \t\n\x0B\f\r]+"
-#: Hexadecimal digits of the order's hash that name a bucket of a leaf.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of the order's hash that name a bucket of a leaf; a bucket in which a prefix ends is split by as many more while it has more rows than this.
+BUCKET_DIGITS, EDGE_ROWS = 3, 1_000_000
 #: Part of all words that a balanced budget takes at least.
 LEAST_BALANCED = 1, 2
 
@@ -85,7 +85,8 @@ def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[
     id; whole epochs are taken first, then the next one's prefix, of which the last document may be cut
     (take_tokens < n_tokens). The budgets of all leaves are met to the word.
 
-    Only the bucket of hashes in which a prefix ends is put in order, so that no leaf passes through one task.
+    Only the bucket of hashes in which a prefix ends is put in order, split until it is small and with equal rows counted, so that no leaf and no group of copies
+    passes through one task.
     Null text has no words; documents without words are never taken. A null level value is the value `none`.
     A null id is hashed as empty. Repeated rows are taken one by one. Other columns are ignored; an empty
     table gives no rows.
@@ -103,13 +104,32 @@ def mix_sources(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[
     whole = whole.select("doc_id", *names, "epoch", "n_tokens", F.col("n_tokens").alias("take_tokens"))
 
     last = rows.where("rest > 0").withColumn("mix", F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    last = last.withColumn("bucket", F.substring("mix", 1, BUCKET_DIGITS))
-    sums = last.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("inside"))
-    before = F.coalesce(F.sum("inside").over(Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).join(plan, names).where("before < rest and before + inside >= rest").select(*names, F.col("bucket").alias("end"), "before")
-    last = last.join(materialize(ends, "ends"), names)
+    ends = _ends(last, plan, names)
+    last = last.join(ends, names).withColumn("bucket", F.expr("substring(mix, 1, length(end))"))
     inner = last.where("bucket < end").select("doc_id", *names, F.col("epochs").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
     order = Window.partitionBy(*names).orderBy("mix", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = last.where("bucket = end").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    edge = edge.where("start < rest").select("doc_id", *names, F.col("epochs").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("take_tokens"))
+    same = [*names, "mix", "doc_id", "n_tokens", "epochs", "rest", "before"]
+    edge = last.where("bucket = end").groupBy(*same).agg(F.count("*").alias("copies"))
+    edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(order), F.lit(0))).where("left > 0")
+    edge = edge.withColumn("copy", F.explode(F.expr("sequence(1L, least(copies, (left + n_tokens - 1) div n_tokens))")))
+    edge = edge.select("doc_id", *names, F.col("epochs").alias("epoch"), "n_tokens", F.expr("least(n_tokens, left - (copy - 1) * n_tokens)").alias("take_tokens"))
     return whole.union(inner).union(edge)
+
+
+def _ends(last: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
+    """(names, end, before): the bucket of each leaf in which its prefix ends, as the first digits of its hashes, and the words before it.
+
+    A bucket that hardly shrinks when it is split holds copies of one id, which are counted together later.
+    """
+    inside, known, digits = last, plan.select(*names, "rest", F.lit(0).cast("long").alias("before")), 0
+    while True:
+        digits += BUCKET_DIGITS
+        sums = inside.groupBy(*names, F.substring("mix", 1, digits).alias("end")).agg(F.sum("n_tokens").alias("inside"), F.count("*").alias("n"))
+        order = Window.partitionBy(*names).orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.join(known, names).withColumn("before", F.col("before") + F.coalesce(F.sum("inside").over(order), F.lit(0)))
+        ends = materialize(sums.where("before < rest and before + inside >= rest").select(*names, "end", "before", "n"), "ends")
+        size = ends.agg(F.max("n")).first()[0] or 0
+        if size <= EDGE_ROWS or digits >= 32 or digits > BUCKET_DIGITS and size > was * 0.9:
+            return ends.drop("n")
+        inside = last.join(ends.select(*names, F.col("end").alias("upto")), names).where("substring(mix, 1, length(upto)) = upto")
+        known, was = ends.join(plan, names).select(*names, "rest", "before"), size

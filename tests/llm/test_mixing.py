@@ -63,8 +63,11 @@ def test_budgets_match_plain_ones(spark, seed):
         assert sum(want.values()) == sum(leaves.values()) * part // 100
 
 
-@pytest.mark.parametrize("epochs,share", [(1, (1, 2)), (3, (3, 2)), (2, (2, 1))])
-def test_prefixes_of_seeded_epochs(spark, epochs, share):
+@pytest.mark.parametrize("epochs,share,edge", [(1, (1, 2), None), (3, (3, 2), None), (2, (2, 1), None), (1, (1, 2), 0), (3, (3, 2), 1)])
+def test_prefixes_of_seeded_epochs(spark, monkeypatch, epochs, share, edge):
+    if edge is not None:  # buckets are split until they hold copies only
+        monkeypatch.setattr("lodestone.llm.mixing.EDGE_ROWS", edge)
+        monkeypatch.setattr("lodestone.llm.mixing.BUCKET_DIGITS", 1)
     r = random.Random(11)
     rows = [(i, "w " * r.randint(0, 40), r.choice(["web", "code", "gone", None]), r.choice(["en", "es"]), r.choice(["s0", "s1", None])) for i in range(400)]
     rows += [(None, "a b c", "web", "en", "s0"), (7, None, "web", "en", "s0"), (3, "x y", "web", "en", "s1"), (3, "x y", "web", "en", "s1")]
@@ -88,6 +91,20 @@ def test_prefixes_of_seeded_epochs(spark, epochs, share):
     assert sorted((str(x.doc_id), x.dom, x.lang, x.src, x.epoch, x.n_tokens, x.take_tokens) for x in got) == sorted(want)
 
 
+@pytest.mark.parametrize("part", [1, 7, 50, 93])
+def test_a_prefix_ends_within_copies(spark, monkeypatch, part):
+    monkeypatch.setattr("lodestone.llm.mixing.EDGE_ROWS", 2)
+    rows = [(None, "a b c")] * 60 + [(None, "a b")] * 50 + [(k, "x y z u") for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = mix_sources(frame, {"src": F.lit("s")}, {}, (part, 100), seed=3).collect()
+    left, want = sum(len(t.split()) for _, t in rows) * part // 100, []
+    for d, n in sorted(((d, len(t.split())) for d, t in rows), key=lambda x: (hashlib.md5(f"3:0:{'' if x[0] is None else x[0]}".encode()).hexdigest(), x[1])):
+        if left > 0:
+            want.append((str(d), n, min(n, left)))
+            left -= n
+    assert sorted((str(x.doc_id), x.n_tokens, x.take_tokens) for x in got) == sorted(want)
+
+
 def test_nothing_to_mix(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, dom string, lang string, src string")
     assert mix_sources(empty, {k: F.col(k) for k in LEVELS}, WEIGHTS, (1, 2)).count() == 0
