@@ -15,10 +15,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[list[str]] = []
+#: What the blocks of tidy() that this thread is in have written, from the outermost.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -48,8 +50,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     where, system = _path(spark, folder)
     system.deleteOnExit(where)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if blocks := _written.get():
+        blocks[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -67,14 +69,15 @@ def release(*frames: DataFrame) -> None:
 def tidy(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Deletes all tables written within the block, but for those in the list it gives out."""
     kept: list[DataFrame] = []
-    _written.append([])
+    outer, written = _written.get(), []
+    _written.set((*outer, written))
     try:
         yield kept
     finally:
         stay = {getattr(df, "_scratch_path", None) for df in kept}
-        written = _written.pop()
-        if _written:
-            _written[-1].extend(stay & set(written))
+        _written.set(outer)
+        if outer:
+            outer[-1].extend(stay & set(written))
         for path in set(written) - stay:
             _delete(spark, path)
 

@@ -23,6 +23,7 @@ from lodestone.plans.expansion import tiered_queries, within_years, year_window
 from lodestone.plans.evidence import RunCounts, passages, search, sub_queries
 from lodestone.plans import report
 from lodestone.plans.judging import STRICT, Retrying, ask, cited_ids, filled, judge_batches, model_queries, payloads, plan, rendered
+from lodestone.scratch import materialize, tidy
 from lodestone.sources import corpus as C
 from lodestone.sources.articles import article_paragraphs, paragraphs_of, sections_of, store_full_texts, with_full_text, with_sections
 from lodestone.sources.chat import ChatModel, assistant_text, endpoint_url, replies, reply_text, wait_seconds
@@ -605,3 +606,30 @@ def test_models_behind_an_endpoint(spark):
     assert replies(prompts.where("false"), model).collect() == []
     assert [r.text for r in model_queries(spark.createDataFrame([(1, "a")], "question_id long, text string"), model, 3, "{question}").collect()] == ["a"]
     server.shutdown()
+
+
+def test_blocks_of_threads_leave_each_others_tables(spark):
+    inside, done = threading.Event(), threading.Event()
+    made = {}
+
+    def other():
+        with tidy(spark) as kept:
+            made["gone"] = materialize(spark.range(3), "gone")
+            kept.append(made.setdefault("kept", materialize(spark.range(4), "kept")))
+            inside.set()
+            done.wait(60)
+
+    thread = threading.Thread(target=other)
+    with tidy(spark):
+        with tidy(spark) as kept:
+            thread.start()
+            inside.wait(60)
+            kept.append(made.setdefault("mine", materialize(spark.range(5), "mine")))
+        assert made["mine"].count() == 5
+    assert made["gone"].count() == 3
+    done.set()
+    thread.join()
+    assert made["kept"].count() == 4
+    for name in ("mine", "gone"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+            spark.read.parquet(made[name]._scratch_path)
