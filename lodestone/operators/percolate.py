@@ -2,28 +2,36 @@
 
 A condition that asks for words can only hold where one of a few of its words stands: of operands that must all hold the rarest one's,
 of alternatives each one's. These words are a hash table that the words of a paper look themselves up in, and only the conditions found there are
-evaluated. Conditions go to all tasks a block at a time; papers are never shuffled, and no condition meets a paper that it shares no word with,
-but for those that hold without a word (NOT x, a range of years alone), which are evaluated for each paper.
+evaluated. Conditions go to all tasks a block at a time; papers are never shuffled. A task evaluates a condition for thousands of papers at once:
+those that have a word, or two next to each other, are the bits of a whole number, and operators of the condition are operators on such numbers.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
+import operator
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from lodestone.functions.batches import pieces
 from lodestone.operators import search as S
 from lodestone.operators.querytext import Leaf, program
+from lodestone.scratch import materialize
 
 Steps = list[tuple[str, int, Leaf | None]]
-#: Conditions that are looked up in one pass over the papers.
-BLOCK = 16_384
+#: Different conditions that are looked up in one pass over the papers, and rows of them with equal ones.
+BLOCK, ROWS = 16_384, 131_072
+#: Papers that conditions are evaluated for at once, the bytes of their texts, and pairs of a part of the result.
+PAPERS, PAPER_BYTES, PAIRS = 8192, 16 << 20, 1 << 20
 #: Kinds of operands that look at texts.
 TEXTS = ("phrase", "wildcard")
 #: One of so many papers is read for how common words are, which decides what is looked up, not what is found.
@@ -106,46 +114,105 @@ def _holds(leaf: Leaf, paper: dict) -> bool:
     return (leaf.first is None or value >= end(leaf.first)) and (leaf.last is None or value <= end(leaf.last))
 
 
+def _bits(places: np.ndarray | list[int], n: int) -> int:
+    """A set of papers as a whole number, of whose n bits those at places are set."""
+    flags = np.zeros(n, bool)
+    flags[places] = True
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def _places(bits: int, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little"))
+
+
+class _Batch:
+    """Papers (see columns_of) side by side: which of them have a word, or two next to each other, and which an operand holds for."""
+
+    def __init__(self, columns: dict[str, list], n: int, asked: dict[str, set]):
+        self.columns, self.n, self.all = columns, n, (1 << n) - 1
+        #: Of a text column: words, and pairs of words, that are asked, with the papers that have them.
+        self.having: dict[str, dict] = {}
+        for name, some in asked.items():
+            listed, paired = defaultdict(list), any(isinstance(w, tuple) for w in some)
+            for i, value in enumerate(columns[name]):
+                words = value.split()
+                for w in some.intersection(words):
+                    listed[w].append(i)
+                if paired:
+                    for w in some.intersection(itertools.pairwise(words)):
+                        listed[w].append(i)
+            self.having[name] = {w: _bits(places, n) for w, places in listed.items()}
+        self.whole: dict[int, int] = {}
+        self.checked: dict[int, tuple[int, int]] = {}
+
+    def word(self, w: str) -> int:
+        return functools.reduce(operator.or_, (known.get(w, 0) for known in self.having.values()), 0)
+
+    def holding(self, k: int, leaf: Leaf, some: int) -> int:
+        """The papers among some, or more, that operand number k holds for."""
+        if k in self.whole:
+            return self.whole[k]
+        within = self.all
+        if leaf.kind == "phrase":
+            words = leaf.value.split()
+            parts = words if len(words) < 2 else list(itertools.pairwise(words))
+            within = functools.reduce(operator.or_, (functools.reduce(operator.and_, (self.having[f"text {c}"].get(w, 0) for w in parts)) for c in leaf.columns), 0) if words else 0
+            if len(words) < 3:
+                self.whole[k] = within
+                return within
+        done, held = self.checked.get(k, (0, 0))
+        if todo := some & within & ~done:
+            names = [f"{'text' if leaf.kind in TEXTS else leaf.kind} {c}" for c in leaf.columns]
+            held |= _bits([i for i in _places(todo, self.n) if _holds(leaf, {name: self.columns[name][i] for name in names})], self.n)
+            self.checked[k] = done | todo, held
+        return held
+
+
 class Percolator:
     """Conditions by number, ready to be looked up by papers."""
 
     def __init__(self, programs: dict[int, Steps], common: Counter):
-        self.programs = programs
-        self.by_word: dict[str, list[int]] = defaultdict(list)
-        self.always: list[int] = []
-        for k, steps in programs.items():
-            words = needed_words(steps, common)
-            if words is None:
-                self.always.append(k)
-            for w in words or ():
-                self.by_word[w].append(k)
-        #: How often a condition was evaluated.
+        leaves: dict[Leaf, int] = {}
+        self.programs = {k: [(op, n, leaf and leaves.setdefault(leaf, len(leaves))) for op, n, leaf in steps] for k, steps in sorted(programs.items())}
+        self.leaves = list(leaves)
+        #: Words of which a paper that meets a condition has one; None if it can do without.
+        self.needed = {k: needed_words(programs[k], common) for k in self.programs}
+        #: Words, and pairs of words, that are looked for in each column of texts.
+        self.asked: dict[str, set] = defaultdict(set)
+        for leaf in leaves:
+            if leaf.kind == "phrase":
+                words = leaf.value.split()
+                for c in leaf.columns:
+                    self.asked[f"text {c}"].update(words, itertools.pairwise(words))
+        #: How often a condition was evaluated for a paper.
         self.evaluated = 0
 
-    def matches(self, paper: dict) -> list[int]:
-        """The conditions that a paper (see columns_of) meets, in order."""
-        words = set().union(*(value.split() for name, value in paper.items() if name.startswith("text ")))
-        found = set(self.always).union(*(self.by_word[w] for w in words & self.by_word.keys()))
-        known: dict[Leaf, bool] = {}
-        out = []
-        for k in sorted(found):
-            self.evaluated += 1
-            stack: list[bool] = []
-            for op, n, leaf in self.programs[k]:
+    def meeting(self, columns: dict[str, list], n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(condition, places of the papers that meet it) in order, of n papers whose columns (see columns_of) are given. Conditions that none meets are passed over."""
+        papers = _Batch(columns, n, self.asked)
+        word = functools.cache(papers.word)
+        for k, steps in self.programs.items():
+            some = papers.all if self.needed[k] is None else functools.reduce(operator.or_, map(word, self.needed[k]), 0)
+            if not some:
+                continue
+            self.evaluated += some.bit_count()
+            stack: list[int] = []
+            for op, n_parts, leaf in steps:
                 if op == "term":
-                    if leaf not in known:
-                        known[leaf] = _holds(leaf, paper)
-                    stack.append(known[leaf])
+                    stack.append(papers.holding(leaf, self.leaves[leaf], some))
                 elif op == "nothing":
-                    stack.append(False)
+                    stack.append(0)
                 elif op == "not":
-                    stack[-1] = not stack[-1]
+                    stack[-1] = papers.all ^ stack[-1]
                 else:
-                    parts, stack = stack[-n:], stack[:-n]
-                    stack.append(all(parts) if op == "and" else any(parts))
-            if stack[0]:
-                out.append(k)
-        return out
+                    parts, stack = stack[-n_parts:], stack[:-n_parts]
+                    stack.append(functools.reduce(operator.and_ if op == "and" else operator.or_, parts))
+            if met := stack[0] & some:
+                yield k, _places(met, n)
+
+    def matches(self, paper: dict) -> list[int]:
+        """The conditions that a paper (see columns_of) meets, in order."""
+        return [k for k, _ in self.meeting({name: [value] for name, value in paper.items()}, 1)]
 
 
 def common_words(papers: DataFrame, columns: dict[str, Column], asked: set[str]) -> Counter:
@@ -166,35 +233,77 @@ def common_words(papers: DataFrame, columns: dict[str, Column], asked: set[str])
     return Counter({r.word: r.n for r in some.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()})  # a row an asked word of this block
 
 
+def asked_words(programs: dict[int, Steps]) -> set[str]:
+    return {w for steps in programs.values() for _, _, leaf in steps if leaf and leaf.kind == "phrase" for w in leaf.value.split()}
+
+
 def percolator(papers: DataFrame, programs: dict[int, Steps]) -> tuple[Percolator, dict[str, Column]]:
     """The conditions, and what they read of papers."""
     columns = columns_of(programs.values(), papers.columns)
-    asked = {w for steps in programs.values() for _, _, leaf in steps if leaf and leaf.kind == "phrase" for w in leaf.value.split()}
-    return Percolator(programs, common_words(papers, columns, asked)), columns
+    return Percolator(programs, common_words(papers, columns, asked_words(programs))), columns
+
+
+def _blocks(rows: Iterable[Row]) -> Iterator[dict[str, list]]:
+    """Ids by query text, of rows whose equal texts follow on one another."""
+    block: dict[str, list] = {}
+    n = 0
+    for r in rows:
+        text = r["query"] or ""
+        if n == ROWS or len(block) == BLOCK and text not in block:
+            yield block
+            block, n = {}, 0
+        block.setdefault(text, []).append(r["query_id"])
+        n += 1
+    if block:
+        yield block
 
 
 def percolate(papers: DataFrame, conditions: DataFrame) -> DataFrame:
     """(query_id, doc_id) for each of papers (doc_id, ...) that meets one of conditions (query_id, query).
 
     Query texts as in querytext.py; one with a fault or with a field that papers have no column for raises a ValueError. Conditions come to the
-    driver and go to the tasks 16,384 at a time, with one pass over the papers for each block.
+    driver and go to the tasks in blocks of BLOCK texts, with one pass over the papers for each block; equal texts are evaluated once.
+    What several blocks read of papers is written once, and pairs leave a task in parts of at most PAIRS.
     """
+    spark = papers.sparkSession
     key, doc = conditions.schema["query_id"].dataType, papers.schema["doc_id"].dataType
-    rows = conditions.select("query_id", "query").toLocalIterator()
-    out = None
-    while block := list(itertools.islice(rows, BLOCK)):
-        stored, columns = percolator(papers, {k: program(r["query"] or "") for k, r in enumerate(block)})
-        names = list(columns)
-
-        def run(batches: Iterator[pa.RecordBatch], stored=stored, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [stored.matches(dict(zip(names, values, strict=True))) for values in zip(*(batch.column(i + 1).to_pylist() for i in range(len(names))), strict=True)] if names else [stored.matches({})] * len(batch)
-                numbers = [k for ks in found for k in ks]
-                places = [i for i, ks in enumerate(found) for _ in ks]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), batch.column(0).take(pa.array(places, pa.int64()))], names=["number", "doc_id"])
-
-        met = papers.select("doc_id", *(c.alias(name) for name, c in columns.items())).mapInArrow(run, f"number int, doc_id {doc.simpleString()}")
-        ids = papers.sparkSession.createDataFrame([(k, r["query_id"]) for k, r in enumerate(block)], f"number int, query_id {key.simpleString()}")
-        part = met.join(ids, "number").select("query_id", "doc_id")
+    blocks = _blocks(conditions.select("query_id", "query").repartition("query").sortWithinPartitions("query").toLocalIterator(prefetchPartitions=True))
+    written: dict[tuple[str, ...], DataFrame] = {}
+    out, block = None, next(blocks, None)
+    while block:
+        after = next(blocks, None)
+        programs = {k: program(text) for k, text in enumerate(block)}
+        columns = columns_of(programs.values(), papers.columns)
+        names = tuple(columns)
+        if names not in written:
+            read = papers.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+            written[names] = materialize(read, "percolated") if after else read
+        read = written[names]
+        ids = spark.createDataFrame([(i,) for same in block.values() for i in same], StructType([StructField("query_id", key)])).toArrow().column(0).combine_chunks()
+        ends = np.cumsum([0, *map(len, block.values())])
+        stored = Percolator(programs, common_words(read, {name: F.col(f"`{name}`") for name in names}, asked_words(programs)))
+
+        def run(batches: Iterator[pa.RecordBatch], stored=stored, names=names, ids=ids, ends=ends) -> Iterator[pa.RecordBatch]:
+            def pairs(docs: pa.Array, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+                query, place = (pa.array(np.concatenate(x)) for x in zip(*parts, strict=True))
+                return pa.RecordBatch.from_arrays([ids.take(query), docs.take(place)], names=["query_id", "doc_id"])
+
+            for whole in batches:
+                for batch in pieces(whole, PAPERS, PAPER_BYTES):
+                    waiting, held = [], 0
+                    for k, places in stored.meeting({name: batch.column(i + 1).to_pylist() for i, name in enumerate(names)}, len(batch)):
+                        step = max(1, PAIRS // len(places))
+                        for a in range(ends[k], ends[k + 1], step):
+                            same = np.arange(a, min(a + step, ends[k + 1]))
+                            waiting.append((np.repeat(same, len(places)), np.tile(places, len(same))))
+                            held += len(same) * len(places)
+                            if held >= PAIRS:
+                                yield pairs(batch.column(0), waiting)
+                                waiting, held = [], 0
+                    if waiting:
+                        yield pairs(batch.column(0), waiting)
+
+        part = read.mapInArrow(run, StructType([StructField("query_id", key), StructField("doc_id", doc)]))
         out = part if out is None else out.union(part)
-    return out if out is not None else papers.sparkSession.createDataFrame([], f"query_id {key.simpleString()}, doc_id {doc.simpleString()}")
+        block = after
+    return out if out is not None else spark.createDataFrame([], StructType([StructField("query_id", key), StructField("doc_id", doc)]))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
+from lodestone.functions.batches import pieces
 from lodestone.functions.text import STOPWORDS, plain_terms, tokens, word_count
 from lodestone.operators.parsing import parse
 from lodestone.operators.percolate import Steps, answerable, percolator, positive_words
@@ -23,6 +24,8 @@ from lodestone.scratch import materialize, release
 K1, B = 1.5, 0.75
 #: Questions that are answered in one pass over the corpus, and documents that a task scores at once.
 QUESTION_BLOCK, DOC_BLOCK = 4096, 4096
+#: Bytes of words of the documents that are counted at once.
+DOC_BYTES = 4 << 20
 #: Decimals of a score that decide an order; beyond them ties go to the smaller id.
 DECIMALS = 9
 
@@ -38,25 +41,29 @@ def _term_counts(asked: pa.Array, stored=None, names: list[str] = ()):
     """doc_id, length, the numbers and counts of the asked terms that occur, and the conditions that the document meets."""
     listed = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
 
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        length = pc.fill_null(pc.list_value_length(lists), 0)
+        term = pc.index_in(lists.flatten(), asked)
+        doc = pc.list_parent_indices(lists)
+        hit = pc.is_valid(term)
+        key = doc.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(asked)) + term.filter(hit).to_numpy(zero_copy_only=False)
+        key, times = np.unique(key, return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(batch) + 1) * max(1, len(asked)))
+        met = np.zeros((2, 0), np.int64)  # documents and conditions that they meet
+        if stored is not None:
+            parts = [np.stack([places, np.full(len(places), k)]) for k, places in stored.meeting({name: batch.column(i + 2).to_pylist() for i, name in enumerate(names)}, len(batch))]
+            met = np.concatenate([met, *parts], axis=1)
+            met = met[:, np.argsort(met[0], kind="stable")]
+        met_ends = np.searchsorted(met[0], np.arange(len(batch) + 1))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), length.cast(pa.int64()), listed(ends, key % max(1, len(asked))), listed(ends, times), listed(met_ends, met[1])],
+            names=["doc_id", "length", "ids", "times", "met"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            length = pc.fill_null(pc.list_value_length(lists), 0)
-            term = pc.index_in(lists.flatten(), asked)
-            doc = pc.list_parent_indices(lists)
-            hit = pc.is_valid(term)
-            key = doc.filter(hit).to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(asked)) + term.filter(hit).to_numpy(zero_copy_only=False)
-            key, times = np.unique(key, return_counts=True)
-            ends = np.searchsorted(key, np.arange(len(batch) + 1) * max(1, len(asked)))
-            met: list[list[int]] = [[]] * len(batch)
-            if stored is not None:
-                values = [batch.column(i + 2).to_pylist() for i in range(len(names))]
-                met = [stored.matches({name: column[i] for name, column in zip(names, values, strict=True)}) for i in range(len(batch))]
-            met_ends = np.concatenate([[0], np.cumsum([len(x) for x in met])])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), length.cast(pa.int64()), listed(ends, key % max(1, len(asked))), listed(ends, times), listed(met_ends, np.array([k for x in met for k in x], np.int32))],
-                names=["doc_id", "length", "ids", "times", "met"],
-            )
+            yield from map(counted, pieces(batch, DOC_BLOCK, DOC_BYTES))
 
     return run
 

@@ -633,3 +633,20 @@ def test_blocks_of_threads_leave_each_others_tables(spark):
     for name in ("mine", "gone"):
         with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
             spark.read.parquet(made[name]._scratch_path)
+
+
+def test_equal_conditions_are_evaluated_once_and_pairs_leave_in_parts(spark, monkeypatch):
+    programs = {k: program(t) for k, t in enumerate(['a "b c"', '"a b c" OR NOT d', "b* AND NOT x", "a OR (b AND PUB_YEAR:[2005 TO *])"])}
+    papers = [{"text text": f" {t} ", "year year": y} for t, y in [("a b c", 2001), ("b c a", 2006), ("d b x", 2007), ("d", None), ("", None), ("bc a", 1)] * 50]
+    stored = Percolator(programs, Counter())
+    found = [(k, int(i)) for k, places in stored.meeting({name: [p[name] for p in papers] for name in papers[0]}, len(papers)) for i in places]
+    assert sorted(found) == sorted((k, i) for i, p in enumerate(papers) for k in stored.matches(p)) and len(found) > 500
+    monkeypatch.setattr("lodestone.operators.percolate.PAIRS", 3)
+    monkeypatch.setattr("lodestone.operators.percolate.PAPERS", 2)
+    rows = [(k, t) for k, t in enumerate(["the", "the", "NOT the", "the", ""] * 9) if t]
+    parsed = []
+    monkeypatch.setattr("lodestone.operators.percolate.program", lambda t: parsed.append(t) or program(t))
+    docs = spark.createDataFrame([(i, "The a" if i % 2 else "b") for i in range(20)], "doc_id long, text string")
+    got = percolate(docs, spark.createDataFrame(rows, "query_id long, query string")).collect()
+    assert sorted(map(tuple, got)) == sorted((k, i) for k, t in rows for i in range(20) if (i % 2 == 1) == (t == "the"))
+    assert sorted(parsed) == ["NOT the", "the"]
