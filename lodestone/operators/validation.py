@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.records import day_key, is_day, is_isbn, license_code, role_name
-from lodestone.operators.parsing import parse_column
+from lodestone.operators.parsing import check_column
 
 # Fields and the values they take.
 FIELDS = """ABSTRACT ACCESSION_ID ACCESSION_TYPE ACK_FUND AFF ANNOTATION_TYPE APPENDIX ARXPR_PUBS AUTH AUTHORID AUTHORID_TYPE
@@ -50,7 +50,7 @@ CLAUSE = ["pos", "raw", "field", "before", "behind", "value", "kind", "bare"]
 
 
 def _clauses(parsed: DataFrame) -> DataFrame:
-    """parsed (p: see parse_column) with a row a clause, or one with a null pos where a query has none."""
+    """parsed (p: see check_column) with a row a clause, or one with a null pos where a query has none."""
     columns = [c for c in parsed.columns]
     rows = parsed.select("*", F.posexplode_outer("p.clauses").alias("pos", "part")).select(*columns, "pos", "part.raw", F.upper("part.raw").alias("field"), "part.before", "part.behind", "part.value", "part.kind")
     rows = rows.withColumn("kind", F.when(F.trim("value") == "", "missing").otherwise(F.col("kind")))
@@ -62,7 +62,7 @@ def _clauses(parsed: DataFrame) -> DataFrame:
 
 def clauses(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """queries with pos, raw, field, before, behind, value, kind and bare (the value without its quotes): one row a clause."""
-    rows = _clauses(queries.withColumn("p", parse_column(F.col(query_col))))
+    rows = _clauses(queries.withColumn("p", check_column(F.col(query_col))))
     return rows.where("pos is not null").select(*queries.columns, *CLAUSE)
 
 
@@ -135,7 +135,7 @@ def validate(queries: DataFrame, id_col: str = "query_id", query_col: str = "que
 
     Ids are unique. A null query is an empty one. Each text is parsed once, and its clauses meet again by id.
     """
-    read = queries.select(F.col(id_col), F.col(query_col)).withColumn("p", parse_column(F.col(query_col)))
+    read = queries.select(F.col(id_col), F.col(query_col)).withColumn("p", check_column(F.col(query_col)))
     checked = clause_messages(_clauses(read))
     nothing = F.array().cast("array<string>")
     whole = lambda c: F.first(F.col(f"p.{c}")).alias(c)

@@ -23,3 +23,14 @@ def test_postings_of_a_chunk():
     assert docs == {(1, "x"): [(3, 2, [0, 2])], (1, "a"): [(3, 2, [1]), (9, 1, [0])], (2, "a"): [(4, 1, [0])]}
     part = lambda tf, n: tf / (tf + 1.5 * (0.25 + 0.75 * n))
     assert {(r["chunk"], r["term"]): round(r["top"], 9) for r in got} == {(1, "x"): round(part(2, 2), 9), (1, "a"): round(part(1, 1), 9), (2, "a"): round(part(1, 1), 9)}
+
+
+def test_checks_of_a_query_are_those_of_its_parse(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.parsing import check_column, parse_column
+
+    texts = ["", None, "AND x", 'TITLE:"a*" OR (', "KW : (a OR MESH:b) y]", "'open", "x" * 3000 + " AND"] * 200
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, q string").select("k", parse_column(F.col("q")).alias("p"), check_column(F.col("q")).alias("c"))
+    assert rows.where("c.faults <=> p.faults and c.quote_faults <=> p.quote_faults and c.clauses <=> p.clauses and c.has_root <=> p.has_root").count() == len(texts)
+    assert rows.schema["c"].dataType.names == ["faults", "quote_faults", "clauses", "has_root"]
