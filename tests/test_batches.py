@@ -34,3 +34,11 @@ def test_checks_of_a_query_are_those_of_its_parse(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, q string").select("k", parse_column(F.col("q")).alias("p"), check_column(F.col("q")).alias("c"))
     assert rows.where("c.faults <=> p.faults and c.quote_faults <=> p.quote_faults and c.clauses <=> p.clauses and c.has_root <=> p.has_root").count() == len(texts)
     assert rows.schema["c"].dataType.names == ["faults", "quote_faults", "clauses", "has_root"]
+
+
+def test_only_places_where_sentences_may_end_are_looked_at():
+    from lodestone.operators import segmentation as G
+
+    looked = [m[0] for m in G._STOPS.finditer("one two three. Four \n five (six) seven")]
+    assert looked == [". ", "\n ", ") "]
+    assert G.split("  One cf. Two 3.5! x\n\n y \"Zed.\" End. ", frozenset(["cf"])) == ["One cf. Two 3.5!", "x", 'y "Zed."', "End."]
