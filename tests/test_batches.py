@@ -13,6 +13,17 @@ def test_pieces_are_bounded_by_rows_and_bytes():
     assert [len(p) for p in pieces(batch.slice(0, 0))] == []
 
 
+def test_words_of_documents_are_counted_in_pieces(monkeypatch):
+    from lodestone.operators import ranking as R
+
+    monkeypatch.setattr(R, "DOC_BYTES", 200)
+    terms = [["a", "b", "a"], None, [], ["c"]] * 25
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "terms": pa.array(terms, pa.list_(pa.string()))})
+    got = list(R._term_counts(pa.array(["a", "c"]))(iter([batch])))
+    assert len(got) > 5 and [k for b in got for k in b.column(0).to_pylist()] == list(range(100))
+    assert [(n, ids, times) for b in got for n, ids, times in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))][:4] == [(3, [0], [2]), (0, [], []), (0, [], []), (1, [1], [1])]
+
+
 def test_postings_of_a_chunk():
     from lodestone.operators import postings as P
 
