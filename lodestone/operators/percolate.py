@@ -14,10 +14,11 @@ import math
 import operator
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -125,26 +126,51 @@ def _places(bits: int, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little"))
 
 
+class _AskedOf:
+    """Words, and pairs of words next to each other, that are looked for in a column of texts."""
+
+    def __init__(self, words: set[str], pairs: set[tuple[str, str]]):
+        self.words = sorted(words)
+        number = {w: i for i, w in enumerate(self.words)}
+        self.known = pa.array(self.words, pa.string())
+        self.pairs = {number[a] * len(self.words) + number[b]: (a, b) for a, b in pairs}
+        self.keys = np.array(list(self.pairs), np.int64)
+
+    def standing_in(self, texts: list | pa.Array) -> Iterator[tuple[str | tuple[str, str], np.ndarray]]:
+        """(word or pair, places of the texts that have it), texts as search.normal() has them: the blanks at their ends part them."""
+        split = pc.split_pattern(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, " ")
+        found = pc.index_in(split.flatten(), self.known)
+        at = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+        word = pc.drop_null(found).to_numpy(zero_copy_only=False).astype(np.int64)
+        text = pc.list_parent_indices(split).to_numpy(zero_copy_only=False)[at]
+        yield from ((self.words[k], places) for k, places in _groups(word, text))
+        first = np.flatnonzero(np.diff(at) == 1)
+        key = word[first] * len(self.words) + word[first + 1]
+        asked = np.isin(key, self.keys)
+        yield from ((self.pairs[k], places) for k, places in _groups(key[asked], text[first][asked]))
+
+
+def _groups(number: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number with its places."""
+    order = np.argsort(number, kind="stable")
+    number, starts = np.unique(number[order], return_index=True)
+    return zip(number.tolist(), np.split(place[order], starts[1:]), strict=False)  # without numbers, one empty split
+
+
 class _Batch:
     """Papers (see columns_of) side by side: which of them have a word, or two next to each other, and which an operand holds for."""
 
-    def __init__(self, columns: dict[str, list], n: int, asked: dict[str, set]):
+    def __init__(self, columns: dict[str, list | pa.Array], n: int, asked: dict[str, _AskedOf]):
         self.columns, self.n, self.all = columns, n, (1 << n) - 1
         #: Of a text column: words, and pairs of words, that are asked, with the papers that have them.
-        self.having: dict[str, dict] = {}
-        for name, some in asked.items():
-            listed, paired = defaultdict(list), any(isinstance(w, tuple) for w in some)
-            for i, value in enumerate(columns[name]):
-                words = value.split()
-                for w in some.intersection(words):
-                    listed[w].append(i)
-                if paired:
-                    for w in some.intersection(itertools.pairwise(words)):
-                        listed[w].append(i)
-            self.having[name] = {w: _bits(places, n) for w, places in listed.items()}
+        self.having = {name: {w: _bits(places, n) for w, places in some.standing_in(columns[name])} for name, some in asked.items()}
         self.whole: dict[int, int] = {}
         self.checked: dict[int, tuple[int, int]] = {}
 
+    def value(self, name: str, i: int):
+        column = self.columns[name]
+        return column[i].as_py() if isinstance(column, pa.Array) else column[i]
+
     def word(self, w: str) -> int:
         return functools.reduce(operator.or_, (known.get(w, 0) for known in self.having.values()), 0)
 
@@ -163,7 +189,7 @@ class _Batch:
         done, held = self.checked.get(k, (0, 0))
         if todo := some & within & ~done:
             names = [f"{'text' if leaf.kind in TEXTS else leaf.kind} {c}" for c in leaf.columns]
-            held |= _bits([i for i in _places(todo, self.n) if _holds(leaf, {name: self.columns[name][i] for name in names})], self.n)
+            held |= _bits([i for i in _places(todo, self.n) if _holds(leaf, {name: self.value(name, i) for name in names})], self.n)
             self.checked[k] = done | todo, held
         return held
 
@@ -177,17 +203,20 @@ class Percolator:
         self.leaves = list(leaves)
         #: Words of which a paper that meets a condition has one; None if it can do without.
         self.needed = {k: needed_words(programs[k], common) for k in self.programs}
-        #: Words, and pairs of words, that are looked for in each column of texts.
-        self.asked: dict[str, set] = defaultdict(set)
+        asked: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
         for leaf in leaves:
             if leaf.kind == "phrase":
                 words = leaf.value.split()
                 for c in leaf.columns:
-                    self.asked[f"text {c}"].update(words, itertools.pairwise(words))
+                    words_of, pairs_of = asked[f"text {c}"]
+                    words_of.update(words)
+                    pairs_of.update(itertools.pairwise(words))
+        #: Words, and pairs of words, that are looked for in each column of texts.
+        self.asked = {name: _AskedOf(*some) for name, some in asked.items()}
         #: How often a condition was evaluated for a paper.
         self.evaluated = 0
 
-    def meeting(self, columns: dict[str, list], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    def meeting(self, columns: dict[str, list | pa.Array], n: int) -> Iterator[tuple[int, np.ndarray]]:
         """(condition, places of the papers that meet it) in order, of n papers whose columns (see columns_of) are given. Conditions that none meets are passed over."""
         papers = _Batch(columns, n, self.asked)
         word = functools.cache(papers.word)
@@ -215,6 +244,12 @@ class Percolator:
         return [k for k, _ in self.meeting({name: [value] for name, value in paper.items()}, 1)]
 
 
+def read_columns(batch: pa.RecordBatch, names: Sequence[str], at: int) -> dict[str, list | pa.Array]:
+    """What conditions read of a batch, from column number at: values as Python's, texts as they are, since few are looked at one by one."""
+    columns = {name: batch.column(at + i) for i, name in enumerate(names)}
+    return {name: c if name.startswith("text ") else c.to_pylist() for name, c in columns.items()}
+
+
 def common_words(papers: DataFrame, columns: dict[str, Column], asked: set[str]) -> Counter:
     """In how many of a sample of papers each asked word stands, for conditions that read these columns."""
     texts = [c for name, c in columns.items() if name.startswith("text ")]
@@ -291,7 +326,7 @@ def percolate(papers: DataFrame, conditions: DataFrame) -> DataFrame:
             for whole in batches:
                 for batch in pieces(whole, PAPERS, PAPER_BYTES):
                     waiting, held = [], 0
-                    for k, places in stored.meeting({name: batch.column(i + 1).to_pylist() for i, name in enumerate(names)}, len(batch)):
+                    for k, places in stored.meeting(read_columns(batch, names, 1), len(batch)):
                         step = max(1, PAIRS // len(places))
                         for a in range(ends[k], ends[k + 1], step):
                             same = np.arange(a, min(a + step, ends[k + 1]))

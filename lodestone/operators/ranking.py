@@ -17,8 +17,9 @@ from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 from lodestone.functions.batches import pieces
 from lodestone.functions.text import STOPWORDS, plain_terms, tokens, word_count
 from lodestone.operators.parsing import parse
-from lodestone.operators.percolate import Steps, answerable, percolator, positive_words
+from lodestone.operators.percolate import Steps, answerable, percolator, positive_words, read_columns
 from lodestone.operators.querytext import program
+from lodestone.operators.search import normal
 from lodestone.scratch import materialize, release
 
 K1, B = 1.5, 0.75
@@ -37,12 +38,25 @@ def bm25_weight(tf: Column, df: Column, n: Column, length: Column, mean: Column,
     return idf * d(tf) / (d(tf) + k1 * (F.lit(1.0 - b) + b * d(length) / d(mean)))
 
 
-def _term_counts(asked: pa.Array, stored=None, names: list[str] = ()):
-    """doc_id, length, the numbers and counts of the asked terms that occur, and the conditions that the document meets."""
+def _token_lists(normal: pa.Array) -> pa.ListArray:
+    """text.tokens() of texts, given as search.normal() has them."""
+    split = pc.split_pattern(normal, " ")
+    words = split.flatten()
+    kept = pc.and_(pc.greater(pc.utf8_length(words), 1), pc.invert(pc.is_in(words, pa.array(STOPWORDS))))
+    before = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), words.filter(kept))
+
+
+def _term_counts(asked: pa.Array, stored=None, names: list[str] = (), at: int = 2):
+    """doc_id, length, the numbers and counts of the asked terms that occur, and the conditions that the document meets.
+
+    The second column has the documents' tokens, or their texts as search.normal() has them. What the conditions read begins at column number at.
+    """
     listed = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32()))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(1)
+        lists = batch.column(1) if pa.types.is_list(batch.column(1).type) else _token_lists(batch.column(1))
         length = pc.fill_null(pc.list_value_length(lists), 0)
         term = pc.index_in(lists.flatten(), asked)
         doc = pc.list_parent_indices(lists)
@@ -52,7 +66,7 @@ def _term_counts(asked: pa.Array, stored=None, names: list[str] = ()):
         ends = np.searchsorted(key, np.arange(len(batch) + 1) * max(1, len(asked)))
         met = np.zeros((2, 0), np.int64)  # documents and conditions that they meet
         if stored is not None:
-            parts = [np.stack([places, np.full(len(places), k)]) for k, places in stored.meeting({name: batch.column(i + 2).to_pylist() for i, name in enumerate(names)}, len(batch))]
+            parts = [np.stack([places, np.full(len(places), k)]) for k, places in stored.meeting(read_columns(batch, names, at), len(batch))]
             met = np.concatenate([met, *parts], axis=1)
             met = met[:, np.argsort(met[0], kind="stable")]
         met_ends = np.searchsorted(met[0], np.arange(len(batch) + 1))
@@ -148,8 +162,9 @@ def _answered(docs: DataFrame, block: list[_Asked], question_type: DataType, k:
     some = docs.where("doc_id is not null")
     gated = {i: q.steps for i, q in enumerate(block) if q.steps is not None}
     stored, columns = percolator(some, gated) if gated else (None, {})
-    counted = some.select("doc_id", tokens(F.col("text")).alias("terms"), *(c.alias(name) for name, c in columns.items()))
-    counted = materialize(counted.mapInArrow(_term_counts(pa.array(asked, pa.string()), stored, list(columns)), f"doc_id {id_type}, length long, ids array<int>, times array<int>, met array<int>"), "counted")
+    columns = {"text text": normal("text")} | columns  # tokens are some of these words, so texts are cut into words once
+    counted = some.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+    counted = materialize(counted.mapInArrow(_term_counts(pa.array(asked, pa.string()), stored, list(columns), 1), f"doc_id {id_type}, length long, ids array<int>, times array<int>, met array<int>"), "counted")
     n, mean = counted.agg(F.count("*"), F.avg(F.col("length").cast("double"))).first()
     df = np.zeros(len(asked))
     for r in counted.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row a term of this block
@@ -159,6 +174,7 @@ def _answered(docs: DataFrame, block: list[_Asked], question_type: DataType, k:
     best = materialize(best, "best")
     release(counted)
     names = spark.createDataFrame([(i, q.question_id) for i, q in enumerate(block)], StructType([StructField("question", best.schema["question"].dataType), StructField("question_id", question_type)]))
+    names = names.coalesce(1)  # a few rows, which a worker on each core would read
     return best.join(names, "question").select("question_id", "doc_id", "score")
 
 

@@ -53,3 +53,21 @@ def test_only_places_where_sentences_may_end_are_looked_at():
     looked = [m[0] for m in G._STOPS.finditer("one two three. Four \n five (six) seven")]
     assert looked == [". ", "\n ", ") "]
     assert G.split("  One cf. Two 3.5! x\n\n y \"Zed.\" End. ", frozenset(["cf"])) == ["One cf. Two 3.5!", "x", 'y "Zed."', "End."]
+
+
+def test_texts_of_fielded_questions_are_sent_once_and_not_made_into_lists():
+    from collections import Counter
+
+    from lodestone.operators import ranking as R
+    from lodestone.operators.percolate import Percolator, read_columns
+    from lodestone.operators.querytext import program
+
+    texts = [" ab the cd ab x ", "  ", " cd ab ", " x x \U0001d4b3 éé ", " the "] * 3
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(15), "text text": texts, "year year": pa.array([2001, None, 2009] * 5, pa.int32())})
+    stored = Percolator({0: program('"cd ab"'), 2: program("x NOT PUB_YEAR:2001"), 5: program("éé OR x*")}, Counter())
+    read = read_columns(batch, ["text text", "year year"], 1)
+    assert isinstance(read["text text"], pa.Array) and read["year year"][:2] == [2001, None]
+    rows = [r for b in R._term_counts(pa.array(["ab", "éé", "cd"]), stored, ["text text", "year year"], 1)(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(15))
+    assert [(r["length"], r["ids"], r["times"]) for r in rows[5:10]] == [(3, [0, 2], [2, 1]), (0, [], []), (2, [0, 2], [1, 1]), (1, [1], [1]), (0, [], [])]
+    assert [r["met"] for r in rows[:5]] == [[0, 5], [], [0], [5], []] and [r["met"] for r in rows[5:10]] == [[0, 2, 5], [], [0], [2, 5], []]
