@@ -25,8 +25,8 @@ from lodestone.scratch import materialize, release
 K1, B = 1.5, 0.75
 #: Questions that are answered in one pass over the corpus, and documents that a task scores at once.
 QUESTION_BLOCK, DOC_BLOCK = 4096, 4096
-#: Bytes of words of the documents that are counted at once.
-DOC_BYTES = 4 << 20
+#: Bytes of texts whose words are counted, and of counts that are scored, at once.
+DOC_BYTES, COUNT_BYTES = 1 << 20, 4 << 20
 #: Decimals of a score that decide an order; beyond them ties go to the smaller id.
 DECIMALS = 9
 
@@ -94,8 +94,7 @@ def _best_of_task(questions: list[list[int]], gated: set[int], idf: np.ndarray,
         held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         docs: list = []  # ids of the documents that held counts by number
         for whole in batches:
-            for at in range(0, len(whole), DOC_BLOCK):
-                batch = whole.slice(at, DOC_BLOCK)
+            for batch in pieces(whole, DOC_BLOCK, COUNT_BYTES):
                 ids, times = batch.column(2), batch.column(3)
                 doc = pc.list_parent_indices(ids).to_numpy(zero_copy_only=False).astype(np.int64)
                 term, tf = ids.flatten().to_numpy(zero_copy_only=False), times.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

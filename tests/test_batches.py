@@ -71,3 +71,22 @@ def test_texts_of_fielded_questions_are_sent_once_and_not_made_into_lists():
     assert [r["doc_id"] for r in rows] == list(range(15))
     assert [(r["length"], r["ids"], r["times"]) for r in rows[5:10]] == [(3, [0, 2], [2, 1]), (0, [], []), (2, [0, 2], [1, 1]), (1, [1], [1]), (0, [], [])]
     assert [r["met"] for r in rows[:5]] == [[0, 5], [], [0], [5], []] and [r["met"] for r in rows[5:10]] == [[0, 2, 5], [], [0], [2, 5], []]
+
+
+def test_counts_of_documents_are_scored_in_pieces(monkeypatch):
+    import numpy as np
+
+    from lodestone.operators import ranking as R
+
+    n = 400
+    ids = [[k % 3, 3 + k % 5] if k % 7 else [] for k in range(n)]
+    rows = {"doc_id": range(n), "length": [5 + k % 11 for k in range(n)], "ids": ids, "times": [[1 + k % 4] * len(x) for k, x in enumerate(ids)], "met": [[1] if k % 50 == 0 else [] for k in range(n)]}
+    ints = pa.list_(pa.int32())
+    batch = pa.RecordBatch.from_pydict(rows, pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("ids", ints), ("times", ints), ("met", ints)]))
+    run = R._best_of_task([[0, 4], [2], [7, 1]], {1}, np.arange(1.0, 9.0), 9.0, 10)
+    best = lambda: [r for b in run(iter([batch])) for r in b.to_pylist()]
+    whole, seen = best(), []
+    assert len(whole) == 28 and {r["doc_id"] for r in whole if r["question"] == 1} == set(range(0, n, 50))
+    monkeypatch.setattr(R, "COUNT_BYTES", 1000)
+    monkeypatch.setattr(R, "pieces", lambda *a: (seen.append(len(p)) or p for p in pieces(*a)))
+    assert sorted(map(repr, best())) == sorted(map(repr, whole)) and sum(seen) == n and max(seen) < 50
