@@ -90,3 +90,30 @@ def test_counts_of_documents_are_scored_in_pieces(monkeypatch):
     monkeypatch.setattr(R, "COUNT_BYTES", 1000)
     monkeypatch.setattr(R, "pieces", lambda *a: (seen.append(len(p)) or p for p in pieces(*a)))
     assert sorted(map(repr, best())) == sorted(map(repr, whole)) and sum(seen) == n and max(seen) < 50
+
+
+def test_memory_of_ranking_is_the_same_for_a_batch_of_any_size():
+    import tracemalloc
+
+    import numpy as np
+
+    from lodestone.operators import ranking as R
+
+    def peak(n: int) -> float:
+        """MB that counting and scoring n documents of one batch take besides the batch."""
+        batch = pa.RecordBatch.from_pydict({"doc_id": range(n), "terms": [[f"w{(k * j) % 97}" for j in range(300)] for k in range(n)]})
+        usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+        pa.set_memory_pool(pool)
+        tracemalloc.start()
+        try:
+            counted = R._term_counts(pa.array([f"w{k}" for k in range(97)]))(iter([batch]))
+            best = [r for b in R._best_of_task([[0, 4], [2]], set(), np.arange(1.0, 98.0), 300.0, 10)(counted) for r in b.to_pylist()]
+            assert len(best) == 20
+            return (pool.max_memory() + tracemalloc.get_traced_memory()[1]) / 1e6
+        finally:
+            tracemalloc.stop()
+            pa.set_memory_pool(usual)
+
+    peak(100)  # what is loaded or made once
+    small, large = peak(2000), peak(16000)
+    assert large < 1.5 * small
