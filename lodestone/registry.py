@@ -538,8 +538,9 @@ def stored_conditions(spark, sf):
     one = F.concat(w(3), F.lit(" "), w(4), F.lit(" ("), w(7), F.lit(" OR TITLE:"), w(2), F.lit(") NOT "), w(10), F.lit(" AND PUB_YEAR:[2005 TO *]"))
     other = F.concat(F.lit('"'), w(3), F.lit(" "), w(4), F.lit('" OR ('), w(3), F.lit(" AND LANG:de AND NOT IN_EPMC:Y)"), F.substring(w(10), 1, 0))
     d = docs(spark, sf)
-    words = d.select("doc_id", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 10).alias("w"))  # cut once, not at each use
-    conditions = words.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 3, other).otherwise(one).alias("query")).where("query is not null")
+    begin = F.regexp_extract(F.lower("text"), r"^(?:[^\p{L}\p{N}_]*+[\p{L}\p{N}_]++){0,10}+", 0)  # ten words are asked of each text
+    words = d.select("doc_id", F.regexp_extract_all(begin, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)).alias("w")).where("size(w) = 10")
+    conditions = words.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 4 == 3, other).otherwise(one).alias("query"))
     return percolate(C.papers(d), conditions)
 
 

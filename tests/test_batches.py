@@ -117,3 +117,53 @@ def test_memory_of_ranking_is_the_same_for_a_batch_of_any_size():
     peak(100)  # what is loaded or made once
     small, large = peak(2000), peak(16000)
     assert large < 1.5 * small
+
+
+def test_conditions_of_one_shape_are_evaluated_side_by_side(monkeypatch):
+    """An operator is carried out for many conditions at once, and what they find leaves in parts of a size of its own."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from lodestone.operators import percolate as Q
+    from lodestone.operators.querytext import program
+
+    made, n = random.Random(3), 1000
+    words = [f"w{int(made.paretovariate(0.7))}" for _ in range(20 * n)]
+    papers = [words[k : k + 20] for k in range(0, 20 * n, 20)]
+    columns = {"text text": pa.array([f" {' '.join(p)} " for p in papers], pa.string()), "year year": [2000 + k % 3 for k in range(n)]}
+    asked = [made.sample(range(1, 60), 4) for _ in range(900)]
+    one, other = "w{} (w{} OR w{}) NOT w{}", '(w{0} PUB_YEAR:2001) OR "w{1} w{2}"'
+    stored = Q.Percolator({k: program((one if k % 3 else other).format(*x)) for k, x in enumerate(asked)}, Counter())
+    has = [set(p) for p in papers]
+
+    def holds(k: int, i: int) -> bool:
+        a, b, c, d = (f"w{x}" for x in asked[k])
+        near = any(x == b and y == c for x, y in zip(papers[i], papers[i][1:]))
+        return (a in has[i] and (b in has[i] or c in has[i]) and d not in has[i]) if k % 3 else (a in has[i] and i % 3 == 1) or near
+
+    want = {(k, i) for k in range(900) for i in range(n) if holds(k, i)}
+    assert {(k, i) for k, places in stored.meeting(columns, n) for i in places.tolist()} == want
+    monkeypatch.setattr(Q, "PART", 1 << 14)
+    sizes = [len(numbers) for numbers, _ in stored.found(columns, n)]
+    assert max(sizes) == (1 << 14) // 128 and len(sizes) < 12
+    monkeypatch.setattr(Q, "PAIRS", 1000)
+    ends = np.cumsum([0, *(8 if k % 50 == 1 else 1 for k in range(900))])
+    parts = list(Q._pairs(stored.found(columns, n), ends))
+    assert max(len(query) for query, _ in parts) <= 1000 and len(parts) > 5
+    got = [(q, i) for query, place in parts for q, i in zip(query.tolist(), place.tolist())]
+    assert sorted(got) == sorted((q, i) for k, i in want for q in range(ends[k], ends[k + 1]))
+
+
+def test_papers_are_read_in_full_once_for_all_blocks_of_conditions(spark, monkeypatch):
+    from lodestone.operators import percolate as Q
+
+    monkeypatch.setattr(Q, "BLOCK", 2)
+    made = []
+    monkeypatch.setattr(Q, "materialize", lambda df, label, write=Q.materialize: made.append(label) or write(df, label))
+    papers = spark.createDataFrame([(i, f"a{i % 5} b{i % 7}", str(2000 + i)) for i in range(40)], "doc_id long, text string, year string")
+    texts = [f"{w} PUB_YEAR:[2000 TO *]" for w in ("a0", "a1", "b2", "b3")] + ["PUB_YEAR:[2039 TO *] a4", "b6", "zz"]
+    got = Q.percolate(papers, spark.createDataFrame(list(enumerate(texts)), "query_id int, query string").repartition(1)).collect()
+    want = [(k, i) for k, w in enumerate(["a0", "a1", "b2", "b3", "a4", "b6"]) for i in range(40) if w in (f"a{i % 5}", f"b{i % 7}") and (k != 4 or i == 39)]
+    assert sorted((r.query_id, r.doc_id) for r in got) == want and len(made) == len(set(made))
